@@ -238,13 +238,13 @@ def _phi() -> str:
 
 def attributions(where: str) -> str:
     return f"""{VD},
-at0 AS (SELECT event_id, unnest({_phi()}) AS t FROM vd {where}),
-at AS (SELECT event_id, t.f AS feature, t.v AS v,
-  row_number() OVER (PARTITION BY event_id ORDER BY abs(t.v) DESC, t.i DESC) AS place FROM at0
+att0 AS (SELECT event_id, unnest({_phi()}) AS t FROM vd {where}),
+att AS (SELECT event_id, t.f AS feature, t.v AS v,
+  row_number() OVER (PARTITION BY event_id ORDER BY abs(t.v) DESC, t.i DESC) AS place FROM att0
   QUALIFY place <= 5),
 dr0 AS (SELECT event_id, place, {_case('feature', K.FEATURE_DESCRIPTIONS,
                                       "replace(feature, '_', ' ')")} AS phrase,
-  row_number() OVER (PARTITION BY event_id ORDER BY place) AS nth FROM at WHERE v > 0),
+  row_number() OVER (PARTITION BY event_id ORDER BY place) AS nth FROM att WHERE v > 0),
 dr AS (SELECT event_id, string_agg(phrase, ', ' ORDER BY nth) AS drivers FROM dr0 WHERE nth <= 3
   GROUP BY event_id)"""
 
@@ -480,7 +480,7 @@ u AS (SELECT event_id, unnest([{'c': 0, 'p': p0}, {'c': 1, 'p': p1}, {'c': 2, 'p
         " AS place, t.c AS class_id, t.p AS probability FROM u QUALIFY place <= 3"),
     "top_attributions": on(attributions("WHERE gated"), """SELECT event_id, place, feature,
   round(v, 4) AS shap_value, round(abs(v), 4) AS contribution,
-  CASE WHEN v > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS direction FROM at"""),
+  CASE WHEN v > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS direction FROM att"""),
     "risk_drivers": on(attributions("WHERE gated"), "SELECT event_id, coalesce(drivers,"
         f" '{K.DEFAULT_DRIVERS}') AS drivers FROM vd LEFT JOIN dr USING (event_id) WHERE gated"),
     "incident_summaries": on(attributions(""), f"""SELECT event_id,

@@ -20,12 +20,19 @@ def linear_logit(class_id: int) -> Column:
 
 
 def with_softmax(df: DataFrame, logits: list[str]) -> DataFrame:
-    """p0..p4 from logit columns, which are dropped."""
+    """p0..p4 from logit columns, which are dropped.
+
+    The probabilities come out of a one-element inline. Spark does not push a
+    filter on a verdict through it; through plain projections it would copy the
+    expressions below into the filter once per use, at every level, until the
+    plan has millions of nodes.
+    """
     top = F.greatest(*[F.col(z) for z in logits])
     exps = df.withColumns({f"_e{i}": F.exp(F.col(z) - top) for i, z in enumerate(logits)})
     total = reduce(lambda a, b: a + b, [F.col(f"_e{i}") for i in range(len(logits))])
-    probs = exps.withColumns({p: F.col(f"_e{i}") / total for i, p in enumerate(PROBABILITIES)})
-    return probs.drop(*logits, *[f"_e{i}" for i in range(len(logits))])
+    probs = F.struct(*[(F.col(f"_e{i}") / total).alias(p) for i, p in enumerate(PROBABILITIES)])
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in logits]
+    return exps.select(*kept, F.inline(F.array(probs)))
 
 
 def with_verdict(df: DataFrame, threshold: float = K.CONFIDENCE_THRESHOLD) -> DataFrame:

@@ -88,6 +88,7 @@ def capped_threats(
         rows.filter(F.col("error").isNull() & (F.col("predicted_class") != 0))
         .withColumn("position", position)
         .filter(F.col("position") <= cap)
+        .withColumn("position", F.col("position").cast("bigint"))
     )
 
 

@@ -260,7 +260,7 @@ def top3_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return ranked.select(
         "event_id",
-        (F.col("pos") + 1).alias("place"),
+        (F.col("pos") + 1).cast("bigint").alias("place"),
         F.col("t.class_id").alias("class_id"),
         F.col("t.probability").alias("probability"),
     )
@@ -276,7 +276,7 @@ def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _explained(spark, sf_dir).select("event_id", F.posexplode("top").alias("pos", "t"))
-    return rows.select("event_id", (F.col("pos") + 1).alias("place"), "t.*")
+    return rows.select("event_id", (F.col("pos") + 1).cast("bigint").alias("place"), "t.*")
 
 
 def risk_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from auditlens.plans import core
+from auditlens.session import tune
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _tuned(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(tune(spark), sf_dir)
+
+    return run
+
 
-QUERIES = {**core.QUERIES}
+QUERIES: dict[str, Query] = {name: _tuned(q) for name, q in core.QUERIES.items()}

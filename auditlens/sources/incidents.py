@@ -154,7 +154,8 @@ def newest(incidents: DataFrame, limit: int = 200) -> DataFrame:
     """
     limit = min(max(limit, 1), 500)
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("id")))
-    return incidents.withColumn("ordinal", place).filter(F.col("ordinal") <= limit)
+    ranked = incidents.withColumn("ordinal", place).filter(F.col("ordinal") <= limit)
+    return ranked.withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 def cards(incidents: DataFrame) -> DataFrame:
