@@ -581,4 +581,226 @@ ae AS (SELECT a.class_id, source, target FROM eg JOIN pt a ON a.node = source
         " ON predicted_class = class_id"),
 }
 
-SQL = {**CORE}
+# --- metrics ----------------------------------------------------------------------
+
+PR = f"{VD},\npr AS (SELECT event_id, label, predicted_class FROM vd)"
+_BASE = ", ".join(f"0.0::DOUBLE AS {f}" for f in K.REAL_SIGNAL_FEATURES)
+ARMS = f"""{VD},
+nb AS (SELECT * REPLACE ({_BASE}) FROM fx),{scores('nb', 'nv')},
+pr AS (SELECT 'with' AS arm, event_id, label, predicted_class FROM vd
+       UNION ALL SELECT 'without', event_id, label, predicted_class FROM nv)"""
+_MD5 = "md5('42:' || CAST({} AS VARCHAR))"
+FOLDS = """fd AS (SELECT event_id, label, (row_number() OVER (PARTITION BY label
+    ORDER BY md5('42:' || CAST(event_id AS VARCHAR))) - 1) %
+    least(5, (SELECT min(c) FROM (SELECT count(*) AS c FROM ev GROUP BY label))) AS fold FROM ev)"""
+
+
+def class_scores(src: str, by: str, dst: str = "cs") -> str:
+    """Precision, recall, F1 and support per class by joins of counted sets."""
+    key = f"{by}, " if by else ""
+    on = " AND ".join(["g.c = x.c"] + [f"g.{b.strip()} = x.{b.strip()}" for b in by.split(",") if b])
+    groups = f"SELECT DISTINCT {key}c FROM {src}, (VALUES (0), (1), (2), (3), (4)) t(c)"
+    pick = "".join(f"g.{b.strip()}, " for b in by.split(",") if b)
+
+    def counted(alias: str, col: str, where: str = "") -> str:
+        return (
+            f"LEFT JOIN (SELECT {key}{col} AS c, count(*) AS {alias} FROM {src} {where}"
+            f" GROUP BY ALL) {alias}_t ON " + on.replace("x.", f"{alias}_t.")
+        )
+
+    return f"""{dst}_n AS (SELECT {pick}g.c, coalesce(tp, 0) AS tp, coalesce(pp, 0) AS pp,
+    coalesce(ap, 0) AS ap FROM ({groups}) g
+  {counted('tp', 'label', 'WHERE label = predicted_class')}
+  {counted('pp', 'predicted_class')}
+  {counted('ap', 'label')}),
+{dst} AS (SELECT *, CASE WHEN pp > 0 THEN tp / pp ELSE 0 END AS precision_,
+  CASE WHEN ap > 0 THEN tp / ap ELSE 0 END AS recall_,
+  CASE WHEN ap + pp > 0 THEN 2 * tp / (ap + pp) ELSE 0 END AS f1_ FROM {dst}_n)"""
+
+
+def macro_of(src: str, by: str) -> str:
+    key = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    return f"""SELECT {key}sum(tp) / sum(ap) AS accuracy,
+  sum(precision_) / count(*) FILTER (WHERE ap + pp > 0) AS macro_precision,
+  sum(recall_) / count(*) FILTER (WHERE ap + pp > 0) AS macro_recall,
+  sum(f1_) / count(*) FILTER (WHERE ap + pp > 0) AS macro_f1,
+  CAST(sum(ap) AS BIGINT) AS n FROM {src} {group}"""
+
+
+_STATS = " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, avg({f}) AS mean, stddev_pop({f}) AS std FROM fx" for f in K.FEATURES
+)
+_SCALED = ", ".join(
+    f"round(({f} - (SELECT avg({f}) FROM fx)) / (SELECT CASE WHEN stddev_pop({f}) = 0 THEN 1"
+    f" ELSE stddev_pop({f}) END FROM fx), 4) AS {f}"
+    for f in K.FEATURES
+)
+_ALPHAS = ", ".join(f"({a}::DOUBLE)" for a in K.SWEEP_ALPHAS)
+WEIGHTS = f"""cn AS (SELECT label, count(*) AS n FROM ev GROUP BY label),
+rw AS (SELECT alpha, label, n, pow((SELECT sum(n) FROM cn) / ((SELECT count(*) FROM cn) * n), alpha)
+  AS r FROM cn, (VALUES {_ALPHAS}) a(alpha)),
+wt AS (SELECT alpha, label, n, r / min(r) OVER (PARTITION BY alpha) AS weight FROM rw)"""
+
+
+# --- minted events -----------------------------------------------------------------
+
+
+def _u(name: str) -> str:
+    return (
+        "(('0x' || substr(md5('1234:' || CAST(label AS VARCHAR) || ':' || CAST(n AS VARCHAR)"
+        f" || ':{name}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    )
+
+
+def _pick(options, u: str, field: int) -> str:
+    total, reached, whens = sum(o[-1] for o in options), 0.0, ""
+    for o in options[:-1]:
+        reached += o[-1]
+        whens += f" WHEN {u} < {reached / total!r}::DOUBLE THEN {_quote(o[field])}"
+    last = _quote(options[-1][field])
+    return f"CASE{whens} ELSE {last} END" if whens else last
+
+
+def _mint_error(c: int) -> str:
+    rate, codes = K.MINT_ERRORS[c]
+    if not codes:
+        return "''"
+    names = "[" + ", ".join(_quote(x) for x in codes) + "]"
+    pick = f"{names}[CAST(floor({_u('code')} * {len(codes)}) AS INT) + 1]"
+    return f"CASE WHEN {_u('denied')} < {rate}::DOUBLE THEN {pick} ELSE '' END"
+
+
+def _per_class(build) -> str:
+    return "CASE label " + " ".join(f"WHEN {c} THEN {build(c)}" for c in K.AUGMENT_CLASSES) + " END"
+
+
+MINTED = f"""{EV},
+hv AS (SELECT label, count(*) AS have FROM ev WHERE label IN (1, 2, 4) GROUP BY label),
+tg AS (SELECT max(c) AS target FROM (SELECT count(*) AS c FROM ev GROUP BY label)),
+sl AS (SELECT label, unnest(range(CAST(target - have AS BIGINT))) AS n FROM hv, tg),
+mi AS (SELECT label, n,
+  '2023-07-' || CAST(CAST(floor({_u('day')} * 5) AS INT) + 10 AS VARCHAR) || 'T' ||
+    lpad(CAST(CAST(floor({_u('hour')} * 9) AS INT) + 9 AS VARCHAR), 2, '0') || ':' ||
+    lpad(CAST(CAST(floor({_u('minute')} * 60) AS INT) AS VARCHAR), 2, '0') || ':00Z' AS event_time,
+  {_per_class(lambda c: _pick(K.MINT_EVENTS[c], _u('event'), 0))} AS event_name,
+  {_per_class(lambda c: _pick(K.MINT_EVENTS[c], _u('event'), 1))} AS event_source,
+  {_per_class(lambda c: _pick(K.MINT_IDENTITIES[c], _u('identity'), 0))} AS identity,
+  '203.0.113.' || CAST(CAST(floor({_u('ip')} * 253) AS INT) + 1 AS VARCHAR) AS source_ip,
+  {_per_class(_mint_error)} AS error_code FROM sl)"""
+_MOVES = _in(K.LATERAL_MOVEMENT_ACTIONS)
+
+ML = {
+    "class_weights": on(f"{EV},\n{WEIGHTS}",
+                        "SELECT alpha, label, n, round(weight, 6) AS weight FROM wt"),
+    "scaler_stats": on(f"{FX},\nst AS ({_STATS})", "SELECT feature, round(mean, 6) AS mean,"
+        " round(std, 6) AS std, round(CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS divisor FROM st"),
+    "scaled_features": on(FX, f"SELECT event_id, {_SCALED} FROM fx"),
+    "embedding_scaler_stats": """WITH v AS (SELECT unnest(embedding)::DOUBLE AS value,
+  unnest(range(len(embedding))) AS position FROM embeddings)
+SELECT CAST(position AS INT) AS position, round(avg(value), 6) AS mean,
+  round(stddev_pop(value), 6) AS std FROM v GROUP BY position""",
+    "holdout_split": on(EV, """SELECT event_id, label, CASE WHEN row_number() OVER (
+  PARTITION BY label ORDER BY md5('42:' || CAST(event_id AS VARCHAR))) <=
+  round(0.2::DOUBLE * count(*) OVER (PARTITION BY label)) THEN 'test' ELSE 'train' END AS split
+  FROM ev"""),
+    "kfold_assignment": on(f"{EV},\n{FOLDS}",
+                           "SELECT event_id, label, CAST(fold AS INT) AS fold FROM fd"),
+    "embedding_kfold": """SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label
+  ORDER BY md5('42:' || CAST(vec_id AS VARCHAR))) - 1) % least(5, (SELECT min(c) FROM
+  (SELECT count(*) AS c FROM embeddings GROUP BY label))) AS INT) AS fold FROM embeddings""",
+    "sample_per_class": on(f"{EV},\nsm AS ({_sample(42)})",
+                           "SELECT event_id, label, event_name FROM sm"),
+    "confusion_counts": on(PR, """SELECT a.c AS label, p.c AS predicted_class,
+  count(pr.event_id) AS n, round(CASE WHEN sum(count(pr.event_id)) OVER (PARTITION BY a.c) > 0
+  THEN count(pr.event_id) / sum(count(pr.event_id)) OVER (PARTITION BY a.c) ELSE 0 END, 4) AS share
+  FROM (VALUES (0), (1), (2), (3), (4)) a(c) JOIN (VALUES (0), (1), (2), (3), (4)) p(c) ON true
+  LEFT JOIN pr ON pr.label = a.c AND pr.predicted_class = p.c GROUP BY a.c, p.c"""),
+    "per_class_metrics": on(f"{PR},\n{class_scores('pr', '')}", f"""SELECT c AS class_id,
+  {_case('c', K.CLASS_LABELS)} AS class_label, round(precision_, 4) AS precision,
+  round(recall_, 4) AS recall, round(f1_, 4) AS f1, ap AS support FROM cs"""),
+    "macro_metrics": on(f"{PR},\n{class_scores('pr', '')},\nm AS ({macro_of('cs', '')})",
+        "SELECT round(accuracy, 4) AS accuracy, round(macro_precision, 4) AS macro_precision,"
+        " round(macro_recall, 4) AS macro_recall, round(macro_f1, 4) AS macro_f1, n FROM m"),
+    "model_accuracy": on(ARMS, """SELECT arm, round(avg(CASE WHEN label = predicted_class THEN 1
+  ELSE 0 END), 4) AS accuracy, count(*) AS n FROM (SELECT * FROM pr UNION ALL
+  SELECT 'always_benign', event_id, label, 0 FROM ev) GROUP BY arm"""),
+    "cv_summary": on(f"{ARMS},\n{FOLDS},\nfp AS (SELECT pr.*, fold FROM pr JOIN fd"
+                     f" USING (event_id)),\n{class_scores('fp', 'arm, fold')},\n"
+                     f"m AS ({macro_of('cs', 'arm, fold')})",
+        """SELECT arm, count(*) AS folds, round(avg(macro_f1), 4) AS cv_macro_f1_mean,
+  round(stddev_pop(macro_f1), 4) AS cv_macro_f1_std, round(avg(accuracy), 4) AS cv_accuracy_mean,
+  round(stddev_pop(accuracy), 4) AS cv_accuracy_std FROM m GROUP BY arm"""),
+    "pooled_class_f1": on(f"{ARMS},\n{class_scores('pr', 'arm')}",
+        "SELECT arm, c AS class_id, round(f1_, 4) AS f1, ap AS support FROM cs"),
+    "recipe_delta": on(f"{ARMS},\n{class_scores('pr', 'arm')}", "SELECT a.c AS class_id, "
+        + ", ".join(
+            f"round(b.{v}_, 4) AS {v}_without, round(a.{v}_, 4) AS {v}_with,"
+            f" round(round(a.{v}_, 4) - round(b.{v}_, 4), 4) AS {v}_delta"
+            for v in ("precision", "recall", "f1"))
+        + " FROM cs a JOIN cs b ON a.c = b.c AND a.arm = 'with' AND b.arm = 'without'"),
+    "best_alpha": on(f"""{VD},
+{WEIGHTS},
+wd AS (SELECT alpha, {", ".join(f"coalesce(max(weight) FILTER (WHERE label = {c}), 0) AS w{c}"
+                               for c in K.CLASS_IDS)} FROM wt GROUP BY alpha),
+ws AS (SELECT event_id, alpha, label, {", ".join(f"round(p{c} * w{c}, 9) AS s{c}"
+                                                 for c in K.CLASS_IDS)} FROM vd, wd),
+pr AS (SELECT event_id, alpha, label, CASE greatest(s0, s1, s2, s3, s4) WHEN s0 THEN 0
+  WHEN s1 THEN 1 WHEN s2 THEN 2 WHEN s3 THEN 3 ELSE 4 END AS predicted_class FROM ws),
+{class_scores('pr', 'alpha')},
+m AS ({macro_of('cs', 'alpha')})""", """SELECT alpha, round(macro_f1, 4) AS cv_macro_f1_mean,
+  round(accuracy, 4) AS cv_accuracy_mean FROM m
+  ORDER BY round(macro_f1, 4) DESC, round(accuracy, 4) DESC, alpha LIMIT 1"""),
+    "minority_topup": on(MINTED, "SELECT * FROM mi"),
+    "topped_up_set": on(f"""{MINTED},
+{features('ev', 'fx')}""", f"""SELECT label, 0 AS minted, count(*) AS n,
+  CAST(sum(assume_role_freq) AS BIGINT) AS assume_role,
+  CAST(sum(lateral_movement_action) AS BIGINT) AS lateral,
+  CAST(sum(off_hours_activity) AS BIGINT) AS off_hours FROM fx GROUP BY label
+UNION ALL SELECT label, 1, count(*), count(*) FILTER (WHERE event_name = 'AssumeRole'),
+  count(*) FILTER (WHERE event_name IN {_MOVES}), 0 FROM mi GROUP BY label"""),
+    "published_model": on(f"{FX},\nst AS ({_STATS})", """SELECT 'v1' AS version,
+  'damped class weights alpha=0.25 (no SMOTE)' AS resampling, feature, round(mean, 6) AS mean,
+  round(CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS divisor FROM st"""),
+    "smote_embeddings": """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT label, false AS synthetic, n FROM c UNION ALL
+SELECT label, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""",
+}
+
+READ_BACK = f"""SELECT event_id, {WALL.format('event_time')} AS event_time, event_name,
+  {PRINCIPAL} AS principal, coalesce(mfa, '') AS mfa, user_agent,
+  coalesce(account_id, '') AS account_id, recipient_account_id,
+  login_freq_1h::DOUBLE AS login_freq_1h, round(geo_anomaly_score, 6) AS geo_anomaly_score,
+  round(api_burst_rate, 6) AS api_burst_rate, round(data_exfil_volume_mb, 6)
+  AS data_exfil_volume_mb, round(lateral_movement_score, 6) AS lateral_movement_score, label
+  FROM ev"""
+
+IO = {
+    "ingest_json": on(EV, READ_BACK),
+    "ingest_jsonl": on(EV, READ_BACK),
+    "ingest_csv": on(EV, READ_BACK),
+    "poll_payloads": on(EV, READ_BACK + " WHERE event_name NOT IN ('PutObject', 'Decrypt')"),
+    "ingest_quarantine": on(EV, """SELECT CASE event_name WHEN 'ListBuckets' THEN 'not JSON'
+  WHEN 'PutObject' THEN 'not an object' ELSE 'event' END AS kind, count(*) AS n FROM ev
+  WHERE event_name <> 'Decrypt' GROUP BY kind"""),
+    "line_numbers": "SELECT count(*) AS lines, 0::BIGINT AS bad_files FROM events",
+    "export_csv": on(TRIAGE, f"""SELECT CAST(row AS VARCHAR) AS row,
+  strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, event_name,
+  replace(principal, ',', ' ') AS principal, source_ip, class_label,
+  {one_decimal('confidence * 100')} || '%' AS confidence, action_status AS action FROM tr
+  WHERE error IS NULL"""),
+    "export_json": on(TRIAGE, "SELECT row, principal, confidence, action_status AS action,"
+                              " p0, p1, p2, p3, p4 FROM tr WHERE error IS NULL"),
+    "append_incidents": on(INCIDENTS, "SELECT id, user_id, source, event_name, principal,"
+        " predicted_class, confidence, action_status, coalesce(rollback, '') AS rollback FROM inc"),
+    "cleared_incidents": on(EV + """,
+o AS (SELECT user_id, count(*) AS n FROM ev GROUP BY user_id ORDER BY n DESC, user_id LIMIT 1)""",
+        "SELECT user_id, n AS cleared, (SELECT count(*) FROM ev) - n AS left,"
+        " 0::BIGINT AS left_of_owner FROM o"),
+    "cached_dataset": CORE["class_availability"],
+    "stream_scoring": on(VD, "SELECT event_id, predicted_class, confidence, action_status FROM vd"),
+    "stream_dedupe": on(VD, "SELECT event_id, predicted_class, confidence FROM vd"),
+    "stream_lifecycle": CORE["incident_latest_state"],
+}
+
+SQL = {**CORE, **IO, **ML}

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlens.plans import core
+from auditlens.plans import core, io, ml
 from auditlens.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,4 +21,8 @@ def _tuned(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {name: _tuned(q) for name, q in core.QUERIES.items()}
+QUERIES: dict[str, Query] = {
+    name: _tuned(query)
+    for group in (core.QUERIES, io.QUERIES, ml.QUERIES)
+    for name, query in group.items()
+}

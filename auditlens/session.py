@@ -76,3 +76,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def is_directory(spark: SparkSession, path: str) -> bool:
+    """Whether the path is a folder, on whatever file system it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getFileStatus(there).isDirectory()

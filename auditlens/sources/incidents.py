@@ -1,7 +1,7 @@
 """The incident table: append, change, list, report and clear.
 
-Rows are stored by owner bucket and day. An owner's rows are spread over days,
-so one busy owner is many files, and an owner's reads prune to one bucket.
+Rows are stored by owner bucket, so an owner's reads prune to one bucket; a
+bucket with a busy owner is many files, sorted by owner and id.
 Changes are appended as rows of their own and the latest one wins on read.
 """
 
@@ -94,27 +94,26 @@ def from_verdicts(verdicts: DataFrame, source: Column) -> DataFrame:
 def append(incidents: DataFrame, path: str) -> None:
     """Append to the table.
 
-    The rebalance hint brings a bucket-day into few files and splits one that is
-    too large for a task, which a plain repartition by the same keys would not.
+    The rebalance hint brings a bucket into few files and splits one that is too
+    large for a task, which a plain repartition by the same key would not.
     """
     (
         with_defaults(incidents)
-        .withColumns({"owner_bucket": owner_bucket(F.col("user_id")),
-                      "day": F.to_date("created_at")})
-        .hint("rebalance", "owner_bucket", "day")
-        .sortWithinPartitions("owner_bucket", "day", "user_id", "id")
+        .withColumn("owner_bucket", owner_bucket(F.col("user_id")))
+        .hint("rebalance", "owner_bucket")
+        .sortWithinPartitions("owner_bucket", "user_id", "id")
         .write.mode("append")
-        .partitionBy("owner_bucket", "day")
+        .partitionBy("owner_bucket")
         .parquet(path)
     )
 
 
 def read(spark: SparkSession, path: str, user_id: int | None = None) -> DataFrame:
-    table = spark.read.schema(f"{COLUMNS}, owner_bucket int, day date").parquet(path)
+    table = spark.read.schema(f"{COLUMNS}, owner_bucket int").parquet(path)
     if user_id is not None:
         mine = owner_bucket(F.lit(user_id))
         table = table.filter((F.col("owner_bucket") == mine) & (F.col("user_id") == user_id))
-    return table.drop("owner_bucket", "day")
+    return table.drop("owner_bucket")
 
 
 def latest_state(incidents: DataFrame, changes: DataFrame) -> DataFrame:
@@ -216,12 +215,12 @@ def clear(spark: SparkSession, path: str, user_id: int, new_path: str) -> int:
     The old files stay until the caller switches over, so a failed job loses
     nothing. There is no shuffle: every task copies the rows it reads.
     """
-    table = spark.read.schema(f"{COLUMNS}, owner_bucket int, day date").parquet(path)
+    table = spark.read.schema(f"{COLUMNS}, owner_bucket int").parquet(path)
     gone = read(spark, path, user_id).count()
     (
         table.filter(F.col("user_id") != user_id)
         .write.mode("errorifexists")
-        .partitionBy("owner_bucket", "day")
+        .partitionBy("owner_bucket")
         .parquet(new_path)
     )
     return gone

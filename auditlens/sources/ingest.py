@@ -114,12 +114,22 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     wrapped event ({"audit_log": {...}}). A JSON document cannot be split, so one
     file is one task; members that are no objects are left out.
     """
-    documents = (
+    return expand_documents(
         spark.read.option("singleVariantColumn", "doc")
         .option("multiLine", True)
         .json(path)
         .select(F.col("_metadata.file_path").alias("file"), "doc")
     )
+
+
+def read_json_document_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same for files with one whole document per line, which Spark can split."""
+    lines = read_lines(spark, path).withColumn("doc", F.try_parse_json("value"))
+    return expand_documents(lines.filter(F.col("doc").isNotNull()).select("file", "doc"))
+
+
+def expand_documents(documents: DataFrame) -> DataFrame:
+    """Event objects of JSON documents (file, doc)."""
     kind = F.schema_of_variant("doc")
     records = F.try_variant_get("doc", "$.Records", "variant")
     has_records = F.coalesce(F.schema_of_variant(records).startswith("ARRAY"), F.lit(False))
