@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +11,15 @@ PROBABILITIES = [f"p{c}" for c in K.CLASS_IDS]
 
 
 def linear_logit(class_id: int) -> Column:
-    terms = [F.lit(K.SCORER_BIAS[class_id])] + [
-        F.lit(weights[class_id]) * F.col(feature) for feature, weights in K.SCORER_WEIGHTS.items()
+    """Bias plus weighted features, as one SQL expression.
+
+    Written as text because a score has some hundred nodes, and building them one
+    call at a time takes longer than running them on a small input.
+    """
+    terms = [f"{K.SCORER_BIAS[class_id]}D"] + [
+        f"({weights[class_id]}D * {feature})" for feature, weights in K.SCORER_WEIGHTS.items()
     ]
-    return reduce(lambda a, b: a + b, terms)
+    return F.expr(" + ".join(terms))
 
 
 def with_softmax(df: DataFrame, logits: list[str]) -> DataFrame:
@@ -27,12 +30,12 @@ def with_softmax(df: DataFrame, logits: list[str]) -> DataFrame:
     expressions below into the filter once per use, at every level, until the
     plan has millions of nodes.
     """
-    top = F.greatest(*[F.col(z) for z in logits])
-    exps = df.withColumns({f"_e{i}": F.exp(F.col(z) - top) for i, z in enumerate(logits)})
-    total = reduce(lambda a, b: a + b, [F.col(f"_e{i}") for i in range(len(logits))])
-    probs = F.struct(*[(F.col(f"_e{i}") / total).alias(p) for i, p in enumerate(PROBABILITIES)])
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in logits]
-    return exps.select(*kept, F.inline(F.array(probs)))
+    top = f"greatest({', '.join(logits)})"
+    exps = df.withColumns({f"_e{i}": F.expr(f"exp({z} - {top})") for i, z in enumerate(logits)})
+    total = " + ".join(f"_e{i}" for i in range(len(logits)))
+    probs = ", ".join(f"'{p}', _e{i} / ({total})" for i, p in enumerate(PROBABILITIES))
+    kept = [f"`{c}`" for c in df.columns if c not in logits]
+    return exps.selectExpr(*kept, f"inline(array(named_struct({probs})))")
 
 
 def with_verdict(df: DataFrame, threshold: float = K.CONFIDENCE_THRESHOLD) -> DataFrame:
@@ -41,19 +44,20 @@ def with_verdict(df: DataFrame, threshold: float = K.CONFIDENCE_THRESHOLD) -> Da
     The first of several equal maxima wins, the confidence is rounded to four
     places, and the gate looks at the rounded value.
     """
-    best = F.greatest(*[F.col(p) for p in PROBABILITIES])
-    predicted = reduce(
-        lambda rest, c: F.when(F.col(f"p{c}") == best, c).otherwise(rest),
-        reversed(K.CLASS_IDS[:-1]),
-        F.lit(K.CLASS_IDS[-1]),
+    best = f"greatest({', '.join(PROBABILITIES)})"
+    first = " ".join(f"WHEN p{c} = {best} THEN {c}" for c in K.CLASS_IDS[:-1])
+    picked = df.withColumns(
+        {
+            "predicted_class": F.expr(f"CASE {first} ELSE {K.CLASS_IDS[-1]} END"),
+            "confidence": F.expr(f"round({best}, 4)"),
+        }
     )
-    picked = df.withColumns({"predicted_class": predicted, "confidence": F.round(best, 4)})
-    gated = (F.col("confidence") >= threshold) & (F.col("predicted_class") != 0)
+    gated = f"confidence >= {threshold}D AND predicted_class <> 0"
     return picked.withColumns(
         {
-            **{p: F.round(F.col(p), 4) for p in PROBABILITIES},
-            "gated": gated,
-            "action_status": F.when(gated, "CONTAINED").otherwise("MONITORED"),
+            **{p: F.expr(f"round({p}, 4)") for p in PROBABILITIES},
+            "gated": F.expr(gated),
+            "action_status": F.expr(f"CASE WHEN {gated} THEN 'CONTAINED' ELSE 'MONITORED' END"),
         }
     )
 

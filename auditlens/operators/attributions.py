@@ -9,54 +9,39 @@ from auditlens import constants as K
 from auditlens.functions.text import class_label, describe_feature, severity, whole_percent
 
 
-def _pick(by_class: tuple[float, ...]) -> Column:
-    case = F.when(F.col("predicted_class") == 0, by_class[0])
-    for c in K.CLASS_IDS[1:]:
-        case = case.when(F.col("predicted_class") == c, by_class[c])
-    return case
-
-
-def ranked(values: dict[str, Column], k: int) -> Column:
+def ranked(values: dict[str, tuple[int, str]], k: int) -> Column:
     """The k largest values by size as structs; the later feature first among equals.
 
-    The ranking happens inside the row, so nothing is shuffled.
+    values maps a feature to its place in the vector and the SQL text of its
+    value. The ranking happens inside the row, so nothing is shuffled.
     """
-    entries = F.array(
-        *[
-            F.struct(
-                (-F.abs(v)).alias("key"),
-                F.lit(-i).alias("tie"),
-                v.alias("value"),
-                F.lit(feature).alias("feature"),
-            )
-            for i, (feature, v) in enumerate(values.items())
-        ]
-    )
-    return F.transform(
-        F.slice(F.array_sort(entries), 1, k),
-        lambda e: F.struct(
-            e["feature"].alias("feature"),
-            F.round(e["value"], 4).alias("shap_value"),
-            F.round(F.abs(e["value"]), 4).alias("contribution"),
-            F.when(e["value"] > 0, "increases_risk")
-            .otherwise("decreases_risk")
-            .alias("direction"),
-        ),
+    entries = ", ".join(
+        f"named_struct('key', -abs({v}), 'tie', -{i}, 'value', {v}, 'feature', '{f}')"
+        for f, (i, v) in values.items()
     )
+    return F.expr(f"""transform(slice(array_sort(array({entries})), 1, {k}), e -> named_struct(
+        'feature', e.feature,
+        'shap_value', round(e.value, 4),
+        'contribution', round(abs(e.value), 4),
+        'direction', CASE WHEN e.value > 0 THEN 'increases_risk' ELSE 'decreases_risk' END))""")
 
 
 def with_linear_attributions(verdicts: DataFrame, k: int = 5) -> DataFrame:
     """Adds `top`: exact Shapley values of the pinned linear scorer.
 
     For a linear score they are weight * (value - baseline). Filter to the rows
-    that need an explanation first.
+    that need an explanation first. A feature without a weight always has the
+    value 0, and of those only the last k can be among the first k.
     """
-    zero = (0.0,) * len(K.CLASS_IDS)
-    values = {
-        f: _pick(K.SCORER_WEIGHTS.get(f, zero))
-        * (F.col(f) - F.lit(K.SCORER_BASELINE.get(f, 0.0)))
-        for f in K.FEATURES
-    }
+    weightless = [f for f in K.FEATURES if f not in K.SCORER_WEIGHTS][-k:]
+    values = {}
+    for i, f in enumerate(K.FEATURES):
+        if f in K.SCORER_WEIGHTS:
+            pick = " ".join(f"WHEN {c} THEN {K.SCORER_WEIGHTS[f][c]}D" for c in K.CLASS_IDS)
+            baseline = K.SCORER_BASELINE[f]
+            values[f] = (i, f"(CASE predicted_class {pick} END * ({f} - {baseline}D))")
+        elif f in weightless:
+            values[f] = (i, "0.0D")
     return verdicts.withColumn("top", ranked(values, k))
 
 

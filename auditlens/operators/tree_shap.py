@@ -15,7 +15,6 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from auditlens.operators.attributions import ranked
 
@@ -136,5 +135,5 @@ def with_tree_attributions(
             )
 
     explained = rows.mapInPandas(explain, schema)
-    top = ranked({c: F.col(n) for c, n in zip(columns, names)}, k)
+    top = ranked({c: (i, n) for i, (c, n) in enumerate(zip(columns, names))}, k)
     return explained.withColumn("top", top).drop(*names)

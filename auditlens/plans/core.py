@@ -256,7 +256,7 @@ def capped_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top3_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = FR.verdicts(spark, sf_dir).select(
-        "event_id", F.posexplode(S.top_probabilities(3)).alias("pos", "t")
+        "event_id", F.posexplode_outer(S.top_probabilities(3)).alias("pos", "t")
     )
     return ranked.select(
         "event_id",
@@ -275,7 +275,9 @@ def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _explained(spark, sf_dir).select("event_id", F.posexplode("top").alias("pos", "t"))
+    # The outer form: for the plain one Spark adds a filter on the array's size,
+    # which works the attributions out once more.
+    rows = _explained(spark, sf_dir).select("event_id", F.posexplode_outer("top").alias("pos", "t"))
     return rows.select("event_id", (F.col("pos") + 1).cast("bigint").alias("place"), "t.*")
 
 

@@ -279,7 +279,7 @@ def tree_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     explained = TS.with_tree_attributions(
         gated.select("event_id", "predicted_class", *FEATURES), FEATURES, leaves, 5
     )
-    return explained.select("event_id", "predicted_class", F.posexplode("top").alias("pos", "t")) \
+    return explained.select("event_id", "predicted_class", F.posexplode_outer("top").alias("pos", "t")) \
         .select("event_id", "predicted_class", "pos", "t.*")
 
 
