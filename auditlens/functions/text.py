@@ -60,11 +60,11 @@ def one_decimal(value: Column) -> Column:
     """Text with one decimal, rounded on the exact binary value, halves up.
 
     value must be in [0, 1024) and a multiple of 2**-52 (any double >= 1 is);
-    scaling by 2**52 is then exact, and decimal arithmetic does the rounding.
+    scaling by 2**52 is then exact, and whole-number arithmetic does the rounding.
     """
     scaled = (value * F.lit(2.0**52)).cast("bigint").cast("decimal(20,0)")
-    tenths = F.floor((scaled * F.lit(20) + F.lit(2**52)) / F.lit(2**53)).cast("bigint")
-    whole = F.floor(tenths / 10).cast("string")
+    tenths = F.call_function("div", scaled * F.lit(20) + F.lit(2**52), F.lit(2**53))
+    whole = F.call_function("div", tenths, F.lit(10)).cast("string")
     return F.concat(whole, F.lit("."), (tenths % 10).cast("string"))
 
 
