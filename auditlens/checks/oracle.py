@@ -268,8 +268,10 @@ INCIDENT_COLUMNS = (
 
 def one_decimal(value: str) -> str:
     """Rounded on the exact binary value, halves up, in whole numbers."""
-    tenths = f"((CAST({value} * 4503599627370496.0::DOUBLE AS HUGEINT) * 20 + 4503599627370496)" \
-             " // 9007199254740992)"
+    tenths = (
+        f"((CAST({value} * 1152921504606846976.0::DOUBLE AS HUGEINT) * 20 + 1152921504606846976)"
+        " // 2305843009213693952)"
+    )
     return f"(CAST({tenths} // 10 AS VARCHAR) || '.' || CAST({tenths} % 10 AS VARCHAR))"
 
 

@@ -59,13 +59,19 @@ def whole_percent(share: Column) -> Column:
 def one_decimal(value: Column) -> Column:
     """Text with one decimal, rounded on the exact binary value, halves up.
 
-    value must be in [0, 1024) and a multiple of 2**-52 (any double >= 1 is);
-    scaling by 2**52 is then exact, and whole-number arithmetic does the rounding.
+    For values in [0, 1024). Scaled by a power of two a double is a whole number
+    (below 1/256, where it may not be, the text is 0.0 anyway), and whole-number
+    arithmetic does the rounding.
     """
-    scaled = (value * F.lit(2.0**52)).cast("bigint").cast("decimal(20,0)")
-    tenths = F.call_function("div", scaled * F.lit(20) + F.lit(2**52), F.lit(2**53))
-    whole = F.call_function("div", tenths, F.lit(10)).cast("string")
-    return F.concat(whole, F.lit("."), (tenths % 10).cast("string"))
+
+    def tenths(bits: int) -> Column:
+        scaled = (value * F.lit(2.0**bits)).cast("bigint").cast("decimal(20,0)")
+        half_up = scaled * F.lit(20) + F.lit(2**bits)
+        return F.call_function("div", half_up, F.lit(2 ** (bits + 1)))
+
+    n = F.when(value < 1, tenths(60)).otherwise(tenths(52))
+    whole = F.call_function("div", n, F.lit(10)).cast("string")
+    return F.concat(whole, F.lit("."), (n % 10).cast("string"))
 
 
 def one_decimal_percent(share: Column) -> Column:
