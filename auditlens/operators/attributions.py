@@ -58,7 +58,9 @@ def driver_phrases(n: int = 3) -> Column:
     """The first n attributions that raise the risk, described and joined."""
     raising = F.filter("top", lambda e: e["direction"] == "increases_risk")
     phrases = F.transform(F.slice(raising, 1, n), lambda e: describe_feature(e["feature"]))
-    return F.when(F.size(phrases) > 0, F.array_join(phrases, ", ")).otherwise(K.DEFAULT_DRIVERS)
+    # Through nullif, so that the phrases are worked out once.
+    joined = F.nullif(F.array_join(phrases, ", "), F.lit(""))
+    return F.coalesce(joined, F.lit(K.DEFAULT_DRIVERS))
 
 
 def summary_text(contained_in: Column | None = None) -> Column:

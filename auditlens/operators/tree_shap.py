@@ -9,7 +9,6 @@ Shapley values of a leaf are worked out once per pattern and looked up per row.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 from math import factorial
 
 import numpy as np
@@ -18,7 +17,8 @@ from pyspark.sql import DataFrame
 
 from auditlens.operators.attributions import ranked
 
-MAX_DEPTH = 10
+MAX_DEPTH = 8
+MAX_TABLE_BYTES = 256 * 1024 * 1024
 
 
 # A leaf is (features, low, high, table): the features of its path, the interval
@@ -28,20 +28,23 @@ Leaf = tuple[list[int], np.ndarray, np.ndarray, np.ndarray]
 
 
 def _shapley(share: np.ndarray) -> np.ndarray:
-    """pattern x feature: the Shapley values of a product of m conditions."""
+    """pattern x feature: the Shapley values of a product of m conditions.
+
+    The sums over all subsets of one size are the coefficients of a polynomial
+    with one factor (share + met * t) per other feature.
+    """
     m = len(share)
+    met = (np.arange(2**m)[:, None] >> np.arange(m)) & 1
+    weights = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
     out = np.zeros((2**m, m))
-    for pattern in range(2**m):
-        met = np.array([(pattern >> j) & 1 for j in range(m)], dtype=float)
-        for i in range(m):
-            rest = [j for j in range(m) if j != i]
-            total = 0.0
-            for size in range(m):
-                weight = factorial(size) * factorial(m - size - 1) / factorial(m)
-                for known in combinations(rest, size):
-                    unknown = [j for j in rest if j not in known]
-                    total += weight * met[list(known)].prod() * share[unknown].prod()
-            out[pattern, i] = total * (met[i] - share[i])
+    for i in range(m):
+        sums = np.zeros((2**m, m))
+        sums[:, 0] = 1.0
+        for j in (j for j in range(m) if j != i):
+            grown = sums * share[j]
+            grown[:, 1:] += sums[:, :-1] * met[:, j : j + 1]
+            sums = grown
+        out[:, i] = (sums @ weights) * (met[:, i] - share[i])
     return out
 
 
@@ -81,9 +84,18 @@ def forest_leaves(model) -> tuple[list[Leaf], np.ndarray]:
     return _collect(model, _class_shares, [1.0 / model.getNumTrees] * model.getNumTrees)
 
 
-def boosted_leaves(model) -> tuple[list[Leaf], np.ndarray]:
-    """Leaves of a binary boosted model in margin units."""
-    return _collect(model, lambda node: float(node.prediction()), list(model.treeWeights))
+def one_vs_rest_leaves(models: dict[int, object], classes: int) -> tuple[list[Leaf], np.ndarray]:
+    """Leaves of one binary boosted model per class, each in its class's margin."""
+    leaves: list[Leaf] = []
+    base = np.zeros(classes)
+    for c, model in models.items():
+        unit = np.eye(classes)[c]
+        part, offset = _collect(
+            model, lambda node, u=unit: float(node.prediction()) * u, list(model.treeWeights)
+        )
+        leaves += part
+        base += offset
+    return leaves, base
 
 
 def _collect(model, value, weights) -> tuple[list[Leaf], np.ndarray]:
@@ -114,8 +126,12 @@ def with_tree_attributions(
 
     rows holds the scaled features and must already be filtered to what needs an
     explanation; Spark cannot push a filter through the Arrow stage. The leaf
-    table is bounded by the number and depth of the trees, not by the data.
+    table grows with the trees, not with the data, and its size is checked
+    before it is broadcast.
     """
+    size = sum(leaf[3].nbytes for leaf in leaves)
+    if size > MAX_TABLE_BYTES:
+        raise ValueError(f"leaf tables of {size >> 20} MB are too large to broadcast")
     shared = rows.sparkSession.sparkContext.broadcast(leaves)
     names = [f"_phi{i}" for i in range(len(columns))]
     kept = [f for f in rows.schema.fields if f.name not in columns]

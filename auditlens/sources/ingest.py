@@ -57,15 +57,20 @@ def with_event_columns(df: DataFrame, v: str, ingest_time: str | None = None) ->
     """
     event = F.col(v)
     resources = F.try_variant_get(event, "$.accessed_resources", "variant")
-    texts = {f: _variant_text(event, f"$.{f}") for f in TEXT_FIELDS}
+    texts = {f: F.try_variant_get(event, f"$.{f}", "string") for f in TEXT_FIELDS}
+    mfa = "$.userIdentity.mfaAuthenticated"
     identity = F.struct(
-        *[_variant_text(event, f"$.userIdentity.{f}").alias(f) for f in IDENTITY_FIELDS]
+        *[
+            F.try_variant_get(event, f"$.userIdentity.{f}", "string").alias(f)
+            for f in IDENTITY_FIELDS[:-1]
+        ],
+        _variant_text(event, mfa).alias("mfaAuthenticated"),
     )
     numbers = {f: _variant_number(event, f) for f in K.PASS_THROUGH_DEFAULTS}
     bad_numbers = F.filter(
         F.array(
             *[
-                F.when(_is_present(event, f"$.{f}") & number.isNull(), F.lit(f))
+                F.when(number.isNull() & _is_present(event, f"$.{f}"), F.lit(f))
                 for f, number in numbers.items()
             ]
         ),

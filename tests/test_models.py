@@ -108,6 +108,28 @@ def test_tree_attributions_against_all_subsets(spark):
     assert base == pytest.approx(value[()])
 
 
+def test_boosted_attributions_add_up_to_the_margin(spark):
+    df = spark.range(300).select(
+        F.rand(1).alias("a"), F.rand(2).alias("b"), F.lit(1.0).alias("weight")
+    ).withColumn("label", F.expr("int(a > 0.5) + int(b > 0.6)")).cache()
+    model = MO.fit_boosted(df, ["a", "b"], rounds=3, depth=3)
+    leaves, base = TS.one_vs_rest_leaves(model.models, 5)
+    x = np.array(df.select("a", "b").limit(20).collect())
+    phi = TS.attribute(leaves, x, 5)
+    for c, binary in model.models.items():
+        margin = [
+            sum(w * t.predict(_dense(r)) for t, w in zip(binary.trees, binary.treeWeights))
+            for r in x
+        ]
+        assert phi[:, :, c].sum(axis=1) + base[c] == pytest.approx(margin)
+
+
+def _dense(row):
+    from pyspark.ml.linalg import Vectors
+
+    return Vectors.dense(row)
+
+
 def test_linear_attributions_add_up(spark, sf_dir):
     from auditlens.plans import frames
 
