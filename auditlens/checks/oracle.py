@@ -236,9 +236,9 @@ def _phi() -> str:
     return "[" + ", ".join(items) + "]"
 
 
-def attributions(where: str) -> str:
-    return f"""{VD},
-att0 AS (SELECT event_id, unnest({_phi()}) AS t FROM vd {where}),
+def attributions(where: str, prefix: str = VD, src: str = "vd") -> str:
+    return f"""{prefix},
+att0 AS (SELECT event_id, unnest({_phi()}) AS t FROM {src} {where}),
 att AS (SELECT event_id, t.f AS feature, t.v AS v,
   row_number() OVER (PARTITION BY event_id ORDER BY abs(t.v) DESC, t.i DESC) AS place FROM att0
   QUALIFY place <= 5),
@@ -249,6 +249,15 @@ dr AS (SELECT event_id, string_agg(phrase, ', ' ORDER BY nth) AS drivers FROM dr
   GROUP BY event_id)"""
 
 
+_PERCENT = "CAST(CAST(round_even(confidence * 100, 0) AS BIGINT) AS VARCHAR) || '%"
+SUMMARY = f"""CASE WHEN predicted_class = 0 THEN 'INFO: Activity classified as ' || {LABEL} ||
+    ' with ' || {_PERCENT} confidence. No malicious privilege escalation indicators detected.' ||
+    ' No action required.'
+  ELSE {_case('predicted_class', K.SEVERITIES)} || ' ALERT: ' || {LABEL} || ' detected with ' ||
+    {_PERCENT} confidence. Top drivers: ' || coalesce(drivers, '{K.DEFAULT_DRIVERS}') || '.' || {{}}
+  END"""
+_ACTION = "CASE WHEN gated THEN ' Action Taken: IAM tokens revoked in 0.25s.' ELSE '' END"
+
 # --- incidents ------------------------------------------------------------------
 
 INCIDENTS = f"""{VD},
@@ -458,11 +467,17 @@ UNION ALL SELECT event_id, principal, predicted_class, 2, 'micro_segment_host',
   'tcp 443-443 10.0.0.0/8', 'Host isolated into deny-all quarantine security group.'
   FROM vd WHERE gated"""),
     "triage_summary": on(TRIAGE, """SELECT count(*) AS total_received, count(*) AS analyzed,
+  0 AS truncated,
   count(*) FILTER (WHERE error IS NULL AND predicted_class <> 0) AS threats_detected,
+  least(count(*) FILTER (WHERE error IS NULL AND predicted_class <> 0), 50) AS incidents_recorded,
   count(*) FILTER (WHERE error IS NULL AND predicted_class = 0) AS benign,
   count(*) FILTER (WHERE error IS NULL AND gated) AS auto_contained,
   count(*) FILTER (WHERE error IS NOT NULL) AS errors,
   round(sum(confidence) FILTER (WHERE error IS NULL) / count(*), 4) AS avg_confidence FROM tr"""),
+    "upload_summaries": on(TRIAGE, """SELECT upload, count(*) AS analyzed,
+  count(*) FILTER (WHERE error IS NULL AND predicted_class <> 0) AS threats_detected,
+  least(count(*) FILTER (WHERE error IS NULL AND predicted_class <> 0), 50) AS incidents_recorded
+  FROM tr GROUP BY upload"""),
     "class_distribution": on(TRIAGE, "SELECT d.class_id, d.class_label, count(tr.event_id) AS n,"
         " round(count(tr.event_id) / (SELECT count(*) FROM tr) * 100, 6) AS share FROM (VALUES "
         + ", ".join(f"({c}, {_quote(v)})" for c, v in K.CLASS_LABELS.items())
@@ -485,15 +500,8 @@ u AS (SELECT event_id, unnest([{'c': 0, 'p': p0}, {'c': 1, 'p': p1}, {'c': 2, 'p
   CASE WHEN v > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS direction FROM att"""),
     "risk_drivers": on(attributions("WHERE gated"), "SELECT event_id, coalesce(drivers,"
         f" '{K.DEFAULT_DRIVERS}') AS drivers FROM vd LEFT JOIN dr USING (event_id) WHERE gated"),
-    "incident_summaries": on(attributions(""), f"""SELECT event_id,
-  CASE WHEN predicted_class = 0 THEN 'INFO: Activity classified as ' || {LABEL} || ' with ' ||
-    CAST(CAST(round_even(confidence * 100, 0) AS BIGINT) AS VARCHAR) || '% confidence. No malicious'
-    || ' privilege escalation indicators detected. No action required.'
-  ELSE {_case('predicted_class', K.SEVERITIES)} || ' ALERT: ' || {LABEL} || ' detected with ' ||
-    CAST(CAST(round_even(confidence * 100, 0) AS BIGINT) AS VARCHAR) ||
-    '% confidence. Top drivers: ' || coalesce(drivers, '{K.DEFAULT_DRIVERS}') || '.' ||
-    CASE WHEN gated THEN ' Action Taken: IAM tokens revoked in 0.25s.' ELSE '' END
-  END AS summary FROM vd LEFT JOIN dr USING (event_id)"""),
+    "incident_summaries": on(attributions(""), f"SELECT event_id, {SUMMARY.format(_ACTION)}"
+        " AS summary FROM vd LEFT JOIN dr USING (event_id)"),
     "incident_list": on(INCIDENTS, f"SELECT {INCIDENT_COLUMNS} FROM inc"
         " QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id DESC) <= 20"),
     "incident_point": on(INCIDENTS, f"SELECT {INCIDENT_COLUMNS} FROM inc"
@@ -562,9 +570,13 @@ pl AS (SELECT * FROM dc WHERE event_time >= (SELECT max(ts) FROM events) - INTER
     "campaign_steps": on(CAMPAIGN, f"""SELECT campaign_id, step, name, technique_id, seed_class,
   event_name, event_source, {PRINCIPAL} AS principal, user_name, coalesce(mfa, '') AS mfa,
   source_ip, recipient_account_id AS recipient FROM se"""),
-    "campaign_timeline": on(f"{CAMPAIGN},\n{features('se', 'sf')},{scores('sf', 'sv')}",
+    "campaign_timeline": on(
+        attributions("", f"""{CAMPAIGN},
+{features('se', 'sf')},{scores('sf', 'sv')},
+sw AS (SELECT * REPLACE (campaign_id || ':' || step AS event_id) FROM sv)""", "sw"),
         f"SELECT campaign_id, step, event_name, predicted_class, {LABEL} AS class_label,"
-        " confidence, action_status, step_source FROM sv"),
+        f" confidence, action_status, step_source, {SUMMARY.format(_quote(''))} AS summary"
+        " FROM sw LEFT JOIN dr USING (event_id)"),
     "campaign_rollup": on(REPLAY, """SELECT campaign_id, count(*) AS steps_total,
   count(*) FILTER (WHERE predicted_class <> 0) AS threats_detected,
   count(*) FILTER (WHERE gated) AS auto_contained,

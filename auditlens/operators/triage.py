@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlens import constants as K
@@ -10,23 +10,34 @@ from auditlens.functions.scoring import probability_map
 from auditlens.functions.text import one_decimal_percent
 
 
-def summary(rows: DataFrame, received: Column | None = None) -> DataFrame:
-    """One row of totals over verdict and error rows.
+def summary(
+    rows: DataFrame, max_rows: int | None = None, incident_cap: int = K.INCIDENTS_PER_UPLOAD
+) -> DataFrame:
+    """One row of totals over the verdict and error rows of one upload.
 
     A row whose `error` is not null counts as analysed but has no verdict; the
-    mean confidence is taken over all analysed rows.
+    mean confidence is taken over all analysed rows. With max_rows only rows up
+    to that position are analysed.
     """
-    ok = F.col("error").isNull()
-    analyzed = F.count("*")
+    inside = F.lit(True) if max_rows is None else F.col("row") <= max_rows
+    ok = F.col("error").isNull() & inside
+    analyzed = F.count_if(inside)
+    threats = F.count_if(ok & (F.col("predicted_class") != 0))
     return rows.agg(
-        (received if received is not None else analyzed).alias("total_received"),
+        F.count("*").alias("total_received"),
         analyzed.alias("analyzed"),
-        F.count_if(ok & (F.col("predicted_class") != 0)).alias("threats_detected"),
+        (F.count("*") > analyzed).cast("int").alias("truncated"),
+        threats.alias("threats_detected"),
+        F.least(threats, F.lit(incident_cap)).cast("bigint").alias("incidents_recorded"),
         F.count_if(ok & (F.col("predicted_class") == 0)).alias("benign"),
         F.count_if(ok & F.col("gated")).alias("auto_contained"),
-        F.count_if(~ok).alias("errors"),
+        F.count_if(inside & F.col("error").isNotNull()).alias("errors"),
         F.round(
-            F.coalesce(F.sum(F.when(ok, F.col("confidence"))), F.lit(0.0)) / analyzed, 4
+            F.when(
+                analyzed > 0,
+                F.coalesce(F.sum(F.when(ok, F.col("confidence"))), F.lit(0.0)) / analyzed,
+            ).otherwise(0.0),
+            4,
         ).alias("avg_confidence"),
     )
 

@@ -226,6 +226,16 @@ def triage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TR.summary(FR.triage_rows(spark, sf_dir))
 
 
+def upload_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threats found and stored per daily upload."""
+    threats = F.count_if(F.col("error").isNull() & (F.col("predicted_class") != 0))
+    return FR.triage_rows(spark, sf_dir).groupBy("upload").agg(
+        F.count("*").alias("analyzed"),
+        threats.alias("threats_detected"),
+        F.least(threats, F.lit(K.INCIDENTS_PER_UPLOAD)).cast("bigint").alias("incidents_recorded"),
+    )
+
+
 def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TR.class_distribution(FR.triage_rows(spark, sf_dir)).select(
         "class_id", "class_label", "n", F.round("share", 6).alias("share")
@@ -546,9 +556,11 @@ def campaign_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def campaign_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _campaign_verdicts(spark, sf_dir).select(
+    explained = AT.with_linear_attributions(_campaign_verdicts(spark, sf_dir))
+    return explained.select(
         "campaign_id", "step", F.col("eventName").alias("event_name"), "predicted_class",
         "class_label", "confidence", "action_status", "step_source",
+        AT.summary_text().alias("summary"),
     )
 
 
@@ -579,7 +591,7 @@ QUERIES = {
         resource_entropy_list, principal_extract, arn_strip, label_coerce, class_lookup,
         severity_lookup, linear_scores, threats, auto_contained, rolling_cap, gate_decisions,
         protected_names, manual_gate, confirm_recheck, action_status, live_labels,
-        containment_plan, triage_summary, class_distribution, triage_rows, triage_errors,
+        containment_plan, triage_summary, upload_summaries, class_distribution, triage_rows, triage_errors,
         capped_threats, top3_probabilities, top_attributions, risk_drivers, incident_summaries,
         incident_list, incident_point, incident_latest_state, incident_cards,
         incident_distribution, incident_report, rescored_incidents, class_availability,

@@ -221,3 +221,34 @@ def test_incident_defaults_changes_and_clear(spark):
     assert ST.newest(stored, 0).count() == 3
     assert ST.clear(spark, path, 1, after) == 10
     assert ST.read(spark, after, 1).isEmpty() and ST.read(spark, after).count() == 20
+
+
+def test_triage_summary_counts_errors_and_truncates(spark):
+    from auditlens.operators import triage as TR
+
+    rows = spark.createDataFrame(
+        [(1, None, 0, 0.9, False), (2, "bad", 3, 0.9, True), (3, None, 2, 0.8, True),
+         (4, None, 1, 0.5, False), (5, None, 4, 1.0, True)],
+        "row int, error string, predicted_class int, confidence double, gated boolean",
+    )
+    got = TR.summary(rows, max_rows=4).first().asDict()
+    assert got == {
+        "total_received": 5, "analyzed": 4, "truncated": 1, "threats_detected": 2,
+        "incidents_recorded": 2, "benign": 1, "auto_contained": 1, "errors": 1,
+        "avg_confidence": 0.55,
+    }
+    empty = TR.summary(rows.filter("row > 9")).first()
+    assert (empty.analyzed, empty.avg_confidence, empty.truncated) == (0, 0.0, 0)
+
+
+def test_capped_threats_keep_the_first_in_order(spark):
+    from auditlens.operators import triage as TR
+
+    rows = spark.range(300).select(
+        F.col("id").alias("row"), (F.col("id") % 2).alias("upload"),
+        F.lit(None).cast("string").alias("error"), (F.col("id") % 3).cast("int").alias("predicted_class"),
+    )
+    got = TR.capped_threats(rows, "upload", cap=10).collect()
+    for upload in (0, 1):
+        want = [i for i in range(300) if i % 2 == upload and i % 3][:10]
+        assert sorted(r.row for r in got if r.upload == upload) == want
