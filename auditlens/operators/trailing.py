@@ -26,10 +26,14 @@ def with_trailing_count(
     which is all that its trailing windows can reach.
     """
     per_time = rows.groupBy(key, time_us).agg(F.sum(counted.cast("bigint")).alias("_n"))
+    start_of_slice = F.col(time_us) - F.pmod(F.col(time_us), F.lit(window_us))
     slices = per_time.withColumn(
         "_ahead",
         F.explode(F.when(F.col("_n") > 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))),
-    ).withColumn("_slice", F.floor(F.col(time_us) / window_us) + F.col("_ahead"))
+    ).withColumn(
+        "_slice",
+        F.call_function("div", start_of_slice, F.lit(window_us)) + F.col("_ahead"),
+    )
     window = (
         Window.partitionBy(key, "_slice")
         .orderBy(time_us)
