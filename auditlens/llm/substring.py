@@ -99,7 +99,8 @@ class Stretches:
         self.rolling = Rolling(hashes, BASES[0])
         self.second = Rolling(mixed(hashes), BASES[1])
         self.owner = np.zeros(0, np.int64)
-        self.first = self.count = self.gram = self.owner
+        self.first = self.count = self.owner
+        self.gram = np.zeros(0, np.uint64)
         if len(words) < WINDOW:
             return
         grams = self.rolling(np.arange(len(words) - GRAM + 1), GRAM)
@@ -324,7 +325,6 @@ def covered(n_words: int, covers: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)[:n_words] > 0
 
 
-@F.pandas_udf("text string, n_words long, n_removed long")
 def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, cuts in batches:
         out = []
@@ -354,6 +354,7 @@ def without_repeats(docs: DataFrame, written: Callable, text: str = "text") -> D
     )
     texts = keyed.select("_k1", "_k2", F.col(text).alias("text"))
     repeated = spark.sparkContext.broadcast(sketch(texts))
+    cut = F.pandas_udf("text string, n_words long, n_removed long")(_cut).asNondeterministic()
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _occurrences(repeated.value)(frames)
@@ -362,7 +363,7 @@ def without_repeats(docs: DataFrame, written: Callable, text: str = "text") -> D
     cuts = covers(occurrences, written(repeated_windows(occurrences)))
     return (
         keyed.join(cuts, ["_k1", "_k2"], "left")
-        .withColumn("kept", _cut.asNondeterministic()(F.col(text), F.col("covers")))
+        .withColumn("kept", cut(F.col(text), F.col("covers")))
         .drop("_k1", "_k2", "covers")
     )
 
