@@ -58,6 +58,7 @@ def triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     slot = _slots()[points]
     owner = np.repeat(np.arange(len(texts) + 1), [1, *(len(t) + 1 for t in lowered)]) - 1
     keep = slot > 0
+    keep[0] = True
     keep[1:] |= slot[:-1] > 0
     slot, owner = slot[keep], owner[keep]
     middle = np.flatnonzero(slot[1:-1]) + 1 if len(slot) > 2 else np.zeros(0, np.int64)
