@@ -53,8 +53,8 @@ def _array(values: list) -> Column:
     return F.array(*(F.lit(int(v)) for v in values)).cast("array<bigint>")
 
 
-def _moves(groups: DataFrame, free: list[int], everywhere: bool, shards: int) -> DataFrame:
-    """(g1, g2, n_from, n_to, from, to, n): where the documents of each group in a shard
+def _moves(groups: DataFrame, free: list[int], everywhere: bool) -> DataFrame:
+    """(g1, g2, from, to, n, class): where the documents of each group in a shard
     would go: to the shard with most of the group, and on a tie to the first by a hash.
 
     everywhere: to any shard; else only to shards with room.
@@ -85,36 +85,69 @@ def _moves(groups: DataFrame, free: list[int], everywhere: bool, shards: int) ->
 
 
 def _quotas(wanted: dict, free: list[int], shards: int) -> list[list[int]]:
-    """How many documents may go from each shard to each: swaps, then shares of free room."""
+    """How many documents may go from each shard to each.
+
+    First exchanges, which need no room: along the cycles of the wanted moves, short ones
+    first. Then the free room of each shard, shared by what is still wanted.
+    """
     want = [[wanted.get((a, b), 0) for b in range(shards)] for a in range(shards)]
-    out = [[min(want[a][b], want[b][a]) for b in range(shards)] for a in range(shards)]
+    out = [[0] * shards for _ in range(shards)]
+    while cycle := _cycle(want):
+        steps = list(zip(cycle, cycle[1:] + cycle[:1], strict=True))
+        amount = min(want[a][b] for a, b in steps)
+        for a, b in steps:
+            want[a][b] -= amount
+            out[a][b] += amount
     for b in range(shards):
-        rest = [want[a][b] - out[a][b] for a in range(shards)]
+        rest = [want[a][b] for a in range(shards)]
+        left = min(free[b], sum(rest))
+        share = [left * n // max(sum(rest), 1) for n in rest]
+        left -= sum(share)
         for a in range(shards):
-            if rest[a]:
-                out[a][b] += min(rest[a], rest[a] * free[b] // max(sum(rest), 1))
+            more = min(left, rest[a] - share[a])
+            out[a][b] += share[a] + more
+            left -= more
     return out
 
 
+def _cycle(want: list[list[int]]) -> list[int] | None:
+    """A shortest cycle of wanted moves between shards."""
+    shards, best = len(want), None
+    for start in range(shards):
+        paths = [[start]]
+        while paths and best is None or paths and len(paths[0]) < len(best or ()):
+            longer, seen = [], {p[-1] for p in paths}
+            for path in paths:
+                if want[path[-1]][start] and (best is None or len(path) < len(best)):
+                    best = path
+                for b in range(shards):
+                    if want[path[-1]][b] and b not in path and b not in seen:
+                        seen.add(b)
+                        longer.append([*path, b])
+            paths = longer
+    return best
+
+
 def _propagated(groups: DataFrame, quota: list[int], slices: int, rounds: int) -> DataFrame:
     """The groups' counts by shard after the moves."""
     shards = len(quota)
-    still = 0
-    for turn in range(rounds):
+    everywhere = False
+    for _ in range(rounds):
         loads = groups.agg(*(F.sum(F.col("counts")[s]) for s in range(shards))).first()
         free = [q - (n or 0) for q, n in zip(quota, loads, strict=True)]
-        moves = _moves(groups, free, turn % 2 == 1, shards).checkpoint()
+        everywhere = everywhere or max(free) <= 0
+        moves = _moves(groups, free, everywhere).checkpoint()
         wanted = {
             (r["from"], r["to"]): r["n"]
             for r in moves.groupBy("from", "to").agg(F.sum("n").alias("n")).collect()
         }
         allowed = _quotas(wanted, free, shards)
         if not any(map(any, allowed)):
-            still += 1
-            if still == 2:
+            if everywhere:
                 break
+            everywhere = True  # nothing fits: exchanges with full shards are tried
             continue
-        still = 0
+        everywhere = False
         limit = _array([n for row in allowed for n in row])
         limit = F.element_at(limit, (F.col("from") * shards + F.col("to") + 1).cast("int"))
         taken = F.greatest(F.least("n", limit - F.col("before")), F.lit(0))
