@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by a table of distinct chunks.
 
 Where no piece of a vocabulary crosses into a whitespace marker, a text falls into marked
-words (a run of markers and the word after it) that are segmented independently. Each
-distinct marked word is given to the library once a task; every text is then a join of its
-chunks, by position, with that table. The table is kept in the task: joining every word
-occurrence with one table of the whole corpus would shuffle several times the input.
+words (a run of markers and the word after it) that are segmented independently; where none
+holds a line feed, a line's first word is a chunk too. Each distinct chunk is given to the
+library once a task; every text is then a join of its chunks, by position, with that table.
+The table is kept in the task: joining every word occurrence with one table of the whole
+corpus would shuffle several times the input.
 """
 
 from __future__ import annotations
@@ -28,22 +29,31 @@ def read_model(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
-def chunks(text: str) -> list[str]:
+def chunks(text: str, lines: bool = True) -> list[str]:
     """The text's marked words, each without its first marker and with the others as spaces.
 
-    Where the text ends in markers, the last chunk has no word; one marker alone is "".
+    A run of markers with no word after it is a chunk of its own; one marker alone is "".
+    lines: whether a line feed begins a chunk too; such a chunk has no marker.
     """
-    parts = text.replace(MARK, " ").split(" ")
+    if not text:
+        return []
+    text = text.replace(MARK, " ")
+    parts = (text.replace("\n", " \n") if lines else text).split(" ")
     if "" not in parts:
         return parts
     found, empty = [], 0
     for part in parts:
-        if part:
+        if not part:
+            empty += 1
+            continue
+        if not (lines and part[0] == "\n"):
             found.append(" " * empty + part)
-            empty = 0
+        elif empty:
+            found += [" " * (empty - 1), part]
         else:
-            empty += 1
-    return found + [" " * (empty - 1)] * bool(empty) if text else []
+            found.append(part)
+        empty = 0
+    return found + [" " * (empty - 1)] * bool(empty)
 
 
 class ChunkTable:
@@ -63,6 +73,13 @@ class ChunkTable:
         self.end = np.array([self.library.eos_id()], "<u4").tobytes()
         self.lone = np.array([self.library.piece_to_id(MARK)], "<u4").tobytes()
         self.bytes_of = [self._bytes(i, p) for i, p in enumerate(pieces)]
+        line_feed = self.library.encode("\n")
+        self.lines = (
+            len(line_feed) == 2
+            and line_feed[0] == self.library.piece_to_id(MARK)
+            and self.library.is_byte(line_feed[1])
+            and not any("\n" in p for p in pieces)
+        )
         self.plain = {i for i in range(size) if self.library.is_unknown(i)}
 
     def _bytes(self, i: int, piece: str) -> bytes:
@@ -72,26 +89,26 @@ class ChunkTable:
             return bytes([int(piece[3:-1], 16)])
         return piece.replace(MARK, " ").encode()
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.ids) + len(missing) > self.most:
+    def _learn(self, words: list[str]) -> None:
+        distinct = set(words)
+        new = [w for w in distinct if w not in self.ids]
+        if len(self.ids) + len(new) > self.most:
             self.ids.clear()
-        new = list(missing)
-        for chunk, ids in zip(new, self.library.encode(new), strict=True):
-            self.ids[chunk] = np.array(ids, "<u4").tobytes() if chunk else self.lone
+            new = list(distinct)
+        for chunk, ids in zip(new, self.library.encode(new, num_threads=1), strict=True):
+            marked = not (self.lines and chunk[:1] == "\n")
+            packed = np.array(ids if marked else ids[1:], "<u4").tobytes()
+            self.ids[chunk] = packed if chunk else self.lone
 
     def encode(self, text: str) -> bytes:
         """All ids as little-endian unsigned 32-bit integers, begin and end included."""
         if not self.independent:
             return self.begin + np.array(self.library.encode(text), "<u4").tobytes() + self.end
-        words = chunks(text)
+        words = chunks(text, self.lines)
         try:
             found = b"".join(map(self.ids.__getitem__, words))
         except KeyError:
-            distinct = set(words)
-            missing = distinct - self.ids.keys()
-            if len(self.ids) + len(missing) > self.most:
-                missing = distinct  # the table will be emptied
-            self._learn(missing)
+            self._learn(words)
             found = b"".join(map(self.ids.__getitem__, words))
         return self.begin + found + self.end
 
