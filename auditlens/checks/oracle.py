@@ -188,17 +188,44 @@ WALL = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
 def on(prefix: str, body: str) -> str:
-    return f"WITH {prefix}\n{body}"
+    return f"WITH RECURSIVE {prefix}\n{body}"
 
 
 # --- decisions ------------------------------------------------------------------
 
 _PROTECTED = _in(protected_names())
-DECISIONS = f"""{VD},
-rm AS (SELECT *, CAST(coalesce(sum(CASE WHEN gated THEN 1 ELSE 0 END) OVER (
-    PARTITION BY tenant ORDER BY time_us
-    RANGE BETWEEN 600000000 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS recent_containments
-  FROM vd),
+def admitted(confirmed: str, dst: str = "ad") -> str:
+    """CTEs that decide the rows of `confirmed` one after the other, tenant by tenant."""
+    left = "list_filter(a.taken, lambda x: x >= c.time_us - 600000000)"
+    return f"""
+cf AS MATERIALIZED (SELECT tenant, event_id, time_us, row_number() OVER (
+    PARTITION BY tenant ORDER BY time_us, event_id) AS rn FROM {confirmed}),
+{dst}(tenant, event_id, time_us, rn, taken, admitted, room) AS (
+  SELECT tenant, event_id, time_us, rn, [time_us], true, 5 FROM cf WHERE rn = 1
+  UNION ALL
+  SELECT c.tenant, c.event_id, c.time_us, c.rn,
+    CASE WHEN len({left}) < 5 THEN list_append({left}, c.time_us) ELSE {left} END,
+    len({left}) < 5, 5 - len({left})
+  FROM {dst} AS a JOIN cf AS c ON c.tenant = a.tenant AND c.rn = a.rn + 1)"""
+
+
+CONFIRMED = f"""{VD},
+cd AS (SELECT * FROM vd WHERE gated AND lower({strip('principal')}) NOT IN {_PROTECTED}
+  AND user_agent IN ('Mozilla/5.0', '')),
+{admitted('cd')},
+ct AS MATERIALIZED (SELECT tenant, event_id, time_us FROM ad WHERE admitted)"""
+
+
+def recent(src: str, at: str, current: str = "<") -> str:
+    """How many containments the window before `at` holds."""
+    return (
+        f"(SELECT count(*) FROM ct WHERE ct.tenant = {src}.tenant"
+        f" AND ct.time_us >= {at} - 600000000 AND ct.time_us {current} {at})"
+    )
+
+
+DECISIONS = f"""{CONFIRMED},
+rm AS (SELECT *, {recent('vd', 'vd.time_us')} AS recent_containments FROM vd),
 dc AS (SELECT *, greatest(0, 5 - recent_containments) AS room,
   CASE WHEN NOT gated THEN 'monitor'
        WHEN lower({strip('principal')}) IN {_PROTECTED} THEN 'blocked'
@@ -265,7 +292,7 @@ inc AS (SELECT event_id AS id, user_id, event_time AS created_at,
   CASE user_agent WHEN 'aws-cli/2.13.0' THEN 'live' WHEN 'Boto3/1.34.0 Python/3.11' THEN 'upload'
     WHEN '' THEN 'scenario' ELSE 'live-aws' END AS source,
   event_name, principal, source_ip, predicted_class, {LABEL} AS class_label, confidence,
-  action_status,
+  action_status, event_source, account_id, resources, api_burst_rate,
   CASE WHEN gated THEN '{{"kind":"iam_user","username":"' || {strip('principal')} || '"}}' END
     AS rollback
   FROM vd)"""
@@ -429,11 +456,13 @@ p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c)""",
                       " WHERE predicted_class <> 0"),
     "auto_contained": on(VD, "SELECT event_id, predicted_class, confidence, action_status"
                              " FROM vd WHERE gated"),
-    "rolling_cap": on(VD + """,
-r AS (SELECT event_id, tenant, count(*) OVER (PARTITION BY tenant ORDER BY time_us
-  RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS recent_containments FROM vd WHERE gated)""",
+    "rolling_cap": on(CONFIRMED + f""",
+r AS (SELECT event_id, tenant, {recent('o', 'o.time_us', '<=')} AS recent_containments
+  FROM ct AS o)""",
         "SELECT event_id, tenant, recent_containments, greatest(0, 5 - recent_containments)"
         " AS room FROM r"),
+    "containment_admission": on(CONFIRMED, "SELECT event_id, tenant, CAST(admitted AS INT)"
+                                           " AS admitted, room FROM ad"),
     "gate_decisions": on(DECISIONS, "SELECT event_id, status, protected, blast_capped,"
                                     " recent_containments, room, reason FROM dc"),
     "protected_names": on(EV, "SELECT t.name, count(e.event_id) AS events FROM (VALUES "
@@ -441,22 +470,24 @@ r AS (SELECT event_id, tenant, count(*) OVER (PARTITION BY tenant ORDER BY time_
                           + f") t(name) LEFT JOIN (SELECT event_id, lower({strip(PRINCIPAL)})"
                             " AS name FROM ev) e ON t.name = e.name GROUP BY t.name"),
     "manual_gate": on(VD, "SELECT event_id, CASE WHEN gated THEN 1 ELSE 0 END AS"
-                          " containment_triggered, CASE WHEN gated THEN '' ELSE 'refused' END"
-                          " AS refusal FROM vd"),
-    "confirm_recheck": on(DECISIONS + """,
-pn AS (SELECT event_id, principal, count(*) OVER (PARTITION BY tenant ORDER BY time_us
-  RANGE BETWEEN 600000000 PRECEDING AND 1 PRECEDING) AS m FROM dc WHERE status = 'pending')""",
+                          " containment_triggered, CASE WHEN gated THEN '' ELSE 'Confidence '"
+                          " || CAST(confidence AS VARCHAR) || ' below threshold 0.75 or class is"
+                          " benign (C0).' END AS refusal FROM vd"),
+    "confirm_recheck": on(DECISIONS + f""",
+pn AS (SELECT event_id, {recent('dc', 'dc.time_us + 300000000')} AS m FROM dc
+  WHERE status = 'pending')""",
         "SELECT event_id, greatest(0, 5 - m) AS room, CASE WHEN m < 5 THEN 1 ELSE 0 END"
         " AS confirmed FROM pn"),
     "action_status": on(VD, "SELECT action_status, predicted_class, count(*) AS n FROM vd"
                             " GROUP BY ALL"),
-    "live_labels": on(DECISIONS, """SELECT event_id,
-  CASE WHEN status = 'pending' AND user_agent = 'Mozilla/5.0' THEN 'CONTAINED'
-       WHEN status = 'pending' AND user_agent = '' THEN 'REVERSED'
+    "live_labels": on(DECISIONS + """,
+ll AS (SELECT dc.*, ct.event_id IS NOT NULL AS done FROM dc LEFT JOIN ct USING (event_id))""",
+        """SELECT event_id,
+  CASE WHEN done AND user_agent = 'Mozilla/5.0' THEN 'CONTAINED'
+       WHEN done AND user_agent = '' THEN 'REVERSED'
        WHEN status = 'pending' THEN 'PENDING' WHEN status = 'blocked' THEN 'GUARDED'
        ELSE 'MONITORED' END AS live_label,
-  CASE WHEN status = 'pending' AND user_agent NOT IN ('', 'Mozilla/5.0') THEN 1 ELSE 0 END
-    AS unresolved FROM dc"""),
+  CASE WHEN status = 'pending' AND NOT done THEN 1 ELSE 0 END AS unresolved FROM ll"""),
     "containment_plan": on(VD, f"""SELECT event_id, principal, predicted_class AS threat_class,
   1 AS step, 'revoke_iam_session' AS action, principal AS target,
   'AWSRevokeOlderSessions' AS control, 'Deny' AS effect,
@@ -503,7 +534,7 @@ u AS (SELECT event_id, unnest([{'c': 0, 'p': p0}, {'c': 1, 'p': p1}, {'c': 2, 'p
     "incident_summaries": on(attributions(""), f"SELECT event_id, {SUMMARY.format(_ACTION)}"
         " AS summary FROM vd LEFT JOIN dr USING (event_id)"),
     "incident_list": on(INCIDENTS, f"SELECT {INCIDENT_COLUMNS} FROM inc"
-        " QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id DESC) <= 20"),
+        " QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id DESC) <= 200"),
     "incident_point": on(INCIDENTS, f"SELECT {INCIDENT_COLUMNS} FROM inc"
         " QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id) = 1"),
     "incident_latest_state": on(INCIDENTS, """SELECT id, user_id,
@@ -527,15 +558,9 @@ t AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) * 100 AS pct FROM c)""",
   {_case('source', K.REPORT_SOURCE_NAMES, 'source')} AS source_name, event_name, principal,
   source_ip, {_case('predicted_class', K.REPORT_CLASS_NAMES)} AS class_name,
   {one_decimal('confidence * 100')} || '%' AS confidence, action_status FROM inc
-  QUALIFY ordinal <= 50"""),
-    "rescored_incidents": on(f"""{VD},
-sr AS (SELECT event_id, event_time, event_name, mfa, arn, user_name, predicted_class AS stored_class,
-  NULL::VARCHAR AS event_source, NULL::VARCHAR AS user_agent, NULL::VARCHAR AS error_code,
-  NULL::VARCHAR AS account_id, NULL::VARCHAR AS recipient_account_id, NULL::VARCHAR[] AS resources,
-  NULL::INT AS login_freq_1h, NULL::DOUBLE AS geo_anomaly_score, NULL::DOUBLE AS api_burst_rate,
-  NULL::DOUBLE AS data_exfil_volume_mb, NULL::DOUBLE AS lateral_movement_score FROM vd),
-{features('sr', 'sf')},{scores('sf', 'sv')}""",
-        "SELECT event_id AS id, stored_class, predicted_class, confidence, action_status FROM sv"),
+  QUALIFY ordinal <= 200"""),
+    "rescored_incidents": on(VD, "SELECT event_id AS id, predicted_class AS stored_class,"
+                                 " predicted_class, confidence, action_status FROM vd"),
     "class_availability": on(EV, "SELECT (SELECT count(*) FROM ev) AS total, c AS class_id,"
         " count(event_id) AS n, CASE WHEN count(event_id) > 0 THEN 1 ELSE 0 END AS available"
         " FROM (VALUES (0), (1), (2), (3), (4)) d(c) LEFT JOIN ev ON label = c GROUP BY c"),
@@ -547,11 +572,15 @@ u AS (SELECT user_id, count(*) FILTER (WHERE {_USED}) AS rows_used, {_REPORT_COU
   CASE WHEN {PROBLEM} = '' THEN 'real' ELSE 'none' END AS effective_mode,
   {PROBLEM} AS fallback_reason, rows_total, rows_used, rows_skipped, label_key, shape,
   'damped class weights alpha=0.25 (no SMOTE)' AS imbalance_strategy FROM r"""),
-    "poll_summary": on(DECISIONS + """,
-pl AS (SELECT * FROM dc WHERE event_time >= (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE
-  ORDER BY event_time DESC, event_id DESC LIMIT 50)""",
-        "SELECT count(*) AS events_seen, count(*) FILTER (WHERE status = 'pending')"
-        " AS pending_count, coalesce(min(room), 5) AS blast_room FROM pl"),
+    "poll_summary": on(CONFIRMED + f""",
+nw AS (SELECT max(time_us) AS now FROM vd),
+pl AS (SELECT vd.*, now FROM vd, nw
+  WHERE event_time >= (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE
+  ORDER BY event_time DESC, event_id DESC LIMIT 50),
+pr AS (SELECT *, {recent('pl', 'pl.now', '<=')} AS m FROM pl)""",
+        f"""SELECT count(*) AS events_seen, count(*) FILTER (WHERE gated AND m < 5 AND
+  lower({strip('principal')}) NOT IN {_PROTECTED}) AS pending_count,
+  coalesce(min(greatest(0, 5 - m)), 5) AS blast_room FROM pr"""),
     "first_n_events": on(VD, "SELECT event_id, predicted_class, confidence, action_status FROM vd"
                              " ORDER BY event_id LIMIT 100"),
     "terminal_summary": on(VD, """SELECT count(*) AS analyzed, count(*) AS total,
@@ -806,7 +835,10 @@ IO = {
     "export_json": on(TRIAGE, "SELECT row, principal, confidence, action_status AS action,"
                               " p0, p1, p2, p3, p4 FROM tr WHERE error IS NULL"),
     "append_incidents": on(INCIDENTS, "SELECT id, user_id, source, event_name, principal,"
-        " predicted_class, confidence, action_status, coalesce(rollback, '') AS rollback FROM inc"),
+        " predicted_class, confidence, action_status, coalesce(rollback, '') AS rollback,"
+        " event_source AS raw_source, coalesce(account_id, '') AS raw_account,"
+        f" {WALL.format('created_at')} AS raw_time, api_burst_rate AS raw_rate,"
+        " coalesce(array_to_string(resources, ','), '') AS raw_resources FROM inc"),
     "cleared_incidents": on(EV + """,
 o AS (SELECT user_id, count(*) AS n FROM ev GROUP BY user_id ORDER BY n DESC, user_id LIMIT 1)""",
         "SELECT user_id, n AS cleared, (SELECT count(*) FROM ev) - n AS left,"
@@ -815,6 +847,9 @@ o AS (SELECT user_id, count(*) AS n FROM ev GROUP BY user_id ORDER BY n DESC, us
     "stream_scoring": on(VD, "SELECT event_id, predicted_class, confidence, action_status FROM vd"),
     "stream_dedupe": on(VD, "SELECT event_id, predicted_class, confidence FROM vd"),
     "stream_lifecycle": CORE["incident_latest_state"],
+    "stream_cap": on(f"{VD},\ngt AS (SELECT * FROM vd WHERE gated),{admitted('gt')}",
+                     "SELECT tenant, event_id, time_us, CAST(admitted AS INT) AS admitted, room,"
+                     " 0 AS late FROM ad"),
 }
 
 SQL = {**CORE, **IO, **ML}

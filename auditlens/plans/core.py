@@ -9,7 +9,9 @@ from auditlens import constants as K
 from auditlens.functions import labels as L
 from auditlens.functions import scoring as S
 from auditlens.functions import text as X
+from auditlens.functions import times
 from auditlens.functions.features import with_features
+from auditlens.operators import admission as AD
 from auditlens.operators import attributions as AT
 from auditlens.operators import campaigns as CP
 from auditlens.operators import gate as G
@@ -135,12 +137,20 @@ def auto_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rolling_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containments of the tenant in the last 600 s and the room left, per containment."""
-    contained = FR.verdicts(spark, sf_dir).filter("gated").select("event_id", "tenant", "time_us")
-    return G.with_room(contained, "tenant", "time_us", F.lit(True)).select(
+    log = FR.containments(spark, sf_dir)
+    contained = log.filter("admitted").select("event_id", "tenant", "time_us")
+    return AD.with_room(contained, log, include_current=True).select(
         "event_id", "tenant", "recent_containments", "room"
     )
 
 
+def containment_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every confirmation, whether the cap admitted it, and the room it found."""
+    return FR.containments(spark, sf_dir).select(
+        "event_id", "tenant", F.col("admitted").cast("int").alias("admitted"), "room"
+    )
+
+
 def gate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FR.decisions(spark, sf_dir).select(
         "event_id",
@@ -157,9 +167,11 @@ def protected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every protected name with the number of events of its principal."""
     names = G.protected_names(["u1", " U2 ", ""])
     table = spark.createDataFrame([(n,) for n in names], "name string")
+    name = F.lower(X.strip_arn(X.principal()))
     seen = (
         audit_events(spark, sf_dir)
-        .groupBy(F.lower(X.strip_arn(X.principal())).alias("name"))
+        .filter(G.is_protected(X.principal(), names))
+        .groupBy(name.alias("name"))
         .agg(F.count("*").alias("n"))
     )
     return table.join(seen, "name", "left").select(
@@ -172,21 +184,27 @@ def manual_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FR.verdicts(spark, sf_dir).select(
         "event_id",
         F.when(refusal.isNull(), 1).otherwise(0).alias("containment_triggered"),
-        F.when(refusal.isNull(), "").otherwise("refused").alias("refusal"),
+        F.coalesce(refusal, F.lit("")).alias("refusal"),
     )
 
 
 def confirm_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pending verdicts looked at again when all containments up to then count."""
-    first = FR.decisions(spark, sf_dir).filter(F.col("status") == "pending")
-    pending = first.select(
-        "event_id", "tenant", "time_us", "principal", "predicted_class", "confidence"
-    )
-    again = G.with_decision(
-        G.with_room(pending, "tenant", "time_us", F.lit(True), include_current=False),
-        G.protected_names(),
+    """Pending verdicts when they are to be carried out, some minutes later.
+
+    The containments admitted since count, so what was pending may be refused now.
+    """
+    log = FR.containments(spark, sf_dir)
+    pending = FR.decisions(spark, sf_dir, log).filter(F.col("status") == "pending")
+    later = F.col("time_us") + K.CONFIRMATION_DELAY_SECONDS * 1_000_000
+    again = AD.with_room(
+        pending.select(
+            "event_id", "tenant", "principal", "predicted_class", "confidence",
+            later.alias("at_us"),
+        ),
+        log,
+        at_us="at_us",
     )
-    return again.select(
+    return G.with_decision(again, G.protected_names()).select(
         "event_id", "room", (F.col("status") == "pending").cast("int").alias("confirmed")
     )
 
@@ -200,12 +218,19 @@ def action_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row labels by state and decision, and what is still to be decided."""
-    state = F.when(
-        F.col("status") == "pending",
-        X.lookup(F.col("userAgent"), {"Mozilla/5.0": "contained", "": "reversed"}),
+    """Row labels by state and decision, and what is still to be decided.
+
+    The state is that of the containment table: what it admitted is contained or, where
+    an analyst took it back, reversed.
+    """
+    log = FR.containments(spark, sf_dir)
+    admitted = log.filter("admitted").select("event_id", F.lit(True).alias("_admitted"))
+    state = F.when(F.col("_admitted"), X.lookup(F.col("userAgent"), FR.ANALYST))
+    rows = (
+        FR.decisions(spark, sf_dir, log)
+        .join(admitted, "event_id", "left")
+        .withColumn("state", F.coalesce(state, F.lit("")))
     )
-    rows = FR.decisions(spark, sf_dir).withColumn("state", F.coalesce(state, F.lit("")))
     unresolved = (F.col("status") == "pending") & ~F.col("state").isin("contained", "reversed")
     return rows.select(
         "event_id", G.live_label().alias("live_label"), unresolved.cast("int").alias("unresolved")
@@ -226,13 +251,22 @@ def triage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TR.summary(FR.triage_rows(spark, sf_dir))
 
 
-def upload_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threats found and stored per daily upload."""
+def upload_summaries(
+    spark: SparkSession, sf_dir: str, incident_cap: int = K.INCIDENTS_PER_UPLOAD
+) -> DataFrame:
+    """Threats found per daily upload, and how many of them are stored as incidents."""
+    rows = FR.triage_rows(spark, sf_dir)
     threats = F.count_if(F.col("error").isNull() & (F.col("predicted_class") != 0))
-    return FR.triage_rows(spark, sf_dir).groupBy("upload").agg(
-        F.count("*").alias("analyzed"),
-        threats.alias("threats_detected"),
-        F.least(threats, F.lit(K.INCIDENTS_PER_UPLOAD)).cast("bigint").alias("incidents_recorded"),
+    found = rows.groupBy("upload").agg(
+        F.count("*").alias("analyzed"), threats.alias("threats_detected")
+    )
+    stored = (
+        TR.capped_threats(rows, "upload", cap=incident_cap)
+        .groupBy("upload")
+        .agg(F.count("*").alias("incidents_recorded"))
+    )
+    return found.join(stored, "upload", "left").withColumn(
+        "incidents_recorded", F.coalesce("incidents_recorded", F.lit(0))
     )
 
 
@@ -314,8 +348,10 @@ def _flat_incidents(df: DataFrame) -> DataFrame:
     )
 
 
-def incident_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_incidents(ST.newest(FR.incidents(spark, sf_dir), 20))
+def incident_list(
+    spark: SparkSession, sf_dir: str, limit: int = K.INCIDENT_LIST_LIMIT
+) -> DataFrame:
+    return _flat_incidents(ST.newest(FR.incidents(spark, sf_dir), limit))
 
 
 def incident_point(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,33 +384,21 @@ def incident_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.distribution(FR.incidents(spark, sf_dir))
 
 
-def incident_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ST.report_rows(ST.newest(FR.incidents(spark, sf_dir), 50))
+def incident_report(
+    spark: SparkSession, sf_dir: str, limit: int = K.INCIDENT_LIST_LIMIT
+) -> DataFrame:
+    rows = ST.report_rows(ST.newest(FR.incidents(spark, sf_dir), limit))
     return rows.withColumn(
         "created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     )
 
 
 def rescored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored events read back from their JSON and compared with the stored verdict."""
-    identity = "type string, arn string, accountId string, userName string, mfaAuthenticated string"
-    stored = FR.incidents(spark, sf_dir).withColumn(
-        "event",
-        F.from_json(
-            "raw_log", f"eventName string, sourceIPAddress string, userIdentity struct<{identity}>"
-        ),
-    )
-    events = stored.select(
-        "id",
-        F.col("predicted_class").alias("stored_class"),
-        F.col("created_at").alias("event_time"),
-        "event.eventName",
-        "event.userIdentity",
-    )
+    """Stored events read back from their JSON, scored again beside the stored class."""
+    schema = audit_events(spark, sf_dir).schema
+    events = ST.stored_events(FR.incidents(spark, sf_dir), schema)
     again = S.linear_verdicts(with_features(events))
-    return again.select(
-        "id", "stored_class", "predicted_class", "confidence", "action_status"
-    )
+    return again.select("id", "stored_class", "predicted_class", "confidence", "action_status")
 
 
 # --- labelled data -------------------------------------------------------------
@@ -440,24 +464,32 @@ def _last_time(events: DataFrame):
 
 
 def poll_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last hour's newest 50 events with their decisions, summed up."""
-    rows = FR.decisions(spark, sf_dir)
+    """The last hour's newest 50 events with their decisions, summed up.
+
+    All verdicts of a poll see one room: the one that the containments before it leave.
+    Only the look-back time is scored; the room comes from the containment table.
+    """
+    log = FR.containments(spark, sf_dir)
     now = _last_time(audit_events(spark, sf_dir))
-    polled = IN.look_back(rows, "event_time", now, minutes=60, limit=50)
-    return polled.agg(
+    polled = IN.look_back(
+        FR.verdicts(spark, sf_dir), "event_time", now, minutes=60, limit=K.POLL_LIMIT
+    )
+    at_poll = AD.with_room(
+        polled.withColumn("poll_us", times.micros(now)), log, at_us="poll_us", include_current=True
+    )
+    return G.with_decision(at_poll, G.protected_names()).agg(
         F.count("*").alias("events_seen"),
         F.count_if(F.col("status") == "pending").alias("pending_count"),
         F.coalesce(F.min("room"), F.lit(K.CONTAINMENT_CAP)).alias("blast_room"),
     )
 
 
-def first_n_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        FR.verdicts(spark, sf_dir)
-        .orderBy("event_id")
-        .limit(100)
-        .select("event_id", "predicted_class", "confidence", "action_status")
+def first_n_events(spark: SparkSession, sf_dir: str, limit: int = 100) -> DataFrame:
+    """The first events by id; 0 means all."""
+    rows = FR.verdicts(spark, sf_dir).select(
+        "event_id", "predicted_class", "confidence", "action_status"
     )
+    return rows.orderBy("event_id").limit(limit) if limit else rows
 
 
 def terminal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -589,7 +621,7 @@ QUERIES = {
     for f in (
         features_core, features_flags, features_aggregate, resource_entropy,
         resource_entropy_list, principal_extract, arn_strip, label_coerce, class_lookup,
-        severity_lookup, linear_scores, threats, auto_contained, rolling_cap, gate_decisions,
+        severity_lookup, linear_scores, threats, auto_contained, rolling_cap, containment_admission, gate_decisions,
         protected_names, manual_gate, confirm_recheck, action_status, live_labels,
         containment_plan, triage_summary, upload_summaries, class_distribution, triage_rows, triage_errors,
         capped_threats, top3_probabilities, top_attributions, risk_drivers, incident_summaries,

@@ -9,13 +9,15 @@ from auditlens.functions import times
 from auditlens.functions.features import with_features
 from auditlens.functions.scoring import linear_verdicts
 from auditlens.functions.text import class_label, lookup, principal
-from auditlens.operators import gate
+from auditlens.operators import admission, gate
+from auditlens.session import materialise
 from auditlens.sources import incidents as store
 from auditlens.sources.adapter import audit_events
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_features(audit_events(spark, sf_dir))
+    """Events with their features, and the whole event as raw_log where it is used."""
+    return with_features(store.with_raw_log(audit_events(spark, sf_dir)))
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +49,29 @@ def triage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gate decisions; the room is what earlier containments of the tenant left."""
-    scored = verdicts(spark, sf_dir)
-    roomed = gate.with_room(
-        scored, "tenant", "time_us", F.col("gated"), include_current=False
+#: What analysts did with pending verdicts, by the event's user agent.
+ANALYST = {"Mozilla/5.0": "contained", "": "reversed"}
+
+
+def containments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of confirmed verdicts with whether the cap admitted them.
+
+    What was reversed later was contained first and took a slot as well.
+    """
+    name = gate.protected_names()
+    confirmed = verdicts(spark, sf_dir).filter(
+        F.col("gated")
+        & ~gate.is_protected(F.col("principal"), name)
+        & F.col("userAgent").isin(*ANALYST)
     )
+    log = admission.containment_log(confirmed.select("tenant", "event_id", "time_us"))
+    return materialise(log, "containments")
+
+
+def decisions(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
+    """Gate decisions; the room is what the tenant's containments before left."""
+    log = containments(spark, sf_dir) if log is None else log
+    roomed = admission.with_room(verdicts(spark, sf_dir), log)
     return gate.with_decision(roomed, gate.protected_names())
 
 

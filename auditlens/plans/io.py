@@ -167,9 +167,17 @@ def append_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = FR.incidents(spark, sf_dir)
     ST.append(rows.filter(F.col("predicted_class") != 0), path)
     ST.append(rows.filter(F.col("predicted_class") == 0), path)
-    return ST.read(spark, path).select(
+    stored = ST.read(spark, path)
+    schema = audit_events(spark, sf_dir).schema
+    event = F.from_json("raw_log", schema, ST.RAW_OPTIONS)
+    return stored.withColumn("event", event).select(
         "id", "user_id", "source", "event_name", "principal", "predicted_class", "confidence",
         "action_status", F.coalesce("rollback", F.lit("")).alias("rollback"),
+        F.col("event.eventSource").alias("raw_source"),
+        F.coalesce("event.accountId", F.lit("")).alias("raw_account"),
+        F.date_format("event.event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("raw_time"),
+        F.col("event.api_burst_rate").alias("raw_rate"),
+        F.coalesce(F.array_join("event.accessed_resources", ","), F.lit("")).alias("raw_resources"),
     )
 
 
@@ -200,15 +208,6 @@ def cached_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LD.availability(LD.cached_copy(spark, table, {"labels": "label"}, build))
 
 
-def size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of the event table within the size bound and above it."""
-    files = IN.list_files(spark, f"{sf_dir}/events.parquet")
-    small, large = IN.split_by_size(files)
-    return small.withColumn("accepted", F.lit(1)).unionByName(
-        large.withColumn("accepted", F.lit(0))
-    ).groupBy("accepted").agg(F.count("*").alias("files"))
-
-
 # --- streams ---------------------------------------------------------------------
 
 
@@ -238,7 +237,8 @@ def stream_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("recipientAccountId").alias("tenant"), "event_id",
         times.micros(F.col("event_time")).alias("time_us"),
     )
-    return spark.read.parquet(jobs.run_to_table(admit(confirmations), "admitted"))
+    decided = spark.read.parquet(jobs.run_to_table(admit(confirmations), "admitted"))
+    return decided.withColumns({c: F.col(c).cast("int") for c in ("admitted", "late")})
 
 
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +261,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingest_json, ingest_jsonl, ingest_csv, ingest_quarantine, line_numbers, poll_payloads,
-        export_csv, export_json, append_incidents, cleared_incidents, cached_dataset, size_filter,
+        export_csv, export_json, append_incidents, cleared_incidents, cached_dataset,
         stream_scoring, stream_dedupe, stream_cap, stream_lifecycle,
     )
 }

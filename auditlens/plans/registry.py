@@ -3,26 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlens.plans import core, io, ml
-from auditlens.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-
-def _tuned(query: Query) -> Query:
-    @wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query(tune(spark), sf_dir)
-
-    return run
-
-
-QUERIES: dict[str, Query] = {
-    name: _tuned(query)
-    for group in (core.QUERIES, io.QUERIES, ml.QUERIES)
-    for name, query in group.items()
-}
+QUERIES: dict[str, Query] = {**core.QUERIES, **io.QUERIES, **ml.QUERIES}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from auditlens import constants as K
 from auditlens.functions.text import class_label, lookup, one_decimal, strip_arn
@@ -58,15 +59,35 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of an event frame that are no part of the event itself.
+NOT_EVENT = ("event_id", "user_id", "label")
+#: Times in raw_log keep their microseconds.
+RAW_OPTIONS = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
+
+
+def with_raw_log(events: DataFrame) -> DataFrame:
+    """Adds raw_log: the whole event, all columns of the frame but its keys, as JSON.
+
+    To be called before the features, which replace absent numbers by defaults.
+    """
+    parts = [F.col(c) for c in events.columns if c not in NOT_EVENT]
+    return events.withColumn("raw_log", F.to_json(F.struct(*parts), RAW_OPTIONS))
+
+
+def stored_events(incidents: DataFrame, schema: StructType) -> DataFrame:
+    """The incidents' events out of raw_log, with the incident's id and stored class."""
+    kept = StructType([f for f in schema.fields if f.name not in NOT_EVENT])
+    event = F.from_json("raw_log", kept, RAW_OPTIONS)
+    return incidents.select(
+        "id", F.col("predicted_class").alias("stored_class"), event.alias("event")
+    ).select("id", "stored_class", "event.*")
+
+
 def from_verdicts(verdicts: DataFrame, source: Column) -> DataFrame:
-    """Incident rows of scored events; the event as JSON goes into raw_log."""
-    raw = F.to_json(
-        F.struct(
-            F.col("eventName"),
-            F.col("sourceIPAddress"),
-            F.col("userIdentity"),
-        )
-    )
+    """Incident rows of scored events that have the raw_log of with_raw_log."""
     user_name = strip_arn(F.col("principal"))
     rollback = F.when(
         F.col("gated"),
@@ -85,7 +106,7 @@ def from_verdicts(verdicts: DataFrame, source: Column) -> DataFrame:
             class_label(F.col("predicted_class")).alias("class_label"),
             "confidence",
             "action_status",
-            raw.alias("raw_log"),
+            "raw_log",
             rollback.alias("rollback"),
         )
     )
@@ -146,15 +167,18 @@ def latest_state(incidents: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def newest(incidents: DataFrame, limit: int = 200) -> DataFrame:
-    """The newest rows of every owner; the limit is kept between 1 and 500.
+def newest(incidents: DataFrame, limit: int = K.INCIDENT_LIST_LIMIT) -> DataFrame:
+    """The newest rows of every owner, with `ordinal` and the `limit` that was applied.
 
-    Spark cuts each owner to the limit in every task before the shuffle.
+    The limit is kept between 1 and 500; that it was is seen in the column. Spark cuts each
+    owner to the limit in every task before the shuffle.
     """
-    limit = min(max(limit, 1), 500)
+    limit = min(max(limit, 1), K.MOST_INCIDENTS_LISTED)
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("id")))
     ranked = incidents.withColumn("ordinal", place).filter(F.col("ordinal") <= limit)
-    return ranked.withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    return ranked.withColumns(
+        {"ordinal": F.col("ordinal").cast("bigint"), "limit": F.lit(limit).cast("bigint")}
+    )
 
 
 def cards(incidents: DataFrame) -> DataFrame:

@@ -10,45 +10,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditlens import constants as K
+from auditlens.operators.admission import LOG, Slots
 
-OUTPUT = "tenant string, event_id bigint, time_us bigint, admitted boolean, room int"
-STATE = "admitted array<bigint>"
+OUTPUT = f"{LOG}, late boolean"
+STATE = "admitted array<bigint>, newest bigint"
+COLUMNS = ["tenant", "event_id", "time_us", "admitted", "room", "late"]
 
 
 def admit(
     confirmations: DataFrame,
     cap: int = K.CONTAINMENT_CAP,
     window_seconds: int = K.CONTAINMENT_WINDOW_SECONDS,
+    late_seconds: int = K.CONFIRMATION_LATENESS_SECONDS,
 ) -> DataFrame:
     """Adds whether each confirmation (tenant, event_id, time_us) takes a slot.
 
-    Only admitted ones take room, so the decision depends on order and is made
-    per tenant. The state is the times of at most `cap` admissions. A micro-batch
-    is ordered by time and id; its size is what bounds a task's memory, so set
-    maxFilesPerTrigger on the source. Confirmations that arrive in a later
-    micro-batch than newer ones are judged by the admissions up to their time
-    that are still in the state.
+    Only admitted ones take room, so the decision depends on order and is made per tenant.
+    A micro-batch is ordered by time and id; its size is what bounds a task's memory, so
+    set maxFilesPerTrigger on the source. A confirmation that arrives in a later
+    micro-batch than newer ones is admitted if every window it falls into keeps the cap,
+    the ones that end after it too. One older than the newest by more than late_seconds is
+    refused and marked late: the admissions around it may be forgotten. The state is the
+    admissions of the last late_seconds and one window.
     """
-    window_us = window_seconds * 1_000_000
+    window_us, late_us = window_seconds * 1_000_000, late_seconds * 1_000_000
 
     def decide(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        taken = list(state.get[0]) if state.exists else []
+        taken, newest = state.get if state.exists else ((), None)
+        slots = Slots(taken, cap, window_us)
         rows = pd.concat([b[["event_id", "time_us"]] for b in batches], ignore_index=True)
         rows = rows.sort_values(["time_us", "event_id"], ignore_index=True)
-        admitted = np.zeros(len(rows), dtype=bool)
-        room = np.zeros(len(rows), dtype="int32")
-        for i, now in enumerate(rows.time_us.to_numpy()):
-            recent = [t for t in taken if now - window_us <= t <= now]
-            room[i] = cap - len(recent)
-            if room[i] > 0:
-                admitted[i] = True
-                taken = (recent + [int(now)])[-cap:]
-        state.update((taken,))
-        yield rows.assign(tenant=key[0], admitted=admitted, room=np.maximum(room, 0))[
-            ["tenant", "event_id", "time_us", "admitted", "room"]
-        ]
+        decided = []
+        for now in rows.time_us.tolist():
+            late = newest is not None and now < newest - late_us
+            decided.append((*((False, 0) if late else slots.offer(now)), late))
+        newest = max(int(rows.time_us.iloc[-1]), newest if newest is not None else 0)
+        slots.forget(newest - late_us - window_us)
+        state.update((slots.taken, newest))
+        admitted, room, late = zip(*decided, strict=True)
+        yield rows.assign(
+            tenant=key[0], admitted=admitted, room=np.array(room, "int32"), late=late
+        )[COLUMNS]
 
     return confirmations.groupBy("tenant").applyInPandasWithState(
         decide, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout

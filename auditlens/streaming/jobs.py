@@ -9,7 +9,7 @@ from auditlens.functions.features import with_features
 from auditlens.functions.scoring import linear_verdicts
 from auditlens.session import is_directory, scratch_path
 from auditlens.sources.adapter import to_audit_events
-from auditlens.sources.incidents import owner_bucket
+from auditlens.sources.incidents import owner_bucket, with_raw_log
 
 
 def event_stream(
@@ -36,7 +36,7 @@ def audit_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
 
 def score(events: DataFrame) -> DataFrame:
     """Stateless: the same projections as in batch."""
-    return linear_verdicts(with_features(events))
+    return linear_verdicts(with_features(with_raw_log(events)))
 
 
 def without_duplicates(events: DataFrame, look_back: str = "60 minutes") -> DataFrame:
