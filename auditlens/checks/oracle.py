@@ -692,7 +692,7 @@ wt AS (SELECT alpha, label, n, r / min(r) OVER (PARTITION BY alpha) AS weight FR
 def _u(name: str) -> str:
     return (
         "(('0x' || substr(md5('1234:' || CAST(label AS VARCHAR) || ':' || CAST(n AS VARCHAR)"
-        f" || ':{name}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+        f" || ':{name}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
     )
 
 
@@ -804,7 +804,7 @@ UNION ALL SELECT label, 1, count(*), count(*) FILTER (WHERE event_name = 'Assume
   count(*) FILTER (WHERE event_name IN {_MOVES}), 0 FROM mi GROUP BY label"""),
     "published_model": on(f"{FX},\nst AS ({_STATS})", """SELECT 'v1' AS version,
   'damped class weights alpha=0.25 (no SMOTE)' AS resampling, feature, round(mean, 6) AS mean,
-  round(CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS divisor FROM st"""),
+  round(CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS divisor, 0 AS different_verdicts FROM st"""),
     "smote_embeddings": """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
 SELECT label, false AS synthetic, n FROM c UNION ALL
 SELECT label, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""",

@@ -42,7 +42,8 @@ def uniform(*parts: Column | str | int) -> Column:
     """A number in [0, 1) worked out of the parts, the same on every retry."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
     digest = F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    # 52 bits, so that any row of any class can be drawn
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
 def _draw(options: tuple[tuple, ...], u: Column, field: int) -> Column:

@@ -8,16 +8,23 @@ has the (scaled) feature columns. Training input has the feature columns,
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+import time
+from dataclasses import astuple, dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +33,7 @@ from auditlens.functions.scoring import PROBABILITIES, with_verdict
 from auditlens.operators import balance
 from auditlens.operators.scaling import Scaler
 from auditlens.operators.smote import smote
+from auditlens.session import materialise
 
 CLASSES = K.CLASS_IDS
 
@@ -67,6 +75,10 @@ class VectorModel:
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, columns: list[str]) -> VectorModel:
+        return cls(DefaultParamsReader.loadParamsInstance(path, spark), columns)
+
 
 def fit_logistic(df: DataFrame, columns: list[str], iterations: int = 50,
                  reg: float = 1e-4) -> VectorModel:
@@ -119,18 +131,32 @@ class OneVsRestModel:
         for c, model in self.models.items():
             model.write().overwrite().save(f"{path}/class-{c}")
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, columns: list[str]) -> OneVsRestModel:
+        models = {}
+        for c in CLASSES:
+            try:
+                models[c] = GBTClassificationModel.load(f"{path}/class-{c}")
+            except Exception as error:
+                if "does not exist" not in str(error):
+                    raise
+        return cls(models, columns)
+
 
 def fit_boosted(df: DataFrame, columns: list[str], rounds: int = 50, depth: int = 4,
                 step: float = 0.1, seed: int = 42) -> OneVsRestModel:
-    """One binary boosted model per class that has rows."""
+    """One binary boosted model per class that has rows, the classes side by side."""
     rows = _training_frame(df, columns)
-    present = [int(r.label) for r in rows.select("label").distinct().collect()]
-    models = {}
-    for c in sorted(present):
+    present = sorted(int(r.label) for r in rows.select("label").distinct().collect())
+
+    def fit(c: int):
         binary = rows.withColumn("label", (F.col("label") == c).cast("double"))
-        models[c] = GBTClassifier(
+        return GBTClassifier(
             weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed
         ).fit(binary)
+
+    with ThreadPool(len(present)) as pool:
+        models = dict(zip(present, pool.map(inheritable_thread_target(df.sparkSession)(fit), present), strict=True))
     return OneVsRestModel(models, columns)
 
 
@@ -146,11 +172,25 @@ class Stump:
         return F.when(F.col(self.feature) <= self.threshold, self.left).otherwise(self.right)
 
 
+STUMPS = "n int, feature string, threshold double, left int, right int, alpha double"
+
+
 @dataclass
 class SammeModel:
     """Stumps with their votes; scoring is one expression, with no lineage to cut."""
 
     stumps: list[Stump] = field(default_factory=list)
+    columns: list[str] = field(default_factory=list)
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        rows = [(n, *astuple(stump)) for n, stump in enumerate(self.stumps)]
+        spark.createDataFrame(rows, STUMPS).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, columns: list[str]) -> SammeModel:
+        rows = spark.read.parquet(path).orderBy("n").collect()
+        return cls([Stump(*tuple(r)[1:]) for r in rows], columns)
 
     def votes(self, c: int) -> Column:
         """Sum of the votes for class c."""
@@ -172,26 +212,23 @@ class SammeModel:
         return scored.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(share)))
 
 
+#: Rounds between two tables of the row weights.
+ROUNDS_PER_TABLE = 10
+
+
 def fit_samme(df: DataFrame, columns: list[str], rounds: int = 80, seed: int = 42) -> SammeModel:
     """Boosted stumps with class votes, one weighted stump per round.
 
-    A round's row weight is the start weight times exp(alpha * miss) of the
-    earlier stumps. It is written as an expression over the features instead of
-    a column carried from round to round, so the plan does not grow with lineage
-    and needs no checkpoint.
+    A round multiplies the weight of the rows its stump misses. The weights are written
+    every few rounds, so neither the plan nor a row's expression grows with the rounds. A
+    stump's error comes from the class weights in its leaves, so a round is one fit.
     """
-    model = SammeModel()
-    base = df.select(*columns, "label", "weight")
-    classes = base.select("label").distinct().count()
-    scale = 0.0
-    for _ in range(rounds):
-        boost = sum(
-            (F.when(s.prediction() != F.col("label"), s.alpha).otherwise(0.0)
-             for s in model.stumps),
-            F.lit(0.0),
-        )
-        # scale keeps the largest weight near 1
-        weighted = base.withColumn("weight", F.col("weight") * F.exp(boost - F.lit(scale)))
+    model = SammeModel(columns=columns)
+    weighted = df.select(*columns, "label", F.col("weight").cast("double").alias("weight"))
+    classes = weighted.select("label").distinct().count()
+    for number in range(rounds):
+        if number % ROUNDS_PER_TABLE == 0:
+            weighted = materialise(weighted, "samme")
         tree = DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=seed).fit(
             _training_frame(weighted, columns)
         )
@@ -199,31 +236,36 @@ def fit_samme(df: DataFrame, columns: list[str], rounds: int = 80, seed: int = 4
         if tree.numNodes < 3:
             break
         split = root.split()
-        stump = Stump(
-            columns[split.featureIndex()],
-            float(split.threshold()),
-            int(root.leftChild().prediction()),
-            int(root.rightChild().prediction()),
-            1.0,
-        )
-        miss = F.when(stump.prediction() != F.col("label"), F.col("weight")).otherwise(0.0)
-        missed, total = weighted.agg(F.sum(miss), F.sum("weight")).first()
+        left, right = (_leaf_weights(node) for node in (root.leftChild(), root.rightChild()))
+        sides = (int(np.argmax(left)), int(np.argmax(right)))
+        total = float(left.sum() + right.sum())
+        missed = total - float(left.max() + right.max())
         error = max(missed / total, 1e-10)
         if error >= 1.0 - 1.0 / classes:
             break
         alpha = math.log((1.0 - error) / error) + math.log(classes - 1.0)
-        model.stumps.append(Stump(stump.feature, stump.threshold, stump.left, stump.right, alpha))
-        scale += alpha
+        stump = Stump(columns[split.featureIndex()], float(split.threshold()), *sides, alpha)
+        model.stumps.append(stump)
         if missed <= 0:
             break
+        # Hits go down instead of misses up: the weights stay at most what they were.
+        hit = stump.prediction() == F.col("label")
+        weighted = weighted.withColumn(
+            "weight", F.when(hit, F.col("weight") * math.exp(-alpha)).otherwise(F.col("weight"))
+        )
     return model
 
 
+def _leaf_weights(node) -> np.ndarray:
+    return np.array(list(node.impurityStats().stats()), dtype=float)
+
+
+#: The four models and the options the queries fit them with.
 FITTERS = {
-    "logistic": fit_logistic,
-    "forest": fit_forest,
-    "boosted": fit_boosted,
-    "samme": fit_samme,
+    "boosted": (fit_boosted, {}),
+    "second_boosted": (fit_boosted, {"rounds": 150, "depth": 6, "step": 0.05}),
+    "forest": (fit_forest, {}),
+    "samme": (fit_samme, {}),
 }
 
 
@@ -292,35 +334,54 @@ def holdout_predictions(rows: DataFrame, recipe: Recipe) -> DataFrame:
 def cross_validate(rows: DataFrame, folds: int, recipe: Recipe) -> DataFrame:
     """Predictions of every row by the model that did not see its fold.
 
-    Fits follow one another; the predictions stay lazy and are evaluated together.
+    The folds are fitted side by side; the predictions stay lazy and are evaluated together.
     """
-    parts = []
-    for i in range(folds):
+
+    def one(i: int) -> DataFrame:
         fitted = train(rows.filter(F.col("fold") != i), recipe)
-        parts.append(
-            fitted.score(rows.filter(F.col("fold") == i)).select(
-                "fold", "label", "predicted_class"
-            )
+        return fitted.score(rows.filter(F.col("fold") == i)).select(
+            "fold", "label", "predicted_class"
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+    with ThreadPool(folds) as pool:
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(one), range(folds))
+    return reduce(DataFrame.unionByName, parts)
+
+
+# --- published models -----------------------------------------------------------
+
+KINDS = {"vector": VectorModel, "one_vs_rest": OneVsRestModel, "samme": SammeModel}
 
 
 def publish(spark: SparkSession, pipeline: Pipeline, path: str, version: str) -> str:
-    """Save a model under a new version; only then point `current` at it.
+    """Save a model under a new version; only then add a pointer row for it.
 
-    A failed save leaves the pointer, and so the model in use, as it was.
+    Pointer rows are never changed: the newest one names the model in use. A failed save,
+    or a failed pointer, leaves the one before in use.
     """
     target = f"{path}/{version}"
     pipeline.model.save(f"{target}/model")
     stats = [
         (c, pipeline.scaler.means[c], pipeline.scaler.divisors[c]) for c in pipeline.scaler.means
     ]
-    spark.createDataFrame(stats, "feature string, mean double, divisor double").write.parquet(
-        f"{target}/scaler"
+    spark.createDataFrame(stats, "feature string, mean double, divisor double").coalesce(
+        1
+    ).write.parquet(f"{target}/scaler")
+    kind = next(k for k, model in KINDS.items() if isinstance(pipeline.model, model))
+    columns = list(pipeline.model.columns)
+    pointer = spark.createDataFrame(
+        [(version, pipeline.resampling, kind, columns, time.time_ns())],
+        "version string, resampling string, kind string, columns array<string>, published bigint",
     )
-    spark.createDataFrame([(version, pipeline.resampling)], "version string, resampling string") \
-        .coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    pointer.coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return target
+
+
+def published(spark: SparkSession, path: str) -> tuple[str, Pipeline]:
+    """The version in use and its model, read back."""
+    row = spark.read.parquet(f"{path}/versions").orderBy(F.desc("published")).first()
+    target = f"{path}/{row.version}"
+    stats = spark.read.parquet(f"{target}/scaler").collect()
+    scaler = Scaler({r.feature: r["mean"] for r in stats}, {r.feature: r.divisor for r in stats})
+    model = KINDS[row.kind].load(spark, f"{target}/model", list(row.columns))
+    return row.version, Pipeline(scaler, model, row.resampling)

@@ -2,8 +2,8 @@
 
 A leaf adds its value times a product over the features of its path: 1 or 0
 where the row's value is known, the share of training rows that took the branch
-where it is not. Which conditions of a leaf a row meets is a bit pattern, so the
-Shapley values of a leaf are worked out once per pattern and looked up per row.
+where it is not. Which conditions of a leaf a row meets is a pattern of bits; the Shapley
+values of a leaf are worked out once per pattern that the rows of a batch show.
 """
 
 from __future__ import annotations
@@ -17,28 +17,23 @@ from pyspark.sql import DataFrame
 
 from auditlens.operators.attributions import ranked
 
-MAX_DEPTH = 8
-MAX_TABLE_BYTES = 256 * 1024 * 1024
+# A leaf is (features, low, high, share, out): the features of its path, the interval
+# the path allows for each, the share of rows that took it, and its value per class.
+# Plain tuples can be broadcast without this package on the executors.
+Leaf = tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-# A leaf is (features, low, high, table): the features of its path, the interval
-# the path allows for each, and pattern x feature x class Shapley values. Plain
-# tuples can be broadcast without this package on the executors.
-Leaf = tuple[list[int], np.ndarray, np.ndarray, np.ndarray]
-
-
-def _shapley(share: np.ndarray) -> np.ndarray:
+def _shapley(share: np.ndarray, met: np.ndarray) -> np.ndarray:
     """pattern x feature: the Shapley values of a product of m conditions.
 
     The sums over all subsets of one size are the coefficients of a polynomial
     with one factor (share + met * t) per other feature.
     """
     m = len(share)
-    met = (np.arange(2**m)[:, None] >> np.arange(m)) & 1
     weights = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
-    out = np.zeros((2**m, m))
+    out = np.zeros((len(met), m))
     for i in range(m):
-        sums = np.zeros((2**m, m))
+        sums = np.zeros((len(met), m))
         sums[:, 0] = 1.0
         for j in (j for j in range(m) if j != i):
             grown = sums * share[j]
@@ -65,7 +60,8 @@ def _walk(node, path: dict, value, weight: float, leaves: list[Leaf], base: list
                     list(path),
                     np.array([p[0] for p in path.values()]),
                     np.array([p[1] for p in path.values()]),
-                    _shapley(share)[:, :, None] * out[None, None, :],
+                    share,
+                    out,
                 )
             )
         return
@@ -102,8 +98,6 @@ def _collect(model, value, weights) -> tuple[list[Leaf], np.ndarray]:
     leaves: list[Leaf] = []
     base: list[np.ndarray] = []
     for tree, weight in zip(model.trees, weights):
-        if tree.depth > MAX_DEPTH:
-            raise ValueError(f"trees deeper than {MAX_DEPTH} are not explained")
         _walk(tree._call_java("rootNode"), {}, value, weight, leaves, base)
     return leaves, np.sum(base, axis=0)
 
@@ -111,11 +105,11 @@ def _collect(model, value, weights) -> tuple[list[Leaf], np.ndarray]:
 def attribute(leaves: list[Leaf], x: np.ndarray, classes: int) -> np.ndarray:
     """row x feature x class."""
     phi = np.zeros((*x.shape, classes))
-    for features, low, high, table in leaves:
+    for features, low, high, share, out in leaves:
         part = x[:, features]
-        met = (part > low) & (part <= high)
-        pattern = met @ (1 << np.arange(len(features)))
-        phi[:, features, :] += table[pattern]
+        met, which = np.unique((part > low) & (part <= high), axis=0, return_inverse=True)
+        values = _shapley(share, met.astype(float))[which.reshape(-1)]
+        phi[:, features, :] += values[:, :, None] * out
     return phi
 
 
@@ -125,13 +119,9 @@ def with_tree_attributions(
     """Adds `top`, the k largest attributions for the row's predicted class.
 
     rows holds the scaled features and must already be filtered to what needs an
-    explanation; Spark cannot push a filter through the Arrow stage. The leaf
-    table grows with the trees, not with the data, and its size is checked
-    before it is broadcast.
+    explanation; Spark cannot push a filter through the Arrow stage. What is sent
+    to all tasks are the leaves: under 1 KB each, as many as the trees have.
     """
-    size = sum(leaf[3].nbytes for leaf in leaves)
-    if size > MAX_TABLE_BYTES:
-        raise ValueError(f"leaf tables of {size >> 20} MB are too large to broadcast")
     shared = rows.sparkSession.sparkContext.broadcast(leaves)
     names = [f"_phi{i}" for i in range(len(columns))]
     kept = [f for f in rows.schema.fields if f.name not in columns]

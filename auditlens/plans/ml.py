@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -232,8 +233,8 @@ def smote_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- training -------------------------------------------------------------------
 
-FAST = {"iterations": 10}
-
+#: The primary model, as it is validated, compared and swept.
+PRIMARY = MO.Recipe(fit=MO.fit_boosted)
 
 def _holdout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(
@@ -241,59 +242,76 @@ def _holdout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _trained(spark: SparkSession, sf_dir: str, model: str, fit, options: dict) -> DataFrame:
-    predicted = MO.holdout_predictions(
-        _holdout_rows(spark, sf_dir), MO.Recipe(fit=fit, options=options)
-    )
+def _evaluated(rows: DataFrame, model: str, fit, options: dict) -> DataFrame:
+    predicted = MO.holdout_predictions(rows, MO.Recipe(fit=fit, options=options))
     return ME.macro(ME.confusion_cells(predicted)).withColumn("model", F.lit(model))
 
 
 def train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained(spark, sf_dir, "logistic", MO.fit_logistic, {"iterations": 30})
+    return _evaluated(_holdout_rows(spark, sf_dir), "logistic", MO.fit_logistic, {})
 
 
 def train_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained(spark, sf_dir, "forest", MO.fit_forest, {"trees": 10, "depth": 6})
+    return _evaluated(_holdout_rows(spark, sf_dir), "forest", *MO.FITTERS["forest"])
 
 
 def train_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained(spark, sf_dir, "boosted", MO.fit_boosted, {"rounds": 5, "depth": 4})
+    return _evaluated(_holdout_rows(spark, sf_dir), "boosted", *MO.FITTERS["boosted"])
 
 
 def train_second_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = {"rounds": 3, "depth": 6, "step": 0.05}
-    return _trained(spark, sf_dir, "second_boosted", MO.fit_boosted, options)
+    fitter = MO.FITTERS["second_boosted"]
+    return _evaluated(_holdout_rows(spark, sf_dir), "second_boosted", *fitter)
 
 
 def train_samme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained(spark, sf_dir, "samme", MO.fit_samme, {"rounds": 8})
+    return _evaluated(_holdout_rows(spark, sf_dir), "samme", *MO.FITTERS["samme"])
+
+
+def four_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four models on one hold-out part."""
+    rows = _holdout_rows(spark, sf_dir)
+    parts = [_evaluated(rows, name, *fitter) for name, fitter in MO.FITTERS.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def tree_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forest attributions of the gated test rows."""
+    """Forest attributions of the gated test rows, with the base value of their class."""
     rows = _holdout_rows(spark, sf_dir)
-    recipe = MO.Recipe(fit=MO.fit_forest, options={"trees": 8, "depth": 5})
-    fitted = MO.train(rows.filter(F.col("split") == "train"), recipe)
-    leaves, _ = TS.forest_leaves(fitted.model.model)
+    fitted = MO.train(rows.filter(F.col("split") == "train"), MO.Recipe(fit=MO.fit_forest))
+    leaves, base = TS.forest_leaves(fitted.model.model)
     gated = fitted.score(rows.filter(F.col("split") == "test")).filter("gated")
     explained = TS.with_tree_attributions(
-        gated.select("event_id", "predicted_class", *FEATURES), FEATURES, leaves, 5
+        gated.select("event_id", "predicted_class", *FEATURES), FEATURES, leaves, len(base)
+    )
+    of_class = F.element_at(
+        F.array(*[F.lit(round(float(x), 4)) for x in base]), F.col("predicted_class") + 1
     )
-    return explained.select("event_id", "predicted_class", F.posexplode_outer("top").alias("pos", "t")) \
-        .select("event_id", "predicted_class", "pos", "t.*")
+    return explained.select(
+        "event_id", "predicted_class", of_class.alias("base_value"),
+        F.posexplode_outer("top").alias("pos", "t"),
+    ).select("event_id", "predicted_class", "base_value", "pos", "t.*")
 
 
 def published_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model saved under a version, read back by the pointer, with its scaler."""
+    """A model saved under a version, read back by its pointer row.
+
+    The model that was read back must give every row the verdict of the fitted one.
+    """
     rows = materialise(_labelled(spark, sf_dir), "labelled")
-    fitted = MO.train(rows, MO.Recipe(options=FAST))
+    fitted = MO.train(rows, MO.Recipe())
     path = scratch_path(spark, "models")
+    MO.publish(spark, fitted, path, "v0")
     MO.publish(spark, fitted, path, "v1")
-    version = spark.read.parquet(f"{path}/current").first()
-    scaler = spark.read.parquet(f"{path}/{version.version}/scaler")
+    version, loaded = MO.published(spark, path)
+    verdicts = [m.score(rows).select("event_id", "predicted_class", "confidence")
+                for m in (fitted, loaded)]
+    different = verdicts[0].exceptAll(verdicts[1]).count()
+    scaler = spark.read.parquet(f"{path}/{version}/scaler")
     return scaler.select(
-        F.lit(version.version).alias("version"), F.lit(version.resampling).alias("resampling"),
+        F.lit(version).alias("version"), F.lit(loaded.resampling).alias("resampling"),
         "feature", F.round("mean", 6).alias("mean"), F.round("divisor", 6).alias("divisor"),
+        F.lit(different).cast("bigint").alias("different_verdicts"),
     )
 
 
@@ -309,8 +327,9 @@ def _cv(rows: DataFrame, folds: int, recipe: MO.Recipe, arm: str) -> DataFrame:
 
 
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The served recipe of the primary model over all folds."""
     rows, folds = _fold_rows(spark, sf_dir)
-    return _cv(rows, folds, MO.Recipe(options=FAST), "served")
+    return _cv(rows, folds, PRIMARY, "served")
 
 
 def _two_arms(spark: SparkSession, sf_dir: str, arms: dict[str, MO.Recipe]) -> DataFrame:
@@ -323,8 +342,8 @@ def _two_arms(spark: SparkSession, sf_dir: str, arms: dict[str, MO.Recipe]) -> D
 def recipe_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oversampling against class weights on one split and over all folds."""
     arms = {
-        "old": MO.Recipe(options=FAST, balance="smote"),
-        "new": MO.Recipe(options=FAST, alpha=1.0),
+        "old": replace(PRIMARY, balance="smote"),
+        "new": replace(PRIMARY, alpha=1.0),
     }
     rows = _holdout_rows(spark, sf_dir)
     parts = [
@@ -345,8 +364,8 @@ def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         sf_dir,
         {
-            "without": MO.Recipe(options=FAST, columns=kept, alpha=1.0),
-            "with": MO.Recipe(options=FAST, alpha=1.0),
+            "without": replace(PRIMARY, columns=kept, alpha=1.0),
+            "with": replace(PRIMARY, alpha=1.0),
         },
     )
 
@@ -354,7 +373,7 @@ def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, folds = _fold_rows(spark, sf_dir)
     parts = [
-        _cv(rows, folds, MO.Recipe(options=FAST, alpha=a), "sweep")
+        _cv(rows, folds, replace(PRIMARY, alpha=a), "sweep")
         .drop("arm")
         .withColumn("alpha", F.lit(a))
         for a in K.SWEEP_ALPHAS
@@ -367,8 +386,8 @@ def hybrid_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, folds = _fold_rows(spark, sf_dir)
     target = 2 * rows.groupBy("label").count().agg(F.min("count")).first()[0]
     arms = {
-        "real": MO.Recipe(options=FAST, alpha=1.0),
-        "hybrid": MO.Recipe(options=FAST, alpha=1.0, top_up=True, target=target),
+        "real": replace(PRIMARY, alpha=1.0),
+        "hybrid": replace(PRIMARY, alpha=1.0, top_up=True, target=target),
     }
     return reduce(
         DataFrame.unionByName, [_cv(rows, folds, recipe, arm) for arm, recipe in arms.items()]
@@ -382,7 +401,8 @@ QUERIES = {
         kfold_assignment, embedding_kfold, sample_per_class, confusion_counts, per_class_metrics,
         macro_metrics, model_accuracy, cv_summary, pooled_class_f1, recipe_delta, best_alpha,
         minority_topup, topped_up_set, noisy_features, smote, smote_embeddings, train_logistic,
-        train_forest, train_boosted, train_second_boosted, train_samme, tree_attributions,
+        train_forest, train_boosted, train_second_boosted, train_samme, four_models,
+        tree_attributions,
         published_model, cross_validation, recipe_ab, feature_ablation, weight_sweep, hybrid_ab,
     )
 }
