@@ -821,6 +821,25 @@ READ_BACK = f"""SELECT event_id, {WALL.format('event_time')} AS event_time, even
 IO = {
     "ingest_json": on(EV, READ_BACK),
     "ingest_jsonl": on(EV, READ_BACK),
+    "ingest_shapes": on(EV, READ_BACK),
+    "ingest_mixed": on(EV, READ_BACK),
+    "ingest_documents_quarantine": on(EV, """SELECT CASE event_name WHEN 'ListBuckets' THEN
+  'not JSON' WHEN 'PutObject' THEN 'not an object' WHEN 'Decrypt' THEN 'no event' ELSE 'event' END
+  AS kind, sum(CASE event_name WHEN 'PutObject' THEN 2 ELSE 1 END)::BIGINT AS n FROM ev
+  GROUP BY kind"""),
+    "ingest_errors": on(EV, """SELECT event_id, CASE event_name WHEN 'ListBuckets' THEN
+  'unparsable event time' ELSE 'non-numeric: geo_anomaly_score' END AS error FROM ev
+  WHERE event_name IN ('ListBuckets', 'Decrypt')"""),
+    "labelled_file": on(EV + """,
+lf AS (SELECT event_id, event_name = 'ListBuckets' AS broken,
+  CASE WHEN event_name <> 'ListBuckets' AND event_id % 5 <> 2 THEN label END AS label,
+  CASE WHEN event_name <> 'ListBuckets' AND event_id % 5 <> 2 THEN
+    CASE WHEN event_id % 3 = 0 THEN 'threat_class' ELSE 'label' END END AS label_key FROM ev),
+r AS (SELECT count(*) AS rows_total, count(label) AS rows_used,
+  count(*) - count(label) AS rows_skipped, 0 AS featurize_errors,
+  """ + ", ".join(f"count(*) FILTER (WHERE label = {c}) AS class_{c}" for c in K.CLASS_IDS) + """,
+  coalesce(arg_min(label_key, event_id) FILTER (WHERE label IS NOT NULL), '') AS label_key,
+  'raw_events' AS shape FROM lf)""", f"SELECT *, {PROBLEM} AS problem FROM r"),
     "ingest_csv": on(EV, READ_BACK),
     "poll_payloads": on(EV, READ_BACK + " WHERE event_name NOT IN ('PutObject', 'Decrypt')"),
     "ingest_quarantine": on(EV, """SELECT CASE event_name WHEN 'ListBuckets' THEN 'not JSON'

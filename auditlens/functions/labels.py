@@ -59,3 +59,14 @@ def with_label(
         .drop(*present)
         .withColumnsRenamed({"_label": label, "_label_key": "label_key"})
     )
+
+
+def with_variant_label(
+    df: DataFrame, event: str = "event", keys: tuple[str, ...] = K.LABEL_KEYS
+) -> DataFrame:
+    """The same for events held as a variant, where a cell's type differs from row to row."""
+    cells = {
+        k: coerce_variant(F.try_variant_get(F.col(event), f"$.{k}", "variant")) for k in keys
+    }
+    used = F.coalesce(*[F.when(c.isNotNull(), F.lit(k)) for k, c in cells.items()])
+    return df.withColumns({"label": F.coalesce(*cells.values()), "label_key": used})

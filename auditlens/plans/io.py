@@ -70,6 +70,111 @@ def ingest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_variant(IN.with_event_columns(found, "event"))
 
 
+def _shaped_documents(events: DataFrame) -> DataFrame:
+    """(value): events as exports, arrays, single events and wrapped events, by their id."""
+    record = F.struct(*[F.col(c) for c in events.columns])
+    shape = F.col("event_id") % 4
+    lists = (
+        events.filter(shape < 2)
+        .groupBy(shape.alias("shape"), F.floor(F.col("event_id") / PER_DOCUMENT).alias("number"))
+        .agg(F.collect_list(record).alias("Records"))
+    )
+    export = F.to_json(F.struct("Records"))
+    one, wrapped = F.to_json(record), F.to_json(F.struct(record.alias("audit_log")))
+    return (
+        lists.select(F.when(F.col("shape") == 0, export).otherwise(F.to_json("Records")).alias("value"))
+        .unionByName(events.filter(shape == 2).select(one.alias("value")))
+        .unionByName(events.filter(shape == 3).select(wrapped.alias("value")))
+    )
+
+
+def ingest_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of all four shapes, one per line."""
+    path = scratch_path(spark, "shapes")
+    _shaped_documents(_log_events(spark, sf_dir)).write.text(path)
+    found = IN.read_json_document_lines(spark, path)
+    return _from_variant(IN.with_event_columns(found, "event"))
+
+
+def ingest_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of JSON documents, one per file, and CSV files, told apart by name."""
+    path = scratch_path(spark, "mixed")
+    events = _log_events(spark, sf_dir)
+    lists = events.filter("event_id % 2 = 0")
+    record = F.struct(*[F.col(c) for c in events.columns])
+    number = F.floor(F.col("event_id") / PER_DOCUMENT)
+    documents = lists.groupBy(number.alias("number")).agg(F.collect_list(record).alias("Records"))
+    documents.select(F.to_json(F.struct("Records"))).write.option("maxRecordsPerFile", 1).text(path)
+    _flat_csv(events.filter("event_id % 2 = 1")).write.mode("append").csv(path, header=True)
+    rows = IN.read_events(spark, path)
+    return _read_back(
+        rows,
+        F.coalesce(
+            F.col("event_id").cast("bigint"), F.try_variant_get("event", "$.event_id", "bigint")
+        ),
+        F.coalesce(F.col("label").cast("int"), F.try_variant_get("event", "$.label", "int")),
+    )
+
+
+def ingest_documents_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which some are broken: what was read and what was set aside."""
+    path = scratch_path(spark, "documents")
+    events = _log_events(spark, sf_dir)
+    one = F.to_json(F.struct(*[F.col(c) for c in events.columns]))
+    value = (
+        F.when(F.col("eventName") == "ListBuckets", F.substring(one, 1, 20))
+        .when(F.col("eventName") == "PutObject", F.lit('[17, "x"]'))
+        .when(F.col("eventName") == "Decrypt", F.lit('{"Records": []}'))
+        .otherwise(one)
+    )
+    events.select(value.alias("value")).write.text(path)
+    documents = IN.document_lines(spark, path)
+    counted = IN.expand_documents(documents).select(F.lit("event").alias("kind")).unionByName(
+        IN.rejected_documents(documents).select(F.col("reason").alias("kind"))
+    )
+    return counted.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def ingest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose time or numbers cannot be read: what the reader says of each."""
+    path = scratch_path(spark, "errors")
+    events = _log_events(spark, sf_dir).withColumns(
+        {
+            "eventTime": F.when(F.col("eventName") == "ListBuckets", F.lit("yesterday")).otherwise(
+                F.col("eventTime")
+            ),
+            "geo_anomaly_score": F.when(
+                F.col("eventName") == "Decrypt", F.lit("high")
+            ).otherwise(F.col("geo_anomaly_score").cast("string")),
+        }
+    )
+    events.write.json(path)
+    found, _ = IN.read_jsonl_events(spark, path)
+    return found.filter(F.col("error").isNotNull()).select(
+        F.try_variant_get("event", "$.event_id", "bigint").alias("event_id"), "error"
+    )
+
+
+def labelled_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with label cells of mixed types under two names: read, resolved and reported."""
+    path = scratch_path(spark, "labelled")
+    events = _log_events(spark, sf_dir)
+    body = F.to_json(F.struct(*[F.col(c) for c in events.columns if c != "label"]))
+    cell = (
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('"C'), F.col("label"), F.lit('"')))
+        .when(F.col("event_id") % 5 == 1, F.concat(F.col("label"), F.lit(".2")))
+        .when(F.col("event_id") % 5 == 2, F.lit("true"))
+        .otherwise(F.col("label").cast("string"))
+    )
+    key = F.when(F.col("event_id") % 3 == 0, F.lit("threat_class")).otherwise(F.lit("label"))
+    line = F.concat(F.lit('{"'), key, F.lit('": '), cell, F.lit(", "), F.substr(body, F.lit(2)))
+    broken = F.when(F.col("eventName") == "ListBuckets", F.lit("{broken")).otherwise(line)
+    events.select(broken.alias("value")).write.text(path)
+    rows = LD.read(spark, path, "jsonl")
+    order = F.try_variant_get("event", "$.event_id", "bigint")
+    return LD.check(LD.report(rows.withColumn("event_id", order), "event_id"))
+
+
 def ingest_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "lines")
     _log_events(spark, sf_dir).write.json(path)
@@ -77,16 +182,19 @@ def ingest_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_variant(events)
 
 
-def ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dotted headers; every cell is text until the declared type is applied."""
-    path = scratch_path(spark, "csv")
-    events = _log_events(spark, sf_dir)
+def _flat_csv(events: DataFrame) -> DataFrame:
     flat = [F.col(c) for c in events.columns if c != "userIdentity"]
     identity = [
         F.col(f"userIdentity.{f}").alias(f"userIdentity.{f}")
         for f in events.schema["userIdentity"].dataType.names
     ]
-    events.select(*flat, *identity).write.csv(path, header=True)
+    return events.select(*flat, *identity)
+
+
+def ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dotted headers; every cell is text until the declared type is applied."""
+    path = scratch_path(spark, "csv")
+    _flat_csv(_log_events(spark, sf_dir)).write.csv(path, header=True)
     rows = IN.read_csv_events(spark, path)
     return _read_back(rows, F.col("event_id").cast("bigint"), F.col("label").cast("int"))
 
@@ -260,7 +368,8 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_json, ingest_jsonl, ingest_csv, ingest_quarantine, line_numbers, poll_payloads,
+        ingest_json, ingest_shapes, ingest_mixed, ingest_documents_quarantine, ingest_errors,
+        labelled_file, ingest_jsonl, ingest_csv, ingest_quarantine, line_numbers, poll_payloads,
         export_csv, export_json, append_incidents, cleared_incidents, cached_dataset,
         stream_scoring, stream_dedupe, stream_cap, stream_lifecycle,
     )

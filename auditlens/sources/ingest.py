@@ -119,7 +119,11 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     wrapped event ({"audit_log": {...}}). A JSON document cannot be split, so one
     file is one task; members that are no objects are left out.
     """
-    return expand_documents(
+    return expand_documents(_documents(spark, path))
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    return (
         spark.read.option("singleVariantColumn", "doc")
         .option("multiLine", True)
         .json(path)
@@ -128,13 +132,44 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_document_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The same for files with one whole document per line, which Spark can split."""
-    lines = read_lines(spark, path).withColumn("doc", F.try_parse_json("value"))
-    return expand_documents(lines.filter(F.col("doc").isNotNull()).select("file", "doc"))
+    """The same for files with one whole document per line, which Spark can split.
+
+    What is no document is in rejected_documents of the same lines.
+    """
+    return expand_documents(document_lines(spark, path))
+
+
+def document_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value, doc) of the lines that are not blank; doc is null for a broken one."""
+    lines = read_lines(spark, path).filter(F.trim("value") != "")
+    return lines.select("file", "value", F.try_parse_json("value").alias("doc"))
+
+
+def rejected_documents(documents: DataFrame) -> DataFrame:
+    """(file, reason) of documents, and of members of documents, that hold no event."""
+    broken = documents.filter(F.col("doc").isNull()).select("file", F.lit("not JSON").alias("reason"))
+    members = _members(documents.filter(F.col("doc").isNotNull()))
+    whole = members.filter(F.size("events") == 0).select("file", F.lit("no event").alias("reason"))
+    parts = members.select("file", F.explode("events").alias("event"))
+    return broken.unionByName(whole).unionByName(
+        parts.filter(~F.coalesce(is_object(F.col("event")), F.lit(False))).select(
+            "file", F.lit("not an object").alias("reason")
+        )
+    )
 
 
 def expand_documents(documents: DataFrame) -> DataFrame:
     """Event objects of JSON documents (file, doc)."""
+    return (
+        _members(documents.filter(F.col("doc").isNotNull()))
+        .select("file", F.posexplode("events").alias("pos", "event"))
+        .filter(is_object(F.col("event")))
+        .select("file", (F.col("pos") + 1).cast("bigint").alias("row"), "event")
+    )
+
+
+def _members(documents: DataFrame) -> DataFrame:
+    """(file, events): what each document holds as a list."""
     kind = F.schema_of_variant("doc")
     records = F.try_variant_get("doc", "$.Records", "variant")
     has_records = F.coalesce(F.schema_of_variant(records).startswith("ARRAY"), F.lit(False))
@@ -145,13 +180,8 @@ def expand_documents(documents: DataFrame) -> DataFrame:
         "$",
         "array<variant>",
     )
-    single = F.when(is_wrapped, wrapped).when(is_object(F.col("doc")), F.col("doc"))
-    events = documents.select("file", F.coalesce(members, F.array(single)).alias("events"))
-    return (
-        events.select("file", F.posexplode("events").alias("pos", "event"))
-        .filter(is_object(F.col("event")))
-        .select("file", (F.col("pos") + 1).cast("bigint").alias("row"), "event")
-    )
+    single = F.when(is_wrapped, wrapped).otherwise(F.col("doc"))
+    return documents.select("file", F.coalesce(members, F.array(single)).alias("events"))
 
 
 def read_json_events(spark: SparkSession, path: str, ingest_time: str | None = None) -> DataFrame:
@@ -319,29 +349,46 @@ def format_of(name: str) -> str:
     return "jsonl" if re.search(r"\.(jsonl|ndjson)$", lower) else "json"
 
 
+def _with_broken(good: DataFrame, bad: DataFrame, keep: bool) -> DataFrame:
+    """Adds what holds no event as rows that have only a file and an error."""
+    if not keep:
+        return good
+    rows = bad.select("file", F.col("reason").alias("error"))
+    return good.unionByName(rows, allowMissingColumns=True)
+
+
 def read_events(
-    spark: SparkSession, path: str, fmt: str = "auto", ingest_time: str | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str = "auto",
+    ingest_time: str | None = None,
+    keep_broken: bool = False,
 ) -> DataFrame:
     """Events of files of one format, or by extension of mixed files in a folder.
 
     With fmt='auto' every format reads only the files it stands for; file names
-    are matched while listing, so no name list passes through the driver.
+    are matched while listing, so no name list passes through the driver. With
+    keep_broken lines and documents that hold no event are error rows; else they are
+    left out, and only parse_lines and rejected_documents show them.
     """
-    if fmt == "json":
-        return read_json_events(spark, path, ingest_time)
-    if fmt == "jsonl":
-        return read_jsonl_events(spark, path, ingest_time)[0]
     if fmt == "csv":
         return read_csv_events(spark, path, ingest_time)
+
+    def from_documents(docs: DataFrame) -> DataFrame:
+        events = with_event_columns(expand_documents(docs), "event", ingest_time)
+        return _with_broken(events, rejected_documents(docs), keep_broken)
+
+    def from_lines(lines: DataFrame) -> DataFrame:
+        good, bad = parse_lines(lines)
+        return _with_broken(with_event_columns(good, "event", ingest_time), bad, keep_broken)
+
+    if fmt == "json":
+        return from_documents(_documents(spark, path))
+    if fmt == "jsonl":
+        return from_lines(read_lines(spark, path))
     lines = spark.read.option("pathGlobFilter", LINES_GLOB).text(path)
-    frames = [
-        with_event_columns(
-            read_json_documents(spark, path).filter(~F.lower("file").rlike(OTHER_NAMES)),
-            "event",
-            ingest_time,
-        ),
-        with_event_columns(parse_lines(_placed(lines))[0], "event", ingest_time),
-    ]
+    others = _documents(spark, path).filter(~F.lower("file").rlike(OTHER_NAMES))
+    frames = [from_documents(others), from_lines(_placed(lines))]
     if not spark.read.format("binaryFile").option("pathGlobFilter", CSV_GLOB).load(path).select(
         "path"
     ).isEmpty():

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from auditlens import constants as K
 from auditlens.functions.features import with_features
+from auditlens.functions.labels import with_label, with_variant_label
 from auditlens.session import shared_dir
+from auditlens.sources import ingest
 
 
 class DatasetError(ValueError):
@@ -122,6 +124,23 @@ def check(
     return totals.withColumn("problem", problem)
 
 
+def read(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
+    """Files of labelled events, featurised: label, label_key, shape and error per row.
+
+    Labels of JSON events are resolved cell by cell, those of CSV columns by their text.
+    Lines that hold no event are rows with an error and without a label, so that a report
+    counts them.
+    """
+    events = ingest.read_events(spark, path, fmt, keep_broken=True)
+    labelled = (
+        with_variant_label(events) if "event" in events.columns else with_label(events)
+    )
+    failed = F.col("error")
+    return featurise(labelled.withColumnRenamed("error", "_error")).withColumn(
+        "error", F.coalesce("_error", failed)
+    )
+
+
 def load(rows: DataFrame, order: str) -> DataFrame:
     """Usable labelled rows; raises DatasetError with the first problem found."""
     problem = check(report(rows, order)).first().problem
