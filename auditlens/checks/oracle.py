@@ -862,6 +862,8 @@ r AS (SELECT count(*) AS rows_total, count(label) AS rows_used,
 o AS (SELECT user_id, count(*) AS n FROM ev GROUP BY user_id ORDER BY n DESC, user_id LIMIT 1)""",
         "SELECT user_id, n AS cleared, (SELECT count(*) FROM ev) - n AS left,"
         " 0::BIGINT AS left_of_owner FROM o"),
+    "incident_lookup": on(INCIDENTS, "SELECT id, user_id, event_name, principal, predicted_class,"
+        " confidence FROM inc ORDER BY user_id, id LIMIT 1"),
     "cached_dataset": CORE["class_availability"],
     "stream_scoring": on(VD, "SELECT event_id, predicted_class, confidence, action_status FROM vd"),
     "stream_dedupe": on(VD, "SELECT event_id, predicted_class, confidence FROM vd"),

@@ -16,10 +16,14 @@ def ranked(values: dict[str, tuple[int, str]], k: int) -> Column:
     value. The ranking happens inside the row, so nothing is shuffled.
     """
     entries = ", ".join(
-        f"named_struct('key', -abs({v}), 'tie', -{i}, 'value', {v}, 'feature', '{f}')"
+        f"named_struct('tie', -{i}, 'value', {v}, 'feature', '{f}')"
         for f, (i, v) in values.items()
     )
-    return F.expr(f"""transform(slice(array_sort(array({entries})), 1, {k}), e -> named_struct(
+    keyed = (
+        f"transform(array({entries}), e -> named_struct("
+        "'key', -abs(e.value), 'tie', e.tie, 'value', e.value, 'feature', e.feature))"
+    )
+    return F.expr(f"""transform(slice(array_sort({keyed}), 1, {k}), e -> named_struct(
         'feature', e.feature,
         'shap_value', round(e.value, 4),
         'contribution', round(abs(e.value), 4),

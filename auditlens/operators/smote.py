@@ -91,15 +91,28 @@ def _pivots(pts: DataFrame, block: int, most: int) -> dict[int, np.ndarray]:
 
 
 def nearest_neighbours(
-    pts: DataFrame, k: int, block: int = 2000, most_pivots: int = 4096
+    pts: DataFrame,
+    k: int,
+    block: int = 2000,
+    most_pivots: int = 4096,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """The k nearest other points of the same class for every point, exactly.
 
     pts comes from points() and should be a written table. Gives (label, vid,
-    nvid, dist) with the squared distance. What is sent to all tasks is the
-    pivots and the cells' boxes: at most most_pivots of each per class.
+    nvid, dist) with the squared distance; with wanted (label, vid), only for
+    these points, so that the work follows what is needed. What is sent to all
+    tasks is the pivots and the cells' boxes: at most most_pivots of each per class.
     """
     pivots = _pivots(pts, block, most_pivots)
+    flagged = pts.select("label", "vid", "vec", F.lit(True).alias("wanted"))
+    if wanted is not None:
+        marks = wanted.select("label", "vid").distinct().withColumn("wanted", F.lit(True))
+        flagged = (
+            pts.select("label", "vid", "vec")
+            .join(marks, ["label", "vid"], "left")
+            .withColumn("wanted", F.col("wanted").isNotNull())
+        )
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,8 +123,8 @@ def nearest_neighbours(
             yield pdf.assign(cell=cells)
 
     celled = materialise(
-        pts.select("label", "vid", "vec").mapInPandas(
-            to_cells, "label int, vid string, vec array<double>, cell int"
+        flagged.mapInPandas(
+            to_cells, "label int, vid string, vec array<double>, wanted boolean, cell int"
         ),
         "cells",
     )
@@ -139,12 +152,13 @@ def nearest_neighbours(
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
         """The distance of the k-th neighbour inside the chunk, an upper bound."""
-        dist = _distances(_matrix(pdf.vec), _matrix(pdf.vec))
-        np.fill_diagonal(dist, np.inf)
-        within = np.full(len(pdf), np.inf)
-        if len(pdf) > k:
+        probes = pdf[pdf.wanted.to_numpy(bool)]
+        within = np.full(len(probes), np.inf)
+        if len(probes) and len(pdf) > k:
+            dist = _distances(_matrix(probes.vec), _matrix(pdf.vec))
+            dist[np.arange(len(probes)), pdf.index.get_indexer(probes.index)] = np.inf
             within = np.partition(dist, k - 1, axis=1)[:, k - 1]
-        return pdf.assign(bound=within)[["label", "vid", "vec", "bound"]]
+        return probes.assign(bound=within)[["label", "vid", "vec", "bound"]]
 
     bounded = resident.groupBy("label", "cell", "chunk").applyInPandas(
         bound, "label int, vid string, vec array<double>, bound double"
@@ -161,20 +175,22 @@ def nearest_neighbours(
                     near = (gap * gap).sum(axis=1) <= group.bound.to_numpy() * (1 + 1e-9)
                     hit = group[near]
                     for part in range(n if len(hit) else 0):
-                        yield hit[["label", "vid", "vec"]].assign(cell=cell, chunk=part)
+                        yield hit[["label", "vid"]].assign(cell=cell, chunk=part)
 
+    # Written without the vectors: a point has one row for each chunk it may reach.
     probes = materialise(
-        bounded.mapInPandas(
-            reach, "label int, vid string, vec array<double>, cell int, chunk int"
-        ),
-        "probes",
+        bounded.mapInPandas(reach, "label int, vid string, cell int, chunk int"), "probes"
     )
     # Probes of a popular chunk are split too; its residents go to every part.
     busy = probes.groupBy("label", "cell", "chunk").agg(
         F.ceil(F.count("*") / block).cast("int").alias("parts")
     )
     part = F.pmod(F.xxhash64("vid", F.lit(1)), F.col("parts")).cast("int")
-    left = probes.join(busy, ["label", "cell", "chunk"]).withColumn("part", part)
+    left = (
+        probes.join(busy, ["label", "cell", "chunk"])
+        .withColumn("part", part)
+        .join(pts.select("label", "vid", "vec"), ["label", "vid"])
+    )
     right = resident.join(busy, ["label", "cell", "chunk"]).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
@@ -189,13 +205,15 @@ def nearest_neighbours(
     return found.withColumn("_rn", nearest).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def neighbour_choices(pts: DataFrame, k: int, **bounds: int) -> DataFrame:
-    """Per point an array of (until, vec): the choice below `until` is this vector.
+def neighbour_choices(
+    pts: DataFrame, k: int, wanted: DataFrame | None = None, **bounds: int
+) -> DataFrame:
+    """Per (wanted) point an array of (until, vec): the choice below `until` is this vector.
 
     The copies of a point are its nearest neighbours, and a neighbour counts as
     often as it has copies, up to k choices in all.
     """
-    near = nearest_neighbours(pts, k, **bounds)
+    near = nearest_neighbours(pts, k, wanted=wanted, **bounds)
     other = pts.select(
         "label", F.col("vid").alias("nvid"), F.col("vec").alias("nvec"), F.col("copies")
     )
@@ -233,7 +251,6 @@ def smote(
         return base
     thin = original.filter(F.col("label").isin(*missing))
     pts = materialise(points(thin, columns), "points")
-    choices = neighbour_choices(pts, k, **bounds)
 
     # Every missing row draws a row of its class, one of k neighbours and a step.
     deficit, size = F.lit(0), F.lit(0)
@@ -267,9 +284,12 @@ def smote(
         "row_id",
         seed,
     )
-    drawn = draws.join(ranked.select("label", "rank", "vid", "vec"), ["label", "rank"]).join(
-        choices, ["label", "vid"]
+    # Only points that were drawn need their neighbours.
+    picked = materialise(
+        draws.join(ranked.select("label", "rank", "vid", "vec"), ["label", "rank"]), "drawn"
     )
+    choices = neighbour_choices(pts, k, wanted=picked, **bounds)
+    drawn = picked.join(choices, ["label", "vid"])
     other = F.element_at(F.filter("choices", lambda c: c["until"] > F.col("pick")), 1)["nvec"]
     moved = drawn.select("label", "step", "vec", other.alias("other"))
     step = [

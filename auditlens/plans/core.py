@@ -355,10 +355,10 @@ def incident_list(
 
 
 def incident_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first incident of every owner, looked up by owner and id."""
-    all_rows = FR.incidents(spark, sf_dir)
-    wanted = all_rows.groupBy("user_id").agg(F.min("id").alias("id"))
-    return _flat_incidents(all_rows.join(wanted, ["user_id", "id"]))
+    """The first incident of every owner, in one aggregation."""
+    rows = _flat_incidents(FR.incidents(spark, sf_dir))
+    first = rows.groupBy("user_id").agg(F.min_by(F.struct("*"), "id").alias("first"))
+    return first.select("first.*")
 
 
 def incident_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,20 +291,29 @@ def append_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleared_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after the busiest owner cleared their history, with the count removed."""
-    path, after = scratch_path(spark, "incidents"), scratch_path(spark, "incidents")
+    path = scratch_path(spark, "incidents")
     ST.append(FR.incidents(spark, sf_dir), path)
     owner = (
         ST.read(spark, path).groupBy("user_id").count()
         .orderBy(F.desc("count"), "user_id").first().user_id
     )
-    gone = ST.clear(spark, path, owner, after)
-    return ST.read(spark, after).agg(
+    gone = ST.remove_owner(spark, path, owner)
+    return ST.read(spark, path).agg(
         F.lit(owner).cast("bigint").alias("user_id"), F.lit(gone).cast("bigint").alias("cleared"),
         F.count("*").alias("left"),
         F.count_if(F.col("user_id") == owner).alias("left_of_owner"),
     )
 
 
+def incident_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored incident by owner and id: only the owner's bucket is read."""
+    path = scratch_path(spark, "incidents")
+    ST.append(FR.incidents(spark, sf_dir), path)
+    first = audit_events(spark, sf_dir).agg(F.min(F.struct("user_id", "event_id")).alias("k")).first().k
+    found = ST.read(spark, path, first.user_id).filter(F.col("id") == first.event_id)
+    return found.select("id", "user_id", "event_name", "principal", "predicted_class", "confidence")
+
+
 def cached_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Availability out of a parquet copy that is made once and then reused."""
     table = f"{sf_dir}/events.parquet"
@@ -370,7 +379,8 @@ QUERIES = {
     for f in (
         ingest_json, ingest_shapes, ingest_mixed, ingest_documents_quarantine, ingest_errors,
         labelled_file, ingest_jsonl, ingest_csv, ingest_quarantine, line_numbers, poll_payloads,
-        export_csv, export_json, append_incidents, cleared_incidents, cached_dataset,
+        export_csv, export_json, append_incidents, cleared_incidents, incident_lookup,
+        cached_dataset,
         stream_scoring, stream_dedupe, stream_cap, stream_lifecycle,
     )
 }

@@ -28,10 +28,6 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FR.featured(spark, sf_dir).select("event_id", "label", *FEATURES)
 
 
-def _without_real_signal(df: DataFrame) -> DataFrame:
-    return df.withColumns({f: F.lit(0.0) for f in K.REAL_SIGNAL_FEATURES})
-
-
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights for every alpha of the sweep."""
     events = audit_events(spark, sf_dir)
@@ -93,16 +89,17 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions with and without the four real-signal features."""
-    rows = _labelled(spark, sf_dir)
-    scored = [
-        linear_verdicts(frame).select(
-            F.lit(arm).alias("arm"), "event_id", "label", "predicted_class"
-        )
-        for arm, frame in (("with", rows), ("without", _without_real_signal(rows)))
-    ]
-    return scored[0].unionByName(scored[1])
+def _arms(rows: DataFrame) -> DataFrame:
+    """Predictions with and without the four real-signal features, scored in one pass."""
+    arms = rows.withColumn("arm", F.explode(F.array(F.lit("with"), F.lit("without"))))
+    blanked = arms.withColumns(
+        {
+            f: F.when(F.col("arm") == "with", F.col(f)).otherwise(F.lit(0.0))
+            for f in K.REAL_SIGNAL_FEATURES
+        }
+    )
+    kept = [c for c in ("arm", "event_id", "label", "fold") if c in blanked.columns]
+    return linear_verdicts(blanked).select(*kept, "predicted_class")
 
 
 def confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +116,7 @@ def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of several predictors, among them always predicting benign."""
-    arms = _arms(spark, sf_dir)
+    arms = _arms(_labelled(spark, sf_dir))
     benign = audit_events(spark, sf_dir).select(
         F.lit("always_benign").alias("arm"), "event_id", "label",
         F.lit(0).alias("predicted_class"),
@@ -129,8 +126,7 @@ def model_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folds = R.kfold(audit_events(spark, sf_dir).select("event_id", "label"), "label", "event_id")
-    return _arms(spark, sf_dir).join(folds.select("event_id", "fold"), "event_id")
+    return _arms(R.kfold(_labelled(spark, sf_dir), "label", "event_id"))
 
 
 def cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +140,7 @@ def pooled_class_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recipe_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = ME.confusion_cells(_arms(spark, sf_dir), ["arm"])
+    cells = ME.confusion_cells(_arms(_labelled(spark, sf_dir)), ["arm"])
     return ME.arm_deltas(
         ME.per_class(cells, ["arm"]), "without", "with", ["precision", "recall", "f1"],
         ["class_id"],

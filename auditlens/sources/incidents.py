@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from auditlens import constants as K
 from auditlens.functions.text import class_label, lookup, one_decimal, strip_arn
+from auditlens.session import exists
 
 BUCKETS = 64
 
@@ -129,12 +130,39 @@ def append(incidents: DataFrame, path: str) -> None:
     )
 
 
+REMOVALS = "user_id bigint, up_to bigint"
+
+
 def read(spark: SparkSession, path: str, user_id: int | None = None) -> DataFrame:
+    """Stored incidents without the removed ones; of one owner, from one bucket only."""
     table = spark.read.schema(f"{COLUMNS}, owner_bucket int").parquet(path)
     if user_id is not None:
         mine = owner_bucket(F.lit(user_id))
         table = table.filter((F.col("owner_bucket") == mine) & (F.col("user_id") == user_id))
-    return table.drop("owner_bucket")
+    table = table.drop("owner_bucket")
+    if not exists(spark, f"{path}-removed"):
+        return table
+    removed = spark.read.schema(REMOVALS).parquet(f"{path}-removed")
+    last = removed.groupBy("user_id").agg(F.max("up_to").alias("_up_to"))
+    return (
+        table.join(last, "user_id", "left")
+        .filter(F.col("_up_to").isNull() | (F.col("id") > F.col("_up_to")))
+        .select(*table.columns)
+    )
+
+
+def remove_owner(spark: SparkSession, path: str, user_id: int) -> int:
+    """Hides an owner's incidents so far by one appended row; returns how many they are.
+
+    Only the owner's bucket is read and nothing is rewritten; `clear` drops the rows.
+    """
+    mine = read(spark, path, user_id).agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    found = mine.first()
+    if found.n:
+        spark.createDataFrame([(user_id, found["last"])], REMOVALS).coalesce(1).write.mode(
+            "append"
+        ).parquet(f"{path}-removed")
+    return found.n
 
 
 def latest_state(incidents: DataFrame, changes: DataFrame) -> DataFrame:

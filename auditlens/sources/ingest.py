@@ -52,8 +52,9 @@ def with_event_columns(df: DataFrame, v: str, ingest_time: str | None = None) ->
     """Event columns of a variant column that holds one event object per row.
 
     An event without a time gets ingest_time (wall clock, fixed by the caller so
-    that a replay gives the same result); with a time that cannot be read, or a
-    number field that is no number, the row gets an error instead of a verdict.
+    that a replay gives the same result); without one, with a time that cannot be
+    read, or with a number field that is no number, the row gets an error instead of
+    a verdict.
     """
     event = F.col(v)
     resources = F.try_variant_get(event, "$.accessed_resources", "variant")
@@ -93,7 +94,7 @@ def with_event_columns(df: DataFrame, v: str, ingest_time: str | None = None) ->
 
 
 def _with_time_and_error(read: DataFrame, ingest_time: str | None) -> DataFrame:
-    default = F.lit(ingest_time).cast("timestamp_ntz") if ingest_time else F.localtimestamp()
+    default = F.lit(ingest_time).cast("timestamp_ntz")
     timed = read.withColumns(
         {
             "event_time": F.when(F.col("_has_time"), times.wall_clock(F.col("eventTime")))
@@ -102,7 +103,10 @@ def _with_time_and_error(read: DataFrame, ingest_time: str | None) -> DataFrame:
             .otherwise(default.cast("timestamp")),
         }
     )
-    error = F.when(F.col("event_time").isNull(), "unparsable event time").when(
+    absent = F.col("event_time").isNull()
+    error = F.when(~F.col("_has_time") & absent, "no event time and no ingest time").when(
+        absent, "unparsable event time"
+    ).when(
         F.size("_bad_numbers") > 0,
         F.concat(F.lit("non-numeric: "), F.array_join("_bad_numbers", ", ")),
     )
