@@ -30,9 +30,7 @@ TOKEN = re.compile(
     r"(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+(?:>|\Z)|[^>]*(?:>|\Z))",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(
-    r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I
-)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,18 +45,21 @@ ASIDE = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 #: Parts of a class or id that mark an element as no article text, wherever it stands.
 STRONG = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored "
-    "sponsors promo promotion promoted comment comments disqus replies respond cookie cookies "
-    "consent gdpr share sharing social related recommended recommendations newsletter subscribe "
-    "subscription signup popup modal overlay footer sidebar sidenav menu nav navbar navigation "
-    "breadcrumb breadcrumbs pagination pager copyright disclaimer notice notices notification "
-    "paywall login skip".split()
+    "ad ads adv adsense share sharing social related recommended recommendations subscribe "
+    "subscription signup modal overlay footer sidenav menu nav navbar navigation pagination pager "
+    "copyright disclaimer notice notices notification consent gdpr paywall login skip replies "
+    "respond".split()
 )
+#: Stems: a part that begins or ends with one is such a part too.
+STEMS = (
+    "comment", "advert", "sponsor", "sidebar", "cookie", "newsletter", "breadcrumb", "disqus",
+    "popup", "promo", "banner", "comments", "navbar", "topmenu", "mainmenu",
+)
 #: The same, unless it stands in the article or the name also speaks of content.
-WEAK = frozenset("header masthead topbar toolbar banner widget widgets alert tools search".split())
+WEAK = frozenset("header masthead topbar toolbar widget widgets alert tools search".split())
 CONTENT = frozenset("content article post entry main story body text".split())
-#: A name such as has-sidebar or no-ads describes the page, not the element.
-MODIFIERS = frozenset("has with no without is wrapper container layout page".split())
+#: A name such as has-sidebar or no-ads describes what the element holds.
+MODIFIERS = frozenset("has with no without is".split())
 ARTICLE = frozenset(("article", "main"))
 CONTAINERS = frozenset(("article", "main", "body", "html"))
 #: An opening tag of the second kind ends an open element of the first.
@@ -92,9 +93,14 @@ def no_article(name: str, attrs: str, inside: bool) -> bool:
         return True
     for label in f"{found.get('class', '')} {found.get('id', '')}".split():
         parts = {p.lower() for p in PART.findall(label)}
-        if parts & MODIFIERS or name in ARTICLE and not parts & {"comment", "comments"}:
+        comment = any(p.startswith("comment") for p in parts)
+        if parts & MODIFIERS or name in ARTICLE and not comment:
+            continue
+        if "content" in parts and "sidebar" in parts:  # holds both
             continue
-        if parts & STRONG or parts & WEAK and not inside and not parts & CONTENT:
+        if parts & STRONG or any(p.startswith(STEMS) or p.endswith(STEMS) for p in parts):
+            return True
+        if parts & WEAK and not inside and not parts & CONTENT:
             return True
     return False
 
@@ -172,8 +178,12 @@ def lines_of(page: str) -> Lines:
         if name in VOID or match["attrs"].endswith("/>"):
             continue
         now = skipped or no_article(name, match["attrs"], inside), inside or name in ARTICLE
-        if now != (skipped, inside) and not skipped:
-            lines.gap(inside)
+        if skipped and name in ARTICLE and not any(lines.inside):
+            # The first article inside a div that should be none: the div was not closed.
+            root = next(e[0] for e in stack if e[1])
+            now = root not in ("div", "section") or no_article(name, match["attrs"], inside), True
+        if now != (skipped, inside):
+            lines.gap(inside and not skipped)
         stack.append((name, *now))
         opened[name] += 1
     _, skipped, inside = stack[-1]

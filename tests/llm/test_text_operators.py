@@ -235,6 +235,11 @@ MAIN = (
         ("<p>a < b and c > d &am &amp</p>", "a < b and c > d &am &"),
         ("", ""),
         ("<div class='ad'>only</div>", ""),
+        ("<div class='ad'>unclosed <article><p>a</p></article>", "a"),
+        ("<section class=comments><article class=comment>c</article></section><main>m</main>", "m"),
+        ("<p title='hidden nav'>a <span class='hidden-xs'>b</span></p><p hidden>c</p>", "a b"),
+        ("<div class='content-sidebar-wrap'><p>a</p><ol class=commentlist><li>c</ol></div>", "a"),
+        ("<div class=page-header>h</div><article><header><h1>t</h1></header>x</article>", "t x"),
         ("<article><p>cut in a <b", "cut in a"),
     ],
 )
