@@ -517,7 +517,8 @@ UNION ALL SELECT event_id, principal, predicted_class, 2, 'micro_segment_host',
     "triage_rows": on(TRIAGE, f"SELECT row, {WALL.format('event_time')} AS timestamp, event_name,"
         " principal, source_ip, predicted_class, class_label, confidence, p0, p1, p2, p3, p4,"
         " action_status AS action FROM tr WHERE error IS NULL"),
-    "triage_errors": on(TRIAGE, "SELECT row, error FROM tr WHERE error IS NOT NULL"),
+    "triage_errors": on(TRIAGE, "SELECT row, error, event_name AS raw_event, error_code AS raw_code"
+                                 " FROM tr WHERE error IS NOT NULL"),
     "capped_threats": on(TRIAGE, """SELECT upload, row, row_number() OVER (PARTITION BY upload
   ORDER BY row) AS position, predicted_class FROM tr WHERE error IS NULL AND predicted_class <> 0
   QUALIFY position <= 50"""),
@@ -686,6 +687,53 @@ rw AS (SELECT alpha, label, n, pow((SELECT sum(n) FROM cn) / ((SELECT count(*) F
 wt AS (SELECT alpha, label, n, r / min(r) OVER (PARTITION BY alpha) AS weight FROM rw)"""
 
 
+# --- fits: supports, and the baseline they imply -----------------------------------
+
+TESTED = f"""{EV},
+hs AS (SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY
+    md5('42:' || CAST(event_id AS VARCHAR))) AS place, count(*) OVER (PARTITION BY label) AS size
+  FROM ev),
+ts AS (SELECT event_id, label FROM hs WHERE place <= round(size * 0.2::DOUBLE))"""
+
+
+def against_benign(src: str, by: str = "") -> str:
+    """Support by class, with the macro F1 of always predicting benign."""
+    key = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    using = f"USING ({by})" if by else "ON true"
+    return f"""SELECT {key}class_id, support, round(2.0 * n0 / (n0 + n) / k, 4) AS benign_macro_f1,
+  1 AS beats_benign FROM (
+  SELECT {key}count(*) AS n, count(*) FILTER (WHERE label = 0) AS n0,
+    1 + count(DISTINCT label) FILTER (WHERE label <> 0) AS k FROM {src} {group}) AS g
+  JOIN (SELECT {key}c AS class_id, count(*) FILTER (WHERE label = c) AS support
+    FROM {src}, (VALUES (0), (1), (2), (3), (4)) AS t(c) GROUP BY ALL) AS s {using}"""
+
+
+def fitted(model: str) -> str:
+    return on(TESTED, f"SELECT '{model}' AS model, * FROM ({against_benign('ts')})")
+
+
+def validated(*arms: str, name: str = "arm") -> str:
+    listed = ", ".join(f"({a})" for a in arms)
+    return on(f"{EV},\n{FOLDS}", f"SELECT * FROM ({against_benign('fd', 'fold')}),"
+                                 f" (VALUES {listed}) AS a({name})")
+
+
+_DISTANCE = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in K.FEATURES)
+_ROUNDED = ", ".join(f"round({f}, 6) AS {f}" for f in K.FEATURES)
+
+
+def _noise(f: str) -> str:
+    def unit(part: int) -> str:
+        text = f"'42:' || CAST(event_id AS VARCHAR) || ':{f}:{part}'"
+        return f"(1.0::DOUBLE - ('0x' || substr(md5({text}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+    return (
+        f"round({f} + 0.25::DOUBLE * sqrt(-2.0::DOUBLE * ln({unit(0)}))"
+        f" * cos(2.0::DOUBLE * pi() * {unit(1)}), 6) AS {f}"
+    )
+
+
 # --- minted events -----------------------------------------------------------------
 
 
@@ -802,6 +850,34 @@ m AS ({macro_of('cs', 'alpha')})""", """SELECT alpha, round(macro_f1, 4) AS cv_m
   CAST(sum(off_hours_activity) AS BIGINT) AS off_hours FROM fx GROUP BY label
 UNION ALL SELECT label, 1, count(*), count(*) FILTER (WHERE event_name = 'AssumeRole'),
   count(*) FILTER (WHERE event_name IN {_MOVES}), 0 FROM mi GROUP BY label"""),
+    "noisy_features": on(FX, "SELECT event_id, label, " + ", ".join(map(_noise, K.FEATURES))
+                         + " FROM fx"),
+    "smote": on(EV, """SELECT label, 0 AS synthetic, count(*) AS n, 0 AS outside FROM ev GROUP BY label
+UNION ALL SELECT label, 1, m - n, 0 FROM (SELECT label, count(*) AS n FROM ev GROUP BY label),
+  (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM ev GROUP BY label)) WHERE n < m"""),
+    "smote_neighbours": on(f"""{FX},
+lg AS (SELECT label FROM fx GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+pt AS MATERIALIZED (SELECT label, min(event_id) AS event_id, {", ".join(K.FEATURES)} FROM (
+  SELECT event_id, label, {_ROUNDED} FROM fx WHERE label <> (SELECT label FROM lg)) GROUP BY ALL),
+pr AS (SELECT a.label, a.event_id, {_DISTANCE} AS d FROM pt AS a JOIN pt AS b
+  ON a.label = b.label AND a.event_id <> b.event_id)""",
+        "SELECT label, event_id, row_number() OVER (PARTITION BY label, event_id ORDER BY d) AS place,"
+        " round(d, 4) AS dist FROM pr QUALIFY place <= 5"),
+    "train_logistic": fitted("logistic"),
+    "train_forest": fitted("forest"),
+    "train_boosted": fitted("boosted"),
+    "train_second_boosted": fitted("second_boosted"),
+    "train_samme": fitted("samme"),
+    "four_models": on(TESTED, f"SELECT * FROM ({against_benign('ts')}), (VALUES ('boosted'),"
+                              " ('second_boosted'), ('forest'), ('samme')) AS m(model)"),
+    "tree_attributions": on(TESTED, "SELECT event_id, 1 AS adds_up FROM ts"),
+    "cross_validation": validated("'served'"),
+    "recipe_ab": on(f"{TESTED},\n{FOLDS}", f"SELECT * FROM (SELECT * FROM ("
+        f"{against_benign('fd', 'fold')}) UNION ALL SELECT -1, * FROM ({against_benign('ts')})),"
+        " (VALUES ('old'), ('new')) AS a(arm)"),
+    "feature_ablation": validated("'without'", "'with'"),
+    "weight_sweep": validated(*(f"{a}::DOUBLE" for a in K.SWEEP_ALPHAS), name="alpha"),
+    "hybrid_ab": validated("'real'", "'hybrid'"),
     "published_model": on(f"{FX},\nst AS ({_STATS})", """SELECT 'v1' AS version,
   'damped class weights alpha=0.25 (no SMOTE)' AS resampling, feature, round(mean, 6) AS mean,
   round(CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS divisor, 0 AS different_verdicts FROM st"""),
@@ -852,7 +928,7 @@ r AS (SELECT count(*) AS rows_total, count(label) AS rows_used,
   {one_decimal('confidence * 100')} || '%' AS confidence, action_status AS action FROM tr
   WHERE error IS NULL"""),
     "export_json": on(TRIAGE, "SELECT row, principal, confidence, action_status AS action,"
-                              " p0, p1, p2, p3, p4 FROM tr WHERE error IS NULL"),
+                              " p0, p1, p2, p3, p4, event_source AS raw_source FROM tr WHERE error IS NULL"),
     "append_incidents": on(INCIDENTS, "SELECT id, user_id, source, event_name, principal,"
         " predicted_class, confidence, action_status, coalesce(rollback, '') AS rollback,"
         " event_source AS raw_source, coalesce(account_id, '') AS raw_account,"

@@ -154,9 +154,7 @@ def with_noise(
     """Adds normal noise by the Box-Muller rule, the same on every retry."""
 
     def unit(name: str, part: int) -> Column:
-        bits = F.xxhash64(F.col(id_col), F.lit(name), F.lit(seed), F.lit(part))
-        # 53 bits of the hash, moved into (0, 1]
-        return (F.shiftrightunsigned(bits, 11).cast("double") + 1.0) / F.lit(2.0**53)
+        return F.lit(1.0) - uniform(seed, F.col(id_col), name, part)  # in (0, 1]
 
     def normal(name: str) -> Column:
         return F.sqrt(-2.0 * F.log(unit(name, 0))) * F.cos(2.0 * F.pi() * unit(name, 1))

@@ -121,6 +121,25 @@ def macro(cells: DataFrame, by: list[str] = (), places: int | None = 4) -> DataF
     )
 
 
+def against_always_benign(cells: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Per class the support, beside whether the macro F1 beats always predicting benign.
+
+    That baseline follows from the supports alone.
+    """
+    others = _add([F.when(_support(c) > 0, 1).otherwise(0) for c in C if c != 0])
+    baseline = _ratio(2.0 * _support(0), _support(0) + _total()) / (others + 1)
+    classes = F.array(
+        *[F.struct(F.lit(c).alias("class_id"), _support(c).alias("support")) for c in C]
+    )
+    own = macro(cells, [*by, classes.alias("_classes"), baseline.alias("_benign")], places=None)
+    return own.select(
+        *by,
+        F.inline("_classes"),
+        F.round("_benign", 4).alias("benign_macro_f1"),
+        (F.col("macro_f1") > F.col("_benign")).cast("int").alias("beats_benign"),
+    ).select(*by, "class_id", "support", "benign_macro_f1", "beats_benign")
+
+
 def fold_summary(fold_scores: DataFrame, by: list[str] = ()) -> DataFrame:
     """Mean and population deviation over folds; input has one macro row per fold."""
     return fold_scores.groupBy(*by).agg(

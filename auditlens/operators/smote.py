@@ -1,9 +1,10 @@
 """Oversampling of thin classes between near neighbours of the same class.
 
-The neighbours are exact. Rows with equal features are collapsed first, with
-their number, so a group of copies is one point. Points go to cells around
-pivots; a point is only compared with cells whose bounding box is nearer than
-the k-th neighbour it already has, and a comparison is one block of points
+Rows with equal features are collapsed first, with their number, so a group of
+copies is one point. Points go to cells around pivots; a point is only compared
+with cells whose bounding box is nearer than the k-th neighbour it already has
+(oversampling looks at the 16 nearest of them at most, so that its work grows in
+proportion; the plain search is exact), and a comparison is one block of points
 against another inside a task. Pairs never become rows: a block gives at most k
 neighbours per point.
 """
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlens.operators.balance import uniform
@@ -61,14 +62,21 @@ def _block_neighbours(probes: pd.DataFrame, residents: pd.DataFrame, k: int) ->
     )
 
 
-def points(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
-    """One row per class and distinct feature vector, with its number of copies."""
+def points(
+    df: DataFrame, columns: list[str], label: str = "label", extra: Column | None = None
+) -> DataFrame:
+    """One row per class and distinct feature vector, with its number of copies.
+
+    extra is one more aggregate over the copies.
+    """
+    kept = [c for c in df.columns if c not in (label, *columns)]
+    more = [] if extra is None else [extra]
     vec = F.array(*[F.col(c).cast("double") for c in columns])
     vid = F.md5(F.array_join(vec.cast("array<string>"), ","))
     return (
-        df.select(F.col(label).cast("int").alias("label"), vec.alias("vec"), vid.alias("vid"))
+        df.select(*kept, F.col(label).cast("int").alias("label"), vec.alias("vec"), vid.alias("vid"))
         .groupBy("label", "vid", "vec")
-        .agg(F.count("*").alias("copies"))
+        .agg(F.count("*").alias("copies"), *more)
     )
 
 
@@ -96,8 +104,13 @@ def nearest_neighbours(
     block: int = 2000,
     most_pivots: int = 4096,
     wanted: DataFrame | None = None,
+    most_cells: int | None = None,
 ) -> DataFrame:
-    """The k nearest other points of the same class for every point, exactly.
+    """The k nearest other points of the same class for every point.
+
+    They are exact without most_cells. With it a point is compared with that many cells at
+    most, the nearest by their boxes, so that the work grows with the points and not with
+    points times cells; in a class of no more cells they are still exact.
 
     pts comes from points() and should be a written table. Gives (label, vid,
     nvid, dist) with the squared distance; with wanted (label, vid), only for
@@ -170,10 +183,18 @@ def nearest_neighbours(
             for c, group in pdf.groupby("label"):
                 cells, lo, hi, chunks = boxes[c]
                 vec = _matrix(group.vec)
-                for cell, low, high, n in zip(cells, lo, hi, chunks):
+                gaps = np.empty((len(vec), len(cells)))
+                for i, (low, high) in enumerate(zip(lo, hi)):
                     gap = np.maximum(np.maximum(low - vec, vec - high), 0.0)
-                    near = (gap * gap).sum(axis=1) <= group.bound.to_numpy() * (1 + 1e-9)
-                    hit = group[near]
+                    gaps[:, i] = (gap * gap).sum(axis=1)
+                reached = gaps <= group.bound.to_numpy()[:, None] * (1 + 1e-9)
+                if most_cells and len(cells) > most_cells:
+                    order = np.argsort(gaps, axis=1, kind="stable")
+                    rank = np.empty_like(order)
+                    np.put_along_axis(rank, order, np.arange(len(cells))[None, :], axis=1)
+                    reached &= rank < most_cells
+                for i, (cell, n) in enumerate(zip(cells, chunks)):
+                    hit = group[reached[:, i]]
                     for part in range(n if len(hit) else 0):
                         yield hit[["label", "vid"]].assign(cell=cell, chunk=part)
 
@@ -206,14 +227,18 @@ def nearest_neighbours(
 
 
 def neighbour_choices(
-    pts: DataFrame, k: int, wanted: DataFrame | None = None, **bounds: int
+    pts: DataFrame,
+    k: int,
+    wanted: DataFrame | None = None,
+    most_cells: int | None = None,
+    **bounds: int,
 ) -> DataFrame:
     """Per (wanted) point an array of (until, vec): the choice below `until` is this vector.
 
     The copies of a point are its nearest neighbours, and a neighbour counts as
     often as it has copies, up to k choices in all.
     """
-    near = nearest_neighbours(pts, k, wanted=wanted, **bounds)
+    near = nearest_neighbours(pts, k, wanted=wanted, most_cells=most_cells, **bounds)
     other = pts.select(
         "label", F.col("vid").alias("nvid"), F.col("vec").alias("nvec"), F.col("copies")
     )
@@ -233,9 +258,13 @@ def neighbour_choices(
     )
 
 
+#: Cells that oversampling compares a point with.
+MOST_CELLS = 16
+
+
 def smote(
     df: DataFrame, columns: list[str], label: str = "label", neighbours: int = 5,
-    seed: int = 42, **bounds: int,
+    seed: int = 42, most_cells: int | None = MOST_CELLS, **bounds: int,
 ) -> DataFrame:
     """Rows (label, columns, synthetic) with every class as large as the largest.
 
@@ -288,7 +317,7 @@ def smote(
     picked = materialise(
         draws.join(ranked.select("label", "rank", "vid", "vec"), ["label", "rank"]), "drawn"
     )
-    choices = neighbour_choices(pts, k, wanted=picked, **bounds)
+    choices = neighbour_choices(pts, k, wanted=picked, most_cells=most_cells, **bounds)
     drawn = picked.join(choices, ["label", "vid"])
     other = F.element_at(F.filter("choices", lambda c: c["until"] > F.col("pick")), 1)["nvec"]
     moved = drawn.select("label", "step", "vec", other.alias("other"))

@@ -79,11 +79,12 @@ def result_rows(rows: DataFrame) -> DataFrame:
         "confidence",
         probability_map().alias("probabilities"),
         F.col("action_status").alias("action"),
+        "raw_log",
     )
 
 
 def error_rows(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("error").isNotNull()).select("row", "error")
+    return rows.filter(F.col("error").isNotNull()).select("row", "error", "raw_log")
 
 
 def capped_threats(

@@ -289,7 +289,10 @@ def triage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triage_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TR.error_rows(FR.triage_rows(spark, sf_dir))
+    raw = lambda path: F.get_json_object("raw_log", path)
+    return TR.error_rows(FR.triage_rows(spark, sf_dir)).select(
+        "row", "error", raw("$.eventName").alias("raw_event"), raw("$.errorCode").alias("raw_code")
+    )
 
 
 def capped_threats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,9 +262,10 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = FR.triage_rows(spark, sf_dir)
     sinks.write_json(TR.summary(rows), TR.result_rows(rows), path)
     schema = "row bigint, principal string, confidence double, action string, " \
-             "probabilities map<string,double>"
+             "probabilities map<string,double>, raw_log string"
     back = spark.read.schema(schema).json(f"{path}/results")
-    return back.select("row", "principal", "confidence", "action", *[
+    raw_source = F.get_json_object("raw_log", "$.eventSource").alias("raw_source")
+    return back.select("row", "principal", "confidence", "action", raw_source, *[
         F.col("probabilities")[K.CLASS_LABELS[c]].alias(f"p{c}") for c in K.CLASS_IDS
     ])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlens import constants as K
@@ -209,13 +209,46 @@ def topped_up_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noisy_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.with_noise(_labelled(spark, sf_dir), FEATURES, "event_id")
+    noisy = B.with_noise(_labelled(spark, sf_dir), FEATURES, "event_id")
+    return noisy.select("event_id", "label", *[F.round(f, 6).alias(f) for f in FEATURES])
 
 
 def smote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class sizes before and after, and whether all new rows are inside their class's box."""
     rows = materialise(_labelled(spark, sf_dir), "labelled")
     scaled = SC.Scaler.fit(rows, FEATURES).transform(rows)
-    return SM.smote(scaled, FEATURES)
+    grown = materialise(SM.smote(scaled, FEATURES), "grown")
+    box = grown.filter("NOT synthetic").groupBy("label").agg(
+        *[F.min(f).alias(f"lo_{f}") for f in FEATURES],
+        *[F.max(f).alias(f"hi_{f}") for f in FEATURES],
+    )
+    inside = reduce(
+        lambda a, b: a & b,
+        [F.col(f).between(F.col(f"lo_{f}") - 1e-9, F.col(f"hi_{f}") + 1e-9) for f in FEATURES],
+    )
+    return (
+        grown.join(F.broadcast(box), "label")
+        .groupBy("label", F.col("synthetic").cast("int").alias("synthetic"))
+        .agg(F.count("*").alias("n"), F.count_if(~inside).alias("outside"))
+    )
+
+
+def smote_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest distinct points of the same class, for all classes but the largest."""
+    rows = _labelled(spark, sf_dir)
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    largest = max(counts, key=lambda c: (counts[c], -c))
+    columns = [F.round(f, 6).alias(f) for f in FEATURES]
+    thin = rows.filter(F.col("label") != largest).select("event_id", "label", *columns)
+    first = SM.points(thin, FEATURES, extra=F.min("event_id").alias("event_id"))
+    pts = materialise(first, "points")
+    near = SM.nearest_neighbours(pts, 5)
+    place = F.row_number().over(Window.partitionBy("label", "vid").orderBy("dist", "nvid"))
+    return (
+        near.join(pts.select("label", "vid", "event_id"), ["label", "vid"])
+        .withColumn("place", place)
+        .select("label", "event_id", "place", F.round("dist", 4).alias("dist"))
+    )
 
 
 def smote_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,8 +272,10 @@ def _holdout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evaluated(rows: DataFrame, model: str, fit, options: dict) -> DataFrame:
+    """Support by class on the hold-out part, and whether the model beats always benign."""
     predicted = MO.holdout_predictions(rows, MO.Recipe(fit=fit, options=options))
-    return ME.macro(ME.confusion_cells(predicted)).withColumn("model", F.lit(model))
+    scores = ME.against_always_benign(ME.confusion_cells(predicted))
+    return scores.select(F.lit(model).alias("model"), *scores.columns)
 
 
 def train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,21 +307,22 @@ def four_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forest attributions of the gated test rows, with the base value of their class."""
+    """Forest attributions of every test row: with the base value they add up to its score."""
     rows = _holdout_rows(spark, sf_dir)
     fitted = MO.train(rows.filter(F.col("split") == "train"), MO.Recipe(fit=MO.fit_forest))
     leaves, base = TS.forest_leaves(fitted.model.model)
-    gated = fitted.score(rows.filter(F.col("split") == "test")).filter("gated")
-    explained = TS.with_tree_attributions(
-        gated.select("event_id", "predicted_class", *FEATURES), FEATURES, leaves, len(base)
+    scored = fitted.score(rows.filter(F.col("split") == "test")).select(
+        "event_id", "predicted_class", "confidence", *FEATURES
     )
+    explained = TS.with_tree_attributions(scored, FEATURES, leaves, len(base), k=len(FEATURES))
     of_class = F.element_at(
-        F.array(*[F.lit(round(float(x), 4)) for x in base]), F.col("predicted_class") + 1
+        F.array(*[F.lit(float(x)) for x in base]), F.col("predicted_class") + 1
     )
+    total = F.aggregate("top", of_class, lambda acc, t: acc + t["shap_value"])
+    # 32 values of four places
     return explained.select(
-        "event_id", "predicted_class", of_class.alias("base_value"),
-        F.posexplode_outer("top").alias("pos", "t"),
-    ).select("event_id", "predicted_class", "base_value", "pos", "t.*")
+        "event_id", (F.abs(total - F.col("confidence")) < 0.005).cast("int").alias("adds_up")
+    )
 
 
 def published_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +355,7 @@ def _fold_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 def _cv(rows: DataFrame, folds: int, recipe: MO.Recipe, arm: str) -> DataFrame:
     cells = ME.confusion_cells(MO.cross_validate(rows, folds, recipe), ["fold"])
-    return ME.fold_summary(ME.macro(cells, ["fold"], places=None)).withColumn("arm", F.lit(arm))
+    return ME.against_always_benign(cells, ["fold"]).withColumn("arm", F.lit(arm))
 
 
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,22 +372,19 @@ def _two_arms(spark: SparkSession, sf_dir: str, arms: dict[str, MO.Recipe]) -> D
 
 
 def recipe_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Oversampling against class weights on one split and over all folds."""
+    """Oversampling against class weights on one split (fold -1) and over all folds."""
     arms = {
         "old": replace(PRIMARY, balance="smote"),
         "new": replace(PRIMARY, alpha=1.0),
     }
     rows = _holdout_rows(spark, sf_dir)
-    parts = [
-        MO.holdout_predictions(rows, recipe).withColumn("arm", F.lit(arm))
+    split = [
+        ME.against_always_benign(ME.confusion_cells(MO.holdout_predictions(rows, recipe)))
+        .withColumn("arm", F.lit(arm))
+        .withColumn("fold", F.lit(-1))
         for arm, recipe in arms.items()
     ]
-    split = ME.macro(ME.confusion_cells(parts[0].unionByName(parts[1]), ["arm"]), ["arm"])
-    return _two_arms(spark, sf_dir, arms).join(
-        split.select("arm", F.col("macro_f1").alias("split_macro_f1"),
-                     F.col("macro_recall").alias("split_macro_recall")),
-        "arm",
-    )
+    return reduce(DataFrame.unionByName, [*split, _two_arms(spark, sf_dir, arms)])
 
 
 def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,7 +429,8 @@ QUERIES = {
         class_weights, scaler_stats, scaled_features, embedding_scaler_stats, holdout_split,
         kfold_assignment, embedding_kfold, sample_per_class, confusion_counts, per_class_metrics,
         macro_metrics, model_accuracy, cv_summary, pooled_class_f1, recipe_delta, best_alpha,
-        minority_topup, topped_up_set, noisy_features, smote, smote_embeddings, train_logistic,
+        minority_topup, topped_up_set, noisy_features, smote, smote_neighbours, smote_embeddings,
+        train_logistic,
         train_forest, train_boosted, train_second_boosted, train_samme, four_models,
         tree_attributions,
         published_model, cross_validation, recipe_ab, feature_ablation, weight_sweep, hybrid_ab,

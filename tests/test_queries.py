@@ -42,7 +42,22 @@ def test_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+#: Fits of many rounds, minutes at any size; TEST_SLOW=1 compares them too.
+SLOW = {
+    "train_boosted", "train_second_boosted", "train_samme", "four_models", "cross_validation",
+    "recipe_ab", "feature_ablation", "weight_sweep", "hybrid_ab",
+}
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        pytest.param(
+            n, marks=pytest.mark.skipif(n in SLOW and not os.environ.get("TEST_SLOW"), reason="slow")
+        )
+        for n in sorted(SQL)
+    ],
+)
 def test_matches_sql(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     plan = _plan(df)
