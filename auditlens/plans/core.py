@@ -18,6 +18,7 @@ from auditlens.operators import gate as G
 from auditlens.operators import triage as TR
 from auditlens.operators.ranking import sample_per_class
 from auditlens.plans import frames as FR
+from auditlens.session import scratch_path
 from auditlens.sources import incidents as ST
 from auditlens.sources import ingest as IN
 from auditlens.sources import labelled as LD
@@ -365,9 +366,12 @@ def incident_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incident_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = ST.latest_state(
-        FR.incidents(spark, sf_dir), FR.incident_changes(spark, sf_dir)
-    )
+    """Stored incidents with the stored changes applied."""
+    path = scratch_path(spark, "incidents")
+    ST.append(FR.incidents(spark, sf_dir), path)
+    stored = ST.read(spark, path)
+    ST.append_changes(FR.changes_of(stored), path)
+    state = ST.latest_state(stored, ST.read_changes(spark, path))
     return state.select(
         "id", "user_id", "action_status", F.coalesce("rollback", F.lit("")).alias("rollback")
     )

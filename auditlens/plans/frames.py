@@ -75,23 +75,27 @@ def decisions(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) ->
     return gate.with_decision(roomed, gate.protected_names())
 
 
-def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incidents of all verdicts; the source follows from the event's user agent."""
-    source = lookup(
+def incident_source() -> Column:
+    """Where an incident comes from, by its event's user agent."""
+    return lookup(
         F.col("userAgent"),
         {"aws-cli/2.13.0": "live", "Boto3/1.34.0 Python/3.11": "upload", "": "scenario"},
         F.lit("live-aws"),
     )
-    return store.from_verdicts(verdicts(spark, sf_dir), source)
 
 
-def incident_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents of all verdicts."""
+    return store.from_verdicts(verdicts(spark, sf_dir), incident_source())
+
+
+def changes_of(incidents: DataFrame) -> DataFrame:
     """Containments that were later confirmed, and some of those reversed.
 
     An incident with a rollback token is confirmed first; where it came in live
-    from the account it is then reversed and its token cleared.
+    from the account it is then reversed and its token cleared. Works on streams too.
     """
-    base = incidents(spark, sf_dir).filter(F.col("rollback").isNotNull())
+    base = incidents.filter(F.col("rollback").isNotNull())
     none = F.lit(None).cast("string")
     confirm = F.struct(
         F.lit(1).cast("bigint").alias("seq"),

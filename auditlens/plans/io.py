@@ -329,8 +329,12 @@ def cached_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ---------------------------------------------------------------------
 
 
+#: Files of one micro-batch, which bounds what a stateful task holds at a time.
+FILES_PER_BATCH = 64
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.audit_stream(spark, f"{sf_dir}/events.parquet")
+    return jobs.audit_stream(spark, f"{sf_dir}/events.parquet", FILES_PER_BATCH)
 
 
 def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,16 +364,15 @@ def stream_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incidents stored by a stream, with their confirmations and reversals applied."""
-    scored = jobs.score(_stream(spark, sf_dir)).withColumn("principal", X.principal())
-    source = X.lookup(
-        F.col("userAgent"),
-        {"aws-cli/2.13.0": "live", "Boto3/1.34.0 Python/3.11": "upload", "": "scenario"},
-        F.lit("live-aws"),
-    )
-    path = jobs.store_incidents(ST.from_verdicts(scored, source))
-    stored = ST.read(spark, path)
-    state = ST.latest_state(stored, FR.incident_changes(spark, sf_dir))
+    """Incidents stored by one stream, their confirmations and reversals by another."""
+
+    def arriving() -> DataFrame:
+        scored = jobs.score(_stream(spark, sf_dir)).withColumn("principal", X.principal())
+        return ST.from_verdicts(scored, FR.incident_source())
+
+    path = jobs.store_incidents(arriving())
+    jobs.store_changes(FR.changes_of(arriving()), path)
+    state = ST.latest_state(ST.read(spark, path), ST.read_changes(spark, path))
     return state.select(
         "id", "user_id", "action_status", F.coalesce("rollback", F.lit("")).alias("rollback")
     )

@@ -165,6 +165,23 @@ def remove_owner(spark: SparkSession, path: str, user_id: int) -> int:
     return found.n
 
 
+def append_changes(changes: DataFrame, path: str) -> None:
+    """Append change rows beside the incidents, by owner bucket as these are."""
+    (
+        changes.withColumn("owner_bucket", owner_bucket(F.col("user_id")))
+        .hint("rebalance", "owner_bucket")
+        .write.mode("append")
+        .partitionBy("owner_bucket")
+        .parquet(f"{path}-changes")
+    )
+
+
+def read_changes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{CHANGES}, owner_bucket int").parquet(f"{path}-changes").drop(
+        "owner_bucket"
+    )
+
+
 def latest_state(incidents: DataFrame, changes: DataFrame) -> DataFrame:
     """Incidents with their changes applied; only status and rollback can change.
 

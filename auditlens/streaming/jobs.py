@@ -77,3 +77,9 @@ def store_incidents(incidents: DataFrame, name: str = "incidents") -> str:
     """Stream of incident rows into the table that sources.incidents reads."""
     placed = incidents.withColumn("owner_bucket", owner_bucket(F.col("user_id")))
     return run_to_table(placed, name, ("owner_bucket",))
+
+
+def store_changes(changes: DataFrame, path: str) -> str:
+    """Stream of change rows into the table beside the incidents at path."""
+    placed = changes.withColumn("owner_bucket", owner_bucket(F.col("user_id")))
+    return run_to_table(placed, "changes", ("owner_bucket",), f"{path}-changes")
