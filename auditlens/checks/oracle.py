@@ -597,6 +597,9 @@ pr AS (SELECT *, {recent('pl', 'pl.now', '<=')} AS m FROM pl)""",
   FROM (VALUES {_LISTING}) l(campaign_id, name, tactic, step_count, techniques)
   LEFT JOIN (VALUES {_ACTIONS}) a(campaign_id, action) ON a.campaign_id = l.campaign_id
   LEFT JOIN ev ON ev.event_name = a.action GROUP BY ALL"""),
+    "campaign_by_id": on(EV, f"SELECT {_quote(K.CAMPAIGNS[0][0])} AS campaign_id, event_name,"
+        f" count(*) AS n FROM ev WHERE event_name IN {_in({s[4] for s in K.CAMPAIGNS[0][5] if s[4]})}"
+        " GROUP BY event_name"),
     "campaign_steps": on(CAMPAIGN, f"""SELECT campaign_id, step, name, technique_id, seed_class,
   event_name, event_source, {PRINCIPAL} AS principal, user_name, coalesce(mfa, '') AS mfa,
   source_ip, recipient_account_id AS recipient FROM se"""),

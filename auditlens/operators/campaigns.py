@@ -46,6 +46,14 @@ def listing(campaigns: DataFrame) -> DataFrame:
     )
 
 
+def by_id(campaigns: DataFrame, campaign_id: str) -> DataFrame:
+    """One campaign; KeyError if there is none of this id."""
+    found = campaigns.filter(F.col("campaign_id") == campaign_id)
+    if found.isEmpty():
+        raise KeyError(campaign_id)
+    return found
+
+
 def steps(campaigns: DataFrame) -> DataFrame:
     return campaigns.select(
         "campaign_id", "campaign", "attacker", "source_ip", F.posexplode("steps").alias("pos", "s")

@@ -96,3 +96,34 @@ def sample_per_class(df: DataFrame, label: str, id_col: str, seed: int = 42) ->
     keyed = df.withColumn("_key", hash_key(seed, id_col))
     least = keyed.groupBy(label).agg(F.min("_key").alias("_key"))
     return keyed.join(least, [label, "_key"], "left_semi").select(*df.columns)
+
+
+class EmptyClassError(ValueError):
+    """A class has no event to sample; the message has the events per class."""
+
+
+def samples_per_class(
+    df: DataFrame, label: str, id_col: str, seeds: tuple[int, ...], needed: tuple[int, ...] = ()
+) -> DataFrame:
+    """The rows of sample_per_class for several seeds, with `seed`, in two scans.
+
+    What passes through the driver is one number a class and seed. A class of `needed`
+    without a row raises EmptyClassError.
+    """
+    keys = {s: hash_key(s, id_col) for s in seeds}
+    least = df.groupBy(label).agg(
+        F.count("*").alias("n"), *[F.min(k).alias(f"k{s}") for s, k in keys.items()]
+    ).collect()
+    counts = {r[label]: r.n for r in least}
+    if missing := [c for c in needed if not counts.get(c)]:
+        raise EmptyClassError(f"no event of class {missing}; events per class: {counts}")
+    chosen = F.array(
+        *[
+            F.when(F.struct(F.col(label), key).isin(
+                *[F.struct(F.lit(r[label]), F.lit(r[f"k{s}"])) for r in least]
+            ), F.lit(s))
+            for s, key in keys.items()
+        ]
+    )
+    marked = df.withColumn("seed", F.filter(chosen, lambda s: s.isNotNull()))
+    return marked.filter(F.size("seed") > 0).withColumn("seed", F.explode("seed"))

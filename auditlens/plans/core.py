@@ -16,9 +16,9 @@ from auditlens.operators import attributions as AT
 from auditlens.operators import campaigns as CP
 from auditlens.operators import gate as G
 from auditlens.operators import triage as TR
-from auditlens.operators.ranking import sample_per_class
+from auditlens.operators.ranking import samples_per_class
 from auditlens.plans import frames as FR
-from auditlens.session import scratch_path
+from auditlens.session import materialise, scratch_path
 from auditlens.sources import incidents as ST
 from auditlens.sources import ingest as IN
 from auditlens.sources import labelled as LD
@@ -538,15 +538,28 @@ def action_set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- campaigns ---------------------------------------------------------------------
 
 
-def _base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_per_class(audit_events(spark, sf_dir), "label", "event_id").drop(
-        "event_id", "user_id"
+BASE_SEED, REPLAY_SEED = 42, 7
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event a class and seed, ten rows at most, fetched from the log once."""
+    chosen = samples_per_class(
+        audit_events(spark, sf_dir), "label", "event_id", (BASE_SEED, REPLAY_SEED)
     )
+    return materialise(chosen.drop("event_id", "user_id"), "samples")
+
+
+def _of_seed(samples: DataFrame, seed: int) -> DataFrame:
+    return samples.filter(F.col("seed") == seed).drop("seed")
+
+
+def _step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _of_seed(_samples(spark, sf_dir), BASE_SEED)
+    return CP.step_events(CP.steps(CP.catalogue(spark)), base)
 
 
 def _campaign_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _base_events(spark, sf_dir)
-    events = CP.step_events(CP.steps(CP.catalogue(spark)), base).withColumns(
+    events = _step_events(spark, sf_dir).withColumns(
         {"truth": F.lit(None).cast("int"), "step_source": F.lit("synthetic")}
     )
     return CP.timeline(events)
@@ -554,11 +567,22 @@ def _campaign_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _replay_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replay with a real event for every class but 3, which plays the catalogue."""
-    base = _base_events(spark, sf_dir)
-    sampled = sample_per_class(
-        audit_events(spark, sf_dir).filter(F.col("label") != 3), "label", "event_id", seed=7
-    ).drop("event_id", "user_id")
-    return CP.timeline(CP.replay_events(CP.steps(CP.catalogue(spark)), sampled, base))
+    samples = _samples(spark, sf_dir)
+    replayed = _of_seed(samples, REPLAY_SEED).filter(F.col("label") != 3)
+    base = _of_seed(samples, BASE_SEED)
+    return CP.timeline(CP.replay_events(CP.steps(CP.catalogue(spark)), replayed, base))
+
+
+def campaign_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first campaign of the catalogue, with the log's events of its actions."""
+    campaign = CP.by_id(CP.catalogue(spark), K.CAMPAIGNS[0][0])
+    names = F.broadcast(CP.steps(campaign).select(F.col("event_name").alias("eventName")).distinct())
+    return (
+        audit_events(spark, sf_dir)
+        .join(names, "eventName")
+        .groupBy(F.lit(K.CAMPAIGNS[0][0]).alias("campaign_id"), F.col("eventName").alias("event_name"))
+        .agg(F.count("*").alias("n"))
+    )
 
 
 def campaign_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -581,9 +605,7 @@ def campaign_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def campaign_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _base_events(spark, sf_dir)
-    events = CP.step_events(CP.steps(CP.catalogue(spark)), base)
-    return events.select(
+    return _step_events(spark, sf_dir).select(
         "campaign_id", "step", "name", "technique_id", "seed_class",
         F.col("eventName").alias("event_name"), F.col("eventSource").alias("event_source"),
         X.principal().alias("principal"),
@@ -635,7 +657,7 @@ QUERIES = {
         incident_list, incident_point, incident_latest_state, incident_cards,
         incident_distribution, incident_report, rescored_incidents, class_availability,
         dataset_report, dataset_checks, training_provenance, poll_summary, first_n_events,
-        terminal_summary, latest_20, action_set_match, campaign_listing, campaign_steps,
+        terminal_summary, latest_20, action_set_match, campaign_listing, campaign_by_id, campaign_steps,
         campaign_timeline, campaign_rollup, replay_timeline, replay_accuracy, attack_path,
     )
 }

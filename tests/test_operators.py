@@ -252,3 +252,22 @@ def test_capped_threats_keep_the_first_in_order(spark):
     for upload in (0, 1):
         want = [i for i in range(300) if i % 2 == upload and i % 3][:10]
         assert sorted(r.row for r in got if r.upload == upload) == want
+
+
+def test_samples_per_class_in_one_go(spark):
+    df = spark.range(500).withColumn("label", (F.col("id") % 4).cast("int"))
+    got = R.samples_per_class(df, "label", "id", (42, 7))
+    for seed in (42, 7):
+        want = {(r.label, r.id) for r in R.sample_per_class(df, "label", "id", seed).collect()}
+        assert {(r.label, r.id) for r in got.filter(F.col("seed") == seed).collect()} == want
+    with pytest.raises(R.EmptyClassError, match="125"):
+        R.samples_per_class(df, "label", "id", (42,), needed=(0, 9))
+
+
+def test_one_campaign_by_id(spark):
+    from auditlens.operators import campaigns as CP
+
+    catalogue = CP.catalogue(spark)
+    assert CP.by_id(catalogue, K.CAMPAIGNS[1][0]).count() == 1
+    with pytest.raises(KeyError):
+        CP.by_id(catalogue, "none")

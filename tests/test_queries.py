@@ -95,3 +95,19 @@ def test_limits_per_group_are_cut_before_the_shuffle(spark, sf_dir, name):
 @pytest.mark.parametrize("name", ["latest_20", "first_n_events"])
 def test_limits_do_not_sort_everything(spark, sf_dir, name):
     assert "TakeOrderedAndProject" in _plan(QUERIES[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize(
+    ("name", "scans"),
+    [("cv_summary", 2), ("recipe_delta", 1), ("pooled_class_f1", 2), ("protected_names", 1),
+     ("campaign_rollup", 0), ("replay_timeline", 0), ("gate_decisions", 1), ("poll_summary", 1)],
+)
+def test_events_are_scanned_once(spark, sf_dir, name, scans):
+    """Samples and containments are tables of their own by then."""
+    plan = _plan(QUERIES[name](spark, sf_dir))
+    assert plan.count("events.parquet]") <= scans
+
+
+def test_look_ups_prune_to_the_owner_bucket(spark, sf_dir):
+    plan = _plan(QUERIES["incident_lookup"](spark, sf_dir))
+    assert "PartitionFilters: [isnotnull(owner_bucket" in plan
