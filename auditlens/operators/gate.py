@@ -63,25 +63,12 @@ def with_decision(
     threat = is_threat(threshold)
     protected = threat & is_protected(F.col("principal"), names)
     capped = threat & ~protected & (F.col("room") <= 0)
+    capped_text = K.REASON_CAPPED.format(cap=cap, minutes=window_seconds // 60)
     reason = (
-        F.when(~threat, "Benign or below the confidence threshold; monitored only.")
-        .when(
-            protected,
-            F.concat(
-                F.lit("'"),
-                name,
-                F.lit("' is a protected principal (root / break-glass / responder)"
-                      " and is never contained."),
-            ),
-        )
-        .when(
-            capped,
-            f"Blast-radius cap reached ({cap} per {window_seconds // 60} min)."
-            " Review pending actions before containing more.",
-        )
-        .otherwise(
-            "High-confidence threat. Awaiting analyst confirmation before any real IAM change."
-        )
+        F.when(~threat, K.REASON_MONITOR)
+        .when(protected, F.concat(F.lit("'"), name, F.lit(K.REASON_PROTECTED)))
+        .when(capped, capped_text)
+        .otherwise(K.REASON_PENDING)
     )
     status = F.when(~threat, "monitor").when(protected | capped, "blocked").otherwise("pending")
     return verdicts.withColumns(
@@ -91,10 +78,11 @@ def with_decision(
 
 def manual_refusal(threshold: float = K.CONFIDENCE_THRESHOLD) -> Column:
     """The reason a manual containment is refused; null if it is carried out."""
+    below, benign = K.REASON_MANUAL
     text = F.concat(
         F.lit("Confidence "),
         F.col("confidence").cast("string"),
-        F.lit(f" below threshold {threshold} or class is benign (C0)."),
+        F.lit(f"{below}{threshold}{benign}"),
     )
     return F.when(~is_threat(threshold), text)
 
