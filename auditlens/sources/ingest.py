@@ -44,6 +44,17 @@ def _is_present(v: Column, path: str) -> Column:
     return field.isNotNull() & ~F.is_variant_null(field)
 
 
+def parse_one(text: Column) -> Column:
+    """The one JSON value of a text; null where it holds none or anything after it.
+
+    The parser stops after the first value, so the text is read as the only member of a
+    list: lines of JSON taken for a document are no document, instead of its first line.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    values = F.try_variant_get(listed, "$", "array<variant>")
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+
+
 def is_object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
@@ -127,11 +138,9 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.option("singleVariantColumn", "doc")
-        .option("multiLine", True)
-        .json(path)
-        .select(F.col("_metadata.file_path").alias("file"), "doc")
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(
+        F.col("_metadata.file_path").alias("file"), parse_one(F.col("value")).alias("doc")
     )
 
 
@@ -146,7 +155,7 @@ def read_json_document_lines(spark: SparkSession, path: str) -> DataFrame:
 def document_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, value, doc) of the lines that are not blank; doc is null for a broken one."""
     lines = read_lines(spark, path).filter(F.trim("value") != "")
-    return lines.select("file", "value", F.try_parse_json("value").alias("doc"))
+    return lines.select("file", "value", parse_one(F.col("value")).alias("doc"))
 
 
 def rejected_documents(documents: DataFrame) -> DataFrame:
@@ -234,8 +243,9 @@ def number_lines(lines: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, quarantine) of text lines; blank lines are skipped."""
-    parsed = lines.filter(F.trim("value") != "").withColumn("event", F.try_parse_json("value"))
-    good = F.coalesce(is_object(F.col("event")), F.lit(False))
+    parsed = lines.filter(F.trim("value") != "").withColumn("event", parse_one(F.col("value")))
+    # A text that parses and begins with a brace is an object; the variant's schema is dear.
+    good = F.col("event").isNotNull() & F.ltrim("value").startswith("{")
     reason = F.when(F.col("event").isNull(), "not JSON").otherwise("not an object")
     return (
         parsed.filter(good).drop("value"),
@@ -450,6 +460,6 @@ def look_back(
 
 def poll_records(records: DataFrame, payload: str = "CloudTrailEvent") -> DataFrame:
     """Events out of JSON text payloads; empty and broken payloads are skipped."""
-    return records.withColumn("event", F.try_parse_json(payload)).filter(
+    return records.withColumn("event", parse_one(F.col(payload))).filter(
         F.coalesce(is_object(F.col("event")), F.lit(False))
     )

@@ -158,3 +158,20 @@ def test_dataset_checks(spark):
     assert problem({0: 20, 2: 12}) == "only 32 usable rows, at least 40 needed"
     assert problem({0: 90, 4: 3, 1: 9}).startswith("too few rows (class 1: 9, class 4: 3)")
     assert problem({0: 90, 1: 10}) == ""
+
+
+def test_json_lines_taken_for_a_document_lose_nothing(spark, tmp_path):
+    """A file of lines named .json is no document; the fallback reads all of its lines."""
+    path = tmp_path / "lines.json"
+    path.write_text('{"eventName": "A"}\n{"eventName": "B"}\n')
+    assert I.read_events(spark, str(path), "json").isEmpty()
+    broken = I.read_events(spark, str(path), "json", keep_broken=True).collect()
+    assert [r.error for r in broken] == ["not JSON"]
+    assert {r.eventName for r in I.with_fallback(spark, str(path)).collect()} == {"A", "B"}
+
+
+def test_broken_texts_hold_no_event(spark):
+    texts = ['{"a": 1}', ' {"a": 1} ', '{"a": 1} {"b": 2}', '{"a": 1} x', "", "{", "1, 2", "[1]"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(I.parse_one(F.col("t")).isNotNull()).collect()]
+    assert got == [True, True, False, False, False, False, False, True]
