@@ -137,8 +137,15 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     return expand_documents(_documents(spark, path))
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
+def _within(files: DataFrame, max_file_bytes: int | None) -> DataFrame:
+    """Rows of files up to a size; the files above it are for too_large()."""
+    if max_file_bytes is None:
+        return files
+    return files.filter(F.col("_metadata.file_size") <= max_file_bytes)
+
+
+def _documents(spark: SparkSession, path: str, max_file_bytes: int | None = None) -> DataFrame:
+    whole = _within(spark.read.text(path, wholetext=True), max_file_bytes)
     return whole.select(
         F.col("_metadata.file_path").alias("file"), parse_one(F.col("value")).alias("doc")
     )
@@ -301,7 +308,11 @@ def coerce_cell(cell: Column) -> Column:
 
 
 def read_csv_events(
-    spark: SparkSession, path: str, ingest_time: str | None = None, names: str = "*"
+    spark: SparkSession,
+    path: str,
+    ingest_time: str | None = None,
+    names: str = "*",
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """CSV with a header; every cell is read as text and cast per declared field.
 
@@ -311,7 +322,7 @@ def read_csv_events(
     raw = spark.read.option("pathGlobFilter", names).csv(
         path, header=True, inferSchema=False, mode="PERMISSIVE", enforceSchema=False
     )
-    named = raw.withColumn("file", F.col("_metadata.file_path"))
+    named = _within(raw, max_file_bytes).withColumn("file", F.col("_metadata.file_path"))
     cells = unflatten(named.select("file", *[F.col(f"`{c}`") for c in raw.columns]))
     have = set(cells.columns)
 
@@ -377,16 +388,30 @@ def read_events(
     fmt: str = "auto",
     ingest_time: str | None = None,
     keep_broken: bool = False,
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """Events of files of one format, or by extension of mixed files in a folder.
 
     With fmt='auto' every format reads only the files it stands for; file names
     are matched while listing, so no name list passes through the driver. With
     keep_broken lines and documents that hold no event are error rows; else they are
-    left out, and only parse_lines and rejected_documents show them.
+    left out, and only parse_lines and rejected_documents show them. Files above
+    max_file_bytes are not read, and each is an error row in any case.
     """
+    if max_file_bytes is not None:
+        inside, large = split_by_size(list_files(spark, path), max_file_bytes)
+        size = F.format_string(f"file of %d bytes is over {max_file_bytes}", "length")
+        skipped = large.select(F.col("path").alias("file"), size.alias("reason"))
+        if inside.isEmpty():
+            return skipped.withColumnRenamed("reason", "error")
+    else:
+        skipped = None
+
+    def done(events: DataFrame) -> DataFrame:
+        return events if skipped is None else _with_broken(events, skipped, True)
+
     if fmt == "csv":
-        return read_csv_events(spark, path, ingest_time)
+        return done(read_csv_events(spark, path, ingest_time, max_file_bytes=max_file_bytes))
 
     def from_documents(docs: DataFrame) -> DataFrame:
         events = with_event_columns(expand_documents(docs), "event", ingest_time)
@@ -397,20 +422,20 @@ def read_events(
         return _with_broken(with_event_columns(good, "event", ingest_time), bad, keep_broken)
 
     if fmt == "json":
-        return from_documents(_documents(spark, path))
+        return done(from_documents(_documents(spark, path, max_file_bytes)))
     if fmt == "jsonl":
-        return from_lines(read_lines(spark, path))
+        return done(from_lines(_placed(_within(spark.read.text(path), max_file_bytes))))
     lines = spark.read.option("pathGlobFilter", LINES_GLOB).text(path)
-    others = _documents(spark, path).filter(~F.lower("file").rlike(OTHER_NAMES))
-    frames = [from_documents(others), from_lines(_placed(lines))]
+    others = _documents(spark, path, max_file_bytes).filter(~F.lower("file").rlike(OTHER_NAMES))
+    frames = [from_documents(others), from_lines(_placed(_within(lines, max_file_bytes)))]
     if not spark.read.format("binaryFile").option("pathGlobFilter", CSV_GLOB).load(path).select(
         "path"
     ).isEmpty():
-        frames.append(read_csv_events(spark, path, ingest_time, CSV_GLOB))
+        frames.append(read_csv_events(spark, path, ingest_time, CSV_GLOB, max_file_bytes))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
-    return out
+    return done(out)
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

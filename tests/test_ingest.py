@@ -175,3 +175,17 @@ def test_broken_texts_hold_no_event(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(I.parse_one(F.col("t")).isNotNull()).collect()]
     assert got == [True, True, False, False, False, False, False, True]
+
+
+def test_large_files_are_reported(spark, tmp_path):
+    (tmp_path / "small.jsonl").write_text('{"eventName": "A"}\n')
+    (tmp_path / "large.jsonl").write_text('{"eventName": "B"}\n' * 50)
+    (tmp_path / "large.csv").write_text("eventName\n" + "C\n" * 500)
+    rows = I.read_events(spark, str(tmp_path), max_file_bytes=100).collect()
+    assert [r.eventName for r in rows if r.eventName] == ["A"]
+    assert sorted(r.error for r in rows if "over 100" in (r.error or "")) == [
+        "file of 1010 bytes is over 100", "file of 950 bytes is over 100"
+    ]
+    none = I.read_events(spark, str(tmp_path), "jsonl", max_file_bytes=1).collect()
+    assert len(none) == 3 and all(r.error for r in none)
+    assert I.read_events(spark, str(tmp_path)).filter("error IS NULL OR true").count() == 551
