@@ -33,12 +33,29 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+#: Characters whose results are handed back together, which bounds a worker's memory.
+HANDED_BACK = 4_000_000
+
+
+def in_parts(texts: Iterable[str | None], size: int = HANDED_BACK) -> Iterator[list[str]]:
+    """The texts in order, some at a time; null counts as empty."""
+    part, length = [], 0
+    for text in texts:
+        part.append(text or "")
+        length += len(part[-1])
+        if length >= size:
+            yield part
+            part, length = [], 0
+    if part:
+        yield part
+
+
 def each_text(make: Callable[[], Callable[[list[str]], Iterable[tuple]]], schema: str) -> Callable:
     """A pandas UDF over one text column, with `;` between the result's fields. Null is empty.
 
-    make() runs once a task and returns the function from a batch of texts to one row a
-    text. The UDF is marked non-deterministic, so that Spark evaluates it once a row also
-    where several filters and columns use its result.
+    make() runs once a task and returns the function from some texts to one row a text. The
+    UDF is marked non-deterministic, so that Spark evaluates it once a row also where several
+    filters and columns use its result.
     """
     fields = [part.strip() for part in schema.split(";")]
     names = [field.split()[0] for field in fields]
@@ -46,9 +63,8 @@ def each_text(make: Callable[[], Callable[[list[str]], Iterable[tuple]]], schema
     @F.pandas_udf(", ".join(fields))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         work = make()
-        for texts in batches:
-            yield pd.DataFrame(
-                list(work([t or "" for t in texts])), columns=names, index=texts.index
-            )
+        for batch in batches:
+            for texts in in_parts(batch):
+                yield pd.DataFrame(list(work(texts)), columns=names)
 
     return run.asNondeterministic()

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlens.llm.common import content_key
+from auditlens.llm.common import content_key, in_parts
 
 WINDOW, GRAM = 35, 8
 GRAMS = WINDOW - GRAM + 1
@@ -30,7 +30,7 @@ DEPTH, CELL_BITS = 2, 26
 #: A segment of the sketch is what one row of a merge holds.
 SEGMENT_BITS = 20
 #: Words that are worked on at a time.
-BATCH = 1 << 20
+BATCH = 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2**64
 
 
@@ -43,7 +43,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         self[word] = value
@@ -326,17 +326,20 @@ def covered(n_words: int, covers: np.ndarray) -> np.ndarray:
 
 
 def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    columns = ["text", "n_words", "n_removed"]
     for texts, cuts in batches:
-        out = []
-        for text, cut in zip(texts, cuts, strict=True):
-            words, removed = words_of(text or ""), 0
-            kept = words
-            if cut is not None and len(cut):
-                gone = covered(len(words), np.asarray(cut, np.int64))
-                removed = int(gone.sum())
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            out.append((b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), removed))
-        yield pd.DataFrame(out, columns=["text", "n_words", "n_removed"], index=texts.index)
+        places = iter(cuts)
+        for part in in_parts(texts):
+            out = []
+            for text, cut in zip(part, places, strict=False):
+                words, removed = words_of(text), 0
+                kept = words
+                if cut is not None and len(cut):
+                    gone = covered(len(words), np.asarray(cut, np.int64))
+                    removed = int(gone.sum())
+                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                out.append((b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), removed))
+            yield pd.DataFrame(out, columns=columns)
 
 
 def without_repeats(docs: DataFrame, written: Callable, text: str = "text") -> DataFrame:
@@ -360,7 +363,7 @@ def without_repeats(docs: DataFrame, written: Callable, text: str = "text") -> D
         return _occurrences(repeated.value)(frames)
 
     occurrences = written(texts.mapInPandas(emit, OCCURRENCES))
-    cuts = covers(occurrences, written(repeated_windows(occurrences)))
+    cuts = written(covers(occurrences, written(repeated_windows(occurrences))))
     return (
         keyed.join(cuts, ["_k1", "_k2"], "left")
         .withColumn("kept", cut(F.col(text), F.col("covers")))
