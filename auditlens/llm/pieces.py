@@ -73,6 +73,7 @@ class ChunkTable:
         self.end = np.array([self.library.eos_id()], "<u4").tobytes()
         self.lone = np.array([self.library.piece_to_id(MARK)], "<u4").tobytes()
         self.bytes_of = [self._bytes(i, p) for i, p in enumerate(pieces)]
+        self.marked = {i for i, p in enumerate(pieces) if p.startswith(MARK)}
         line_feed = self.library.encode("\n")
         self.lines = (
             len(line_feed) == 2
@@ -118,8 +119,9 @@ class ChunkTable:
         if not self.plain.isdisjoint(numbers):
             return self.library.decode(numbers)
         raw = b"".join(map(self.bytes_of.__getitem__, numbers))
+        first = next((i for i in numbers if self.bytes_of[i]), None)
         try:
-            return (raw[1:] if raw[:1] == b" " else raw).decode()
+            return (raw[1:] if first in self.marked else raw).decode()
         except UnicodeDecodeError:  # byte pieces that form no text
             return self.library.decode(numbers)
 
