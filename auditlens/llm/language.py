@@ -77,15 +77,39 @@ def triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return counts.astype(np.float32), vectors
 
 
-def _slices(texts: list[str]) -> Iterator[slice]:
-    start = size = 0
+def _segments(text: str) -> Iterator[str]:
+    """A text in pieces of about BATCH characters, cut where no letter is next to the cut.
+
+    Such a cut changes no triple: what stands between letters is one gap, however long.
+    """
+    start = 0
+    while len(text) - start > BATCH:
+        end = start + BATCH
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
+def bundles(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of texts, letters, bundled vectors), some texts or parts of one at a time."""
+    held, owners, size = [], [], 0
+
+    def bundled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        counts, vectors = triples(held)
+        return np.array(owners), counts.sum(axis=1), counts @ vectors
+
     for n, text in enumerate(texts):
-        size += len(text)
-        if size >= BATCH:
-            yield slice(start, n + 1)
-            start, size = n + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+        for segment in _segments(text):
+            held.append(segment)
+            owners.append(n)
+            size += len(segment)
+            if size >= BATCH:
+                yield bundled()
+                held, owners, size = [], [], 0
+    if held:
+        yield bundled()
 
 
 @dataclass(frozen=True)
@@ -104,14 +128,11 @@ def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
     def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for frame in frames:
-            texts, langs = frame["t"].tolist(), frame["l"].to_numpy()
-            for part in _slices(texts):
-                counts, vectors = triples(texts[part])
-                names, which = np.unique(langs[part].astype(str), return_inverse=True)
-                by_lang = np.zeros((len(names), counts.shape[1]), np.float32)
-                np.add.at(by_lang, which, counts)
-                for name, vector in zip(names, by_lang @ vectors, strict=True):
-                    total[name] = total.get(name, 0.0) + vector.astype(np.float64)
+            langs = frame["l"].to_numpy().astype(str)
+            for owners, _, vectors in bundles(frame["t"].tolist()):
+                for name in np.unique(langs[owners]):
+                    own = vectors[langs[owners] == name].sum(axis=0, dtype=np.float64)
+                    total[name] = total.get(name, 0.0) + own
         if total:
             yield pd.DataFrame({"lang": list(total), "v": [v.tolist() for v in total.values()]})
 
@@ -134,20 +155,21 @@ def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
 
 def _predictor(known: Prototypes) -> Callable:
     def make():
-        targets = known.vectors.T.astype(np.float32)
+        targets = known.vectors.T
 
         def work(texts: list[str]) -> Iterator[tuple]:
-            for part in _slices(texts):
-                counts, vectors = triples(texts[part])
-                bundles = counts @ vectors
-                norms = np.linalg.norm(bundles, axis=1)
-                cosines = bundles @ targets / np.where(norms > 0, norms, 1)[:, None]
-                for letters, row in zip(counts.sum(axis=1), cosines, strict=True):
-                    if letters and len(row):
-                        best = int(row.argmax())
-                        yield known.languages[best], float(min(max(row[best], 0.0), 1.0))
-                    else:
-                        yield UNKNOWN, 0.0
+            total, letters = np.zeros((len(texts), DIMENSIONS)), np.zeros(len(texts))
+            for owners, count, vectors in bundles(texts):
+                np.add.at(total, owners, vectors)
+                np.add.at(letters, owners, count)
+            norms = np.linalg.norm(total, axis=1)
+            cosines = total @ targets / np.where(norms > 0, norms, 1)[:, None]
+            for row, found in zip(cosines, letters > 0, strict=True):
+                if found and len(row):
+                    best = int(row.argmax())
+                    yield known.languages[best], float(min(max(row[best], 0.0), 1.0))
+                else:
+                    yield UNKNOWN, 0.0
 
         return work
 

@@ -41,6 +41,16 @@ def test_language_equals_single_texts(spark):
         np.testing.assert_allclose(counts[n] @ vectors, (alone_counts @ alone_vectors)[0])
 
 
+def test_long_texts_are_cut_without_a_change(monkeypatch):
+    text = "Ein längerer Text, mit – Lücken und 12 Zahlen; " * 40 + "x" * 300
+    counts, vectors = language.triples([text])
+    monkeypatch.setattr(language, "BATCH", 97)
+    parts = list(language.bundles(["kurz", text, "", "ende"]))
+    whole = sum(v[o == 1].sum(axis=0) for o, _, v in parts)
+    np.testing.assert_allclose(whole, (counts @ vectors)[0])
+    assert sorted({int(n) for o, _, _ in parts for n in o}) == [0, 1, 2, 3]
+
+
 def test_language_vectors_bind_permuted_letters():
     one, two, three = language._letters()
     counts, vectors = language.triples(["abc"])
