@@ -566,6 +566,10 @@ t AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) * 100 AS pct FROM c)""",
         " count(event_id) AS n, CASE WHEN count(event_id) > 0 THEN 1 ELSE 0 END AS available"
         " FROM (VALUES (0), (1), (2), (3), (4)) d(c) LEFT JOIN ev ON label = c GROUP BY c"),
     "dataset_report": on(LABELLED, REPORT),
+    "dataset_mixed": on(EV, "SELECT count(*) AS rows_total, count(*) AS rows_used, 0 AS rows_skipped,"
+        " 0 AS featurize_errors, "
+        + ", ".join(f"count(*) FILTER (WHERE label = {c}) AS class_{c}" for c in K.CLASS_IDS)
+        + ", 'label' AS label_key, 'mixed' AS shape FROM ev"),
     "dataset_checks": on(f"""{LABELLED},
 u AS (SELECT user_id, count(*) FILTER (WHERE {_USED}) AS rows_used, {_REPORT_COUNTS} FROM lb
   GROUP BY user_id)""", f"SELECT user_id, rows_used, {PROBLEM} AS problem FROM u"),
@@ -909,6 +913,9 @@ IO = {
     "ingest_errors": on(EV, """SELECT event_id, CASE event_name WHEN 'ListBuckets' THEN
   'unparsable event time' ELSE 'non-numeric: geo_anomaly_score' END AS error FROM ev
   WHERE event_name IN ('ListBuckets', 'Decrypt')"""),
+    "labelled_training": on(EV + """,
+lf AS (SELECT label FROM ev WHERE event_name <> 'ListBuckets' AND event_id % 5 <> 2)""",
+        against_benign("lf")),
     "labelled_file": on(EV + """,
 lf AS (SELECT event_id, event_name = 'ListBuckets' AS broken,
   CASE WHEN event_name <> 'ListBuckets' AND event_id % 5 <> 2 THEN label END AS label,

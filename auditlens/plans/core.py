@@ -437,6 +437,19 @@ def dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LD.report(_labelled(spark, sf_dir), "event_id")
 
 
+def dataset_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a set whose halves are raw events and ready feature rows."""
+    raw = audit_events(spark, sf_dir).filter("event_id % 2 = 0")
+    ready = FR.featured(spark, sf_dir).filter("event_id % 2 = 1").select(
+        "event_id", "label", *K.FEATURES
+    )
+    parts = [
+        LD.featurise(L.with_label(part)).select("event_id", "label", "label_key", "shape", "error")
+        for part in (raw, ready)
+    ]
+    return LD.report(parts[0].unionByName(parts[1]), "event_id")
+
+
 def dataset_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The check of the whole set and of every user's rows taken as a set."""
     rows = _labelled(spark, sf_dir)
@@ -656,7 +669,7 @@ QUERIES = {
         capped_threats, top3_probabilities, top_attributions, risk_drivers, incident_summaries,
         incident_list, incident_point, incident_latest_state, incident_cards,
         incident_distribution, incident_report, rescored_incidents, class_availability,
-        dataset_report, dataset_checks, training_provenance, poll_summary, first_n_events,
+        dataset_report, dataset_mixed, dataset_checks, training_provenance, poll_summary, first_n_events,
         terminal_summary, latest_20, action_set_match, campaign_listing, campaign_by_id, campaign_steps,
         campaign_timeline, campaign_rollup, replay_timeline, replay_accuracy, attack_path,
     )

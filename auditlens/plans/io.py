@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from auditlens import constants as K
 from auditlens.functions import text as X
 from auditlens.functions import times
+from auditlens.operators import metrics as ME
+from auditlens.operators import models as MO
 from auditlens.operators import triage as TR
 from auditlens.plans import frames as FR
-from auditlens.session import scratch_path
+from auditlens.session import materialise, scratch_path
 from auditlens.sources import incidents as ST
 from auditlens.sources import ingest as IN
 from auditlens.sources import labelled as LD
@@ -155,8 +157,8 @@ def ingest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labelled_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with label cells of mixed types under two names: read, resolved and reported."""
+def _labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with label cells of mixed types under two names, written and read back."""
     path = scratch_path(spark, "labelled")
     events = _log_events(spark, sf_dir)
     body = F.to_json(F.struct(*[F.col(c) for c in events.columns if c != "label"]))
@@ -171,8 +173,21 @@ def labelled_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.when(F.col("eventName") == "ListBuckets", F.lit("{broken")).otherwise(line)
     events.select(broken.alias("value")).write.text(path)
     rows = LD.read(spark, path, "jsonl")
-    order = F.try_variant_get("event", "$.event_id", "bigint")
-    return LD.check(LD.report(rows.withColumn("event_id", order), "event_id"))
+    return rows.withColumn("event_id", F.try_variant_get("event", "$.event_id", "bigint"))
+
+
+def labelled_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report and check of a labelled file."""
+    return LD.check(LD.report(_labelled_lines(spark, sf_dir), "event_id"))
+
+
+def labelled_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled file up to a trained model, and how that does on its own rows."""
+    rows = materialise(
+        LD.load(_labelled_lines(spark, sf_dir), "event_id").select("label", *K.FEATURES), "usable"
+    )
+    scored = MO.train(rows, MO.Recipe()).score(rows).select("label", "predicted_class")
+    return ME.against_always_benign(ME.confusion_cells(scored))
 
 
 def ingest_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,7 +397,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingest_json, ingest_shapes, ingest_mixed, ingest_documents_quarantine, ingest_errors,
-        labelled_file, ingest_jsonl, ingest_csv, ingest_quarantine, line_numbers, poll_payloads,
+        labelled_file, labelled_training, ingest_jsonl, ingest_csv, ingest_quarantine, line_numbers, poll_payloads,
         export_csv, export_json, append_incidents, cleared_incidents, incident_lookup,
         cached_dataset,
         stream_scoring, stream_dedupe, stream_cap, stream_lifecycle,
