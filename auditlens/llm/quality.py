@@ -225,19 +225,20 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 def train(rows: DataFrame, label: str, id_col: str, most: int = FIT_ROWS) -> AdditiveModel:
     """Fits on rows with features and a label of 0 or 1; other labels are left out.
 
-    Of more than `most` rows those first by a hash of their id are taken; ties keep every
-    copy of a row apart only by its features.
+    Of more than `most` rows about that many are taken by a hash of their id, so only these
+    go to the driver, and of them at most `most`.
     """
-    sample = (
-        rows.filter(F.col(label).isin(0, 1))
-        .select(F.col("features.x").alias("x"), F.col(label).alias("y"), F.col(id_col).alias("i"))
-        .orderBy(F.xxhash64("i"), "i", "x", "y")
-        .limit(most)
-        .select("x", "y")
-        .toPandas()
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
+    usable = rows.filter(F.col(label).isin(0, 1)).select(
+        F.col("features.x").alias("x"), F.col(label).alias("y"), place.alias("place")
     )
-    x = np.array(sample["x"].tolist(), float).reshape(-1, len(FEATURES))
-    return fit(x, sample["y"].to_numpy(float))
+    total = usable.count()
+    if total > most:
+        usable = usable.filter(F.col("place") < int((1 << 30) * most / total))
+    sample = usable.toPandas()
+    taken = sorted(zip(sample["place"], sample["y"], map(tuple, sample["x"]), strict=True))[:most]
+    x = np.array([row[2] for row in taken], float).reshape(-1, len(FEATURES))
+    return fit(x, np.array([row[1] for row in taken], float))
 
 
 def score(rows: DataFrame, model: AdditiveModel, *keep: str) -> DataFrame:
