@@ -23,8 +23,10 @@ from auditlens.llm.common import content_key, scratch
 from auditlens.llm.components import components
 
 THRESHOLD = 0.9
-#: Vectors in a tile, and rows of a tile that are multiplied at a time.
+#: Vectors in a tile at most, and rows of a tile that are multiplied at a time.
 TILE, STRIP = 8192, 512
+#: Tiles at least, where each has this many vectors, so that few vectors are many pieces too.
+LEAST_TILES, SMALL_TILE = 16, 256
 #: Sums of at most this many products of int8 are whole numbers in single precision.
 EXACT = 1024
 #: More than the rounding errors of the double precision bounds.
@@ -111,11 +113,10 @@ def tiles(distinct: DataFrame, size: int = TILE) -> DataFrame:
 
     A tile holds vectors of one dimension, dealt by a hash of their id.
     """
-    counts = distinct.groupBy("dims").agg(F.ceil(F.count("*") / size).alias("tiles"))
-    dealt = distinct.join(F.broadcast(counts), "dims").withColumn(
-        "tile", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("tiles"))
-    )
-    every = F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)
+    n = distinct.count()
+    many = max(1, -(-n // size), min(LEAST_TILES, -(-n // SMALL_TILE)))
+    dealt = distinct.withColumn("tile", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(many)))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(many - 1).cast("bigint"))
     return dealt.withColumn("other", F.explode(every)).select(
         "dims",
         F.least("tile", "other").alias("low"),
