@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _smallest(pairs: DataFrame) -> DataFrame:
-    """(u, m): the smallest of u and its neighbours v."""
-    return pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Hangs every larger neighbour of a node on the smallest one."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    hung = both.join(_smallest(both), "u").filter("v > u")
-    return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """Hangs every larger neighbour of a node on the node's smallest one. Here u > v.
+
+    A node with no smaller neighbour keeps its larger ones, and may have very many of them.
+    The smallest neighbours are checkpointed: both sides of the join are then plain shuffles,
+    of which Spark splits a hot key's part.
+    """
+    least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")).checkpoint()
+    return edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Hangs a node and its smaller neighbours on the smallest one. Here u > v in all edges."""
-    least = _smallest(edges)
+    """Hangs a node and its smaller neighbours on the smallest one. Here u > v."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
     hung = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), "m")
     return hung.union(least.select("u", "m")).toDF("u", "v").distinct()
 
@@ -28,8 +27,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of (u, v) edges: the smallest node it can reach.
 
-    Nodes are longs. Every round halves the trees' depth at least; each is checkpointed, so
-    the lineage stays short and survives lost executors. It ends when a round changes
+    Nodes are longs. Every round is checkpointed, so the lineage stays short and survives
+    lost executors. It ends when a round changes
     nothing. Loops and repeated edges are allowed; a node with only a loop is left out.
     """
     now = (
