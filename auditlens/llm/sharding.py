@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from auditlens.llm.common import content_key, scratch
 
 ROUNDS = 12
-#: Rows that are ranked together, about.
-SLICE = 20_000
+#: Rows that are ranked together, about, and the least numbers of slices: of all rows, and
+#: of a group.
+SLICE, LEAST_SLICES, LEAST_GROUP_SLICES = 20_000, 512, 64
 
 
 def _sum_before(df: DataFrame, by: list[str], order: list, amount: str, slices: int) -> DataFrame:
@@ -206,11 +207,12 @@ def balanced_shards(
         two.alias("g2"),
     ).checkpoint()
     total = rows.count()
-    slices = max(8, -(-total // SLICE))
+    slices = max(LEAST_SLICES, -(-total // SLICE))
     quota = [total // shards + (s < total % shards) for s in range(shards)]
 
     # Ranks in a group are cut by a hash of the id, so no task holds a whole group.
-    cut = rows.withColumn("cut", F.pmod(F.xxhash64("id"), F.lit(slices)))
+    group_slices = max(LEAST_GROUP_SLICES, -(-total // SLICE))
+    cut = rows.withColumn("cut", F.pmod(F.xxhash64("id"), F.lit(group_slices)))
     parts = cut.filter("g1 IS NOT NULL").groupBy("g1", "g2", "cut").agg(F.count("*").alias("n"))
     of_group = Window.partitionBy("g1", "g2")
     parts = (
