@@ -939,6 +939,7 @@ r AS (SELECT count(*) AS rows_total, count(label) AS rows_used,
   WHERE error IS NULL"""),
     "export_json": on(TRIAGE, "SELECT row, principal, confidence, action_status AS action,"
                               " p0, p1, p2, p3, p4, event_source AS raw_source FROM tr WHERE error IS NULL"),
+    "export_summary": CORE["triage_summary"],
     "append_incidents": on(INCIDENTS, "SELECT id, user_id, source, event_name, principal,"
         " predicted_class, confidence, action_status, coalesce(rollback, '') AS rollback,"
         " event_source AS raw_source, coalesce(account_id, '') AS raw_account,"

@@ -75,10 +75,6 @@ def stamp_identity(identity: Column, arn: Column) -> Column:
     )
 
 
-def _base_columns(base: DataFrame) -> list[Column]:
-    return [F.col(c) for c in base.columns if c not in ("label", "event_id", "user_id")]
-
-
 def step_events(step_rows: DataFrame, base_per_class: DataFrame) -> DataFrame:
     """The step's event: the base event of its class, the step's overrides, the attacker.
 

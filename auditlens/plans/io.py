@@ -285,6 +285,15 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
+def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary beside the exported results, read back."""
+    path = scratch_path(spark, "export")
+    rows = FR.triage_rows(spark, sf_dir)
+    summary = TR.summary(rows)
+    sinks.write_json(summary, TR.result_rows(rows), path)
+    return spark.read.schema(summary.schema).json(f"{path}/summary")
+
+
 def append_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threats and benign verdicts appended one after the other, read back."""
     path = scratch_path(spark, "incidents")
@@ -398,7 +407,7 @@ QUERIES = {
     for f in (
         ingest_json, ingest_shapes, ingest_mixed, ingest_documents_quarantine, ingest_errors,
         labelled_file, labelled_training, ingest_jsonl, ingest_csv, ingest_quarantine, line_numbers, poll_payloads,
-        export_csv, export_json, append_incidents, cleared_incidents, incident_lookup,
+        export_csv, export_json, export_summary, append_incidents, cleared_incidents, incident_lookup,
         cached_dataset,
         stream_scoring, stream_dedupe, stream_cap, stream_lifecycle,
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from auditlens.operators.triage import export_rows
 
@@ -17,7 +16,3 @@ def write_json(summary: DataFrame, results: DataFrame, path: str) -> None:
     """Summary and results side by side, one JSON object per line."""
     summary.write.json(f"{path}/summary")
     results.write.json(f"{path}/results")
-
-
-def as_json(df: DataFrame, column: str = "json") -> DataFrame:
-    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias(column))
