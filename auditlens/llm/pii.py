@@ -68,6 +68,8 @@ DISGUISED = re.compile(
     rf"(?:{_AT}|@){_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{1,6}}(?![A-Za-z0-9-])",
     re.IGNORECASE,
 )
+#: A bare at and a name with its dots as such, which sentences have too ("sold at 3.5").
+WRITTEN = re.compile(rf"\sat\s{{1,3}}{_LABEL}(?:\.{_LABEL})+\Z", re.IGNORECASE)
 AT, DOT = re.compile(_AT, re.IGNORECASE), re.compile(_DOT, re.IGNORECASE)
 #: Digits as words: at least two in a row, with signs between them also as words.
 SPELLED = re.compile(
@@ -76,11 +78,18 @@ SPELLED = re.compile(
     re.IGNORECASE,
 )
 NUMBER_TOKEN = re.compile(rf"{_DIGIT}|[0-9]+|plus|dot|point|punkt|punto|\.", re.IGNORECASE)
-#: What a text must have for SPELLED to be tried: two digits with a word or a bracket between.
+#: What a text must have for SPELLED to be tried: two digits of which one is a word, a plus as
+#: a word, or a word or bracket between digits. Whatever SPELLED matches and _number rewrites
+#: holds one of these, so trying it first never loses a match.
+_GAP = rf"(?:[\s,-]{{1,3}}|\s{{0,3}}(?:dot|point)\s{{1,3}}|{_DOT}|\.)"
+_WORD_GAP = rf"(?:\s{{0,3}}(?:dot|point)\s{{1,3}}|{_DOT})"
 SPELLED_HINT = re.compile(
-    rf"{_DIGIT}(?:[\s,.-]{{1,3}}|\W{{1,6}}(?:dot|point)\W{{1,6}}){_DIGIT}"
-    rf"|[0-9][\s\[({{<]{{1,3}}(?:dot|point|punkt|punto|\.)|[0-9][\s,-]{{1,3}}{_DIGIT}",
+    rf"{_DIGIT}{_GAP}(?:{_DIGIT}|[0-9])|[0-9](?:{_GAP}{_DIGIT}|{_WORD_GAP}[0-9])"
+    rf"|plus[\s-]{{1,3}}(?:{_DIGIT}|[0-9])",
+    re.IGNORECASE,
 )
+#: What DISGUISED matches has this in its middle: the at, a label, and the next label's start.
+DISGUISED_HINT = re.compile(rf"(?:{_AT}|@){_LABEL}(?:{_DOT}|\.)[A-Za-z0-9-]", re.IGNORECASE)
 #: Ends of names that a disguise made of bare words only must have.
 TOP_LEVEL = frozenset(
     "com org net edu gov mil int info biz io co de fr es it uk us eu ch at nl be pl pt se dk ru "
@@ -160,8 +169,8 @@ class Tape:
 def _address(match: re.Match) -> list[tuple[int, int, str]]:
     """Only the ats and dots of a disguised address are rewritten; the last at counts."""
     start, whole = match.start(), match.group()
-    bare = whole.replace(" ", "").isalnum()
-    if bare and whole.rsplit(None, 1)[-1].lower() not in TOP_LEVEL:
+    bare = whole.replace(" ", "").isalnum() or WRITTEN.search(whole)
+    if bare and re.split(r"[\s.]", whole)[-1].lower() not in TOP_LEVEL:
         return []
     ats = list(AT.finditer(whole))
     edits = [(m.start(), m.end(), "@") for m in ats[-1:]] if "@" not in whole else []
@@ -193,26 +202,33 @@ def _number(match: re.Match) -> list[tuple[int, int, str]]:
     return out
 
 
+#: Look-alikes that Latin-1 has too: the middle dot and the soft hyphen.
+LATIN_1 = tuple(c.encode("latin-1") for c in LOOK_ALIKES if ord(c) < 256)
+
+
 def _latin(text: str) -> bool:
     """Whether a text surely has no look-alikes, seen without a search."""
     if text.isascii():
         return True
     try:
-        return b"\xad" not in text.encode("latin-1")
+        encoded = text.encode("latin-1")
     except UnicodeEncodeError:
         return False
+    return not any(c in encoded for c in LATIN_1)
 
 
 def deobfuscated(text: str) -> Tape | None:
-    """The text with disguises undone, or None where it has none."""
+    """The text with disguises undone, or None where it has none.
+
+    What is asked before a pattern is tried holds for every text that the pattern can change,
+    so other passages of a text never decide whether a disguise is undone.
+    """
     tape = Tape(text)
     if not _latin(text):
         tape.rewrite(LOOK_ALIKE, lambda m: [(*m.span(), LOOK_ALIKES[m.group()])])
-    lowered = tape.text.lower()
-    if SPELLED_HINT.search(lowered):
+    if SPELLED_HINT.search(tape.text):
         tape.rewrite(SPELLED, _number)
-        lowered = tape.text.lower()
-    if "dot" in lowered or "[" in lowered or "(" in lowered or "{" in lowered or "<" in lowered:
+    if DISGUISED_HINT.search(tape.text):
         tape.rewrite(DISGUISED, _address)
     return tape if tape.first is not None else None
 

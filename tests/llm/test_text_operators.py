@@ -177,6 +177,45 @@ def test_disguises_are_mapped_back(text, kind, span):
     assert [(k, text[a:b]) for k, a, b in every] == [(kind, span)]
 
 
+GATED = [
+    ("call plus 44 20 7946 0958 now", "phone", "plus 44 20 7946 0958"),
+    ("call plus one 202 555 0143 now", "phone", "plus one 202 555 0143"),
+    ("call Plus 44 twenty or plus-4 four 20 7946 0958 now", "phone", "plus-4 four 20 7946 0958"),
+    ("ip 10 point 0 point 0 point 1 now", "ip", "10 point 0 point 0 point 1"),
+    ("mail jane at example.com now", "email", "jane at example.com"),
+    ("mail jane@example·com now", "email", "jane@example·com"),
+    ("mail jane at example·com now", "email", "jane at example·com"),
+]
+UNRELATED = ["", " one two", " (so) [it] {is} <b>", " a dot", " four.five", " ж é ·", " plus 1 2"]
+
+
+@pytest.mark.parametrize("more", UNRELATED)
+@pytest.mark.parametrize(("text", "kind", "span"), GATED)
+def test_other_passages_decide_nothing(text, kind, span, more):
+    whole = f"{text}, we say.{more}"
+    base, every = pii.find_spans(whole)
+    assert not base
+    assert [(k, whole[a:b]) for k, a, b in every] == [(kind, span)]
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(
+    "plus one Two 4 20 dot point at jo mail com [dot] (.) [at] @ . - , · ſix fıve".split() + [" "] * 9
+), max_size=14))
+def test_hints_lose_no_match(parts):
+    text = "".join(parts)
+    for hint, pattern, edits in (
+        (pii.SPELLED_HINT, pii.SPELLED, pii._number),
+        (pii.DISGUISED_HINT, pii.DISGUISED, pii._address),
+    ):
+        assert hint.search(text) or not any(edits(m) for m in pattern.finditer(text))
+
+
+@pytest.mark.parametrize("text", ["sold at 3.5 (or so)", "it was at noon.Then (b) we left", "at 5.30pm (x)"])
+def test_prose_with_a_bare_at_is_no_address(text):
+    assert pii.find_spans(text) == ([], [])
+
+
 @pytest.mark.parametrize(
     "text", ["on that at the dot of", "one two", "see dot one", "a (b) at c.d", "ærøskøbing"]
 )
