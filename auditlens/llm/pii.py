@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.llm.common import each_text
+from auditlens.llm.top_level import DELEGATED, RESERVED
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -91,9 +92,13 @@ SPELLED_HINT = re.compile(
 #: What DISGUISED matches has this in its middle: the at, a label, and the next label's start.
 DISGUISED_HINT = re.compile(rf"(?:{_AT}|@){_LABEL}(?:{_DOT}|\.)[A-Za-z0-9-]", re.IGNORECASE)
 #: Ends of names that a disguise made of bare words only must have.
-TOP_LEVEL = frozenset(
-    "com org net edu gov mil int info biz io co de fr es it uk us eu ch at nl be pl pt se dk ru "
-    "cn jp in br mx ar au ca example test".split()
+TOP_LEVEL = DELEGATED | RESERVED
+#: "Look at the dot now": a bare dot after one of these is a dot on something, unless what
+#: follows is hardly ever a word of its own.
+DETERMINERS = frozenset("a an any each every his her its my no our that the their this your".split())
+AFTER_DETERMINER = frozenset(
+    "com org net edu gov mil int info biz io co de fr es uk eu ch nl pl pt se dk ru "
+    "cn jp br mx ar au ca example test".split()
 )
 
 
@@ -167,11 +172,18 @@ class Tape:
 
 
 def _address(match: re.Match) -> list[tuple[int, int, str]]:
-    """Only the ats and dots of a disguised address are rewritten; the last at counts."""
+    """Only the ats and dots of a disguised address are rewritten; the last at counts.
+
+    One of bare words only must end in a top-level name. With a bracket, a sign or a dot in
+    the name before the at it may end in anything.
+    """
     start, whole = match.start(), match.group()
-    bare = whole.replace(" ", "").isalnum() or WRITTEN.search(whole)
-    if bare and re.split(r"[\s.]", whole)[-1].lower() not in TOP_LEVEL:
-        return []
+    words = whole.replace(" ", "").isalnum()
+    if words or WRITTEN.search(whole):
+        labels = re.split(r"[\s.]+", whole.lower())
+        on_something = words and labels[-3] in DETERMINERS
+        if labels[-1] not in (AFTER_DETERMINER if on_something else TOP_LEVEL):
+            return []
     ats = list(AT.finditer(whole))
     edits = [(m.start(), m.end(), "@") for m in ats[-1:]] if "@" not in whole else []
     if not edits and "@" in whole:
@@ -267,7 +279,8 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds `pii`: struct<base, spans> to every row, and keeps the rest.
 
     base are the spans found as written, spans these and the ones in disguise. Offsets are
-    code points, ends exclusive. Null and empty texts have none. Rows are independent:
+    code points, ends exclusive. An address in bare words ("jane at mail dot dev") must end in
+    a top-level name (`top_level`). Null and empty texts have none. Rows are independent:
     repeated rows give repeated results, an empty table an empty one. A column `pii` of the
     input is replaced.
     """

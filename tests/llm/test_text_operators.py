@@ -211,6 +211,24 @@ def test_hints_lose_no_match(parts):
         assert hint.search(text) or not any(edits(m) for m in pattern.finditer(text))
 
 
+@pytest.mark.parametrize(
+    "ending", "dev fi no ie nz kr gr za tr me tv app xyz cloud invalid com xn--p1ai".split()
+)
+@pytest.mark.parametrize("name", ["jane at mail dot {}", "Jane At a dot mail dot {}", "jane at mail.{}"])
+def test_addresses_in_bare_words_end_in_any_top_level_name(name, ending):
+    text = name.format(ending)
+    assert pii.find_spans(f"to {text}, please") == ([], [("email", 3, 3 + len(text))])
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["look at the dot now", "she stared at a dot in here", "sits at every dot is fine",
+     "we met at noon dot then", "jane at mail dot nosuchending"],
+)
+def test_dots_in_prose_are_no_addresses(text):
+    assert pii.find_spans(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["sold at 3.5 (or so)", "it was at noon.Then (b) we left", "at 5.30pm (x)"])
 def test_prose_with_a_bare_at_is_no_address(text):
     assert pii.find_spans(text) == ([], [])
