@@ -179,8 +179,13 @@ def links(prints: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, written: Callable, id_col: str = "doc_id") -> DataFrame:
-    """(id, bits, component): every row with its fingerprint and its group's smallest id.
+def near_duplicates(
+    docs: DataFrame, written: Callable, id_col: str = "doc_id", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, bits, *keep, component, root): every row with its fingerprint and its group.
+
+    component is the group's smallest id. root tells groups apart, also those whose rows have
+    no id, or the same one. keep names more columns of docs to hand on.
 
     written() stores the fingerprints, so that the texts are read once. Texts without words,
     null ones too, have fingerprint 0 and are linked like any other. Repeated rows belong
@@ -189,15 +194,15 @@ def near_duplicates(docs: DataFrame, written: Callable, id_col: str = "doc_id")
     """
     scratch(docs.sparkSession)
     rows = written(
-        fingerprints(docs.select(F.col(id_col).alias("id"), "text")).select(
-            "id", F.col("simhash.bits").alias("bits")
+        fingerprints(docs.select(F.col(id_col).alias("id"), "text", *keep)).select(
+            "id", F.col("simhash.bits").alias("bits"), *keep
         )
     )
     distinct = rows.groupBy("bits").agg(F.min("id").alias("smallest"))
     roots = components(links(distinct)).withColumnRenamed("node", "bits")
     grouped = distinct.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     least = grouped.groupBy("root").agg(F.min("smallest").alias("component"))
-    named = grouped.join(least, "root").select("bits", "component")
+    named = grouped.join(least, "root").select("bits", "component", "root")
     return rows.join(named, "bits")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlens.llm import decontam, language, pieces, pii, simhash
-from auditlens.llm.common import held_out, table
+from auditlens.llm.common import content_key, held_out, table
 from auditlens.llm.queries import vocabulary, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,17 +23,19 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays.
+    """Of each group of near-duplicates one row stays, the one with the smallest doc_id.
 
-    Of rows with this doc_id one stays. Rows without a doc_id cannot be told apart and stay
-    only if no row of their group has one, one for each text.
+    Rows without a doc_id come last, so one of them stays only if no row of their group has
+    an id. Different texts under one doc_id are different rows: each group decides on its own.
+    Among rows with the same id the text's hash decides, then lang and source.
     """
-    groups = simhash.near_duplicates(docs, written("prints"))
-    first = groups.filter("id = component").select(F.col("id").alias("doc_id")).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source")
+    keyed = docs.select(*COLUMNS, *content_key(F.struct("doc_id", "text")))
+    groups = simhash.near_duplicates(keyed, written("prints"), keep=("_k1", "_k2"))
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")
+    first = groups.groupBy("root").agg(F.min(row).alias("row")).select("row._k1", "row._k2")
+    one = Window.partitionBy("_k1", "_k2").orderBy("lang", "source")
     return (
-        docs.select(*COLUMNS)
-        .join(first, "doc_id", "left_semi")
+        keyed.join(first, ["_k1", "_k2"], "left_semi")
         .withColumn("_n", F.row_number().over(one))
         .filter("_n = 1")
         .select(*COLUMNS)

@@ -49,6 +49,24 @@ def test_planted_documents(spark, tmp_path):
     assert all(r.round_trip and r.n_tokens == len(r.ids) // 4 for r in last.values())
 
 
+def test_near_duplicates_without_an_id_or_under_one_id(spark, make_docs):
+    """One row of each group stays, whether or not its rows have ids, or share one."""
+    text = lambda name: " ".join(f"{name}{n}" for n in range(120))
+    rows = [(None, text("lone")), (None, text("twice")), (None, text("twice"))]
+    rows += [(None, text("known")), (5, text("known")), (None, text("known") + " ")]
+    rows += [(7, text("x")), (7, text("y")), (8, text("x")), (9, text("y")), (7, text("x"))]
+    rows += [(None, text("near")), (None, text("near") + " "), (1, text("copy")), (10, text("copy"))]
+    rows += [(1, text("alone"))]
+    kept = corpus_pipeline.near_duplicates(spark, make_docs(rows), "").collect()
+    found = [(r.doc_id, r.text.split()[0]) for r in kept]
+    assert sorted(found, key=str) == sorted(
+        [(None, "lone0"), (None, "twice0"), (5, "known0"), (7, "x0"), (7, "y0"), (None, "near0"),
+         (1, "copy0"), (1, "alone0")],
+        key=str,
+    )
+    assert tuple(kept[0].asDict()) == corpus_pipeline.COLUMNS
+
+
 def test_run_on_the_tables(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
