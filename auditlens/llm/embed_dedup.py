@@ -61,13 +61,16 @@ def candidates(
     return rows[keep], columns[keep]
 
 
-def _piece(frame: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links inside one pair of tiles: (u, v, n), n links of u's where v is null."""
+def _piece(key: tuple, frame: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links inside one pair of tiles: (u, v, n), n links of u's where v is null.
+
+    key is (dims, low, high). Of two different tiles one may hold no vector of this dimension.
+    """
     raw = np.array(frame["v"].tolist(), np.float64)
     unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
     ids, copies = frame["id"].to_numpy(np.int64), frame["copies"].to_numpy(np.int64)
     second = frame["side"].to_numpy(bool)
-    alone = not second.any()
+    alone = key[1] == key[2]
     first, other = np.flatnonzero(~second), np.flatnonzero(~second if alone else second)
     whole, scale, error = quantised(unit)
     count, tree, forest = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
@@ -159,7 +162,7 @@ def near_duplicates(
     found = written(
         tiles(classes.select("id", "copies", "v", "dims"))
         .groupBy("dims", "low", "high")
-        .applyInPandas(lambda frame: _piece(frame, least), "u long, v long, n long")
+        .applyInPandas(lambda key, frame: _piece(key, frame, least), "u long, v long, n long")
     )
     links = found.groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("v IS NOT NULL").select("u", "v"))

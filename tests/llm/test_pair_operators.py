@@ -237,6 +237,18 @@ def test_embedding_links_equal_brute_force(spark, written, monkeypatch, tile):
         assert row.kept == (row.vec_id == expected[row.vec_id])
 
 
+def test_vectors_of_a_rare_dimension_are_counted_once(spark, written):
+    """They leave most of the tiles that the common dimension needs without a vector."""
+    draw = np.random.default_rng(8)
+    near = draw.normal(size=(40, 5)) * 0.05 + 1  # more than the 16 tiles: some share one
+    vectors = draw.normal(size=(4000, 8)).tolist() + near.tolist()
+    frame = spark.createDataFrame([(n, v, 0, "x", "x", "x") for n, v in enumerate(vectors)], VECTORS)
+    rows = embed_dedup.link_report(frame, written).filter("vec_id >= 4000").collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in rows) == [
+        (n, 39, 4000) for n in range(4000, 4040)
+    ]
+
+
 def test_quantisation_bounds_hold():
     draw = np.random.default_rng(3)
     for dims in (3, 64, 1500):
