@@ -2,10 +2,8 @@
 
 Rows with equal features are collapsed first, with their number, so a group of
 copies is one point. Points go to cells around pivots; a point is only compared
-with cells whose bounding box is nearer than the k-th neighbour it already has
-(oversampling looks at the 16 nearest of them at most, so that its work grows in
-proportion; the plain search is exact), and a comparison is one block of points
-against another inside a task. Pairs never become rows: a block gives at most k
+with cells whose bounding box is nearer than the k-th neighbour it already has,
+and a comparison is one block of points against another inside a task. Pairs never become rows: a block gives at most k
 neighbours per point.
 """
 
@@ -258,18 +256,15 @@ def neighbour_choices(
     )
 
 
-#: Cells that oversampling compares a point with.
-MOST_CELLS = 16
-
-
 def smote(
     df: DataFrame, columns: list[str], label: str = "label", neighbours: int = 5,
-    seed: int = 42, most_cells: int | None = MOST_CELLS, **bounds: int,
+    seed: int = 42, most_cells: int | None = None, **bounds: int,
 ) -> DataFrame:
     """Rows (label, columns, synthetic) with every class as large as the largest.
 
     k is the given number or one less than the rarest class; with fewer than two
-    rows in a class nothing is added.
+    rows in a class nothing is added. Neighbours are exact unless most_cells is given
+    (see nearest_neighbours).
     """
     original = df.select(F.col(label).cast("int").alias("label"), *columns)
     sizes = {r.label: r["count"] for r in original.groupBy("label").count().collect()}

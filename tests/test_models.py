@@ -51,6 +51,27 @@ def test_smote_reaches_the_largest_class_between_neighbours(spark, cloud):
         assert (new >= base.min(axis=0) - 1e-9).all() and (new <= base.max(axis=0) + 1e-9).all()
 
 
+def test_smote_draws_from_exact_neighbours_over_many_cells(spark):
+    """Every synthetic row lies between a point and one of its five nearest, by brute force."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 6))
+    y = np.repeat([0, 1], [900, 600])
+    names = list("abcdef")
+    schema = "label int, " + ", ".join(f"{c} double" for c in names)
+    rows = [(int(c), *map(float, v)) for c, v in zip(y, x)]
+    out = SM.smote(spark.createDataFrame(rows, schema), names, block=10).toPandas()  # 60 cells
+    new, thin = out[out.synthetic][names].to_numpy(), x[y == 1]
+    assert len(new) == 300
+    dist = ((thin[:, None] - thin[None]) ** 2).sum(-1)
+    np.fill_diagonal(dist, np.inf)
+    near = np.argsort(dist, axis=1)[:, :5]
+    start, way = np.repeat(thin, 5, axis=0), (thin[near] - thin[:, None]).reshape(-1, 6)
+    for row in new:
+        t = ((row - start) * way).sum(1) / (way**2).sum(1)
+        off = ((start + t[:, None] * way - row) ** 2).sum(1)
+        assert (off[(t >= 0) & (t <= 1)] < 1e-18).any()
+
+
 def test_smote_leaves_a_singleton_class_alone(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 2.0), (1, 3.0)], "label int, a double")
     assert SM.smote(df, ["a"]).filter("synthetic").isEmpty()
