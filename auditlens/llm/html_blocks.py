@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from auditlens.llm.common import each_text
 
-#: Lines in a window, and the characters outside links that make a surge on a page
-#: without an article or main element.
+#: Lines in a window, and the characters outside links that make a surge.
 WINDOW, SURGE = 3, 80
+#: A character inside an article or main element counts as much as this many elsewhere.
+INSIDE = 4
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -62,6 +63,11 @@ CONTENT = frozenset("content article post entry main story body text".split())
 MODIFIERS = frozenset("has with no without is".split())
 ARTICLE = frozenset(("article", "main"))
 CONTAINERS = frozenset(("article", "main", "body", "html"))
+#: Elements that lines stand in, but that hold no part of a page of their own.
+PARAGRAPHS = INLINE | frozenset(
+    "p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th "
+    "figure figcaption center body html".split()
+)
 #: An opening tag of the second kind ends an open element of the first.
 IMPLIED_END = {
     "p": frozenset(
@@ -106,9 +112,15 @@ def no_article(name: str, attrs: str, inside: bool) -> bool:
 
 
 class Lines:
-    """The lines of a page: text, length outside links, and whether it is in an article."""
+    """The lines of a page: text, length outside links, whether it is in an article, container.
+
+    containers are numbers of the open elements that hold parts of a page, the innermost last;
+    0 is the page.
+    """
 
     def __init__(self):
+        self.containers: list[int] = [0]
+        self.container: list[int] = []
         self.text: list[str] = []
         self.weight: list[int] = []
         self.inside: list[bool] = []
@@ -125,6 +137,7 @@ class Lines:
                 self.text.append(text)
                 self.weight.append(self.open_weight)
                 self.inside.append(inside)
+                self.container.append(self.containers[-1])
             self.parts, self.open_weight = [], 0
 
     def gap(self, inside: bool) -> None:
@@ -133,11 +146,12 @@ class Lines:
             self.text += [""] * WINDOW
             self.weight += [0] * WINDOW
             self.inside += [False] * WINDOW
+            self.container += [0] * WINDOW
 
 
 def lines_of(page: str) -> Lines:
     lines, stack, opened = Lines(), [("", False, False)], Counter()
-    at = 0
+    containers, at, count = lines.containers, 0, 0
     while match := TOKEN.search(page, at):
         _, skipped, inside = stack[-1]
         if match.start() > at and not skipped:
@@ -158,7 +172,7 @@ def lines_of(page: str) -> Lines:
                 if stack[depth][0] == name:
                     for gone, *_ in stack[depth:]:
                         opened[gone] -= 1
-                    del stack[depth:]
+                    del stack[depth:], containers[depth:]
                     if (skipped, inside) != stack[-1][1:]:
                         lines.gap(inside and not skipped)
             continue
@@ -170,6 +184,7 @@ def lines_of(page: str) -> Lines:
             lines.end(stack[-1][2])
             opened[stack[-1][0]] -= 1
             was = stack.pop()[1:]
+            containers.pop()
             if was != stack[-1][1:]:
                 lines.gap(was[1] and not was[0])
         _, skipped, inside = stack[-1]
@@ -185,6 +200,8 @@ def lines_of(page: str) -> Lines:
         if now != (skipped, inside):
             lines.gap(inside and not skipped)
         stack.append((name, *now))
+        count += 1
+        containers.append(containers[-1] if name in PARAGRAPHS else count)
         opened[name] += 1
     _, skipped, inside = stack[-1]
     if not skipped:
@@ -193,27 +210,52 @@ def lines_of(page: str) -> Lines:
     return lines
 
 
+def surges(weight: np.ndarray, least: int) -> tuple[list[tuple[int, int]], list[bool]]:
+    """The runs of lines between a rise from nothing and the fall back, and which surge."""
+    padded = np.concatenate([np.zeros(WINDOW - 1, int), weight, np.zeros(WINDOW, int)])
+    sums = np.convolve(padded, np.ones(WINDOW, int), "valid")  # window i ends at line i
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], sums > 0, [0]])))
+    runs = [(a, b) for a, b in edges.reshape(-1, 2).tolist()]
+    surging = [bool(sums[a:b].max() >= least) for a, b in runs]
+    if runs and not any(surging):
+        surging[max(range(len(runs)), key=lambda n: sums[slice(*runs[n])].sum())] = True
+    return runs, surging
+
+
 def kept_blocks(lines: Lines) -> list[str]:
-    """The lines between surges and dives."""
+    """The lines between surges and dives.
+
+    Lines inside articles are the text, unless the surging runs elsewhere have over INSIDE
+    times as many characters: then the articles are teasers in a page whose text stands
+    elsewhere, and all lines count alike. A run that does not surge is kept with a
+    neighbouring one that is if both have lines of one container.
+    """
     if not any(lines.text):
         return []
     weight, filled = np.array(lines.weight), np.array([bool(t) for t in lines.text])
-    least = SURGE
-    if any(lines.inside):
-        weight, least = np.where(lines.inside, np.maximum(weight, filled), 0), 1
-    padded = np.concatenate([np.zeros(WINDOW - 1, int), weight, np.zeros(WINDOW, int)])
-    sums = np.convolve(padded, np.ones(WINDOW, int), "valid")  # window i ends at line i
-    alive = sums > 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], alive, [0]])))
-    runs = [(a, b) for a, b in edges.reshape(-1, 2)]
-    surging = [(a, b) for a, b in runs if sums[a:b].max() >= least]
-    if not surging and runs:
-        surging = [max(runs, key=lambda r: sums[r[0] : r[1]].sum())]
+    inside = np.array(lines.inside)
+    if inside.any():
+        within = np.where(inside, np.maximum(weight, filled), 0)
+        elsewhere = np.where(inside, 0, weight)
+        runs, surging = surges(elsewhere, SURGE)
+        other = sum(int(elsewhere[a:b].sum()) for (a, b), s in zip(runs, surging, strict=True) if s)
+        if other < SURGE or other <= INSIDE * int(within.sum()):
+            # Every line of an article is its text, links and short lines too.
+            return [t for t, i in zip(lines.text, lines.inside, strict=True) if t and i]
+    runs, surging = surges(weight, SURGE)
+    held = [{c for c in lines.container[a:b] if c} for a, b in runs]
+    whole = surging.copy()
+    for order in (range(1, len(runs)), range(len(runs) - 2, -1, -1)):
+        step = order.step
+        for n in order:
+            if not whole[n] and whole[n - step] and (shared := held[n] & held[n - step]):
+                whole[n], held[n] = True, shared
     return [
         t
-        for a, b in surging
-        for t, i in zip(lines.text[a:b], lines.inside[a:b], strict=True)
-        if t and (i or least > 1)
+        for (a, b), kept, alike, s in zip(runs, whole, held, surging, strict=True)
+        if kept
+        for t, c in zip(lines.text[a:b], lines.container[a:b], strict=True)
+        if t and (s or c in alike)
     ]
 
 
@@ -230,7 +272,8 @@ def main_text(pages: DataFrame, markup: str = "html") -> DataFrame:
 
     Character references are decoded, white space in a block becomes one space, blocks are
     joined by one space in page order. On a page with article or main elements the article
-    is inside them; elsewhere the surge threshold decides, and where nothing reaches it, the
+    is all lines inside them, unless surging lines elsewhere are over INSIDE times as long;
+    there and on other pages the surge threshold decides, and where nothing reaches it, the
     largest run of lines is taken. Null and empty pages have no blocks and the text "".
     Plain text without markup is kept. Rows are independent: repeated rows give repeated
     results, an empty table an empty one. A column `article` of the input is replaced.

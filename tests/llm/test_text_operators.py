@@ -304,6 +304,30 @@ def test_main_text(page, text):
     assert " ".join(html_blocks.kept_blocks(html_blocks.lines_of(page))) == text
 
 
+BODY = "A paragraph of the body, in a plain element, as long as the ones in an article would be. "
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # Teasers in article elements beside a text that stands in divs.
+        (f"<div id=c><h1>T</h1><p>{BODY}<p>{BODY}</div><div><article>Read on</article></div>",
+         f"T {BODY}{BODY}".strip()),
+        (f"<article class=teaser>Next</article><div><p>{BODY}</div><article>Last</article>",
+         BODY.strip()),
+        # A short article keeps its page against less text elsewhere.
+        (f"<article><p>A short article, of some words.</article><p>{BODY}",
+         "A short article, of some words."),
+        # Short runs beside a surge of their container, and of others.
+        (f"<div id=c><p>{BODY}<aside>x</aside><p>End.</div><div>Imprint</div>", f"{BODY}End."),
+        (f"<div id=c><p>Start.<form>f</form><p>On.<form>f</form><p>{BODY}</div><form>f</form><p>No",
+         f"Start. On. {BODY}".strip()),
+    ],
+)
+def test_lengths_decide_where_the_text_stands(page, text):
+    assert " ".join(html_blocks.kept_blocks(html_blocks.lines_of(page))) == text
+
+
 def test_odd_markup_takes_linear_time():
     for page in ("<b>" * 50_000, "</div>" * 50_000, '<a "' * 50_000, "<" * 200_000, "<!--" * 50_000):
         html_blocks.lines_of(page)
