@@ -260,7 +260,21 @@ def _leaf_weights(node) -> np.ndarray:
     return np.array(list(node.impurityStats().stats()), dtype=float)
 
 
-#: The four models and the options the queries fit them with.
+#: What the reference fits its primary model and its forest with: on real rows with weights
+#: ("served"), and after oversampling ("smote"). Trees of at most 15 and 31 leaves there have a
+#: depth of 4 and 5 here (16 and 32 leaves at most).
+REFERENCE = {
+    fit_boosted: {
+        "served": {"rounds": 300, "depth": 4, "step": 0.03},
+        "smote": {"rounds": 200, "depth": 5, "step": 0.05},
+    },
+    fit_forest: {
+        "served": {"trees": 200, "depth": 8},
+        "smote": {"trees": 100, "depth": 12},
+    },
+}
+
+#: The four models and the options the queries fit them with, besides the ones of REFERENCE.
 FITTERS = {
     "boosted": (fit_boosted, {}),
     "second_boosted": (fit_boosted, {"rounds": 150, "depth": 6, "step": 0.05}),
@@ -277,7 +291,8 @@ class Recipe:
     """How a training part is prepared and what is fitted on it.
 
     balance is 'weights' (damped class weights), 'smote' or 'none'; top_up adds
-    minted rows of the thin classes before scaling.
+    minted rows of the thin classes before scaling. Options that are not given are the ones
+    REFERENCE has for the balance.
     """
 
     fit: object = fit_logistic
@@ -288,6 +303,10 @@ class Recipe:
     top_up: bool = False
     target: int = K.AUGMENT_TARGET
 
+    def fit_options(self) -> dict:
+        mode = "smote" if self.balance == "smote" else "served"
+        return REFERENCE.get(self.fit, {}).get(mode, {}) | self.options
+
 
 @dataclass
 class Pipeline:
@@ -319,7 +338,7 @@ def train(train_rows: DataFrame, recipe: Recipe) -> Pipeline:
     else:
         ready = scaled.withColumn("weight", F.lit(1.0))
         note = "no class weighting (alpha=0, no SMOTE)"
-    model = recipe.fit(ready, columns, **recipe.options)
+    model = recipe.fit(ready, columns, **recipe.fit_options())
     return Pipeline(scaler, model, note)
 
 

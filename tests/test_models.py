@@ -90,6 +90,34 @@ def test_samme_learns_and_scores_sum_to_one(spark):
     assert scored.filter("abs(p0 + p1 + p2 + p3 + p4 - 1) > 0.001").isEmpty()
 
 
+def test_recipes_fit_with_the_reference_parameters(spark, monkeypatch):
+    given = []
+
+    class Seen:
+        def __init__(self, **options):
+            given.append(options)
+
+        def fit(self, rows):
+            return None
+
+    monkeypatch.setattr(MO, "GBTClassifier", Seen)
+    monkeypatch.setattr(MO, "RandomForestClassifier", Seen)
+    df = spark.createDataFrame([(n % 3 % 2, float(n)) for n in range(30)], "label int, a double")
+
+    def options(fit, names, **recipe):
+        given.clear()
+        MO.train(df, MO.Recipe(fit=fit, columns=("a",), **recipe))
+        return {tuple(g[n] for n in names) for g in given}
+
+    boosted, forest = ("maxIter", "maxDepth", "stepSize"), ("numTrees", "maxDepth")
+    assert options(MO.fit_boosted, boosted) == {(300, 4, 0.03)}
+    assert options(MO.fit_boosted, boosted, balance="smote") == {(200, 5, 0.05)}
+    assert options(MO.fit_forest, forest) == {(200, 8)}
+    assert options(MO.fit_forest, forest, balance="smote") == {(100, 12)}
+    second = MO.FITTERS["second_boosted"][1]
+    assert options(MO.fit_boosted, boosted, options=second) == {(150, 6, 0.05)}
+
+
 def test_tree_attributions_against_all_subsets(spark):
     df = spark.range(400).select(
         F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("c"), F.lit(1.0).alias("weight")
