@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlens.llm import (
+    alignment,
     conversations,
     decontam,
     embed_dedup,
@@ -84,6 +85,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(rows, written("fragments"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    both = alignment.Vocabularies.read(path("byte_bpe_50k.json"), path(VOCABULARY))
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), both, written("aligned"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language,
         op10_simhash_dedup,
         op11_conversation_repair,
+        op13_alignment,
     )
 }
 
