@@ -13,6 +13,7 @@ from auditlens.llm import (
     decontam,
     embed_dedup,
     html_blocks,
+    interpolation,
     language,
     pieces,
     pii,
@@ -85,6 +86,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(rows, written("fragments"))
 
 
+def op12_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_report(table(spark, sf_dir, "documents"), written("counted"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     both = alignment.Vocabularies.read(path("byte_bpe_50k.json"), path(VOCABULARY))
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language,
         op10_simhash_dedup,
         op11_conversation_repair,
+        op12_interpolation,
         op13_alignment,
     )
 }
