@@ -7,17 +7,17 @@ open prefix (up to the first common end), closed groups, and an open suffix. Fra
 composed associatively, so ranges of a very long text are worked on by different tasks and
 reduced as a tree.
 
-Texts are encoded in chunks at whose borders both tokenizers start afresh: before a space
-after a character that is no white space, or after a line feed. A chunk's tokens and groups
-are worked out once for as long as a bounded table holds them.
+Ranges end where both tokenizers start afresh: before a space after a character that is no
+white space, or after a line feed. Texts of one range are worked on many at a time by array
+operations on the places where tokens end.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
-import os
 import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -26,6 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,12 @@ MARK = "▁"
 RANGE = 1 << 16
 #: Fragments that one step of the tree composes.
 FAN = 8
-#: Chunks a worker's table holds, the longest that goes there, and texts handed back together.
-MOST_CHUNKS, LONGEST, HANDED_BACK = 250_000, 64, 2_000_000
+#: Characters of texts that are worked on, and handed back, together.
+TOGETHER = 1_000_000
+#: The pattern that splits a text before the merges of a byte-level vocabulary.
+WORDS = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
 
 
 # --- the monoid ---------------------------------------------------------------------------
@@ -155,13 +160,21 @@ class Vocabularies(NamedTuple):
         return cls(Path(a_path).read_text(encoding="utf-8"), Path(b_path).read_bytes())
 
 
+def ranks_of_a(a: str) -> dict[bytes, int]:
+    """The entries' bytes with their ids, which have to be in the order of the merges."""
+    alphabet, model = byte_alphabet(), json.loads(a)["model"]
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    ids = [model["vocab"][m] for m in merges]
+    if ids != sorted(ids) or len(ids) + 256 != len(model["vocab"]):
+        raise ValueError("the ids of this vocabulary are not in the order of its merges")
+    return {bytes(alphabet[c] for c in piece): i for piece, i in model["vocab"].items()}
+
+
 def bytes_of_a(a: str) -> list[bytes]:
-    alphabet = byte_alphabet()
-    held = json.loads(a)
-    entries = held["model"]["vocab"] | {t["content"]: t["id"] for t in held["added_tokens"]}
-    found = [b""] * (max(entries.values()) + 1)
-    for piece, i in entries.items():
-        found[i] = bytes(alphabet[c] for c in piece) if set(piece) <= set(alphabet) else b""
+    ranks = ranks_of_a(a)
+    found = [b""] * (max(ranks.values()) + 1)
+    for entry, i in ranks.items():
+        found[i] = entry
     return found
 
 
@@ -197,103 +210,99 @@ def most_pairs(vocabularies: Vocabularies) -> int:
     )
 
 
-class ChunkTable:
-    """Chunks with their groups, filled as they are met and emptied when it is full."""
+class Aligner:
+    """Both tokenizers, and the groups of texts.
 
-    def __init__(self, vocabularies: Vocabularies, most: int = MOST_CHUNKS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    A's ids are those of its merges in the order of its file; tiktoken applies them faster
+    than the library the file is made for, and takes special tokens as plain text.
+    """
 
-        self.a = Tokenizer.from_str(vocabularies.a)
-        self.a.encode_special_tokens = True
+    def __init__(self, vocabularies: Vocabularies):
+        self.a = tiktoken.Encoding(
+            "a", pat_str=WORDS, mergeable_ranks=ranks_of_a(vocabularies.a), special_tokens={}
+        )
         self.b = sentencepiece.SentencePieceProcessor(model_proto=vocabularies.b)
         self.a_bytes, self.b_bytes = bytes_of_a(vocabularies.a), bytes_of_b(self.b)
-        self.b_size = len(self.b_bytes)
-        pieces = map(self.b.id_to_piece, range(self.b_size))
+        self.a_size, self.b_size = (
+            np.array([len(e) for e in entries]) for entries in (self.a_bytes, self.b_bytes)
+        )
+        pieces = map(self.b.id_to_piece, range(len(self.b_bytes)))
         self.independent = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        self.lone = [self.b.piece_to_id(MARK)]
-        self.most = most
-        self.empty()
-
-    def empty(self) -> None:
-        self.at: dict[str, int] = {}
-        self.texts: list[str] = []
-        self.sizes: list[tuple[int, int, int]] = []  # tokens of A, of B, groups
-        self.pairs: list[list[int]] = []
-        self.bad: set[int] = set()  # the bytes of A or B are not the chunk's
-        self.unkept = 0  # characters of chunks that are too long to be kept
-
-    def _encoded(self, new: list[str]) -> Iterator[tuple[str, list[int], list[int], bytes]]:
-        spaced = [" " + c for c in new]
-        a = self.a.encode_batch_fast(spaced, add_special_tokens=False)
-        b = self.b.encode(new, num_threads=1)
-        for chunk, x, y, s in zip(new, a, b, spaced, strict=True):
-            yield chunk, x.ids, y if chunk else self.lone, s.encode()
-
-    def learn(self, new: list[str]) -> None:
-        for chunk, a, b, raw in self._encoded(new):
-            i = self.at[chunk] = len(self.texts)
-            a_bytes = [self.a_bytes[t] for t in a]
-            b_bytes = [self.b_bytes[t] for t in b]
-            if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-                self.bad.add(i)
-                text, pairs, sizes = "", [], (0, 0, 0)
-            elif len(a) == 1 or len(b) == 1:
-                text, pairs = group_text(a, b), [a[-1] * self.b_size + b[-1]]
-                sizes = (len(a), len(b), 1)
-            else:
-                x = np.cumsum([len(t) for t in a_bytes]).tolist()
-                y = np.cumsum([len(t) for t in b_bytes]).tolist()
-                one = whole(fragment(a, x, b, y))
-                text = one.closed
-                pairs = [p * self.b_size + q for (p, q), n in one.links.items() for _ in range(n)]
-                sizes = (len(a), len(b), len(pairs))
-            self.texts.append(text)
-            self.sizes.append(sizes)
-            self.pairs.append(pairs)
-
-    def places(self, parts: list[str]) -> list[int]:
-        """The chunks' places in the table. What was found before may be gone afterwards."""
-        try:
-            return list(map(self.at.__getitem__, parts))
-        except KeyError:
-            new = [p for p in dict.fromkeys(parts) if p not in self.at]
-        if len(self.texts) + len(new) > self.most:
-            self.empty()
-            new = list(dict.fromkeys(parts))
-        self.learn(new)
-        return list(map(self.at.__getitem__, parts))
-
-    def aligned(self, text: str) -> dict | None:
-        """The groups of " " + text as a text, with counts; None where bytes differ."""
-        parts = chunks(text) if self.independent else [text]
-        places = self.places(parts)
-        if self.bad and not self.bad.isdisjoint(places):
-            found = None
-        else:
-            sizes = np.array([self.sizes[i] for i in places]).sum(axis=0).tolist()
-            pairs = np.array([p for i in places for p in self.pairs[i]], np.int64)
-            pairs, counts = np.unique(pairs, return_counts=True)
-            found = {
-                "n_a": sizes[0],
-                "n_b": sizes[1],
-                "n_groups": sizes[2],
-                "groups": ";".join([self.texts[i] for i in places]),
-                "pairs": pairs,
-                "counts": counts,
-            }
-        for part in set(parts):
-            if len(part) > LONGEST and self.at.pop(part, None) is not None:
-                self.unkept += len(part)
-        if self.unkept > HANDED_BACK:
-            self.empty()
+        self.lone = self.b.piece_to_id(MARK)
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        self.written = [f"{i}{end}" for i in range(most) for end in ",|;"]
+
+    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """The ids of A and B for each text; None where their bytes are not " " + text.
+
+        An empty one is a range of one space, for which the library of B has no tokens.
+        """
+        found: list = []
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            a, raw = self.a.encode_ordinary(" " + text), b" " + text.encode()
+            b = b if text else [self.lone]
+            same = (
+                b"".join(map(self.a_bytes.__getitem__, a)) == raw
+                and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+            )
+            found.append((a, b) if same else None)
         return found
 
+    def aligned(self, texts: list[str]) -> list[dict | None]:
+        """Each text's counts, groups as a text, and pairs; None where there are no tokens."""
+        tokens = self.tokens(texts)
+        good = [t for t in tokens if t is not None]
+        if not good:
+            return [None] * len(texts)
+        sizes = np.array([(len(a), len(b)) for a, b in good])
+        a, b = (
+            np.fromiter(itertools.chain.from_iterable(t[i] for t in good), np.int64)
+            for i in (0, 1)
+        )
+        # texts lie end to end with the same bytes on both sides, so they end together as well
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        at = np.searchsorted(b_ends, a_ends)
+        a_last = b_ends[at] == a_ends
+        a_cut, b_cut = np.flatnonzero(a_last), at[a_last]
+        b_last = np.zeros(len(b), bool)
+        b_last[b_cut] = True
+        # a token's place among all: after its own side's, and the other side's of earlier groups
+        out = np.empty(len(a) + len(b), np.int64)
+        before = np.concatenate([[0], b_cut + 1])
+        out[np.arange(len(a)) + before[np.cumsum(a_last) - a_last]] = a * 3 + a_last
+        until = a_cut + 1
+        out[np.arange(len(b)) + until[np.cumsum(b_last) - b_last]] = b * 3 + 2 * b_last
+        borders = np.cumsum(sizes.sum(axis=1))
+        groups = np.searchsorted(a_cut, np.cumsum(sizes[:, 0]))
+        n_groups = np.diff(groups, prepend=0)
+        of_text = np.repeat(np.arange(len(good)), n_groups) << 32
+        pairs, counts = np.unique(
+            of_text + a[a_cut] * len(self.b_bytes) + b[b_cut], return_counts=True
+        )
+        cuts = np.searchsorted(pairs >> 32, np.arange(len(good) + 1))
+        pairs &= (1 << 32) - 1
+        done, low = [], 0
+        for i, (n_a, n_b) in enumerate(sizes.tolist()):
+            codes = out[low : borders[i]].tolist()
+            low = borders[i]
+            done.append(
+                {
+                    "n_a": n_a,
+                    "n_b": n_b,
+                    "n_groups": int(n_groups[i]),
+                    "groups": "".join(map(self.written.__getitem__, codes))[:-1],
+                    "pairs": pairs[cuts[i] : cuts[i + 1]],
+                    "counts": counts[cuts[i] : cuts[i + 1]],
+                }
+            )
+        rest = iter(done)
+        return [None if t is None else next(rest) for t in tokens]
+
 
 @functools.lru_cache(maxsize=1)
-def chunk_table(vocabularies: Vocabularies) -> ChunkTable:
-    """One table a worker, which tasks share."""
-    return ChunkTable(vocabularies)
+def aligner(vocabularies: Vocabularies) -> Aligner:
+    """One for each worker, which tasks share."""
+    return Aligner(vocabularies)
 
 
 # --- fragments as rows --------------------------------------------------------------------
@@ -325,26 +334,42 @@ def _digest(groups: str) -> str:
     return hashlib.sha256(groups.encode()).hexdigest() if groups else ""
 
 
-def text_fragment(table: ChunkTable, text: str | None, digest: bool) -> dict:
-    """The finished fragment of a whole text; `closed` is its groups, or their hash."""
-    found = table.aligned(text) if text else None
-    if found is None:
-        return NONE
-    groups = found.pop("groups")
-    return NONE | found | {"closed": _digest(groups) if digest else groups}
+def text_fragments(both: Aligner, texts: list[str | None], digest: bool) -> list[dict]:
+    """The finished fragments of whole texts; `closed` is their groups, or the groups' hash."""
+    filled = [t for t in texts if t]
+    found = iter(both.aligned(filled) if filled else ())
+    rows = []
+    for text in texts:
+        row = next(found) if text else None
+        if row is None:
+            rows.append(NONE)
+            continue
+        groups = row.pop("groups")
+        rows.append(NONE | row | {"closed": _digest(groups) if digest else groups})
+    return rows
 
 
-def range_fragment(table: ChunkTable, text: str) -> dict:
+def range_fragment(both: Aligner, text: str) -> dict:
     """The fragment of a range: its first group may have begun before, so it is a prefix."""
-    found = table.aligned(text)
-    if found is None:
+    (tokens,) = both.tokens([text])
+    if tokens is None:
         return NONE | {"ok": False}
-    first, _, closed = found.pop("groups").partition(";")
-    a, b = ([int(i) for i in side.split(",")] for side in first.split("|"))
-    pair = a[-1] * table.b_size + b[-1]
-    found["counts"] = found["counts"] - (found["pairs"] == pair)
-    found["n_groups"] -= 1
-    return NONE | found | {"prefix_a": a, "prefix_b": b, "closed": closed}
+    a, b = tokens
+    a_ends, b_ends = both.a_size[a].cumsum().tolist(), both.b_size[b].cumsum().tolist()
+    found = fragment(a, a_ends, b, b_ends)
+    return NONE | {
+        "cut": found.cut,
+        "prefix_a": found.prefix[0],
+        "prefix_b": found.prefix[1],
+        "closed": found.closed,
+        "suffix_a": found.suffix[0],
+        "suffix_b": found.suffix[1],
+        "n_a": len(a),
+        "n_b": len(b),
+        "n_groups": sum(found.links.values()),
+        "pairs": [x * len(both.b_bytes) + y for x, y in found.links],
+        "counts": list(found.links.values()),
+    }
 
 
 def ranges(text: str, size: int) -> list[str]:
@@ -365,7 +390,7 @@ def _in_batches(rows: Iterator[tuple[int, dict]], schema: pa.Schema) -> Iterator
     for length, row in rows:
         held.append(row)
         size += length + 200
-        if size >= HANDED_BACK:
+        if size >= TOGETHER:
             yield pa.RecordBatch.from_pylist(held, schema)
             held, size = [], 0
     if held:
@@ -376,27 +401,41 @@ def _scan(vocabularies: Vocabularies, schema: pa.Schema, size: int, digest: bool
     """Texts of one range are finished at once; of others only the ranges are cut."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
-        table = chunk_table(vocabularies)
+        both = aligner(vocabularies)
+        most = size if both.independent else None
+        waiting: list[tuple[dict, str | None]] = []
+
+        def done() -> Iterator[tuple[int, dict]]:
+            found = text_fragments(both, [t for _, t in waiting], digest)
+            for (common, _), row in zip(waiting, found, strict=True):
+                yield len(row["closed"]) + 16 * len(row["pairs"]), row | common
+            waiting.clear()
+
+        length = 0
         for batch in batches:
             for key, row, text in zip(*batch.columns, strict=True):
                 common, text = {"key": key.as_py(), "row": row.as_py()}, text.as_py()
-                parts = ranges(text, size) if text and len(text) > size else [text]
+                parts = ranges(text, most) if most and text and len(text) > most else [text]
                 if len(parts) > 1:
                     for i, part in enumerate(parts):
                         yield len(part), common | {"idx": i, "raw": part}
-                else:
-                    done = text_fragment(table, text, digest)
-                    yield len(done["closed"]) + 16 * len(done["pairs"]), done | common
+                    continue
+                waiting.append((common, text))
+                length += len(text or "") + 200
+                if length >= TOGETHER:
+                    yield from done()
+                    length = 0
+        yield from done()
 
     return lambda batches: _in_batches(rows(batches), schema)
 
 
 def _ranges(vocabularies: Vocabularies, schema: pa.Schema) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
-        table = chunk_table(vocabularies)
+        both = aligner(vocabularies)
         for batch in batches:
             for key, row, idx, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = range_fragment(table, raw)
+                found = range_fragment(both, raw)
                 yield len(found["closed"]), found | {"key": key, "row": row, "idx": idx}
 
     return lambda batches: _in_batches(rows(batches), schema)
@@ -418,13 +457,14 @@ def _composer(b_size: int, last: bool, digest: bool) -> Callable:
 
     def compose(parts):
         parts = sorted(parts, key=lambda p: p["idx"])
-        found = functools.reduce(composed, (_as_fragment(p, b_size) for p in parts), NOTHING)
-        ok = all(p["ok"] for p in parts)
-        if last:
-            found = whole(found) if ok else BORDER
+        ok, found = all(p["ok"] for p in parts), BORDER
+        if ok:
+            found = functools.reduce(composed, (_as_fragment(p, b_size) for p in parts), NOTHING)
+        if ok and last:
+            found = whole(found)
             if digest:
                 found = found._replace(closed=_digest(found.closed))
-        links = found.links if ok else {}
+        links = found.links
         return (
             ok,
             found.cut,

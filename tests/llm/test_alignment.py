@@ -104,16 +104,24 @@ def random_text(draw, words=30):
     )
 
 
-def test_chunks_are_independent(plain):
-    draw, table = random.Random(3), A.ChunkTable(BOTH, most=500)
-    assert table.independent
-    for text in [*ODD, *(random_text(draw) for _ in range(3000))]:
-        want = plain(text)
-        found = A.text_fragment(table, text, digest=False)
-        assert found["closed"] == ";".join(A.group_text(*g) for g in want or ()), repr(text)
+def test_ranges_are_independent(plain):
+    """Ranges of a few characters, composed, give the groups of whole texts."""
+    draw, both = random.Random(3), A.Aligner(BOTH)
+    assert both.independent
+    texts = [*ODD, *(random_text(draw) for _ in range(3000))]
+    found = A.text_fragments(both, texts, digest=False)
+    for text, row in zip(texts, found, strict=True):
+        want = ";".join(A.group_text(*g) for g in plain(text) or ())
+        assert row["closed"] == want, repr(text)
         if text:
             parts = A.ranges(text, draw.randrange(1, 40))
             assert " ".join(parts) == text
+            rows = [A.range_fragment(both, p) for p in parts]
+            if all(r["ok"] for r in rows):
+                made = (A._as_fragment(r, len(both.b_bytes)) for r in rows)
+                assert A.whole(reduce(A.composed, made, A.NOTHING)).closed == want, repr(text)
+            else:
+                assert want == ""
 
 
 @st.composite
