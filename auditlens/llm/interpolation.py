@@ -35,7 +35,7 @@ ROUNDS = 12
 #: Buckets of context counts: 0, 1, 2-3, 4-7, ...
 BUCKETS = 64
 #: Tokens of a block, and n-grams that one merging task is meant to hold.
-BLOCK, MERGED = 4_000_000, 6_000_000
+BLOCK, MERGED = 2_000_000, 1_000_000
 #: Words of a text that are looked up at a time.
 SLICE = 200_000
 STARTED = 0.5
@@ -291,29 +291,28 @@ def _total(sent: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-class Totals:
-    """All counts of a block's n-grams, from its own and the totals that came back."""
+def counts_of(
+    block: Block, answers: pd.DataFrame, order: int, without_deleted: bool = False
+) -> list[np.ndarray]:
+    """The count of the 1-, 2-, ... gram at every token, over all blocks.
 
-    def __init__(self, block: Block, answers: pd.DataFrame, order: int):
-        self.places, self.kept, self.gone = [], [], []
-        by_k = dict(list(answers.groupby("k")))
-        for k in range(1, order + 1):
-            _, own, places = block.distinct(k)
-            nothing = np.zeros(len(own), np.int64)
-            kept, gone = (nothing, own.copy()) if block.deleted else (own.copy(), nothing)
-            at = 0
-            for a in by_k[k].sort_values("part").itertuples():
-                where = at + np.cumsum(unpacked(a.places), dtype=np.int64)
-                kept[where], gone[where] = from_planes(a.kept), from_planes(a.gone)
-                at += int(a.distinct)
-            self.places.append(places)
-            self.kept.append(kept)
-            self.gone.append(gone)
-
-    def of(self, k: int, without_deleted: bool = False) -> np.ndarray:
-        """The count of the k-gram at every token."""
-        counts = self.kept[k - 1] if without_deleted else self.kept[k - 1] + self.gone[k - 1]
-        return counts[self.places[k - 1]]
+    What the totals that came back do not name is only in this block.
+    """
+    found = []
+    by_k = dict(list(answers.groupby("k")))
+    for k in range(1, order + 1):
+        _, counts, places = block.distinct(k)
+        block.grams[k - 1] = None  # not needed any more
+        if block.deleted and without_deleted:
+            counts = np.zeros_like(counts)
+        at = 0
+        for part in by_k[k].sort_values("part").itertuples():
+            where = at + np.cumsum(unpacked(part.places), dtype=np.int64)
+            total = from_planes(part.kept)
+            counts[where] = total if without_deleted else total + from_planes(part.gone)
+            at += int(part.distinct)
+        found.append(counts[places])
+    return found
 
 
 def _contexts(block: Block, counts: list[np.ndarray], tokens: int, docs: int) -> list[np.ndarray]:
@@ -330,62 +329,59 @@ def _contexts(block: Block, counts: list[np.ndarray], tokens: int, docs: int) ->
 # --- weights ------------------------------------------------------------------------------
 
 
-def _bucket(context: Column) -> Column:
-    return F.when(context > 0, F.length(F.bin(context))).otherwise(0)
-
-
-def _weight(of_bucket: list[float], context: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, of_bucket)), _bucket(context) + 1)
+def mixtures(
+    weights: np.ndarray, seen: list[np.ndarray], contexts: list[np.ndarray], even: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From order 1 up: what the order itself adds to a token's probability, and the mixture."""
+    p = even
+    for of_bucket, count, context in zip(weights, seen, contexts, strict=True):
+        w = np.where(context > 0, of_bucket[bucket(context)], 0.0)
+        own = w * (count / np.maximum(context, 1))
+        p = own + (1 - w) * p
+        yield own, p
 
 
-def _share(seen: Column, context: Column) -> Column:
-    return seen / F.greatest(context, F.lit(1))
+def _expected(order: int, weights: list[list[float]], even: float) -> Callable:
+    """For each order and bucket, how many tokens came down to it and how many stopped there."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        came, stopped = np.zeros((2, order, BUCKETS + 1))
+        for batch in batches:
+            columns = [
+                [batch[f"{x}{k}"].to_numpy(np.int64) for k in range(1, order + 1)] for x in "cn"
+            ]
+            steps = list(mixtures(np.array(weights), *columns, even))
+            reach = batch["times"].to_numpy(np.float64)
+            for k in reversed(range(order)):
+                own, p = steps[k]
+                stop, at = reach * own / p, bucket(columns[1][k])
+                came[k] += np.bincount(at, reach, BUCKETS + 1)
+                stopped[k] += np.bincount(at, stop, BUCKETS + 1)
+                reach = reach - stop
+        k, b = np.nonzero(came)
+        yield pd.DataFrame({"k": k, "bucket": b, "came": came[k, b], "stopped": stopped[k, b]})
 
-def _probability(weights: list, seen: list[Column], context: list[Column], even: float) -> Column:
-    """The mixture as a column; used on the collapsed held-out counts."""
-    p = F.lit(even)
-    for of_bucket, c, n in zip(weights, seen, context, strict=True):
-        w = _weight(of_bucket, n)
-        p = F.when(n > 0, w * _share(c, n) + (1 - w) * p).otherwise(p)
-    return p
+    return run
 
 
 def fitted(events: DataFrame, order: int, even: float, rounds: int = ROUNDS) -> list[list[float]]:
     """weights[k][bucket] by expectation-maximisation; events: c1.., n1.., times.
 
-    A round is one aggregation of the collapsed events: for each order and bucket, how many of
-    the tokens came that far down the mixture, and how many stopped at that order. Buckets
-    without events keep the weight they started with.
+    A round is one aggregation of the collapsed events, to at most a row an order and bucket.
+    Buckets without events keep the weight they started with.
     """
     weights = [[STARTED] * (BUCKETS + 1) for _ in range(order)]
-    seen, context = ([F.col(f"{x}{k}") for k in range(1, order + 1)] for x in "cn")
     for _ in range(rounds):
-        reach: Column = F.col("times").cast("double")
-        steps = []
-        for k in reversed(range(order)):
-            p = _probability(weights[: k + 1], seen[: k + 1], context[: k + 1], even)
-            own = _weight(weights[k], context[k]) * _share(seen[k], context[k])
-            stop = F.when(context[k] > 0, reach * own / p).otherwise(F.lit(0.0))
-            steps.append(
-                F.struct(
-                    F.lit(k).alias("k"),
-                    _bucket(context[k]).alias("bucket"),
-                    reach.alias("all"),
-                    stop.alias("stop"),
-                )
-            )
-            reach = reach - stop
         sums = (
-            events.select(F.explode(F.array(*steps)).alias("s"))
-            .filter("s.bucket > 0")
-            .groupBy("s.k", "s.bucket")
-            .agg(F.sum("s.all").alias("all"), F.sum("s.stop").alias("stop"))
-            .collect()  # at most order * BUCKETS rows
+            events.mapInPandas(
+                _expected(order, weights, even), "k int, bucket int, came double, stopped double"
+            )
+            .groupBy("k", "bucket")
+            .agg(F.sum("came").alias("came"), F.sum("stopped").alias("stopped"))
+            .filter("bucket > 0 AND came > 0")
         )
-        for s in sums:
-            if s["all"] > 0:
-                weights[s.k][s.bucket] = s.stop / s["all"]
+        for row in sums.collect():
+            weights[row.k][row.bucket] = row.stopped / row.came
     return weights
 
 
@@ -397,8 +393,7 @@ def _events(order: int, tokens: int, docs: int) -> Callable:
         if blocks.empty:
             return pd.DataFrame(columns=[*names, "times"])
         block = Block(blocks.iloc[0].to_dict(), order)
-        totals = Totals(block, answers, order)
-        counts = [totals.of(k, without_deleted=True) for k in range(1, order + 1)]
+        counts = counts_of(block, answers, order, without_deleted=True)
         found = pd.DataFrame(
             dict(zip(names, counts + _contexts(block, counts, tokens, docs), strict=True))
         )
@@ -423,12 +418,10 @@ def _scores(order: int, weights: list, tokens: int, docs: int, distinct: int) ->
         if blocks.empty:
             return pd.DataFrame(columns=SCORES)
         block = Block(blocks.iloc[0].to_dict(), order)
-        totals = Totals(block, answers, order)
-        counts = [totals.of(k) for k in range(1, order + 1)]
-        p = np.full(len(counts[0]), 1 / (distinct + 1))
-        for k, context in enumerate(_contexts(block, counts, tokens, docs)):
-            w = np.where(context > 0, weights[k][bucket(context)], 0.0)
-            p = w * counts[k] / np.maximum(context, 1) + (1 - w) * p
+        counts = counts_of(block, answers, order)
+        contexts = _contexts(block, counts, tokens, docs)
+        for _, p in mixtures(weights, counts, contexts, 1 / (distinct + 1)):
+            pass  # the last one is of the highest order
         add = lambda x: np.add.reduceat(x, block.starts)
         base = np.log10(counts[0] + 1) - math.log10(tokens + distinct + 1)
         return pd.DataFrame(
