@@ -878,6 +878,7 @@ pr AS (SELECT a.label, a.event_id, {_DISTANCE} AS d FROM pt AS a JOIN pt AS b
     "four_models": on(TESTED, f"SELECT * FROM ({against_benign('ts')}), (VALUES ('boosted'),"
                               " ('second_boosted'), ('forest'), ('samme')) AS m(model)"),
     "tree_attributions": on(TESTED, "SELECT event_id, 1 AS adds_up FROM ts"),
+    "primary_attributions": on(TESTED, "SELECT event_id, 1 AS adds_up FROM ts"),
     "cross_validation": validated("'served'"),
     "recipe_ab": on(f"{TESTED},\n{FOLDS}", f"SELECT * FROM (SELECT * FROM ("
         f"{against_benign('fd', 'fold')}) UNION ALL SELECT -1, * FROM ({against_benign('ts')})),"

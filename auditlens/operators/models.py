@@ -1,4 +1,4 @@
-"""Classifiers: multinomial logistic, forest, one-vs-rest boosted trees, SAMME.
+"""Classifiers: multinomial logistic, forest, boosted softmax trees, SAMME.
 
 A fitted model is anything with `score(df)`, which adds p0..p4 to a frame that
 has the (scaled) feature columns. Training input has the feature columns,
@@ -7,18 +7,13 @@ has the (scaled) feature columns. Training input has the feature columns,
 
 from __future__ import annotations
 
-import math
 import time
 from dataclasses import astuple, dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassificationModel,
-    GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
@@ -30,10 +25,9 @@ from pyspark.sql import functions as F
 
 from auditlens import constants as K
 from auditlens.functions.scoring import PROBABILITIES, with_verdict
-from auditlens.operators import balance
+from auditlens.operators import balance, boosting
 from auditlens.operators.scaling import Scaler
 from auditlens.operators.smote import smote
-from auditlens.session import materialise
 
 CLASSES = K.CLASS_IDS
 
@@ -96,68 +90,9 @@ def fit_forest(df: DataFrame, columns: list[str], trees: int = 100, depth: int =
     return VectorModel(estimator.fit(_training_frame(df, columns)), columns)
 
 
-@dataclass
-class OneVsRestModel:
-    """Binary boosted trees per class; sigmoids of the margins, normalised."""
-
-    models: dict[int, object]
-    columns: list[str]
-
-    def score(self, df: DataFrame) -> DataFrame:
-        scored = assemble(df, self.columns)
-        for c, model in self.models.items():
-            scored = (
-                model.copy()
-                .setRawPredictionCol(f"_raw{c}")
-                .setProbabilityCol("")
-                .setPredictionCol("")
-                .transform(scored)
-            )
-        sigmoids = {
-            c: 1.0 / (1.0 + F.exp(-2.0 * vector_to_array(f"_raw{c}")[1])) for c in self.models
-        }
-        with_s = scored.withColumns({f"_s{c}": s for c, s in sigmoids.items()})
-        total = sum((F.col(f"_s{c}") for c in self.models), F.lit(0.0))
-        share = F.struct(
-            *[
-                (F.col(f"_s{c}") / total if c in self.models else F.lit(0.0)).alias(p)
-                for c, p in enumerate(PROBABILITIES)
-            ]
-        )
-        kept = [F.col(f"`{c}`") for c in df.columns]
-        return with_s.select(*kept, F.inline(F.array(share)))
-
-    def save(self, path: str) -> None:
-        for c, model in self.models.items():
-            model.write().overwrite().save(f"{path}/class-{c}")
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str, columns: list[str]) -> OneVsRestModel:
-        models = {}
-        for c in CLASSES:
-            try:
-                models[c] = GBTClassificationModel.load(f"{path}/class-{c}")
-            except Exception as error:
-                if "does not exist" not in str(error):
-                    raise
-        return cls(models, columns)
-
-
-def fit_boosted(df: DataFrame, columns: list[str], rounds: int = 50, depth: int = 4,
-                step: float = 0.1, seed: int = 42) -> OneVsRestModel:
-    """One binary boosted model per class that has rows, the classes side by side."""
-    rows = _training_frame(df, columns)
-    present = sorted(int(r.label) for r in rows.select("label").distinct().collect())
-
-    def fit(c: int):
-        binary = rows.withColumn("label", (F.col("label") == c).cast("double"))
-        return GBTClassifier(
-            weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed
-        ).fit(binary)
-
-    with ThreadPool(len(present)) as pool:
-        models = dict(zip(present, pool.map(inheritable_thread_target(df.sparkSession)(fit), present), strict=True))
-    return OneVsRestModel(models, columns)
+def fit_boosted(df: DataFrame, columns: list[str], **growth) -> boosting.SoftmaxTrees:
+    """The boosted model; growth as in boosting.Growth."""
+    return boosting.fit_boosted(df, columns, **growth)
 
 
 @dataclass(frozen=True)
@@ -212,61 +147,22 @@ class SammeModel:
         return scored.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(share)))
 
 
-#: Rounds between two tables of the row weights.
-ROUNDS_PER_TABLE = 10
-
-
-def fit_samme(df: DataFrame, columns: list[str], rounds: int = 80, seed: int = 42) -> SammeModel:
-    """Boosted stumps with class votes, one weighted stump per round.
-
-    A round multiplies the weight of the rows its stump misses. The weights are written
-    every few rounds, so neither the plan nor a row's expression grows with the rounds. A
-    stump's error comes from the class weights in its leaves, so a round is one fit.
-    """
-    model = SammeModel(columns=columns)
-    weighted = df.select(*columns, "label", F.col("weight").cast("double").alias("weight"))
-    classes = weighted.select("label").distinct().count()
-    for number in range(rounds):
-        if number % ROUNDS_PER_TABLE == 0:
-            weighted = materialise(weighted, "samme")
-        tree = DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=seed).fit(
-            _training_frame(weighted, columns)
-        )
-        root = tree._call_java("rootNode")
-        if tree.numNodes < 3:
-            break
-        split = root.split()
-        left, right = (_leaf_weights(node) for node in (root.leftChild(), root.rightChild()))
-        sides = (int(np.argmax(left)), int(np.argmax(right)))
-        total = float(left.sum() + right.sum())
-        missed = total - float(left.max() + right.max())
-        error = max(missed / total, 1e-10)
-        if error >= 1.0 - 1.0 / classes:
-            break
-        alpha = math.log((1.0 - error) / error) + math.log(classes - 1.0)
-        stump = Stump(columns[split.featureIndex()], float(split.threshold()), *sides, alpha)
-        model.stumps.append(stump)
-        if missed <= 0:
-            break
-        # Hits go down instead of misses up: the weights stay at most what they were.
-        hit = stump.prediction() == F.col("label")
-        weighted = weighted.withColumn(
-            "weight", F.when(hit, F.col("weight") * math.exp(-alpha)).otherwise(F.col("weight"))
-        )
-    return model
-
-
-def _leaf_weights(node) -> np.ndarray:
-    return np.array(list(node.impurityStats().stats()), dtype=float)
+def fit_samme(df: DataFrame, columns: list[str], rounds: int = 80) -> SammeModel:
+    """Boosted stumps with class votes; all rounds are one job."""
+    stumps = boosting.fit_stumps(df, columns, rounds)
+    return SammeModel([Stump(columns[f], *rest) for _, f, *rest in stumps], columns)
 
 
 #: What the reference fits its primary model and its forest with: on real rows with weights
-#: ("served"), and after oversampling ("smote"). Trees of at most 15 and 31 leaves there have a
-#: depth of 4 and 5 here (16 and 32 leaves at most).
+#: ("served"), and after oversampling ("smote").
 REFERENCE = {
     fit_boosted: {
-        "served": {"rounds": 300, "depth": 4, "step": 0.03},
-        "smote": {"rounds": 200, "depth": 5, "step": 0.05},
+        "served": {
+            "rounds": 300, "step": 0.03, "leaves": 15, "l1": 0.1, "l2": 1.0, "least_rows": 5,
+        },
+        "smote": {
+            "rounds": 200, "step": 0.05, "leaves": 31, "l1": 0.0, "l2": 0.0, "least_rows": 20,
+        },
     },
     fit_forest: {
         "served": {"trees": 200, "depth": 8},
@@ -277,7 +173,11 @@ REFERENCE = {
 #: The four models and the options the queries fit them with, besides the ones of REFERENCE.
 FITTERS = {
     "boosted": (fit_boosted, {}),
-    "second_boosted": (fit_boosted, {"rounds": 150, "depth": 6, "step": 0.05}),
+    "second_boosted": (
+        fit_boosted,
+        {"rounds": 150, "step": 0.05, "depth": 6, "leaves": 64, "l1": 0.0, "l2": 1.0,
+         "least_rows": 1, "least_hessian": 1.0},
+    ),
     "forest": (fit_forest, {}),
     "samme": (fit_samme, {}),
 }
@@ -367,9 +267,49 @@ def cross_validate(rows: DataFrame, folds: int, recipe: Recipe) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def shares_a_table(recipe: Recipe) -> bool:
+    """Whether a recipe's folds are weightings of the same rows, so that they fit together."""
+    return recipe.fit is fit_boosted and recipe.balance != "smote" and not recipe.top_up
+
+
+def cross_validate_arms(
+    rows: DataFrame, folds: int, arms: dict[str, Recipe]
+) -> dict[str, DataFrame]:
+    """Predictions of every row for every arm.
+
+    All boosted arms on real rows are fitted on one table, all their folds side by side.
+    Trees do not depend on the columns' scale, so they see the columns as they are.
+    """
+    together = {arm: recipe for arm, recipe in arms.items() if shares_a_table(recipe)}
+    found = {
+        arm: cross_validate(rows, folds, recipe)
+        for arm, recipe in arms.items()
+        if arm not in together
+    }
+    if together:
+        options = {
+            arm: {
+                "alpha": recipe.alpha if recipe.balance == "weights" else 0.0,
+                "columns": recipe.columns,
+                "growth": boosting.Growth(**recipe.fit_options()),
+            }
+            for arm, recipe in together.items()
+        }
+        models = boosting.fit_folds(rows, folds, list(K.FEATURES), options)
+        for arm in together:
+            parts = [
+                with_verdict(models[arm, i].score(rows.filter(F.col("fold") == i))).select(
+                    "fold", "label", "predicted_class"
+                )
+                for i in range(folds)
+            ]
+            found[arm] = reduce(DataFrame.unionByName, parts)
+    return found
+
+
 # --- published models -----------------------------------------------------------
 
-KINDS = {"vector": VectorModel, "one_vs_rest": OneVsRestModel, "samme": SammeModel}
+KINDS = {"vector": VectorModel, "softmax": boosting.SoftmaxTrees, "samme": SammeModel}
 
 
 def publish(spark: SparkSession, pipeline: Pipeline, path: str, version: str) -> str:

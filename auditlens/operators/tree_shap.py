@@ -80,17 +80,33 @@ def forest_leaves(model) -> tuple[list[Leaf], np.ndarray]:
     return _collect(model, _class_shares, [1.0 / model.getNumTrees] * model.getNumTrees)
 
 
-def one_vs_rest_leaves(models: dict[int, object], classes: int) -> tuple[list[Leaf], np.ndarray]:
-    """Leaves of one binary boosted model per class, each in its class's margin."""
+def boosted_leaves(trees: list[tuple], classes: int) -> tuple[list[Leaf], np.ndarray]:
+    """Leaves of boosted trees (rows of boosting.TREES), each in its class's margin.
+
+    The second result is the base value: the margins' mean over the training rows.
+    """
     leaves: list[Leaf] = []
     base = np.zeros(classes)
-    for c, model in models.items():
+    for _, c, feature, threshold, left, right, value, cover in trees:
         unit = np.eye(classes)[c]
-        part, offset = _collect(
-            model, lambda node, u=unit: float(node.prediction()) * u, list(model.treeWeights)
-        )
-        leaves += part
-        base += offset
+        waiting: list[tuple[int, dict]] = [(0, {})]
+        while waiting:
+            node, path = waiting.pop()
+            if feature[node] < 0:
+                share = float(np.prod([p[2] for p in path.values()])) if path else 1.0
+                base += value[node] * share * unit
+                if path:
+                    low, high, shares = (np.array([p[i] for p in path.values()]) for i in range(3))
+                    leaves.append((list(path), low, high, shares, value[node] * unit))
+                continue
+            f, t = feature[node], threshold[node]
+            low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+            for child, bounds in (
+                (left[node], (low, min(high, t))),
+                (right[node], (max(low, t), high)),
+            ):
+                branch = cover[child] / cover[node]
+                waiting.append((child, {**path, f: (*bounds, share * branch)}))
     return leaves, base
 
 

@@ -325,13 +325,32 @@ def tree_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def primary_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The primary model's attributions of every test row: with the base value, its margin."""
+    rows = _holdout_rows(spark, sf_dir)
+    fitted = MO.train(rows.filter(F.col("split") == "train"), PRIMARY)
+    leaves, base = TS.boosted_leaves(fitted.model.trees, len(K.CLASS_IDS))
+    test = fitted.score(rows.filter(F.col("split") == "test"))
+    scored = fitted.model.with_margins(test).select(
+        "event_id", "predicted_class", "margins", *FEATURES
+    )
+    explained = TS.with_tree_attributions(scored, FEATURES, leaves, len(base), k=len(FEATURES))
+    place = F.col("predicted_class") + 1
+    of_class = F.element_at(F.array(*[F.lit(float(x)) for x in base]), place)
+    total = F.aggregate("top", of_class, lambda acc, t: acc + t["shap_value"])
+    return explained.select(
+        "event_id",
+        (F.abs(total - F.element_at("margins", place)) < 0.005).cast("int").alias("adds_up"),
+    )
+
+
 def published_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model saved under a version, read back by its pointer row.
 
     The model that was read back must give every row the verdict of the fitted one.
     """
     rows = materialise(_labelled(spark, sf_dir), "labelled")
-    fitted = MO.train(rows, MO.Recipe())
+    fitted = MO.train(rows, PRIMARY)
     path = scratch_path(spark, "models")
     MO.publish(spark, fitted, path, "v0")
     MO.publish(spark, fitted, path, "v1")
@@ -353,22 +372,20 @@ def _fold_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return materialise(R.kfold(rows, "label", "event_id"), "folds"), folds
 
 
-def _cv(rows: DataFrame, folds: int, recipe: MO.Recipe, arm: str) -> DataFrame:
-    cells = ME.confusion_cells(MO.cross_validate(rows, folds, recipe), ["fold"])
-    return ME.against_always_benign(cells, ["fold"]).withColumn("arm", F.lit(arm))
+def _validated(rows: DataFrame, folds: int, arms: dict[str, MO.Recipe]) -> DataFrame:
+    parts = [
+        ME.against_always_benign(ME.confusion_cells(predicted, ["fold"]), ["fold"]).withColumn(
+            "arm", F.lit(arm)
+        )
+        for arm, predicted in MO.cross_validate_arms(rows, folds, arms).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The served recipe of the primary model over all folds."""
     rows, folds = _fold_rows(spark, sf_dir)
-    return _cv(rows, folds, PRIMARY, "served")
-
-
-def _two_arms(spark: SparkSession, sf_dir: str, arms: dict[str, MO.Recipe]) -> DataFrame:
-    rows, folds = _fold_rows(spark, sf_dir)
-    return reduce(
-        DataFrame.unionByName, [_cv(rows, folds, recipe, arm) for arm, recipe in arms.items()]
-    )
+    return _validated(rows, folds, {"served": PRIMARY})
 
 
 def recipe_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,30 +401,24 @@ def recipe_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("fold", F.lit(-1))
         for arm, recipe in arms.items()
     ]
-    return reduce(DataFrame.unionByName, [*split, _two_arms(spark, sf_dir, arms)])
+    return reduce(
+        DataFrame.unionByName, [*split, _validated(*_fold_rows(spark, sf_dir), arms)]
+    )
 
 
 def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = tuple(f for f in K.FEATURES if f not in K.REAL_SIGNAL_FEATURES)
-    return _two_arms(
-        spark,
-        sf_dir,
-        {
-            "without": replace(PRIMARY, columns=kept, alpha=1.0),
-            "with": replace(PRIMARY, alpha=1.0),
-        },
-    )
+    arms = {
+        "without": replace(PRIMARY, columns=kept, alpha=1.0),
+        "with": replace(PRIMARY, alpha=1.0),
+    }
+    return _validated(*_fold_rows(spark, sf_dir), arms)
 
 
 def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, folds = _fold_rows(spark, sf_dir)
-    parts = [
-        _cv(rows, folds, replace(PRIMARY, alpha=a), "sweep")
-        .drop("arm")
-        .withColumn("alpha", F.lit(a))
-        for a in K.SWEEP_ALPHAS
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    arms = {str(a): replace(PRIMARY, alpha=a) for a in K.SWEEP_ALPHAS}
+    swept = _validated(*_fold_rows(spark, sf_dir), arms)
+    return swept.withColumn("alpha", F.col("arm").cast("double")).drop("arm")
 
 
 def hybrid_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,9 +429,7 @@ def hybrid_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
         "real": replace(PRIMARY, alpha=1.0),
         "hybrid": replace(PRIMARY, alpha=1.0, top_up=True, target=target),
     }
-    return reduce(
-        DataFrame.unionByName, [_cv(rows, folds, recipe, arm) for arm, recipe in arms.items()]
-    )
+    return _validated(rows, folds, arms)
 
 
 QUERIES = {
@@ -432,7 +441,7 @@ QUERIES = {
         minority_topup, topped_up_set, noisy_features, smote, smote_neighbours, smote_embeddings,
         train_logistic,
         train_forest, train_boosted, train_second_boosted, train_samme, four_models,
-        tree_attributions,
+        tree_attributions, primary_attributions,
         published_model, cross_validation, recipe_ab, feature_ablation, weight_sweep, hybrid_ab,
     )
 }

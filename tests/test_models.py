@@ -90,32 +90,19 @@ def test_samme_learns_and_scores_sum_to_one(spark):
     assert scored.filter("abs(p0 + p1 + p2 + p3 + p4 - 1) > 0.001").isEmpty()
 
 
-def test_recipes_fit_with_the_reference_parameters(spark, monkeypatch):
-    given = []
+def test_recipes_fit_with_the_reference_parameters():
+    def options(fit, **recipe):
+        return MO.Recipe(fit=fit, **recipe).fit_options()
 
-    class Seen:
-        def __init__(self, **options):
-            given.append(options)
-
-        def fit(self, rows):
-            return None
-
-    monkeypatch.setattr(MO, "GBTClassifier", Seen)
-    monkeypatch.setattr(MO, "RandomForestClassifier", Seen)
-    df = spark.createDataFrame([(n % 3 % 2, float(n)) for n in range(30)], "label int, a double")
-
-    def options(fit, names, **recipe):
-        given.clear()
-        MO.train(df, MO.Recipe(fit=fit, columns=("a",), **recipe))
-        return {tuple(g[n] for n in names) for g in given}
-
-    boosted, forest = ("maxIter", "maxDepth", "stepSize"), ("numTrees", "maxDepth")
-    assert options(MO.fit_boosted, boosted) == {(300, 4, 0.03)}
-    assert options(MO.fit_boosted, boosted, balance="smote") == {(200, 5, 0.05)}
-    assert options(MO.fit_forest, forest) == {(200, 8)}
-    assert options(MO.fit_forest, forest, balance="smote") == {(100, 12)}
-    second = MO.FITTERS["second_boosted"][1]
-    assert options(MO.fit_boosted, boosted, options=second) == {(150, 6, 0.05)}
+    served = options(MO.fit_boosted)
+    assert served == {"rounds": 300, "step": 0.03, "leaves": 15, "l1": 0.1, "l2": 1.0,
+                      "least_rows": 5}
+    smoted = options(MO.fit_boosted, balance="smote")
+    assert (smoted["rounds"], smoted["step"], smoted["leaves"]) == (200, 0.05, 31)
+    assert options(MO.fit_forest) == {"trees": 200, "depth": 8}
+    assert options(MO.fit_forest, balance="smote") == {"trees": 100, "depth": 12}
+    second = options(MO.fit_boosted, options=MO.FITTERS["second_boosted"][1])
+    assert (second["rounds"], second["step"], second["depth"]) == (150, 0.05, 6)
 
 
 def test_tree_attributions_against_all_subsets(spark):
@@ -157,28 +144,6 @@ def test_tree_attributions_against_all_subsets(spark):
     assert base == pytest.approx(value[()])
 
 
-def test_boosted_attributions_add_up_to_the_margin(spark):
-    df = spark.range(300).select(
-        F.rand(1).alias("a"), F.rand(2).alias("b"), F.lit(1.0).alias("weight")
-    ).withColumn("label", F.expr("int(a > 0.5) + int(b > 0.6)")).cache()
-    model = MO.fit_boosted(df, ["a", "b"], rounds=3, depth=3)
-    leaves, base = TS.one_vs_rest_leaves(model.models, 5)
-    x = np.array(df.select("a", "b").limit(20).collect())
-    phi = TS.attribute(leaves, x, 5)
-    for c, binary in model.models.items():
-        margin = [
-            sum(w * t.predict(_dense(r)) for t, w in zip(binary.trees, binary.treeWeights))
-            for r in x
-        ]
-        assert phi[:, :, c].sum(axis=1) + base[c] == pytest.approx(margin)
-
-
-def _dense(row):
-    from pyspark.ml.linalg import Vectors
-
-    return Vectors.dense(row)
-
-
 def test_linear_attributions_add_up(spark, sf_dir):
     from auditlens.plans import frames
 
