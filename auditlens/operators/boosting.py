@@ -131,11 +131,16 @@ class Part:
         often = add(np.bincount(place.ravel(), np.repeat(self.n, len(sizes)), self.bins))
         usual = [int(often[a : a + s].argmax()) for a, s in zip(self.first, sizes, strict=True)]
         self.usual = self.first + usual
-        self.row, column = np.nonzero(self.codes != np.array(usual))
-        self.bin = place[self.row, column]
+        # a column with the codes of an earlier one can make no other splits
+        differ = [(self.codes[:, :i] != self.codes[:, i : i + 1]).sum(axis=0) for i in range(len(sizes))]
+        again = np.array([(add(d.astype(np.float64)) == 0).any() for d in differ])
+        counted = (self.codes != np.array(usual)) & ~again
+        row, column = np.nonzero(counted)
+        self.row, self.bin = row, place[row, column]
         last = np.zeros(self.bins, bool)
         last[self.first + np.array(sizes) - 1] = True
-        self.splits = ~last  # a column's last bin has nothing on its right
+        # a column's last bin has nothing on its right
+        self.splits = ~last & ~again[self.column]
 
     def histogram(self, slot: np.ndarray, slots: int, values: list[np.ndarray]) -> np.ndarray:
         """Sums of values by (slot, bin); rows in slot -1 are left out."""

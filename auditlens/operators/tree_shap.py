@@ -123,12 +123,24 @@ def attribute(leaves: list[Leaf], x: np.ndarray, classes: int) -> np.ndarray:
     phi = np.zeros((*x.shape, classes))
     for features, low, high, share, out in leaves:
         part = x[:, features]
-        met, which = np.unique((part > low) & (part <= high), axis=0, return_inverse=True)
+        bits = 1 << np.arange(len(features))
+        codes, which = np.unique(((part > low) & (part <= high)) @ bits, return_inverse=True)
+        met = (codes[:, None] & bits) > 0
         values = _shapley(share, met.astype(float))[which.reshape(-1)]
         phi[:, features, :] += values[:, :, None] * out
     return phi
 
 
+def attribute_class(leaves: list[Leaf], x: np.ndarray, of_row: np.ndarray) -> np.ndarray:
+    """row x feature, each row for its own class; only leaves that have a value there are read."""
+    phi = np.zeros(x.shape)
+    for c in np.unique(of_row):
+        rows = of_row == c
+        own = [(*leaf[:4], leaf[4][c : c + 1]) for leaf in leaves if leaf[4][c] != 0]
+        phi[rows] = attribute(own, x[rows], 1)[:, :, 0]
+    return phi
+
+
 def with_tree_attributions(
     rows: DataFrame, columns: list[str], leaves: list[Leaf], classes: int, k: int = 5
 ) -> DataFrame:
@@ -148,9 +160,8 @@ def with_tree_attributions(
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[columns].to_numpy(dtype=float)
-            phi = attribute(shared.value, x, classes)
             of_class = np.minimum(pdf["predicted_class"].to_numpy(), classes - 1)
-            picked = phi[np.arange(len(pdf)), :, of_class]
+            picked = attribute_class(shared.value, x, of_class)
             yield pd.concat(
                 [pdf.drop(columns=columns), pd.DataFrame(picked, columns=names, index=pdf.index)],
                 axis=1,
