@@ -950,6 +950,21 @@ r AS (SELECT count(*) AS rows_total, count(label) AS rows_used,
 o AS (SELECT user_id, count(*) AS n FROM ev GROUP BY user_id ORDER BY n DESC, user_id LIMIT 1)""",
         "SELECT user_id, n AS cleared, (SELECT count(*) FROM ev) - n AS left,"
         " 0::BIGINT AS left_of_owner FROM o"),
+    "removed_then_stored": on(f"""{INCIDENTS},
+o AS (SELECT user_id AS owner FROM inc GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1)""",
+        "SELECT CAST(user_id = owner AS INT) AS of_owner, predicted_class, count(*) AS n,"
+        " CAST(sum(id) AS BIGINT) AS ids FROM inc, o WHERE user_id <> owner OR id % 3 = 0"
+        " GROUP BY ALL"),
+    "merged_events": on(INCIDENTS, """SELECT id,
+  json_extract_string(m, '$.event.name') AS name, json_extract_string(m, '$.event.kind') AS kind,
+  json_extract_string(m, '$.actor.name') AS actor, json_extract_string(m, '$.actor.mfa.used') AS mfa,
+  json_extract_string(m, '$.actor.mfa.device') AS device,
+  CAST(json_array_length(m, '$.tags') AS INT) AS tags
+FROM (SELECT id, json_merge_patch(
+  json_object('event', json_object('name', event_name, 'kind', 'seen'), 'tags', ['a', 'b', 'c'],
+    'actor', json_object('name', principal, 'mfa', json_object('used', 'no', 'device', 'd1'))),
+  CASE WHEN predicted_class = 0 THEN '{}' ELSE json_object('event', json_object('kind', class_label),
+    'tags', [source], 'actor', json_object('mfa', json_object('used', 'yes'))) END) AS m FROM inc)"""),
     "incident_lookup": on(INCIDENTS, "SELECT id, user_id, event_name, principal, predicted_class,"
         " confidence FROM inc ORDER BY user_id, id LIMIT 1"),
     "cached_dataset": CORE["class_availability"],

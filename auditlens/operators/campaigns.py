@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from auditlens import constants as K
 from auditlens.functions.features import with_features
@@ -61,6 +65,30 @@ def steps(campaigns: DataFrame) -> DataFrame:
              (F.col("pos") + 1).alias("step"), "s.*")
 
 
+def _deep(base: object, override: object) -> object:
+    if not (isinstance(base, dict) and isinstance(override, dict)):
+        return override
+    own = {k: _deep(base[k], v) if k in base else v for k, v in override.items()}
+    return {**base, **own}
+
+
+@F.pandas_udf(StringType())
+def deep_merged(base: pd.Series, override: pd.Series) -> pd.Series:
+    """Two JSON objects merged at any depth, as JSON.
+
+    Objects merge key by key; anything else of the override, nulls and arrays too, takes the
+    place of the base's. A null or empty override leaves the base. How deep objects nest is
+    known by row only, so no fixed plan of built-in functions can express it.
+    """
+    return pd.Series(
+        [
+            b if o is None else json.dumps(_deep(json.loads(b or "{}"), json.loads(o) or {}))
+            for b, o in zip(base, override, strict=True)
+        ],
+        dtype=object,
+    )
+
+
 def merged(override: Column, base: Column) -> Column:
     """A leaf of a deep merge: the override where it has a value."""
     return F.coalesce(override, base)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlens import constants as K
+from auditlens.operators import campaigns as CA
 from auditlens.functions import text as X
 from auditlens.functions import times
 from auditlens.operators import metrics as ME
@@ -330,6 +331,59 @@ def cleared_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every incident's event as a nested object, with what its verdict sets merged into it."""
+    rows = FR.incidents(spark, sf_dir)
+    base = F.to_json(
+        F.struct(
+            F.struct(F.col("event_name").alias("name"), F.lit("seen").alias("kind")).alias("event"),
+            F.array(*map(F.lit, "abc")).alias("tags"),
+            F.struct(
+                F.col("principal").alias("name"),
+                F.struct(F.lit("no").alias("used"), F.lit("d1").alias("device")).alias("mfa"),
+            ).alias("actor"),
+        )
+    )
+    override = F.to_json(
+        F.struct(
+            F.struct(F.col("class_label").alias("kind")).alias("event"),
+            F.array("source").alias("tags"),
+            F.struct(F.struct(F.lit("yes").alias("used")).alias("mfa")).alias("actor"),
+        )
+    )
+    merged = CA.deep_merged(base, F.when(F.col("predicted_class") != 0, override))
+    value = lambda path: F.get_json_object("m", f"$.{path}")
+    return rows.select("id", merged.alias("m")).select(
+        "id", value("event.name").alias("name"), value("event.kind").alias("kind"),
+        value("actor.name").alias("actor"), value("actor.mfa.used").alias("mfa"),
+        value("actor.mfa.device").alias("device"),
+        F.json_array_length(value("tags")).alias("tags"),
+    )
+
+
+def removed_then_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All owners' incidents by class after the busiest owner's removal and a late delivery.
+
+    The late rows, every third of the owner's, have ids below removed ones. The owner's bucket
+    is then compacted.
+    """
+    path = scratch_path(spark, "incidents")
+    rows = FR.incidents(spark, sf_dir)
+    ST.append(rows, path)
+    owner = (
+        ST.read(spark, path).groupBy("user_id").count()
+        .orderBy(F.desc("count"), "user_id").first().user_id
+    )
+    ST.remove_owner(spark, path, owner)
+    ST.append(rows.filter((F.col("user_id") == owner) & (F.col("id") % 3 == 0)), path)
+    ST.compact(spark, path, owner)
+    return (
+        ST.read(spark, path)
+        .groupBy((F.col("user_id") == owner).cast("int").alias("of_owner"), "predicted_class")
+        .agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    )
+
+
 def incident_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stored incident by owner and id: only the owner's bucket is read."""
     path = scratch_path(spark, "incidents")
@@ -407,7 +461,8 @@ QUERIES = {
     for f in (
         ingest_json, ingest_shapes, ingest_mixed, ingest_documents_quarantine, ingest_errors,
         labelled_file, labelled_training, ingest_jsonl, ingest_csv, ingest_quarantine, line_numbers, poll_payloads,
-        export_csv, export_json, export_summary, append_incidents, cleared_incidents, incident_lookup,
+        export_csv, export_json, export_summary, append_incidents, cleared_incidents,
+        removed_then_stored, merged_events, incident_lookup,
         cached_dataset,
         stream_scoring, stream_dedupe, stream_cap, stream_lifecycle,
     )

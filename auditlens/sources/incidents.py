@@ -1,4 +1,4 @@
-"""The incident table: append, change, list, report and clear.
+"""The incident table: append, change, list, report and remove.
 
 Rows are stored by owner bucket, so an owner's reads prune to one bucket; a
 bucket with a busy owner is many files, sorted by owner and id.
@@ -7,13 +7,15 @@ Changes are appended as rows of their own and the latest one wins on read.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from auditlens import constants as K
 from auditlens.functions.text import class_label, lookup, one_decimal, strip_arn
-from auditlens.session import exists
+from auditlens.session import exists, materialise
 
 BUCKETS = 64
 
@@ -114,13 +116,20 @@ def from_verdicts(verdicts: DataFrame, source: Column) -> DataFrame:
 
 
 def append(incidents: DataFrame, path: str) -> None:
-    """Append to the table.
+    """Append to the table. Every row carries the time it arrived, in microseconds.
 
-    The rebalance hint brings a bucket into few files and splits one that is too
-    large for a task, which a plain repartition by the same key would not.
+    That time is never before the last removal, whatever the clocks say, so a row that is
+    stored after a removal stays. The rebalance hint brings a bucket into few files and splits
+    one that is too large for a task, which a plain repartition by the same key would not.
     """
+    spark = incidents.sparkSession
+    last = 0
+    if exists(spark, f"{path}-removed"):
+        removed = spark.read.schema(REMOVALS).parquet(f"{path}-removed")
+        last = removed.agg(F.max("before")).first()[0] or 0
     (
         with_defaults(incidents)
+        .withColumn("arrived", F.lit(max(last, _now())).cast("bigint"))
         .withColumn("owner_bucket", owner_bucket(F.col("user_id")))
         .hint("rebalance", "owner_bucket")
         .sortWithinPartitions("owner_bucket", "user_id", "id")
@@ -130,41 +139,75 @@ def append(incidents: DataFrame, path: str) -> None:
     )
 
 
-REMOVALS = "user_id bigint, up_to bigint"
+#: Rows of an owner that arrived before this are removed.
+REMOVALS = "user_id bigint, before bigint"
+STORED = f"{COLUMNS}, arrived bigint, owner_bucket int"
 
 
-def read(spark: SparkSession, path: str, user_id: int | None = None) -> DataFrame:
-    """Stored incidents without the removed ones; of one owner, from one bucket only."""
-    table = spark.read.schema(f"{COLUMNS}, owner_bucket int").parquet(path)
-    if user_id is not None:
-        mine = owner_bucket(F.lit(user_id))
-        table = table.filter((F.col("owner_bucket") == mine) & (F.col("user_id") == user_id))
-    table = table.drop("owner_bucket")
+def _now() -> int:
+    return time.time_ns() // 1000
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """All rows but the removed ones, with arrived and owner_bucket."""
+    table = spark.read.schema(STORED).parquet(path)
     if not exists(spark, f"{path}-removed"):
         return table
     removed = spark.read.schema(REMOVALS).parquet(f"{path}-removed")
-    last = removed.groupBy("user_id").agg(F.max("up_to").alias("_up_to"))
+    last = removed.groupBy("user_id").agg(F.max("before").alias("_before"))
+    arrived = F.coalesce("arrived", F.lit(0))
     return (
         table.join(last, "user_id", "left")
-        .filter(F.col("_up_to").isNull() | (F.col("id") > F.col("_up_to")))
+        .filter(F.col("_before").isNull() | (arrived >= F.col("_before")))
         .select(*table.columns)
     )
 
 
+def read(spark: SparkSession, path: str, user_id: int | None = None) -> DataFrame:
+    """Stored incidents without the removed ones; of one owner, from one bucket only."""
+    table = _stored(spark, path)
+    if user_id is not None:
+        mine = owner_bucket(F.lit(user_id))
+        table = table.filter((F.col("owner_bucket") == mine) & (F.col("user_id") == user_id))
+    return table.drop("owner_bucket", "arrived")
+
+
 def remove_owner(spark: SparkSession, path: str, user_id: int) -> int:
     """Hides an owner's incidents so far by one appended row; returns how many they are.
 
-    Only the owner's bucket is read and nothing is rewritten; `clear` drops the rows.
+    What counts is when a row arrived, not its id: rows that are stored later stay, smaller ids
+    too. Only the owner's bucket is read and nothing is rewritten; `compact` drops the rows.
     """
-    mine = read(spark, path, user_id).agg(F.count("*").alias("n"), F.max("id").alias("last"))
-    found = mine.first()
+    mine = _stored(spark, path).filter(
+        (F.col("owner_bucket") == owner_bucket(F.lit(user_id))) & (F.col("user_id") == user_id)
+    )
+    found = mine.agg(F.count("*").alias("n"), F.max("arrived").alias("last")).first()
     if found.n:
-        spark.createDataFrame([(user_id, found["last"])], REMOVALS).coalesce(1).write.mode(
+        before = max(_now(), (found["last"] or 0) + 1)
+        spark.createDataFrame([(user_id, before)], REMOVALS).coalesce(1).write.mode(
             "append"
         ).parquet(f"{path}-removed")
     return found.n
 
 
+def compact(spark: SparkSession, path: str, user_id: int) -> None:
+    """Rewrites the owner's bucket without removed rows; no other bucket is touched.
+
+    The rows are first written beside the table, and then take the bucket's place at once;
+    what a reader sees is the same before and after. Appends to the bucket have to wait.
+    """
+    bucket = spark.range(1).select(owner_bucket(F.lit(user_id))).first()[0]
+    kept = materialise(_stored(spark, path).filter(F.col("owner_bucket") == bucket), "compacted")
+    (
+        kept.hint("rebalance", "owner_bucket")
+        .sortWithinPartitions("user_id", "id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("owner_bucket")
+        .parquet(path)
+    )
+
+
 def append_changes(changes: DataFrame, path: str) -> None:
     """Append change rows beside the incidents, by owner bucket as these are."""
     (
@@ -276,20 +319,3 @@ def report_rows(newest_rows: DataFrame) -> DataFrame:
         F.concat(one_decimal(F.col("confidence") * 100), F.lit("%")).alias("confidence"),
         "action_status",
     )
-
-
-def clear(spark: SparkSession, path: str, user_id: int, new_path: str) -> int:
-    """Write the table without one owner's rows to new_path; returns how many went.
-
-    The old files stay until the caller switches over, so a failed job loses
-    nothing. There is no shuffle: every task copies the rows it reads.
-    """
-    table = spark.read.schema(f"{COLUMNS}, owner_bucket int").parquet(path)
-    gone = read(spark, path, user_id).count()
-    (
-        table.filter(F.col("user_id") != user_id)
-        .write.mode("errorifexists")
-        .partitionBy("owner_bucket")
-        .parquet(new_path)
-    )
-    return gone

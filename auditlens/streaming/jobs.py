@@ -75,7 +75,12 @@ def run_to_table(
 
 def store_incidents(incidents: DataFrame, name: str = "incidents") -> str:
     """Stream of incident rows into the table that sources.incidents reads."""
-    placed = incidents.withColumn("owner_bucket", owner_bucket(F.col("user_id")))
+    placed = incidents.withColumns(
+        {
+            "arrived": F.unix_micros(F.current_timestamp()),
+            "owner_bucket": owner_bucket(F.col("user_id")),
+        }
+    )
     return run_to_table(placed, name, ("owner_bucket",))
 
 

@@ -194,10 +194,10 @@ def test_noise_is_normal_and_repeatable(spark):
     assert noisy.exceptAll(B.with_noise(df.repartition(7), ["a"], "id")).isEmpty()
 
 
-def test_incident_defaults_changes_and_clear(spark):
+def test_incident_defaults_changes_and_removals(spark):
     from auditlens.session import scratch_path
 
-    path, after = scratch_path(spark, "inc"), scratch_path(spark, "inc")
+    path = scratch_path(spark, "inc")
     rows = spark.sql(
         "SELECT id, id % 3 AS user_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS created_at, "
         "CAST(NULL AS STRING) AS source, 2 AS predicted_class FROM range(30)"
@@ -219,8 +219,19 @@ def test_incident_defaults_changes_and_clear(spark):
     assert len(state) == 30
     assert ST.newest(stored, 9999).count() == 30
     assert ST.newest(stored, 0).count() == 3
-    assert ST.clear(spark, path, 1, after) == 10
-    assert ST.read(spark, after, 1).isEmpty() and ST.read(spark, after).count() == 20
+    assert ST.remove_owner(spark, path, 1) == 10
+    assert ST.read(spark, path, 1).isEmpty() and ST.read(spark, path).count() == 20
+    # rows that arrive later stay, also with ids below removed ones, and after a second removal
+    ST.append(rows.filter("id = 7"), path)
+    assert [r.id for r in ST.read(spark, path, 1).collect()] == [7]
+    assert ST.remove_owner(spark, path, 1) == 1 and ST.remove_owner(spark, path, 1) == 0
+    ST.append(rows.filter("id IN (4, 28)"), path)
+    before = sorted(ST.read(spark, path).collect())
+    assert sorted(r.id for r in before if r.user_id == 1) == [4, 28]
+    ST.compact(spark, path, 1)
+    assert sorted(ST.read(spark, path).collect()) == before
+    files = spark.read.schema(ST.STORED).parquet(path)
+    assert files.filter("user_id = 1").count() == 2
 
 
 def test_triage_summary_counts_errors_and_truncates(spark):
@@ -271,3 +282,33 @@ def test_one_campaign_by_id(spark):
     assert CP.by_id(catalogue, K.CAMPAIGNS[1][0]).count() == 1
     with pytest.raises(KeyError):
         CP.by_id(catalogue, "none")
+
+
+def test_deep_merge_equals_plain_recursion(spark):
+    import copy
+    import json
+    import random
+
+    from auditlens.operators import campaigns as CA
+
+    draw = random.Random(3)
+
+    def made(depth):
+        kind = draw.random()
+        if depth and kind < 0.6:
+            return {draw.choice("abcd"): made(depth - 1) for _ in range(draw.randrange(4))}
+        return draw.choice([None, 1, "x", [1, {"a": 2}], [], True, 2.5, {}])
+
+    def plain(base, overrides):
+        out = copy.deepcopy(base)
+        for key, value in (overrides or {}).items():
+            both = isinstance(value, dict) and isinstance(out.get(key), dict)
+            out[key] = plain(out[key], value) if both else value
+        return out
+
+    objects = lambda: {k: made(4) for k in "abc"[: draw.randrange(4)]}
+    pairs = [(objects(), objects()) for _ in range(300)]
+    rows = [(json.dumps(b), json.dumps(o)) for b, o in pairs] + [('{"a": 1}', None), (None, '{"b": 2}')]
+    df = spark.createDataFrame(rows, "b string, o string")
+    got = [json.loads(r[0]) for r in df.select(CA.deep_merged("b", "o")).collect()]
+    assert got == [plain(b, o) for b, o in pairs] + [{"a": 1}, {"b": 2}]
