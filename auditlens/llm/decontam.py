@@ -75,14 +75,15 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") ->
     """Distinct windows with the items that have them: (words, items).
 
     An item of fewer than WINDOW words is one window; an item without words, or with a null
-    text or id, has none.
+    text, has none. The windows of an item whose id is null are searched for as well, but name no
+    item.
     """
     lowered = F.translate(F.col(text), UPPER, LOWER)
     words = F.regexp_extract_all(lowered, F.lit(f"({WORD.pattern})"), F.lit(1))
     last = F.greatest(F.size("w") - WINDOW + 1, F.lit(1))
     return (
         benchmark.select(F.col(item).cast("string").alias("item"), words.alias("w"))
-        .filter("item IS NOT NULL AND size(w) > 0")
+        .filter("size(w) > 0")
         .select("item", "w", F.explode(F.sequence(F.lit(1), last)).alias("at"))
         .select("item", F.slice("w", F.col("at"), F.lit(WINDOW)).alias("words"))
         .groupBy("words")
@@ -121,7 +122,7 @@ def contamination(
     """Adds `leaks`: struct<n_words, hits, items> to every row, and keeps the rest.
 
     hits are the positions of the words inside occurrences, items the ids (as text, sorted)
-    of the items that occur. Null texts have no words. Without benchmark windows nothing is
+    of the items that occur; what only occurs in items without an id is hit and names none. Null texts have no words. Without benchmark windows nothing is
     hit. Repeated rows are repeated in the result, repeated items count once. A column
     `leaks` of the input is replaced.
     """
@@ -190,7 +191,8 @@ pos AS (
   FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
 it AS (
   SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit WHERE item_id IS NOT NULL)
+  GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
   CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -80,13 +80,14 @@ def _brute_leaks(text, items):
     for item, content in items:
         own = words(content)
         size = min(10, len(own))
-        if not size or item is None:
+        if not size:
             continue
         for i in range(len(own) - size + 1):
             for j in range(len(doc) - size + 1):
                 if doc[j : j + size] == own[i : i + size]:
                     hit |= set(range(j, j + size))
-                    found.add(str(item))
+                    if item is not None:
+                        found.add(str(item))
     return len(doc), len(hit), len(found), ",".join(sorted(found))
 
 
@@ -108,6 +109,26 @@ def test_leaks_equal_brute_force(spark, make_docs, block):
         assert (len(row["items"]), ",".join(row["items"])) == (n_items, joined)
 
 
+def test_leaks_of_items_without_an_id(spark, make_docs, tmp_path):
+    """Hit, and nothing named; the SQL says the same."""
+    passage = "one two three four five six seven eight nine ten"
+    docs = make_docs([(1, f"x {passage} y"), (2, "none of it")], clash=False)
+    benchmark = spark.createDataFrame([(None, passage), (5, "other")], "item_id long, text string")
+    found = decontam.leak_report(docs, benchmark)
+    row = found.filter("doc_id = 1").first()
+    assert (row.n_hit, row.n_items, row.contaminated) == (10, 0, True)
+    import duckdb
+
+    with duckdb.connect() as db:
+        for name, frame in (("documents", docs), ("benchmark", benchmark)):
+            frame.write.parquet(str(tmp_path / name))
+            db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+        result = db.sql(decontam.ORACLE)
+        assert sorted(result.fetchall()) == sorted(
+            map(tuple, found.select(*result.columns).collect())
+        )
+
+
 def test_leaks_of_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     one = decontam.leak_report(make_docs([(1, "some words"), (2, None)]), none).collect()
