@@ -225,20 +225,25 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 def train(rows: DataFrame, label: str, id_col: str, most: int = FIT_ROWS) -> AdditiveModel:
     """Fits on rows with features and a label of 0 or 1; other labels are left out.
 
-    Of more than `most` rows about that many are taken by a hash of their id, so only these
-    go to the driver, and of them at most `most`.
+    Of more than `most` rows about that many are taken by a hash of their id and features, so
+    only these go to the driver, and of them at most `most`. Rows that are equal throughout are
+    counted before they are drawn, and as many of them are taken as are their share.
     """
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    usable = rows.filter(F.col(label).isin(0, 1)).select(
-        F.col("features.x").alias("x"), F.col(label).alias("y"), place.alias("place")
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col("features.x")), F.lit(1 << 30))
+    usable = (
+        rows.filter(F.col(label).isin(0, 1))
+        .select(F.col("features.x").alias("x"), F.col(label).alias("y"), place.alias("place"))
+        .groupBy("place", "y", "x")
+        .agg(F.count("*").alias("n"))
     )
-    total = usable.count()
-    if total > most:
-        usable = usable.filter(F.col("place") < int((1 << 30) * most / total))
-    sample = usable.toPandas()
-    taken = sorted(zip(sample["place"], sample["y"], map(tuple, sample["x"]), strict=True))[:most]
-    x = np.array([row[2] for row in taken], float).reshape(-1, len(FEATURES))
-    return fit(x, np.array([row[1] for row in taken], float))
+    groups = usable.count()
+    if groups > most:
+        usable = usable.filter(F.col("place") < int((1 << 30) * most / groups))
+    sample = usable.toPandas().sort_values(["place", "y"], kind="stable")[:most]
+    share = max(1.0, sample["n"].sum() / most)
+    times = np.maximum(1, (sample["n"].to_numpy(float) / share).astype(int))
+    x = np.array(sample["x"].tolist(), float).reshape(-1, len(FEATURES))
+    return fit(np.repeat(x, times, axis=0), np.repeat(sample["y"].to_numpy(float), times))
 
 
 def score(rows: DataFrame, model: AdditiveModel, *keep: str) -> DataFrame:

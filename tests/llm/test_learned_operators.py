@@ -114,3 +114,23 @@ def test_fit_rows_are_bounded(spark, make_docs):
     rows = quality.measured(make_docs([(n, f"w{n} " * (n % 7)) for n in range(60)]))
     labelled = rows.selectExpr("*", "cast(doc_id % 2 as int) as y")
     assert quality.train(labelled, "y", "doc_id", most=5).scores(np.zeros((1, 21)))[0] <= 1
+
+
+def test_a_repeated_id_neither_hides_nor_floods_the_sample(spark):
+    """3,000 rows of one id and 100 others, of which 50 are to be learned from."""
+    from auditlens.llm import quality
+
+    size = len(quality.FEATURES)
+    rows = [(7, ([float(i % 1500)] * size,), i % 2) for i in range(3000)]
+    rows += [(i, ([float(i)] * size,), 1) for i in range(100, 200)]
+    frame = spark.createDataFrame(rows, "id long, features struct<x: array<double>>, y int")
+    seen = []
+    original = quality.fit
+    quality.fit = lambda x, y: seen.append(len(x)) or original(x, y)
+    try:
+        quality.train(frame, "y", "id", most=50)
+        same = frame.withColumn("features", frame["features"].withField("x", frame["features.x"]))
+        quality.train(same.filter("id = 7 AND features.x[0] = 3.0"), "y", "id", most=50)
+    finally:
+        quality.fit = original
+    assert 20 <= seen[0] <= 60 and seen[1] == 2
