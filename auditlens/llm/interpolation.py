@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ ROUNDS = 12
 #: Buckets of context counts: 0, 1, 2-3, 4-7, ...
 BUCKETS = 64
 #: Tokens of a block, and n-grams that one merging task is meant to hold.
-BLOCK, MERGED = 2_000_000, 1_000_000
+BLOCK, MERGED = 1_000_000, 1_000_000
 #: Words of a text that are looked up at a time.
 SLICE = 200_000
 STARTED = 0.5
@@ -144,15 +145,21 @@ class Gathered:
         return pa.RecordBatch.from_pylist([row], BLOCK_SCHEMA)
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Bytes of small numbers: the low bytes of all, then the next ones, ..."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers compressed by byte planes: the low bytes of all, then the next ones, ...
+
+    High bytes of small numbers, and of sorted ones, hardly change and pack to little.
+    """
+    size = np.dtype(kind).itemsize
+    split = np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(-1, size).T)
+    return zstandard.ZstdCompressor(level=1).compress(split.tobytes())
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    if not raw:
-        return np.empty(0, "<u4")
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def unpacked(raw: bytes, kind: str = "<u4") -> np.ndarray:
+    split = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    size = np.dtype(kind).itemsize
+    together = np.ascontiguousarray(split.reshape(size, len(split) // size).T)
+    return together.reshape(-1).view(kind)
 
 
 def _blocks(size: int) -> Callable:
@@ -206,17 +213,6 @@ SENT_SCHEMA = pa.schema(
 )
 
 
-def planes(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as byte planes; the high ones hardly change and pack to little."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def from_planes(raw: bytes) -> np.ndarray:
-    if not raw:
-        return np.empty(0, "<u8")
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
-
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Which of the parts keys belong to, by their high bits; ascending as keys are."""
     return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -239,7 +235,7 @@ def _send(order: int, parts: int) -> Callable:
                             "block": row["block"],
                             "k": k,
                             "deleted": row["deleted"],
-                            "keys": planes(keys[a:b]),
+                            "keys": packed(keys[a:b], "<u8"),
                             "counts": packed(counts[a:b]),
                         }
                         for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
@@ -262,7 +258,7 @@ def _total(sent: pd.DataFrame) -> pd.DataFrame:
 
     One row without a block says how many n-grams of the part were trained on.
     """
-    keys = [from_planes(k) for k in sent["keys"]]
+    keys = [unpacked(k, "<u8") for k in sent["keys"]]
     counts = [unpacked(c).astype(np.int64) for c in sent["counts"]]
     if len(keys) == 1:
         known, places = keys[0], np.arange(len(keys[0]))
@@ -284,7 +280,8 @@ def _total(sent: pd.DataFrame) -> pd.DataFrame:
         differs = np.flatnonzero(kept[mine] + gone[mine] != own[at : at + n])
         where = mine[differs]
         step = packed(np.diff(differs, prepend=0))
-        rows.append((block, deleted, k, part, step, planes(kept[where]), planes(gone[where]), n))
+        totals = (packed(total[where], "<u8") for total in (kept, gone))
+        rows.append((block, deleted, k, part, step, *totals, n))
         at += n
     return pd.DataFrame(rows, columns=TOTAL_COLUMNS).astype(
         {"block": "Int64", "deleted": "boolean", "distinct": "Int64"}
@@ -308,8 +305,8 @@ def counts_of(
         at = 0
         for part in by_k[k].sort_values("part").itertuples():
             where = at + np.cumsum(unpacked(part.places), dtype=np.int64)
-            total = from_planes(part.kept)
-            counts[where] = total if without_deleted else total + from_planes(part.gone)
+            total = unpacked(part.kept, "<u8")
+            counts[where] = total if without_deleted else total + unpacked(part.gone, "<u8")
             at += int(part.distinct)
         found.append(counts[places])
     return found
