@@ -28,8 +28,9 @@ from auditlens.session import materialise
 
 CLASSES = len(K.CLASS_IDS)
 BINS = 64
-#: Rows of the collapsed table that a task is given at least (if there are so many) and at most.
-LEAST_ROWS, MOST_ROWS = 20_000, 250_000
+#: Rows of the collapsed table that a task is given at most. Fewer make a fit slower: an exchange
+#: between tasks takes longer than a level of 80,000 rows does.
+MOST_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -135,24 +136,33 @@ class Part:
         differ = [(self.codes[:, :i] != self.codes[:, i : i + 1]).sum(axis=0) for i in range(len(sizes))]
         again = np.array([(add(d.astype(np.float64)) == 0).any() for d in differ])
         counted = (self.codes != np.array(usual)) & ~again
-        row, column = np.nonzero(counted)
-        self.row, self.bin = row, place[row, column]
+        # the counted bins of the first row, of the second, and so on
+        self.bin = place[counted]
+        self.counts = counted.sum(axis=1)
+        self.starts = np.cumsum(self.counts) - self.counts
         last = np.zeros(self.bins, bool)
         last[self.first + np.array(sizes) - 1] = True
         # a column's last bin has nothing on its right
         self.splits = ~last & ~again[self.column]
+        #: The numbers of rows by bin, which every tree's root has.
+        self.rows = self.histogram(np.zeros(len(self.n), np.int64), 1, [self.n])
 
     def histogram(self, slot: np.ndarray, slots: int, values: list[np.ndarray]) -> np.ndarray:
-        """Sums of values by (slot, bin); rows in slot -1 are left out."""
-        of_row = slot[self.row]
-        taken = np.flatnonzero(of_row >= 0)
-        row = self.row[taken]
-        key = of_row[taken] * self.bins + self.bin[taken]
+        """Sums of values by (slot, bin); rows in slot -1 are left out, and cost nothing."""
         inside = np.flatnonzero(slot >= 0)
+        whole = len(inside) == len(slot)
+        slot, counts = slot[inside], self.counts[inside]
+        bins = self.bin
+        if not whole:
+            before = np.cumsum(counts) - counts
+            bins = bins[np.repeat(self.starts[inside] - before, counts) + np.arange(counts.sum())]
+        key = bins if slots == 1 else np.repeat(slot * self.bins, counts) + bins
         found = np.empty((len(values), slots, self.bins))
         for i, v in enumerate(values):
-            sums = np.bincount(key, v[row], slots * self.bins).reshape(slots, self.bins)
-            total = np.bincount(slot[inside], v[inside], slots)
+            own = v[inside]
+            sums = np.bincount(key, np.repeat(own, counts), slots * self.bins)
+            sums = sums.reshape(slots, self.bins)
+            total = np.bincount(slot, own, slots)
             sums[:, self.usual] = total[:, None] - np.add.reduceat(sums, self.first, axis=1)
             found[i] = sums
         return found
@@ -270,7 +280,9 @@ def _round(
     trees = [Tree(len(part.label)) for _ in range(CLASSES)]
     while any(t.new for t in trees):
         own = [
-            part.histogram(t.slots(), len(t.counted), [g[c], h[c], part.n])
+            np.concatenate([part.histogram(t.slots(), 1, [g[c], h[c]]), part.rows])
+            if t.new == [0]
+            else part.histogram(t.slots(), len(t.counted), [g[c], h[c], part.n])
             for c, t in enumerate(trees)
             if t.new
         ]
@@ -453,13 +465,12 @@ def fit_all(
 ) -> list[list]:
     """The rows of every model; table as `collapsed` makes it, on disk.
 
-    Models are jobs side by side. Where the models alone do not keep the cluster busy, or a
-    task would hold more than MOST_ROWS rows, a model has several tasks, which hold a part each.
+    Models are jobs side by side. Where a task would hold more than MOST_ROWS rows, a model has
+    several tasks, which hold a part each.
     """
     spark = table.sparkSession
-    slots, rows = spark.sparkContext.defaultParallelism, table.count()
-    useful = min(-(-rows // LEAST_ROWS), slots // len(specs))
-    tasks = max(1, useful, -(-rows // MOST_ROWS))
+    slots = spark.sparkContext.defaultParallelism
+    tasks = max(1, -(-table.count() // MOST_ROWS))
     names = [f.split()[0] for f in schema.split(", ")]
 
     def fit(spec: Spec) -> list:

@@ -96,7 +96,7 @@ def test_several_tasks_grow_the_same_trees(spark, monkeypatch):
     growth = {"rounds": 5, "step": 0.2}
     alone = B.fit_boosted(df, COLUMNS, **growth)
     stumps = B.fit_stumps(df, COLUMNS, 5)
-    monkeypatch.setattr(B, "LEAST_ROWS", 200)
+    monkeypatch.setattr(B, "MOST_ROWS", 300)
     shared = B.fit_boosted(df, COLUMNS, **growth)
     assert shared.margins(x) == pytest.approx(alone.margins(x), abs=1e-9)
     assert [s[1:3] for s in B.fit_stumps(df, COLUMNS, 5)] == [s[1:3] for s in stumps]
