@@ -27,35 +27,50 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()) if len(series) else np.empty((0, 0))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances, as sums of squared differences in slices of a."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
-    for i in range(0, len(a), step):
-        diff = a[i : i + step, None, :] - b[None, :, :]
-        out[i : i + step] = np.einsum("ijk,ijk->ij", diff, diff)
-    return out
+def _estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and by row of a how far off they may be.
+
+    A product of two vectors in doubles is off by at most its length times the machine's
+    precision times both norms; the margin here is four times that.
+    """
+    left, right = (np.einsum("ij,ij->i", x, x) for x in (a, b))
+    off = 4 * (a.shape[1] + 4) * np.finfo(np.float64).eps * (left + right.max(initial=0.0))
+    return left[:, None] + right[None, :] - 2.0 * (a @ b.T), off
 
 
 def _block_neighbours(probes: pd.DataFrame, residents: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest residents of every probe, without the probe itself."""
+    """The k nearest residents of every probe, without the probe itself.
+
+    Estimates leave the residents that can be among them; these are measured and sorted.
+    """
     empty = pd.DataFrame({"label": [], "vid": [], "nvid": [], "dist": []})
     if not len(probes) or not len(residents):
         return empty.astype({"label": "int32", "dist": "float64"})
-    dist = _distances(_matrix(probes.vec), _matrix(residents.vec))
+    a, b = _matrix(probes.vec), _matrix(residents.vec)
     ids = residents.vid.to_numpy()
-    dist[probes.vid.to_numpy()[:, None] == ids[None, :]] = np.inf
-    order = np.lexsort((np.broadcast_to(ids.astype(str), dist.shape), dist), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(probes)), order.shape[1])
-    cols = order.ravel()
-    flat = dist[rows, cols]
-    keep = np.isfinite(flat)
+    dist, off = _estimates(a, b)
+    own = pd.Index(ids).get_indexer(probes.vid)
+    rows = np.flatnonzero(own >= 0)
+    dist[rows, own[rows]] = np.inf
+    limit = np.full(len(a), np.inf)
+    if len(b) > k:
+        limit = np.partition(dist, k - 1, axis=1)[:, k - 1] + 2 * off
+    rows, cols = np.nonzero(~(dist > limit[:, None]) & ~np.isposinf(dist))
+    flat = np.empty(len(rows))
+    step = 1_000_000
+    for i in range(0, len(rows), step):
+        diff = a[rows[i : i + step]] - b[cols[i : i + step]]
+        flat[i : i + step] = np.einsum("ij,ij->i", diff, diff)
+    found = pd.DataFrame({"row": rows, "nvid": ids[cols], "dist": flat})
+    found = found[np.isfinite(flat)].sort_values(["row", "dist", "nvid"])
+    found = found.groupby("row", sort=False).head(k)
+    row = found.row.to_numpy()
     return pd.DataFrame(
         {
-            "label": probes.label.to_numpy()[rows[keep]],
-            "vid": probes.vid.to_numpy()[rows[keep]],
-            "nvid": ids[cols[keep]],
-            "dist": flat[keep],
+            "label": probes.label.to_numpy()[row],
+            "vid": probes.vid.to_numpy()[row],
+            "nvid": found.nvid.to_numpy(),
+            "dist": found.dist.to_numpy(),
         }
     )
 
@@ -129,7 +144,7 @@ def nearest_neighbours(
         for pdf in batches:
             cells = np.zeros(len(pdf), dtype="int32")
             for c, group in pdf.groupby("label"):
-                near = _distances(_matrix(group.vec), pivots[c]).argmin(axis=1)
+                near = _estimates(_matrix(group.vec), pivots[c])[0].argmin(axis=1)
                 cells[pdf.index.get_indexer(group.index)] = near
             yield pdf.assign(cell=cells)
 
@@ -166,9 +181,9 @@ def nearest_neighbours(
         probes = pdf[pdf.wanted.to_numpy(bool)]
         within = np.full(len(probes), np.inf)
         if len(probes) and len(pdf) > k:
-            dist = _distances(_matrix(probes.vec), _matrix(pdf.vec))
+            dist, off = _estimates(_matrix(probes.vec), _matrix(pdf.vec))
             dist[np.arange(len(probes)), pdf.index.get_indexer(probes.index)] = np.inf
-            within = np.partition(dist, k - 1, axis=1)[:, k - 1]
+            within = np.maximum(np.partition(dist, k - 1, axis=1)[:, k - 1], 0.0) + off
         return probes.assign(bound=within)[["label", "vid", "vec", "bound"]]
 
     bounded = resident.groupBy("label", "cell", "chunk").applyInPandas(

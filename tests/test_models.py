@@ -179,3 +179,18 @@ def test_admission_against_a_plain_loop(spark, sf_dir):
         else:
             assert not admitted[r.event_id]
         taken[r.tenant] = recent
+
+
+def test_blocks_find_exact_neighbours_far_from_the_origin():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (300, 3)) * 1e-4 + 1e4  # ties, and products that cancel
+    x = np.unique(x, axis=0)
+    frame = pd.DataFrame({"label": 0, "vid": [f"{i:03}" for i in range(len(x))], "vec": list(x)})
+    found = SM._block_neighbours(frame.iloc[:40], frame, 5)
+    want = []
+    for i in range(40):
+        dist = ((x - x[i]) ** 2).sum(axis=1)
+        want += [(f"{i:03}", f"{j:03}") for d, j in sorted((d, j) for j, d in enumerate(dist) if j != i)[:5]]
+    assert list(zip(found.vid, found.nvid, strict=True)) == want
+    assert SM._block_neighbours(frame.iloc[:3], frame.iloc[:3], 5).shape == (6, 4)
+    assert SM._block_neighbours(frame.iloc[:0], frame, 5).empty
