@@ -904,6 +904,7 @@ READ_BACK = f"""SELECT event_id, {WALL.format('event_time')} AS event_time, even
 
 IO = {
     "ingest_json": on(EV, READ_BACK),
+    "ingest_large_exports": on(EV, READ_BACK),
     "ingest_jsonl": on(EV, READ_BACK),
     "ingest_shapes": on(EV, READ_BACK),
     "ingest_mixed": on(EV, READ_BACK),

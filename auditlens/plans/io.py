@@ -18,6 +18,7 @@ from auditlens.sources import incidents as ST
 from auditlens.sources import ingest as IN
 from auditlens.sources import labelled as LD
 from auditlens.sources import sinks
+from auditlens.sources import split_json
 from auditlens.sources.adapter import audit_events
 from auditlens.streaming import jobs
 from auditlens.streaming.admission import admit
@@ -25,6 +26,7 @@ from auditlens.streaming.admission import admit
 NUMBERS = ("login_freq_1h", "geo_anomaly_score", "api_burst_rate", "data_exfil_volume_mb",
            "lateral_movement_score")
 PER_DOCUMENT = 1000
+PER_LARGE_DOCUMENT = 20_000
 
 
 def _log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +75,19 @@ def ingest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_variant(IN.with_event_columns(found, "event"))
 
 
+def ingest_large_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one export of up to 20,000 events each, read in byte ranges."""
+    path = scratch_path(spark, "large")
+    events = _log_events(spark, sf_dir)
+    record = F.struct(*[F.col(c) for c in events.columns])
+    number = F.floor(F.col("event_id") / PER_LARGE_DOCUMENT)
+    documents = events.groupBy(number.alias("number")).agg(F.collect_list(record).alias("Records"))
+    exports = documents.select(F.to_json(F.struct("Records")))
+    exports.write.option("maxRecordsPerFile", 1).text(path)
+    found, _ = split_json.read_large_documents(spark, path)
+    return _from_variant(IN.with_event_columns(found, "event"))
+
+
 def _shaped_documents(events: DataFrame) -> DataFrame:
     """(value): events as exports, arrays, single events and wrapped events, by their id."""
     record = F.struct(*[F.col(c) for c in events.columns])
@@ -459,7 +474,7 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_json, ingest_shapes, ingest_mixed, ingest_documents_quarantine, ingest_errors,
+        ingest_json, ingest_large_exports, ingest_shapes, ingest_mixed, ingest_documents_quarantine, ingest_errors,
         labelled_file, labelled_training, ingest_jsonl, ingest_csv, ingest_quarantine, line_numbers, poll_payloads,
         export_csv, export_json, export_summary, append_incidents, cleared_incidents,
         removed_then_stored, merged_events, incident_lookup,
