@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,7 +51,8 @@ def containment_log(
 
     A decision depends on the admissions of one window before it, so a tenant's time line
     falls apart wherever a whole window has no confirmation; each such part is decided by
-    itself. Only a tenant that is busy without a pause is one part.
+    itself. Only a tenant that is busy without a pause is one part. Rows without a tenant are
+    left out.
     """
     window_us = window_seconds * 1_000_000
     number = F.floor(F.col("time_us") / window_us)
@@ -63,20 +64,27 @@ def containment_log(
         .withColumn("_part", F.col("_slice") - F.row_number().over(order))
     )
 
-    def decide(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["time_us", "event_id"], ignore_index=True)
-        slots = Slots((), cap, window_us)
-        decided = []
-        for now in rows.time_us.tolist():
-            decided.append(slots.offer(now))
-            slots.forget(now - window_us)
-        admitted, room = zip(*decided, strict=True)
-        return rows[["tenant", "event_id", "time_us"]].assign(
-            admitted=admitted, room=np.array(room, "int32")
-        )
-
-    return sliced.join(parts, ["tenant", "_slice"]).groupBy("tenant", "_part").applyInPandas(
-        decide, LOG
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, slots = None, Slots((), cap, window_us)
+        for rows in batches:
+            decided = []
+            for tenant, number, now in zip(rows.tenant, rows["_part"], rows.time_us, strict=True):
+                if (tenant, number) != part:
+                    part, slots = (tenant, number), Slots((), cap, window_us)
+                decided.append(slots.offer(now))
+                slots.forget(now - window_us)
+            admitted, room = zip(*decided, strict=True) if decided else ((), ())
+            yield rows[["tenant", "event_id", "time_us"]].assign(
+                admitted=np.array(admitted, bool), room=np.array(room, "int32")
+            )
+
+    # A task reads its parts one after the other as a stream and holds one window of each.
+    return (
+        sliced.join(parts, ["tenant", "_slice"])
+        .select("tenant", "_part", "event_id", "time_us")
+        .repartition("tenant", "_part")
+        .sortWithinPartitions("tenant", "_part", "time_us", "event_id")
+        .mapInPandas(decide, LOG)
     )
 
 

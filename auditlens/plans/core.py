@@ -138,7 +138,7 @@ def auto_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rolling_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containments of the tenant in the last 600 s and the room left, per containment."""
-    log = FR.containments(spark, sf_dir)
+    log = FR.containments(FR.verdicts(spark, sf_dir))
     contained = log.filter("admitted").select("event_id", "tenant", "time_us")
     return AD.with_room(contained, log, include_current=True).select(
         "event_id", "tenant", "recent_containments", "room"
@@ -147,13 +147,14 @@ def rolling_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def containment_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every confirmation, whether the cap admitted it, and the room it found."""
-    return FR.containments(spark, sf_dir).select(
+    return FR.containments(FR.verdicts(spark, sf_dir)).select(
         "event_id", "tenant", F.col("admitted").cast("int").alias("admitted"), "room"
     )
 
 
 def gate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FR.decisions(spark, sf_dir).select(
+    rows = FR.judged(spark, sf_dir)
+    return FR.decisions(rows, FR.containments(rows)).select(
         "event_id",
         "status",
         F.col("protected").cast("int").alias("protected"),
@@ -194,8 +195,9 @@ def confirm_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The containments admitted since count, so what was pending may be refused now.
     """
-    log = FR.containments(spark, sf_dir)
-    pending = FR.decisions(spark, sf_dir, log).filter(F.col("status") == "pending")
+    rows = FR.judged(spark, sf_dir)
+    log = FR.containments(rows)
+    pending = FR.decisions(rows, log).filter(F.col("status") == "pending")
     later = F.col("time_us") + K.CONFIRMATION_DELAY_SECONDS * 1_000_000
     again = AD.with_room(
         pending.select(
@@ -224,11 +226,12 @@ def live_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     The state is that of the containment table: what it admitted is contained or, where
     an analyst took it back, reversed.
     """
-    log = FR.containments(spark, sf_dir)
+    judged = FR.judged(spark, sf_dir)
+    log = FR.containments(judged)
     admitted = log.filter("admitted").select("event_id", F.lit(True).alias("_admitted"))
     state = F.when(F.col("_admitted"), X.lookup(F.col("userAgent"), FR.ANALYST))
     rows = (
-        FR.decisions(spark, sf_dir, log)
+        FR.decisions(judged, log)
         .join(admitted, "event_id", "left")
         .withColumn("state", F.coalesce(state, F.lit("")))
     )
@@ -489,7 +492,7 @@ def poll_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     All verdicts of a poll see one room: the one that the containments before it leave.
     Only the look-back time is scored; the room comes from the containment table.
     """
-    log = FR.containments(spark, sf_dir)
+    log = FR.containments(FR.verdicts(spark, sf_dir))
     now = _last_time(audit_events(spark, sf_dir))
     polled = IN.look_back(
         FR.verdicts(spark, sf_dir), "event_time", now, minutes=60, limit=K.POLL_LIMIT

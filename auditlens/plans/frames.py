@@ -53,13 +53,22 @@ def triage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANALYST = {"Mozilla/5.0": "contained", "": "reversed"}
 
 
-def containments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gate asks of the verdicts, scored once for the log and the decisions."""
+    rows = verdicts(spark, sf_dir).select(
+        "event_id", "tenant", "time_us", "principal", "predicted_class", "confidence", "gated",
+        "userAgent",
+    )
+    return materialise(rows, "judged")
+
+
+def containments(rows: DataFrame) -> DataFrame:
     """The table of confirmed verdicts with whether the cap admitted them.
 
     What was reversed later was contained first and took a slot as well.
     """
     name = gate.protected_names()
-    confirmed = verdicts(spark, sf_dir).filter(
+    confirmed = rows.filter(
         F.col("gated")
         & ~gate.is_protected(F.col("principal"), name)
         & F.col("userAgent").isin(*ANALYST)
@@ -68,11 +77,9 @@ def containments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(log, "containments")
 
 
-def decisions(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
+def decisions(rows: DataFrame, log: DataFrame) -> DataFrame:
     """Gate decisions; the room is what the tenant's containments before left."""
-    log = containments(spark, sf_dir) if log is None else log
-    roomed = admission.with_room(verdicts(spark, sf_dir), log)
-    return gate.with_decision(roomed, gate.protected_names())
+    return gate.with_decision(admission.with_room(rows, log), gate.protected_names())
 
 
 def incident_source() -> Column:
