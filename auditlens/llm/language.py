@@ -25,6 +25,8 @@ DIMENSIONS = 512
 SLOTS = 64
 #: Characters that are worked on at a time.
 BATCH = 400_000
+#: Texts of one table of counts, which has a row for each and a column for each triple.
+MOST_TEXTS = 256
 UNKNOWN = "und"
 
 
@@ -105,7 +107,7 @@ def bundles(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
             held.append(segment)
             owners.append(n)
             size += len(segment)
-            if size >= BATCH:
+            if size >= BATCH or len(held) == MOST_TEXTS:
                 yield bundled()
                 held, owners, size = [], [], 0
     if held:

@@ -134,3 +134,22 @@ def test_a_repeated_id_neither_hides_nor_floods_the_sample(spark):
     finally:
         quality.fit = original
     assert 20 <= seen[0] <= 60 and seen[1] == 2
+
+
+def test_many_short_texts_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüßéèñçøåæœ"))
+    texts = ["".join(rng.choice(letters, 40)) for _ in range(10_000)]
+    list(language.bundles(texts[:1]))  # tables that are made once
+    tracemalloc.start()
+    seen = 0
+    for owners, counts, vectors in language.bundles(texts):
+        assert len(owners) == len(counts) == len(vectors) <= language.MOST_TEXTS
+        seen += len(owners)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 10_000 and peak < 150 * 2**20
+    whole, parts = language.triples(texts[:300]), [*language.bundles(texts[:300])]
+    assert (np.concatenate([p[2] for p in parts]) == whole[0] @ whole[1]).all()
