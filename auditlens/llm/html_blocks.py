@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -124,6 +124,7 @@ class Lines:
         self.text: list[str] = []
         self.weight: list[int] = []
         self.inside: list[bool] = []
+        self.any_inside = False
         self.parts: list[str] = []
         self.open_weight = 0
 
@@ -137,6 +138,7 @@ class Lines:
                 self.text.append(text)
                 self.weight.append(self.open_weight)
                 self.inside.append(inside)
+                self.any_inside |= inside
                 self.container.append(self.containers[-1])
             self.parts, self.open_weight = [], 0
 
@@ -149,13 +151,52 @@ class Lines:
             self.container += [0] * WINDOW
 
 
+class OpenElements:
+    """The elements that are open: (name, skipped, inside), the innermost last.
+
+    Where each name and each container was opened is kept, so that neither an end tag that
+    closes nothing nor an article looks through all of them.
+    """
+
+    def __init__(self):
+        self.stack = [("", False, False)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.holders: list[int] = []
+        self.hidden: list[int] = []
+
+    def push(self, name: str, skipped: bool, inside: bool) -> None:
+        depth = len(self.stack)
+        self.stack.append((name, skipped, inside))
+        self.places[name].append(depth)
+        if name in CONTAINERS:
+            self.holders.append(depth)
+        if skipped:
+            self.hidden.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Close the element at this depth and all in it."""
+        for name, *_ in self.stack[depth:]:
+            self.places[name].pop()
+        del self.stack[depth:]
+        for depths in (self.holders, self.hidden):
+            while depths and depths[-1] >= depth:
+                depths.pop()
+
+    def closed_by(self, name: str) -> int:
+        """How deep the element that an end tag closes is, or 0; only containers reach out of one."""
+        depth = self.places[name][-1] if self.places[name] else 0
+        within = name in CONTAINERS or not self.holders or self.holders[-1] < depth
+        return depth if within else 0
+
+
 def lines_of(page: str) -> Lines:
-    lines, stack, opened = Lines(), [("", False, False)], Counter()
+    lines, elements = Lines(), OpenElements()
+    stack, links = elements.stack, elements.places["a"]
     containers, at, count = lines.containers, 0, 0
     while match := TOKEN.search(page, at):
         _, skipped, inside = stack[-1]
         if match.start() > at and not skipped:
-            lines.add(html.unescape(page[at : match.start()]), opened["a"] > 0)
+            lines.add(html.unescape(page[at : match.start()]), bool(links))
         at = match.end()
         name = (match["name"] or "").lower()
         if not name:
@@ -163,27 +204,20 @@ def lines_of(page: str) -> Lines:
         if match["close"]:
             if name not in INLINE and not skipped:
                 lines.end(inside)
-            if opened[name]:
-                depth = len(stack) - 1
-                while stack[depth][0] != name and (
-                    name in CONTAINERS or stack[depth][0] not in CONTAINERS
-                ):
-                    depth -= 1
-                if stack[depth][0] == name:
-                    for gone, *_ in stack[depth:]:
-                        opened[gone] -= 1
-                    del stack[depth:], containers[depth:]
-                    if (skipped, inside) != stack[-1][1:]:
-                        lines.gap(inside and not skipped)
+            if depth := elements.closed_by(name):
+                elements.cut(depth)
+                del containers[depth:]
+                if (skipped, inside) != stack[-1][1:]:
+                    lines.gap(inside and not skipped)
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         while stack[-1][0] in IMPLIED_END and name in IMPLIED_END[stack[-1][0]]:
-            lines.end(stack[-1][2])
-            opened[stack[-1][0]] -= 1
-            was = stack.pop()[1:]
+            was = stack[-1][1:]
+            lines.end(was[1])
+            elements.cut(len(stack) - 1)
             containers.pop()
             if was != stack[-1][1:]:
                 lines.gap(was[1] and not was[0])
@@ -193,19 +227,18 @@ def lines_of(page: str) -> Lines:
         if name in VOID or match["attrs"].endswith("/>"):
             continue
         now = skipped or no_article(name, match["attrs"], inside), inside or name in ARTICLE
-        if skipped and name in ARTICLE and not any(lines.inside):
+        if skipped and name in ARTICLE and not lines.any_inside:
             # The first article inside a div that should be none: the div was not closed.
-            root = next(e[0] for e in stack if e[1])
+            root = stack[elements.hidden[0]][0]
             now = root not in ("div", "section") or no_article(name, match["attrs"], inside), True
         if now != (skipped, inside):
             lines.gap(inside and not skipped)
-        stack.append((name, *now))
+        elements.push(name, *now)
         count += 1
         containers.append(containers[-1] if name in PARAGRAPHS else count)
-        opened[name] += 1
     _, skipped, inside = stack[-1]
     if not skipped:
-        lines.add(html.unescape(page[at:]), opened["a"] > 0)
+        lines.add(html.unescape(page[at:]), bool(links))
     lines.end(inside)
     return lines
 
