@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -72,17 +73,20 @@ DISGUISED = re.compile(
 #: A bare at and a name with its dots as such, which sentences have too ("sold at 3.5").
 WRITTEN = re.compile(rf"\sat\s{{1,3}}{_LABEL}(?:\.{_LABEL})+\Z", re.IGNORECASE)
 AT, DOT = re.compile(_AT, re.IGNORECASE), re.compile(_DOT, re.IGNORECASE)
-#: Digits as words: at least two in a row, with signs between them also as words.
+_GAP = rf"(?:[\s,-]{{1,3}}|\s{{0,3}}(?:dot|point)\s{{1,3}}|{_DOT}|\.)"
+#: Digits as words: at least two in a row, with signs between them also as words. A run is
+#: taken whole and given back as far as _ended says, so that no word is the start of many runs.
 SPELLED = re.compile(
-    rf"(?<![A-Za-z0-9])(?:plus[\s-]{{1,3}})?(?:{_DIGIT}|[0-9]+)"
-    rf"(?:(?:[\s,-]{{1,3}}|\s{{0,3}}(?:dot|point)\s{{1,3}}|{_DOT}|\.)(?:{_DIGIT}|[0-9]+))+(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9])(?P<first>(?:plus[\s-]{{1,3}})?(?:{_DIGIT}|[0-9]+))"
+    rf"(?:{_GAP}(?:{_DIGIT}|[0-9]+))++",
     re.IGNORECASE,
 )
+SPELLED_ON = re.compile(rf"{_GAP}(?:{_DIGIT}|[0-9]+)", re.IGNORECASE)
+SPELLED_END = re.compile(r"(?![A-Za-z0-9])", re.IGNORECASE)
 NUMBER_TOKEN = re.compile(rf"{_DIGIT}|[0-9]+|plus|dot|point|punkt|punto|\.", re.IGNORECASE)
 #: What a text must have for SPELLED to be tried: two digits of which one is a word, a plus as
 #: a word, or a word or bracket between digits. Whatever SPELLED matches and _number rewrites
 #: holds one of these, so trying it first never loses a match.
-_GAP = rf"(?:[\s,-]{{1,3}}|\s{{0,3}}(?:dot|point)\s{{1,3}}|{_DOT}|\.)"
 _WORD_GAP = rf"(?:\s{{0,3}}(?:dot|point)\s{{1,3}}|{_DOT})"
 SPELLED_HINT = re.compile(
     rf"{_DIGIT}{_GAP}(?:{_DIGIT}|[0-9])|[0-9](?:{_GAP}{_DIGIT}|{_WORD_GAP}[0-9])"
@@ -195,9 +199,22 @@ def _address(match: re.Match) -> list[tuple[int, int, str]]:
     return [(start + a, start + b, new) for a, b, new in sorted(edits)]
 
 
+def _ended(match: re.Match) -> int:
+    """Where a run of digits ends: behind its last one that no letter or digit follows.
+
+    The first one alone is no run.
+    """
+    end, text = match.start(), match.string
+    for digit in SPELLED_ON.finditer(text, match.end("first"), match.end()):
+        if SPELLED_END.match(text, digit.end()):
+            end = digit.end()
+    return end
+
+
 def _number(match: re.Match) -> list[tuple[int, int, str]]:
     """Digits in a row, signs as such. A run without words or brackets stays as it is."""
-    whole, start = match.group(), match.start()
+    start = match.start()
+    whole = match.string[start : _ended(match)]
     if not re.search(r"[A-Za-z\[({<]", whole):
         return []
     edits = []
@@ -255,11 +272,14 @@ def find_spans(text: str) -> tuple[list[tuple], list[tuple]]:
     for kind in KINDS:
         plain = list(FIND[kind](text))
         base += [(kind, *s) for s in plain]
-        if tape:
-            for span in map(tape.source, FIND[kind](tape.text)):
-                if all(span[1] <= a or span[0] >= b for a, b in plain):
-                    plain.append(span)
-        every += [(kind, *s) for s in sorted(plain)]
+        undone = map(tape.source, FIND[kind](tape.text)) if tape else ()
+        starts = [a for a, _ in plain]
+        for span in undone:  # base spans are in order and apart, and so are these
+            before = bisect_left(starts, span[1]) - 1
+            if before < 0 or plain[before][1] <= span[0]:
+                every.append((kind, *span))
+        every += [(kind, *s) for s in plain]
+    every.sort(key=lambda s: (KINDS.index(s[0]), s))
     return base, every
 
 

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -265,6 +266,24 @@ def test_plain_prose_has_no_disguises(text):
 def test_long_texts_take_linear_time():
     for text in ("1" * 300_000, "a" * 300_000 + "@", "a@" * 150_000, "+1" + "(" * 300_000):
         pii.find_spans(text)
+    for words in ("onedot ", "1dot ", "one ", "plus one ", "one dot ", "a dot ", "x at y dot ", "a."):
+        started = time.process_time()
+        pii.find_spans(words * (1_000_000 // len(words)))
+        assert time.process_time() - started < 8, words
+
+
+def test_runs_of_digits_end_at_a_word_border():
+    """A run goes as far as its last digit that no letter follows, wherever it is cut."""
+    for text, undone in (
+        ("one two dotone threety", "12 dotone threety"),
+        ("one dot two dot threedot four", "1.2.3.4"),
+        ("onedot twodot threety", None),
+        ("onedot twodot three", "1.2.3"),
+        ("plus four four onedot", "+44 onedot"),
+        ("one twoty", None),
+    ):
+        tape = pii.deobfuscated(text)
+        assert (tape and tape.text) == undone, text
 
 
 def test_redaction(make_docs):
@@ -352,6 +371,14 @@ def test_lengths_decide_where_the_text_stands(page, text):
 def test_odd_markup_takes_linear_time():
     for page in ("<b>" * 50_000, "</div>" * 50_000, '<a "' * 50_000, "<" * 200_000, "<!--" * 50_000):
         html_blocks.lines_of(page)
+    for page in (
+        "<i><main>" + "<b>" * 50_000 + "</i>" * 50_000,
+        "<b>" * 50_000 + "<nav>" + "<article></article>x" * 50_000,
+        "<article>" + "<p>x</p>" * 50_000 + "</article><div class=ad>" + "<article>x" * 50_000,
+    ):
+        started = time.process_time()
+        html_blocks.lines_of(page)
+        assert time.process_time() - started < 8
 
 
 def test_pages_of_the_tables(spark, sf_dir):
