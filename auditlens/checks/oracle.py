@@ -971,6 +971,26 @@ FROM (SELECT id, json_merge_patch(
     "cached_dataset": CORE["class_availability"],
     "stream_scoring": on(VD, "SELECT event_id, predicted_class, confidence, action_status FROM vd"),
     "stream_dedupe": on(VD, "SELECT event_id, predicted_class, confidence FROM vd"),
+    "stream_late": on(f"""{VD},
+q AS (SELECT event_id, epoch_us(ts) AS us, event_id AS e,
+  least(3, (day(ts) - 1) // 8) AS first, least(3, (day(ts) - 1) // 8 + 1) AS after FROM events),
+dl AS (SELECT event_id, us, CASE WHEN e % 11 = 0 THEN after ELSE first END AS batch FROM q
+  UNION ALL SELECT event_id, us, first FROM q WHERE e % 5 = 0
+  UNION ALL SELECT event_id, us, after FROM q WHERE e % 7 = 0),
+hb AS (SELECT batch, max(us) AS high FROM dl GROUP BY batch),
+bd AS (SELECT a.batch, max(b.high) - {2 * 24 * 60 * 60_000_000} AS bound
+  FROM hb AS a JOIN hb AS b ON b.batch < a.batch GROUP BY a.batch),
+ll AS (SELECT dl.*, coalesce(us < bound, false) AS late FROM dl LEFT JOIN bd USING (batch)),
+oc AS (SELECT event_id, CASE WHEN late THEN 'late' WHEN row_number() OVER (
+    PARTITION BY event_id, late ORDER BY batch) = 1 THEN 'scored' ELSE 'duplicate' END AS outcome
+  FROM ll)""", """SELECT oc.event_id, outcome, count(*) AS deliveries,
+  any_value(CASE WHEN outcome = 'scored' THEN predicted_class ELSE -1 END) AS predicted_class
+  FROM oc JOIN vd USING (event_id) GROUP BY oc.event_id, outcome"""),
+    "ingest_fallback": on(EV, f"""SELECT *, CASE WHEN event_id % 2 = 1 THEN 'jsonl' ELSE 'csv' END
+  AS read_as, 'no events in the folder as json, jsonl' AS blank FROM ({READ_BACK})"""),
+    "file_size_cap": """SELECT event_id, 0 AS too_large, 1::BIGINT AS n FROM events
+  WHERE event_id // 100 % 2 = 0 UNION ALL SELECT NULL, 1, count(DISTINCT event_id // 100)
+  FROM events WHERE event_id // 100 % 2 = 1 HAVING count(*) > 0""",
     "stream_lifecycle": CORE["incident_latest_state"],
     "stream_cap": on(f"{VD},\ngt AS (SELECT * FROM vd WHERE gated),{admitted('gt')}",
                      "SELECT tenant, event_id, time_us, CAST(admitted AS INT) AS admitted, room,"

@@ -20,13 +20,15 @@ from auditlens.sources import labelled as LD
 from auditlens.sources import sinks
 from auditlens.sources import split_json
 from auditlens.sources.adapter import audit_events
-from auditlens.streaming import jobs
+from auditlens.streaming import jobs, suppression
 from auditlens.streaming.admission import admit
 
 NUMBERS = ("login_freq_1h", "geo_anomaly_score", "api_burst_rate", "data_exfil_volume_mb",
            "lateral_movement_score")
 PER_DOCUMENT = 1000
 PER_LARGE_DOCUMENT = 20_000
+#: The most bytes of a file that file_size_cap reads; 100 events are less.
+FILE_CAP = 200_000
 
 
 def _log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,6 +267,55 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ingest_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are not what they are taken for, and what they are read as in the end.
+
+    Lines of events and tables of events are both said to be JSON documents. A folder without
+    any event is an error that names the formats tried.
+    """
+    events = _log_events(spark, sf_dir)
+    lines, table, blank = (scratch_path(spark, n) for n in ("lines", "table", "blank"))
+    odd = F.col("event_id") % 2 == 1
+    events.filter(odd).write.option("maxRecordsPerFile", PER_DOCUMENT).json(lines)
+    _flat_csv(events.filter(~odd)).write.option("maxRecordsPerFile", PER_DOCUMENT).csv(
+        table, header=True
+    )
+    events.filter("event_id IS NULL").select(F.lit("").alias("value")).write.text(blank)
+    as_lines = _from_variant(IN.with_fallback(spark, lines, "json"))
+    as_table = _read_back(
+        IN.with_fallback(spark, table, "json", allow_csv=True),
+        F.col("event_id").cast("bigint"),
+        F.col("label").cast("int"),
+    )
+    try:
+        error = f"{IN.with_fallback(spark, blank, 'json').count()} events"
+    except ValueError as none:
+        error = str(none).replace(blank, "the folder")
+    found = as_lines.withColumn("read_as", F.lit("jsonl")).unionByName(
+        as_table.withColumn("read_as", F.lit("csv"))
+    )
+    return found.withColumn("blank", F.lit(error))
+
+
+def file_size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of 100 events, every second one too large: events read, files reported."""
+    path = scratch_path(spark, "sizes")
+    events = _log_events(spark, sf_dir)
+    record = F.struct(*[F.col(c) for c in events.columns])
+    documents = events.groupBy(F.floor(F.col("event_id") / 100).alias("number")).agg(
+        F.collect_list(record).alias("Records"),
+    )
+    note = F.when(F.col("number") % 2 == 1, F.repeat(F.lit("x"), FILE_CAP))
+    one = F.to_json(F.struct("Records", note.alias("note")))
+    documents.select(one).write.option("maxRecordsPerFile", 1).text(path)
+    found = IN.read_events(spark, path, "json", max_file_bytes=FILE_CAP)
+    large = F.col("error").endswith(f"is over {FILE_CAP}")
+    return found.select(
+        F.try_variant_get("event", "$.event_id", "bigint").alias("event_id"),
+        F.coalesce(large, F.lit(False)).cast("int").alias("too_large"),
+    ).groupBy("event_id", "too_large").agg(F.count("*").alias("n"))
+
+
 def poll_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look-up records whose event is JSON text; broken payloads are skipped."""
     events = _log_events(spark, sf_dir)
@@ -422,6 +473,8 @@ def cached_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ---------------------------------------------------------------------
 
 
+#: Minutes that a delivery may lie behind the latest event before it, two days.
+DELIVERY_LOOK_BACK = 2 * 24 * 60
 #: Files of one micro-batch, which bounds what a stateful task holds at a time.
 FILES_PER_BATCH = 64
 
@@ -445,6 +498,38 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(jobs.run_to_table(scored, "deduped"))
 
 
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive in four deliveries, some twice, some a delivery later, some only then.
+
+    The stream stops and goes on between deliveries. Every delivery is scored, a duplicate or
+    late; only what is scored has a class.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    first = F.least(F.lit(3), F.floor((F.dayofmonth("ts") - 1) / 8))
+    after, number = F.least(F.lit(3), first + 1), F.col("event_id")
+    arrivals = F.filter(
+        F.array(
+            F.when(number % 11 == 0, after).otherwise(first),
+            F.when(number % 5 == 0, first),
+            F.when(number % 7 == 0, after),
+        ),
+        lambda a: a.isNotNull(),
+    )
+    delivered = events.withColumn("arrival", F.explode(arrivals))
+    inbox, path = scratch_path(spark, "inbox"), scratch_path(spark, "settled")
+    for arrival in range(4):
+        delivered.filter(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(inbox)
+        arriving = jobs.audit_stream(spark, inbox)
+        suppression.run(arriving, path, DELIVERY_LOOK_BACK)
+    settled = suppression.deliveries(spark, path, arriving)
+    outcome = settled.groupBy("event_id", "outcome").agg(F.sum("deliveries").alias("deliveries"))
+    once = jobs.score(settled.filter(F.col("outcome") == suppression.SCORED))
+    scored = once.select("event_id", F.col("outcome"), "predicted_class")
+    return outcome.join(scored, ["event_id", "outcome"], "left").select(
+        "event_id", "outcome", "deliveries", F.coalesce("predicted_class", F.lit(-1)).alias("predicted_class")
+    )
+
+
 def stream_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admission of all gated verdicts, five per tenant and ten minutes."""
     gated = jobs.score(_stream(spark, sf_dir)).filter("gated")
@@ -476,9 +561,10 @@ QUERIES = {
     for f in (
         ingest_json, ingest_large_exports, ingest_shapes, ingest_mixed, ingest_documents_quarantine, ingest_errors,
         labelled_file, labelled_training, ingest_jsonl, ingest_csv, ingest_quarantine, line_numbers, poll_payloads,
+        ingest_fallback, file_size_cap,
         export_csv, export_json, export_summary, append_incidents, cleared_incidents,
         removed_then_stored, merged_events, incident_lookup,
         cached_dataset,
-        stream_scoring, stream_dedupe, stream_cap, stream_lifecycle,
+        stream_scoring, stream_dedupe, stream_late, stream_cap, stream_lifecycle,
     )
 }
