@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Parts that the members of a group are dealt to when they look up what the group has in common.
+SLICES = 16
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hangs every larger neighbour of a node on the node's smallest one. Here u > v.
@@ -48,3 +51,20 @@ def components(edges: DataFrame) -> DataFrame:
         now = _small_star(_large_star(now)).checkpoint()
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def with_least(members: DataFrame, roots: DataFrame, node: str, value: str) -> DataFrame:
+    """Adds root and component, the smallest `value` of a group, to every row of members.
+
+    roots is what components() gives; a node that is not in it is a group of its own. Members
+    look their group up in slices, each of which has a copy of the group's row, so a group may
+    hold any share of them. Nulls do not count as smallest; a group of nulls only has null.
+    """
+    found = members.join(roots.withColumnRenamed("node", node), node, "left")
+    least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(value).alias("component"))
+    copies = least.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    sliced = found.withColumns(
+        {"root": F.coalesce("root", node), "slice": F.pmod(F.xxhash64(node), F.lit(SLICES)).cast("int")}
+    )
+    named = sliced.join(copies, ["root", "slice"], "left").drop("slice")
+    return named.withColumn("component", F.coalesce("component", value))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.llm.common import each_text, scratch
-from auditlens.llm.components import components
+from auditlens.llm.components import components, with_least
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Bits of the six parts, as (first bit, number of bits).
@@ -199,11 +199,8 @@ def near_duplicates(
         )
     )
     distinct = rows.groupBy("bits").agg(F.min("id").alias("smallest"))
-    roots = components(links(distinct)).withColumnRenamed("node", "bits")
-    grouped = distinct.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    least = grouped.groupBy("root").agg(F.min("smallest").alias("component"))
-    named = grouped.join(least, "root").select("bits", "component", "root")
-    return rows.join(named, "bits")
+    named = with_least(distinct, components(links(distinct)), "bits", "smallest")
+    return rows.join(named.select("bits", "component", "root"), "bits")
 
 
 def group_report(docs: DataFrame, written: Callable) -> DataFrame:

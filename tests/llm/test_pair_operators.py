@@ -334,3 +334,21 @@ def test_shards_use_no_python(make_docs):
     frame = sharding.balanced_shards(make_docs([(1, "a"), (2, "a"), (3, "b")]))
     plan = frame._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_least_of_groups_in_slices(spark):
+    """One group holds most rows; some rows have no value, and one group only such rows."""
+    rows = [(i, None if i % 7 == 0 else 5000 - i) for i in range(3000)] + [(9000, None), (9001, None)]
+    pairs = [(i, 0) for i in range(2500)] + [(2600, 2599), (9001, 9000), (9000, 9000), (2599, 2599)]
+    members = spark.createDataFrame(rows, "node_id long, value long")
+    roots = spark.createDataFrame(pairs, "node long, root long")
+    found = components.with_least(members, roots, "node_id", "value").collect()
+    root = dict(pairs)
+    groups = {}
+    for node, value in rows:
+        groups.setdefault(root.get(node, node), []).append(value)
+    least = {r: min((v for v in vs if v is not None), default=None) for r, vs in groups.items()}
+    assert sorted((r.node_id, r.root, r.component) for r in found if r.component is not None) == sorted(
+        (n, root.get(n, n), least[root.get(n, n)]) for n, _ in rows if least[root.get(n, n)] is not None
+    )
+    assert len(found) == len(rows)
