@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.llm.common import content_key, scratch
-from auditlens.llm.components import components
+from auditlens.llm.components import components, with_least
 
 THRESHOLD = 0.9
 #: Vectors in a tile at most, and rows of a tile that are multiplied at a time.
@@ -166,14 +166,8 @@ def near_duplicates(
     )
     links = found.groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("v IS NOT NULL").select("u", "v"))
-    grouped = (
-        classes.select("id", "key", "smallest", "copies")
-        .join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .withColumn("root", F.coalesce("root", "id"))
-    )
-    component = grouped.groupBy("root").agg(F.min("smallest").alias("component"))
     named = (
-        grouped.join(component, "root")
+        with_least(classes.select("id", "key", "smallest", "copies"), roots, "id", "smallest")
         .join(links, "id", "left")
         .select("key", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
     )
