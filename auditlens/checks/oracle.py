@@ -505,6 +505,15 @@ UNION ALL SELECT event_id, principal, predicted_class, 2, 'micro_segment_host',
   count(*) FILTER (WHERE error IS NULL AND gated) AS auto_contained,
   count(*) FILTER (WHERE error IS NOT NULL) AS errors,
   round(sum(confidence) FILTER (WHERE error IS NULL) / count(*), 4) AS avg_confidence FROM tr"""),
+    "capped_summary": on(f"{TRIAGE},\nca AS (SELECT * FROM tr WHERE row <= {K.MAX_ROWS})",
+        """SELECT (SELECT count(*) FROM tr) AS total_received, count(*) AS analyzed,
+  CAST((SELECT count(*) FROM tr) > count(*) AS INT) AS truncated,
+  count(*) FILTER (WHERE error IS NULL AND predicted_class <> 0) AS threats_detected,
+  least(count(*) FILTER (WHERE error IS NULL AND predicted_class <> 0), 50) AS incidents_recorded,
+  count(*) FILTER (WHERE error IS NULL AND predicted_class = 0) AS benign,
+  count(*) FILTER (WHERE error IS NULL AND gated) AS auto_contained,
+  count(*) FILTER (WHERE error IS NOT NULL) AS errors,
+  round(sum(confidence) FILTER (WHERE error IS NULL) / count(*), 4) AS avg_confidence FROM ca"""),
     "upload_summaries": on(TRIAGE, """SELECT upload, count(*) AS analyzed,
   count(*) FILTER (WHERE error IS NULL AND predicted_class <> 0) AS threats_detected,
   least(count(*) FILTER (WHERE error IS NULL AND predicted_class <> 0), 50) AS incidents_recorded

@@ -255,6 +255,11 @@ def triage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TR.summary(FR.triage_rows(spark, sf_dir))
 
 
+def capped_summary(spark: SparkSession, sf_dir: str, max_rows: int = K.MAX_ROWS) -> DataFrame:
+    """Totals where only the first rows are analysed, and whether any were left out."""
+    return TR.summary(FR.triage_rows(spark, sf_dir), max_rows)
+
+
 def upload_summaries(
     spark: SparkSession, sf_dir: str, incident_cap: int = K.INCIDENTS_PER_UPLOAD
 ) -> DataFrame:
@@ -668,7 +673,7 @@ QUERIES = {
         resource_entropy_list, principal_extract, arn_strip, label_coerce, class_lookup,
         severity_lookup, linear_scores, threats, auto_contained, rolling_cap, containment_admission, gate_decisions,
         protected_names, manual_gate, confirm_recheck, action_status, live_labels,
-        containment_plan, triage_summary, upload_summaries, class_distribution, triage_rows, triage_errors,
+        containment_plan, triage_summary, capped_summary, upload_summaries, class_distribution, triage_rows, triage_errors,
         capped_threats, top3_probabilities, top_attributions, risk_drivers, incident_summaries,
         incident_list, incident_point, incident_latest_state, incident_cards,
         incident_distribution, incident_report, rescored_incidents, class_availability,
