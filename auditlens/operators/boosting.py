@@ -1,10 +1,10 @@
 """Boosted trees on histograms: softmax trees grown by best leaf, and stumps with votes.
 
 Columns are cut into quantile bins once, and rows that fall into the same bins become one row
-with a count by label and fold, so every fold and every arm of a comparison is fitted on one
-small table. A fit is one Spark job whose tasks hold a part of that table each and keep their
-rows' margins; what they exchange are histograms of gradients by (class, node, bin), summed over
-the tasks once a level for all classes. All tasks then make the same splits. The exchange
+with its counts by label, fold and weight, so every fold and every arm of a comparison is fitted
+on one small table. A fit is one Spark job whose tasks hold a part of that table each and keep
+their rows' margins; what they exchange are histograms of gradients by (class, node, bin), summed
+over the tasks once a level for all classes. All tasks then make the same splits. The exchange
 uses a barrier stage, which Spark runs anew as a whole if one of its tasks is lost.
 """
 
@@ -19,7 +19,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark import BarrierTaskContext, inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlens import constants as K
@@ -29,8 +29,10 @@ from auditlens.session import materialise
 CLASSES = len(K.CLASS_IDS)
 BINS = 64
 #: Rows of the collapsed table that a task is given at most. Fewer make a fit slower: an exchange
-#: between tasks takes longer than a level of 80,000 rows does.
-MOST_ROWS = 250_000
+#: between tasks takes a second, and a round has one for each level.
+MOST_ROWS = 1_500_000
+#: Joint values that columns counted together have at most.
+MOST_JOINT = 1024
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,7 @@ def bin_edges(df: DataFrame, columns: list[str], bins: int = BINS) -> list[list[
 
 
 def collapsed(df: DataFrame, columns: list[str], edges: list[list[float]]) -> DataFrame:
-    """code (one byte a column), label, fold, weight, n: rows of equal bins as one.
+    """code (one byte a column), cells (label, fold, weight, n): rows of equal bins as one.
 
     df: the columns, label, fold and weight. Rows are collapsed once a batch and then merged.
     """
@@ -95,6 +97,8 @@ def collapsed(df: DataFrame, columns: list[str], edges: list[list[float]]) -> Da
         narrow.mapInPandas(binned, schema)
         .groupBy("code", "label", "fold", "weight")
         .agg(F.sum("size").alias("n"))
+        .groupBy("code")
+        .agg(F.array_sort(F.collect_list(F.struct("label", "fold", "weight", "n"))).alias("cells"))
     )
 
 
@@ -118,28 +122,71 @@ def _summed(alone: bool) -> Callable[[np.ndarray], np.ndarray]:
     return add
 
 
+class Together:
+    """Columns that few values of are seen together: rows are counted by the joint value."""
+
+    def __init__(self, rows: int):
+        self.columns: list[int] = []
+        self.key = np.zeros(rows, np.int64)
+        self.values = 1
+
+    def joined(self, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Joint values with one more column, and which of them there are."""
+        key = self.key * size + codes
+        return key, np.bincount(key, minlength=self.values * size) > 0
+
+    def take(self, column: int, key: np.ndarray, there: np.ndarray) -> None:
+        self.columns.append(column)
+        self.key = (np.cumsum(there) - 1)[key]
+        self.values = int(there.sum())
+
+    def finish(self, codes: np.ndarray, sizes: list[int], first: np.ndarray) -> None:
+        """Which bin of each column a joint value has: joint value by bin."""
+        self.bins = np.concatenate([first[c] + np.arange(sizes[c]) for c in self.columns])
+        one = np.zeros(self.values, np.int64)
+        one[self.key] = np.arange(len(self.key))  # a row of each joint value
+        of_bin = np.empty(int(sum(sizes)), np.int64)
+        of_bin[self.bins] = np.arange(len(self.bins))
+        self.has = np.zeros((self.values, len(self.bins)))
+        if len(self.key):
+            for c in self.columns:
+                self.has[np.arange(self.values), of_bin[first[c] + codes[one, c]]] = 1.0
+
+
 class Part:
-    """A task's rows: for each, the bins that are not its column's usual one."""
+    """A task's rows, of which no two have the same bins.
+
+    Columns are counted by their joint values, as many columns together as have few of them,
+    so that a row is added once a group of columns and not once a column.
+    """
 
     def __init__(self, rows: pd.DataFrame, sizes: list[int], add: Callable):
-        self.codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(-1, len(sizes))
-        self.label = rows["label"].to_numpy(np.int64)
+        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(-1, len(sizes))
         self.n = rows["n"].to_numpy(np.float64)
+        #: Weights of the rows by class: what is there of a label.
+        self.of_label = np.array([rows[f"w{c}"].to_numpy(np.float64) for c in range(CLASSES)])
         self.first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         self.bins = int(sum(sizes))
         self.column = np.repeat(np.arange(len(sizes)), sizes)
-        place = self.codes + self.first
-        often = add(np.bincount(place.ravel(), np.repeat(self.n, len(sizes)), self.bins))
-        usual = [int(often[a : a + s].argmax()) for a, s in zip(self.first, sizes, strict=True)]
-        self.usual = self.first + usual
         # a column with the codes of an earlier one can make no other splits
-        differ = [(self.codes[:, :i] != self.codes[:, i : i + 1]).sum(axis=0) for i in range(len(sizes))]
-        again = np.array([(add(d.astype(np.float64)) == 0).any() for d in differ])
-        counted = (self.codes != np.array(usual)) & ~again
-        # the counted bins of the first row, of the second, and so on
-        self.bin = place[counted]
-        self.counts = counted.sum(axis=1)
-        self.starts = np.cumsum(self.counts) - self.counts
+        differ = np.ones((len(sizes), len(sizes)))
+        #: The codes column by column.
+        self.across = across = np.ascontiguousarray(codes.T)
+        for i in range(len(sizes)):
+            for j in range(i):
+                differ[i, j] = (across[i] != across[j]).any()
+        again = (add(differ) == 0).any(axis=1)
+        self.groups: list[Together] = []
+        for c in sorted(np.flatnonzero(~again), key=lambda c: sizes[c]):
+            for group in [*self.groups, Together(len(self.n))]:
+                key, there = group.joined(across[c], sizes[c])
+                if not group.columns or there.sum() <= MOST_JOINT:
+                    break
+            if not group.columns:
+                self.groups.append(group)
+            group.take(int(c), key, there)
+        for group in self.groups:
+            group.finish(codes, sizes, self.first)
         last = np.zeros(self.bins, bool)
         last[self.first + np.array(sizes) - 1] = True
         # a column's last bin has nothing on its right
@@ -148,23 +195,22 @@ class Part:
         self.rows = self.histogram(np.zeros(len(self.n), np.int64), 1, [self.n])
 
     def histogram(self, slot: np.ndarray, slots: int, values: list[np.ndarray]) -> np.ndarray:
-        """Sums of values by (slot, bin); rows in slot -1 are left out, and cost nothing."""
+        """Sums of values by (slot, bin); rows in slot -1 are left out, and cost nothing.
+
+        Columns that repeat an earlier one have none.
+        """
         inside = np.flatnonzero(slot >= 0)
         whole = len(inside) == len(slot)
-        slot, counts = slot[inside], self.counts[inside]
-        bins = self.bin
         if not whole:
-            before = np.cumsum(counts) - counts
-            bins = bins[np.repeat(self.starts[inside] - before, counts) + np.arange(counts.sum())]
-        key = bins if slots == 1 else np.repeat(slot * self.bins, counts) + bins
-        found = np.empty((len(values), slots, self.bins))
-        for i, v in enumerate(values):
-            own = v[inside]
-            sums = np.bincount(key, np.repeat(own, counts), slots * self.bins)
-            sums = sums.reshape(slots, self.bins)
-            total = np.bincount(slot, own, slots)
-            sums[:, self.usual] = total[:, None] - np.add.reduceat(sums, self.first, axis=1)
-            found[i] = sums
+            slot, values = slot[inside], [v[inside] for v in values]
+        found = np.zeros((len(values), slots, self.bins))
+        for group in self.groups:
+            key = group.key if whole else group.key[inside]
+            if slots > 1:
+                key = key + slot * group.values
+            joint = [np.bincount(key, v, slots * group.values) for v in values]
+            sums = np.reshape(joint, (len(values) * slots, group.values)) @ group.has
+            found[:, :, group.bins] = sums.reshape(len(values), slots, -1)
         return found
 
     def left(self, sums: np.ndarray) -> np.ndarray:
@@ -181,7 +227,7 @@ class Tree:
     """One class's tree while it grows. Nodes are numbered as they are made."""
 
     def __init__(self, rows: int):
-        self.of_row = np.zeros(rows, np.int64)
+        self.of_row = np.zeros(rows, np.int32)
         self.bin, self.gain, self.left, self.right = [-1], [-np.inf], [-1], [-1]
         self.depth, self.sums = [0], [np.zeros(3)]
         self.histogram: list[np.ndarray | None] = [None]
@@ -212,14 +258,11 @@ class Tree:
                 self.depth.append(self.depth[node] + 1)
                 self.sums.append(np.zeros(3))
                 self.histogram.append(None)
-        splits = np.zeros(len(self.bin), bool)
-        splits[nodes] = True
-        rows = np.flatnonzero(splits[self.of_row])
-        node = self.of_row[rows]
-        cut = np.array(self.bin)[node]
-        column = part.column[cut]
-        goes_left = part.codes[rows, column] <= cut - part.first[column]
-        self.of_row[rows] = np.where(goes_left, np.array(self.left)[node], np.array(self.right)[node])
+        for node in nodes:
+            column = part.column[self.bin[node]]
+            rows = np.flatnonzero(self.of_row == node)
+            goes_left = part.across[column][rows] <= self.bin[node] - part.first[column]
+            self.of_row[rows] = np.where(goes_left, self.left[node], self.right[node])
         self.new = list(range(made, len(self.bin)))
         self.counted = []
         for node in nodes:
@@ -277,7 +320,7 @@ def _round(
     part: Part, add: Callable, growth: Growth, allowed: np.ndarray, g: np.ndarray, h: np.ndarray
 ) -> list[tuple[Tree, list[int], list[int]]]:
     """One tree a class. Each pass makes the histograms of all new nodes of all classes."""
-    trees = [Tree(len(part.label)) for _ in range(CLASSES)]
+    trees = [Tree(len(part.n)) for _ in range(CLASSES)]
     while any(t.new for t in trees):
         own = [
             np.concatenate([part.histogram(t.slots(), 1, [g[c], h[c]]), part.rows])
@@ -339,7 +382,6 @@ def softmax(margins: np.ndarray) -> np.ndarray:
 
 def grow_softmax(
     rows: pd.DataFrame,
-    weights: np.ndarray,
     edges: list[list[float]],
     growth: Growth,
     allowed: list[int],
@@ -347,16 +389,16 @@ def grow_softmax(
 ) -> list[tuple]:
     """The trees of all rounds. Tree 0 of a class is its share of the weights, as a margin."""
     part = Part(rows, [len(e) + 1 for e in edges], add)
-    w = weights * part.n
-    y = (part.label == np.arange(CLASSES)[:, None]).astype(np.float64)
-    share = add((y * w).sum(axis=1))
+    own = part.of_label
+    w = own.sum(axis=0)
+    share = add(own.sum(axis=1))
     start = np.log(np.maximum(share / max(share.sum(), 1e-300), 1e-15))
     margins = np.repeat(start[:, None], len(w), axis=1)
     can = np.isin(part.column, allowed)
     out = [(0, c, [-1], [0.0], [-1], [-1], [float(start[c])], [1.0]) for c in range(CLASSES)]
     for number in range(1, growth.rounds + 1):
         p = softmax(margins)
-        g, h = w * (p - y), w * p * (1 - p) * (CLASSES / (CLASSES - 1))
+        g, h = w * p - own, w * p * (1 - p) * (CLASSES / (CLASSES - 1))
         for c, (tree, inner, leaves) in enumerate(_round(part, add, growth, can, g, h)):
             if not inner:
                 continue
@@ -383,20 +425,18 @@ STUMPS = "n int, feature int, threshold double, left int, right int, alpha doubl
 
 def grow_stumps(
     rows: pd.DataFrame,
-    weights: np.ndarray,
     edges: list[list[float]],
     rounds: int,
     add: Callable = lambda own: own,
 ) -> list[tuple]:
     """SAMME: a round takes the stump of least weighted Gini impurity and re-weights its hits."""
     part = Part(rows, [len(e) + 1 for e in edges], add)
-    w = weights * part.n
-    everywhere = np.zeros(len(w), np.int64)
-    classes = int((add(np.bincount(part.label, part.n, CLASSES)) > 0).sum())
+    w = part.of_label.copy()
+    everywhere = np.zeros(len(part.n), np.int64)
+    classes = int((add(rows[[f"n{c}" for c in range(CLASSES)]].to_numpy(np.float64).sum(axis=0)) > 0).sum())
     out: list[tuple] = []
     for number in range(rounds):
-        by_class = [np.where(part.label == c, w, 0.0) for c in range(CLASSES)]
-        sums = add(part.histogram(everywhere, 1, by_class)[:, 0])
+        sums = add(part.histogram(everywhere, 1, list(w))[:, 0])
         total = np.add.reduceat(sums, part.first, axis=1)[:, :1]
         left = part.left(sums)
         right = total - left
@@ -420,9 +460,10 @@ def grow_stumps(
         out.append((number, column, edges[column][place], *sides, alpha))
         if missed <= 1e-10 * all_of_it:
             break
-        side = np.where(part.codes[:, column] <= place, *sides)
         # Hits go down instead of misses up: the weights stay at most what they were.
-        w = np.where(side == part.label, w * math.exp(-alpha), w)
+        on_left = part.across[column] <= place
+        w[sides[0], on_left] *= math.exp(-alpha)
+        w[sides[1], ~on_left] *= math.exp(-alpha)
     return out
 
 
@@ -438,22 +479,34 @@ class Spec:
     columns: tuple[int, ...] | None = None
 
 
-def _task(spec: Spec, alone: bool, work: Callable, names: list[str], columns: int) -> Callable:
+def _rows_of(table: DataFrame, spec: Spec) -> DataFrame:
+    """What a model sees: code, n, and by label the rows n0.. and their weights w0.. ."""
+    seen = F.col("cells")
+    if spec.skip is not None:
+        seen = F.filter(seen, lambda cell: ~cell["fold"].eqNullSafe(F.lit(spec.skip)))
+
+    def of(c: int) -> tuple[Column, Column]:
+        factor = 1.0 if spec.class_weights is None else spec.class_weights.get(c, 1.0)
+        mine = F.filter("seen", lambda cell: cell["label"] == c)
+        n = F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+        step = lambda acc, x: acc + x["weight"] * F.lit(factor) * x["n"]
+        return n.alias(f"n{c}"), F.aggregate(mine, F.lit(0.0), step).alias(f"w{c}")
+
+    rows = table.withColumn("seen", seen).filter(F.size("seen") > 0)
+    n = sum((F.col(f"n{c}") for c in K.CLASS_IDS), F.lit(0))
+    return rows.select("code", *[v for c in K.CLASS_IDS for v in of(c)]).withColumn("n", n)
+
+
+def _task(alone: bool, allowed: list[int], work: Callable, names: list[str]) -> Callable:
     """Collects a task's rows and runs the fit; the first task hands the model back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [*batches]
-        empty = {"code": [], "label": [], "fold": [], "weight": [], "n": []}
-        rows = pd.concat(parts) if parts else pd.DataFrame(empty)
-        if spec.skip is not None:
-            rows = rows[rows["fold"] != spec.skip]
+        empty = ["code", "n", *[f"{x}{c}" for x in "nw" for c in range(CLASSES)]]
+        rows = pd.concat(parts) if parts else pd.DataFrame({c: [] for c in empty})
         # the same order whatever way the rows came
-        rows = rows.sort_values(["code", "label", "fold", "weight"]).reset_index(drop=True)
-        weights = rows["weight"].to_numpy(np.float64)
-        if spec.class_weights is not None:
-            weights = weights * rows["label"].map(spec.class_weights).to_numpy(np.float64)
-        allowed = range(columns) if spec.columns is None else spec.columns
-        model = work(rows, weights, list(allowed), _summed(alone))
+        rows = rows.sort_values("code").reset_index(drop=True)
+        model = work(rows, allowed, _summed(alone))
         if alone or BarrierTaskContext.get().partitionId() == 0:
             yield pd.DataFrame(model, columns=names)
 
@@ -474,10 +527,10 @@ def fit_all(
     names = [f.split()[0] for f in schema.split(", ")]
 
     def fit(spec: Spec) -> list:
-        held = table.coalesce(1) if tasks == 1 else table.repartition(tasks, F.xxhash64("code"))
-        job = held.mapInPandas(
-            _task(spec, tasks == 1, work, names, columns), schema, barrier=tasks > 1
-        )
+        rows = _rows_of(table, spec)
+        held = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks, F.xxhash64("code"))
+        allowed = list(range(columns) if spec.columns is None else spec.columns)
+        job = held.mapInPandas(_task(tasks == 1, allowed, work, names), schema, barrier=tasks > 1)
         return job.collect()
 
     with ThreadPool(max(1, min(len(specs), slots // tasks))) as pool:
@@ -486,17 +539,76 @@ def fit_all(
 
 # --- models -------------------------------------------------------------------------------
 
+#: Masks of leaves; trees of more leaves are walked node by node.
+MASKS = (np.uint16, np.uint32, np.uint64)
+#: Leaf masks that are worked out at a time.
+AT_ONCE = 1_000_000
 
-@dataclass
-class SoftmaxTrees:
-    """Boosted trees of all classes; `trees` are rows of TREES."""
 
-    trees: list[tuple] = field(default_factory=list)
-    columns: list[str] = field(default_factory=list)
+def _lowest(masks: np.ndarray) -> np.ndarray:
+    """The place of the lowest bit that is set."""
+    return np.frexp((masks & (~masks + masks.dtype.type(1))).astype(np.float64))[1] - 1
+
+
+class Masks:
+    """Trees whose leaves are bits, from the left.
+
+    A value right of a node's threshold takes the bits of the node's left side away. What a
+    column's value takes away in all trees is one row of that column's table, and the lowest
+    bit left over by all columns is the leaf.
+    """
+
+    def __init__(self, trees: list[tuple], kind: type | None):
+        trees = sorted(trees, key=lambda tree: (tree[1], tree[0]))
+        self.trees, self.kind = trees, kind
+        self.of_class = np.array([tree[1] for tree in trees])
+        if kind is None:
+            return
+        cuts: dict[int, set] = {}
+        for tree in trees:
+            for f, t in zip(tree[2], tree[3], strict=True):
+                if f >= 0:
+                    cuts.setdefault(f, set()).add(t)
+        self.cuts = {f: np.array(sorted(ts)) for f, ts in sorted(cuts.items())}
+        everything = np.iinfo(kind).max
+        self.left = {
+            f: np.full((len(ts) + 1, len(trees)), everything, kind) for f, ts in self.cuts.items()
+        }
+        self.width = 8 * np.dtype(kind).itemsize
+        self.value = np.zeros((len(trees), self.width))
+        for i, (_, _, feature, threshold, left, right, value, _) in enumerate(trees):
+            under: dict[int, int] = {}
+            waiting, leaves = [(0, False)], 0
+            while waiting:
+                node, done = waiting.pop()
+                if feature[node] < 0:
+                    self.value[i, leaves] = value[node]
+                    under[node] = 1 << leaves
+                    leaves += 1
+                elif not done:
+                    waiting += [(node, True), (right[node], False), (left[node], False)]
+                else:
+                    under[node] = under[left[node]] | under[right[node]]
+                    f = feature[node]
+                    after = int(np.searchsorted(self.cuts[f], threshold[node])) + 1
+                    self.left[f][after:, i] &= kind(everything ^ under[left[node]])
+        self.starts = np.flatnonzero(np.diff(self.of_class, prepend=-1))
+        self.first = _lowest(np.arange(1 << 16, dtype=np.uint16)) if kind is np.uint16 else None
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        """Class by row."""
+        """Class by row: what these trees add."""
         out = np.zeros((CLASSES, len(x)))
+        if self.kind is None:
+            return self._walked(x, out)
+        masks = np.full((len(x), len(self.trees)), np.iinfo(self.kind).max, self.kind)
+        for f, cuts in self.cuts.items():
+            masks &= self.left[f][np.searchsorted(cuts, x[:, f])]
+        leaf = _lowest(masks) if self.first is None else self.first[masks]
+        values = self.value.ravel()[leaf + np.arange(len(self.trees)) * self.width]
+        out[self.of_class[self.starts]] = np.add.reduceat(values, self.starts, axis=1).T
+        return out
+
+    def _walked(self, x: np.ndarray, out: np.ndarray) -> np.ndarray:
         every = np.arange(len(x))
         for _, c, feature, threshold, left, right, value, _ in self.trees:
             feature, threshold, left, right = map(np.asarray, (feature, threshold, left, right))
@@ -511,6 +623,36 @@ class SoftmaxTrees:
             out[c] += np.asarray(value)[node]
         return out
 
+
+@dataclass
+class SoftmaxTrees:
+    """Boosted trees of all classes; `trees` are rows of TREES."""
+
+    trees: list[tuple] = field(default_factory=list)
+    columns: list[str] = field(default_factory=list)
+    _masks: list | None = field(default=None, repr=False, compare=False)
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Class by row."""
+        out = np.zeros((CLASSES, len(x)))
+        tables = self._tables()
+        for trees in tables:
+            step = max(1, AT_ONCE // max(1, len(trees.of_class)))
+            for i in range(0, len(x), step):
+                out[:, i : i + step] += trees.margins(x[i : i + step])
+        return out
+
+    def _tables(self) -> list[Masks]:
+        """The trees by how many leaves they have, made once a worker."""
+        if self._masks is None:
+            widths: dict[type, list[tuple]] = {}
+            for tree in self.trees:
+                leaves = sum(f < 0 for f in tree[2])
+                kind = next((k for k in MASKS if leaves <= 8 * np.dtype(k).itemsize), None)
+                widths.setdefault(kind, []).append(tree)
+            self._masks = [Masks(trees, kind) for kind, trees in widths.items()]
+        return self._masks
+
     def _applied(self, df: DataFrame, name: str, work: Callable) -> DataFrame:
         """work(margins) of every row, as an array by class; equal rows are worked out once."""
         shared = df.sparkSession.sparkContext.broadcast(self)
@@ -544,9 +686,7 @@ class SoftmaxTrees:
 
 
 def _softmax_work(edges: list[list[float]], growth: Growth) -> Callable:
-    return lambda rows, weights, allowed, add: grow_softmax(
-        rows, weights, edges, growth, allowed, add
-    )
+    return lambda rows, allowed, add: grow_softmax(rows, edges, growth, allowed, add)
 
 
 def _prepared(df: DataFrame, columns: list[str], bins: int) -> tuple[DataFrame, list[list[float]]]:
@@ -565,7 +705,7 @@ def fit_boosted(df: DataFrame, columns: list[str], bins: int = BINS, **growth) -
 def fit_stumps(df: DataFrame, columns: list[str], rounds: int, bins: int = BINS) -> list[tuple]:
     """The stumps of SAMME as rows of STUMPS."""
     table, edges = _prepared(df.withColumn("fold", F.lit(0)), columns, bins)
-    work = lambda rows, weights, _, add: grow_stumps(rows, weights, edges, rounds, add)
+    work = lambda rows, _, add: grow_stumps(rows, edges, rounds, add)
     (stumps,) = fit_all(table, [Spec()], work, STUMPS, len(columns))
     return [tuple(s) for s in stumps]
 
@@ -590,7 +730,8 @@ def fit_folds(
     quantiles of all rows, without labels.
     """
     table, edges = _prepared(rows.withColumn("weight", F.lit(1.0)), columns, bins)
-    counts = table.groupBy("label", "fold").agg(F.sum("n").alias("n")).collect()
+    cells = table.select(F.inline("cells"))
+    counts = cells.groupBy("label", "fold").agg(F.sum("n").alias("n")).collect()
     by_growth: dict[Growth, list[tuple[tuple[str, int], Spec]]] = {}
     for arm, options in arms.items():
         kept = tuple(columns.index(c) for c in options["columns"])

@@ -179,3 +179,45 @@ def test_attributions_add_up_to_the_margins(spark):
     leaves, base = TS.boosted_leaves(model.trees, 5)
     phi = TS.attribute(leaves, x[:30], 5)
     assert phi.sum(axis=1) + base == pytest.approx(model.margins(x[:30]).T, abs=1e-9)
+
+
+def test_rows_of_equal_bins_are_one_whatever_their_label_and_fold(spark):
+    x, y, w = table(400, 9)
+    frame = pd.DataFrame(x[:, :2], columns=["a", "b"]).assign(label=y, weight=w, fold=np.arange(400) % 5)
+    df = spark.createDataFrame(frame)
+    found = B.collapsed(df, ["a", "b"], B.bin_edges(df, ["a", "b"])).toPandas()
+    assert len(found) == len(np.unique(x[:, :2], axis=0))
+    assert sum(cell["n"] for cells in found.cells for cell in cells) == 400
+
+
+def test_columns_counted_together_have_the_sums_of_each(monkeypatch):
+    monkeypatch.setattr(B, "MOST_JOINT", 12)
+    rng = np.random.default_rng(2)
+    sizes = [2, 7, 5, 2, 3]
+    codes = np.unique(np.column_stack([rng.integers(0, s, 200) for s in sizes]), axis=0).astype(np.uint8)
+    codes[:, 3] = codes[:, 0]
+    rows = pd.DataFrame({"code": [c.tobytes() for c in codes], "n": 1})
+    rows = rows.assign(**{f"{x}{c}": 1 for x in "nw" for c in range(5)})
+    part = B.Part(rows, sizes, lambda own: own)
+    slot, value = rng.integers(-1, 3, len(codes)), rng.random(len(codes))
+    found = part.histogram(slot, 3, [value])[0]
+    for c in (0, 1, 2, 4):
+        for b in range(sizes[c]):
+            want = [value[(slot == s) & (codes[:, c] == b)].sum() for s in range(3)]
+            assert found[:, part.first[c] + b] == pytest.approx(want)
+    assert not part.splits[part.column == 3].any()
+
+
+@pytest.mark.parametrize("growth", [{"leaves": 15}, {"leaves": 31}, {"leaves": 64}, {"leaves": 80}])
+def test_masks_reach_the_leaves_that_walking_does(growth):
+    rng = np.random.default_rng(4)
+    sizes = [40, 40, 3]
+    codes = np.unique(np.column_stack([rng.integers(0, s, 900) for s in sizes]), axis=0).astype(np.uint8)
+    label = rng.integers(0, 5, len(codes))
+    rows = pd.DataFrame({"code": [c.tobytes() for c in codes], "n": 1})
+    rows = rows.assign(**{f"{x}{c}": (label == c) * 1.0 for x in "nw" for c in range(5)})
+    edges = [list(np.arange(s - 1) + 0.5) for s in sizes]
+    options = B.Growth(rounds=3, step=0.3, l1=0.0, least_rows=1, least_hessian=0.0, **growth)
+    model = B.SoftmaxTrees(B.grow_softmax(rows, edges, options, [0, 1, 2]), list("abc"))
+    x = np.vstack([codes.astype(float), [[np.nan, 0.5, 1.0], [0.5, np.inf, -np.inf]]])
+    assert model.margins(x) == pytest.approx(B.Masks(model.trees, None).margins(x), abs=1e-12)
