@@ -55,6 +55,25 @@ def parse_one(text: Column) -> Column:
     return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
 
 
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns that are worked out once a row, whatever reads them.
+
+    Filters and columns above a projection are rewritten in terms of what is below it, so a
+    parsed text would be parsed again for each field; nothing is moved below a generator.
+    """
+    row = F.struct(*[value.alias(name) for name, value in values.items()])
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in values]
+    return df.select(*kept, F.inline(F.array(row)))
+
+
+def with_parsed(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds the one JSON value of a text, as parse_one, parsed once a row."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    read = once(df, _values=F.try_variant_get(listed, "$", "array<variant>"))
+    one = F.when(F.size("_values") == 1, F.get("_values", F.lit(0)))
+    return read.withColumn(name, one).drop("_values")
+
+
 def is_object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
@@ -121,7 +140,7 @@ def _with_time_and_error(read: DataFrame, ingest_time: str | None) -> DataFrame:
         F.size("_bad_numbers") > 0,
         F.concat(F.lit("non-numeric: "), F.array_join("_bad_numbers", ", ")),
     )
-    return timed.withColumn("error", error).drop("_has_time", "_bad_numbers")
+    return once(timed, error=error).drop("_has_time", "_bad_numbers")
 
 
 # --- JSON documents ----------------------------------------------------------
@@ -146,9 +165,8 @@ def _within(files: DataFrame, max_file_bytes: int | None) -> DataFrame:
 
 def _documents(spark: SparkSession, path: str, max_file_bytes: int | None = None) -> DataFrame:
     whole = _within(spark.read.text(path, wholetext=True), max_file_bytes)
-    return whole.select(
-        F.col("_metadata.file_path").alias("file"), parse_one(F.col("value")).alias("doc")
-    )
+    named = whole.select(F.col("_metadata.file_path").alias("file"), "value")
+    return with_parsed(named, F.col("value"), "doc").select("file", "doc")
 
 
 def read_json_document_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -162,7 +180,7 @@ def read_json_document_lines(spark: SparkSession, path: str) -> DataFrame:
 def document_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, value, doc) of the lines that are not blank; doc is null for a broken one."""
     lines = read_lines(spark, path).filter(F.trim("value") != "")
-    return lines.select("file", "value", parse_one(F.col("value")).alias("doc"))
+    return with_parsed(lines.select("file", "value"), F.col("value"), "doc")
 
 
 def rejected_documents(documents: DataFrame) -> DataFrame:
@@ -190,18 +208,15 @@ def expand_documents(documents: DataFrame) -> DataFrame:
 
 def _members(documents: DataFrame) -> DataFrame:
     """(file, events): what each document holds as a list."""
-    kind = F.schema_of_variant("doc")
-    records = F.try_variant_get("doc", "$.Records", "variant")
-    has_records = F.coalesce(F.schema_of_variant(records).startswith("ARRAY"), F.lit(False))
+    # Whether it is a list is asked by reading it as one: a list's schema reads all its members.
+    members = F.coalesce(
+        F.try_variant_get("doc", "$", "array<variant>"),
+        F.try_variant_get("doc", "$.Records", "array<variant>"),
+    )
     wrapped = F.try_variant_get("doc", "$.audit_log", "variant")
     is_wrapped = F.coalesce(is_object(wrapped), F.lit(False))
-    members = F.try_variant_get(
-        F.when(kind.startswith("ARRAY"), F.col("doc")).when(has_records, records),
-        "$",
-        "array<variant>",
-    )
     single = F.when(is_wrapped, wrapped).otherwise(F.col("doc"))
-    return documents.select("file", F.coalesce(members, F.array(single)).alias("events"))
+    return once(documents, events=F.coalesce(members, F.array(single))).select("file", "events")
 
 
 def read_json_events(spark: SparkSession, path: str, ingest_time: str | None = None) -> DataFrame:
@@ -250,7 +265,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, quarantine) of text lines; blank lines are skipped."""
-    parsed = lines.filter(F.trim("value") != "").withColumn("event", parse_one(F.col("value")))
+    parsed = with_parsed(lines.filter(F.trim("value") != ""), F.col("value"), "event")
     # A text that parses and begins with a brace is an object; the variant's schema is dear.
     good = F.col("event").isNotNull() & F.ltrim("value").startswith("{")
     reason = F.when(F.col("event").isNull(), "not JSON").otherwise("not an object")
@@ -485,6 +500,6 @@ def look_back(
 
 def poll_records(records: DataFrame, payload: str = "CloudTrailEvent") -> DataFrame:
     """Events out of JSON text payloads; empty and broken payloads are skipped."""
-    return records.withColumn("event", parse_one(F.col(payload))).filter(
+    return with_parsed(records, F.col(payload), "event").filter(
         F.coalesce(is_object(F.col("event")), F.lit(False))
     )

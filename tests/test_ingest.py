@@ -189,3 +189,20 @@ def test_large_files_are_reported(spark, tmp_path):
     none = I.read_events(spark, str(tmp_path), "jsonl", max_file_bytes=1).collect()
     assert len(none) == 3 and all(r.error for r in none)
     assert I.read_events(spark, str(tmp_path)).filter("error IS NULL OR true").count() == 551
+
+
+def test_a_text_is_parsed_once_whatever_reads_it(spark, tmp_path):
+    path = str(tmp_path / "one.json")
+    with open(path, "w") as out:
+        out.write('{"eventTime": "2024-01-01T00:00:00Z", "eventName": "GetObject"}\n')
+    records = spark.read.text(path).withColumnRenamed("value", "CloudTrailEvent")
+    for events in (
+        I.read_jsonl_events(spark, path)[0],
+        I.with_event_columns(I.read_json_document_lines(spark, path), "event"),
+        I.read_json_events(spark, path),
+        I.with_event_columns(I.poll_records(records), "event"),
+    ):
+        known = events.filter("error IS NULL AND eventName = 'GetObject'")
+        assert known.count() == 1
+        plan = known._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1
