@@ -192,25 +192,27 @@ class Part:
         # a column's last bin has nothing on its right
         self.splits = ~last & ~again[self.column]
         #: The numbers of rows by bin, which every tree's root has.
-        self.rows = self.histogram(np.zeros(len(self.n), np.int64), 1, [self.n])
+        self.rows = self.histograms([None], [self.n])
 
     def histogram(self, slot: np.ndarray, slots: int, values: list[np.ndarray]) -> np.ndarray:
-        """Sums of values by (slot, bin); rows in slot -1 are left out, and cost nothing.
+        """Sums of values by (slot, bin); rows in slot -1 are left out."""
+        return self.histograms([np.flatnonzero(slot == i) for i in range(slots)], values)
 
-        Columns that repeat an earlier one have none.
+    def histograms(self, nodes: list[np.ndarray | None], values: list[np.ndarray]) -> np.ndarray:
+        """Sums of values by (node, bin); a node is its rows' places, None all rows.
+
+        Only the nodes' rows are read. Columns that repeat an earlier one have no sums.
         """
-        inside = np.flatnonzero(slot >= 0)
-        whole = len(inside) == len(slot)
-        if not whole:
-            slot, values = slot[inside], [v[inside] for v in values]
-        found = np.zeros((len(values), slots, self.bins))
+        taken = [values if at is None else [v.take(at) for v in values] for at in nodes]
+        found = np.zeros((len(values), len(nodes), self.bins))
         for group in self.groups:
-            key = group.key if whole else group.key[inside]
-            if slots > 1:
-                key = key + slot * group.values
-            joint = [np.bincount(key, v, slots * group.values) for v in values]
-            sums = np.reshape(joint, (len(values) * slots, group.values)) @ group.has
-            found[:, :, group.bins] = sums.reshape(len(values), slots, -1)
+            joint = np.empty((len(values), len(nodes), group.values))
+            for i, at in enumerate(nodes):
+                key = group.key if at is None else group.key.take(at)
+                for j, v in enumerate(taken[i]):
+                    joint[j, i] = np.bincount(key, v, group.values)
+            sums = joint.reshape(-1, group.values) @ group.has
+            found[:, :, group.bins] = sums.reshape(len(values), len(nodes), -1)
         return found
 
     def left(self, sums: np.ndarray) -> np.ndarray:
@@ -224,10 +226,13 @@ class Part:
 
 
 class Tree:
-    """One class's tree while it grows. Nodes are numbered as they are made."""
+    """One class's tree while it grows. Nodes are numbered as they are made.
 
-    def __init__(self, rows: int):
-        self.of_row = np.zeros(rows, np.int32)
+    A node that was not split has its rows' places, in order; None are all rows.
+    """
+
+    def __init__(self):
+        self.at: list[np.ndarray | None] = [None]
         self.bin, self.gain, self.left, self.right = [-1], [-np.inf], [-1], [-1]
         self.depth, self.sums = [0], [np.zeros(3)]
         self.histogram: list[np.ndarray | None] = [None]
@@ -258,11 +263,18 @@ class Tree:
                 self.depth.append(self.depth[node] + 1)
                 self.sums.append(np.zeros(3))
                 self.histogram.append(None)
+                self.at.append(None)
         for node in nodes:
             column = part.column[self.bin[node]]
-            rows = np.flatnonzero(self.of_row == node)
-            goes_left = part.across[column][rows] <= self.bin[node] - part.first[column]
-            self.of_row[rows] = np.where(goes_left, self.left[node], self.right[node])
+            rows, codes = self.at[node], part.across[column]
+            goes_left = (codes if rows is None else codes.take(rows)) <= (
+                self.bin[node] - part.first[column]
+            )
+            sides = np.flatnonzero(goes_left), np.flatnonzero(~goes_left)
+            if rows is not None:
+                sides = [rows.take(side) for side in sides]
+            self.at[self.left[node]], self.at[self.right[node]] = sides
+            self.at[node] = None
         self.new = list(range(made, len(self.bin)))
         self.counted = []
         for node in nodes:
@@ -270,11 +282,9 @@ class Tree:
             fewer_left = 2 * rows_left <= self.sums[node][2]
             self.counted.append(self.left[node] if fewer_left else self.right[node])
 
-    def slots(self) -> np.ndarray:
-        """The new nodes that are counted; their siblings are what is left of the parent."""
-        slot = np.full(len(self.bin), -1)
-        slot[self.counted] = np.arange(len(self.counted))
-        return slot[self.of_row]
+    def to_count(self) -> list[np.ndarray | None]:
+        """Rows of the new nodes that are counted; their siblings are what is left of the parent."""
+        return [self.at[node] for node in self.counted]
 
     def learn(self, found: np.ndarray) -> np.ndarray:
         """Takes the histograms of the counted nodes and gives those of all new ones."""
@@ -320,12 +330,12 @@ def _round(
     part: Part, add: Callable, growth: Growth, allowed: np.ndarray, g: np.ndarray, h: np.ndarray
 ) -> list[tuple[Tree, list[int], list[int]]]:
     """One tree a class. Each pass makes the histograms of all new nodes of all classes."""
-    trees = [Tree(len(part.n)) for _ in range(CLASSES)]
+    trees = [Tree() for _ in range(CLASSES)]
     while any(t.new for t in trees):
         own = [
-            np.concatenate([part.histogram(t.slots(), 1, [g[c], h[c]]), part.rows])
+            np.concatenate([part.histograms([None], [g[c], h[c]]), part.rows])
             if t.new == [0]
-            else part.histogram(t.slots(), len(t.counted), [g[c], h[c], part.n])
+            else part.histograms(t.to_count(), [g[c], h[c], part.n])
             for c, t in enumerate(trees)
             if t.new
         ]
@@ -374,10 +384,12 @@ def _tree_row(
     return (number, c, *out)
 
 
-def softmax(margins: np.ndarray) -> np.ndarray:
+def softmax(margins: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Of the classes by row."""
-    e = np.exp(margins - margins.max(axis=0))
-    return e / e.sum(axis=0)
+    e = np.subtract(margins, margins.max(axis=0), out=out)
+    np.exp(e, out=e)
+    e /= e.sum(axis=0)
+    return e
 
 
 def grow_softmax(
@@ -396,26 +408,28 @@ def grow_softmax(
     margins = np.repeat(start[:, None], len(w), axis=1)
     can = np.isin(part.column, allowed)
     out = [(0, c, [-1], [0.0], [-1], [-1], [float(start[c])], [1.0]) for c in range(CLASSES)]
+    p, g, h = (np.empty_like(margins) for _ in range(3))  # once, not once a round
     for number in range(1, growth.rounds + 1):
-        p = softmax(margins)
-        g, h = w * p - own, w * p * (1 - p) * (CLASSES / (CLASSES - 1))
+        softmax(margins, p)
+        np.multiply(w, p, out=h)
+        np.subtract(h, own, out=g)
+        np.subtract(1, p, out=p)
+        h *= p
+        h *= CLASSES / (CLASSES - 1)
         for c, (tree, inner, leaves) in enumerate(_round(part, add, growth, can, g, h)):
             if not inner:
                 continue
             sums = np.array([tree.sums[i] for i in leaves])
             steps = -_shrunk(sums[:, 0], growth.l1) / (sums[:, 1] + growth.l2 + 1e-15) * growth.step
             values = dict(zip(leaves, steps.tolist(), strict=True))
-            of_node = np.zeros(len(tree.bin))
-            for node in range(len(tree.bin)):  # parents come before their children
-                if node in values:
-                    of_node[node] = values[node]
-                    reached = [node]
-                    while reached:  # what was split ahead of time and not taken
-                        i = reached.pop()
-                        of_node[i] = values[node]
-                        if tree.left[i] >= 0:
-                            reached += [tree.left[i], tree.right[i]]
-            margins[c] += of_node[tree.of_row]
+            for leaf, value in values.items():
+                reached = [leaf]
+                while reached:  # what was split ahead of time and not taken
+                    node = reached.pop()
+                    if tree.left[node] >= 0:
+                        reached += [tree.left[node], tree.right[node]]
+                    else:
+                        margins[c, tree.at[node]] += value
             out.append(_tree_row(number, c, tree, inner, values, part, edges))
     return out
 
@@ -432,11 +446,10 @@ def grow_stumps(
     """SAMME: a round takes the stump of least weighted Gini impurity and re-weights its hits."""
     part = Part(rows, [len(e) + 1 for e in edges], add)
     w = part.of_label.copy()
-    everywhere = np.zeros(len(part.n), np.int64)
     classes = int((add(rows[[f"n{c}" for c in range(CLASSES)]].to_numpy(np.float64).sum(axis=0)) > 0).sum())
     out: list[tuple] = []
     for number in range(rounds):
-        sums = add(part.histogram(everywhere, 1, list(w))[:, 0])
+        sums = add(part.histograms([None], list(w))[:, 0])
         total = np.add.reduceat(sums, part.first, axis=1)[:, :1]
         left = part.left(sums)
         right = total - left

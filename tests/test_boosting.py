@@ -221,3 +221,25 @@ def test_masks_reach_the_leaves_that_walking_does(growth):
     model = B.SoftmaxTrees(B.grow_softmax(rows, edges, options, [0, 1, 2]), list("abc"))
     x = np.vstack([codes.astype(float), [[np.nan, 0.5, 1.0], [0.5, np.inf, -np.inf]]])
     assert model.margins(x) == pytest.approx(B.Masks(model.trees, None).margins(x), abs=1e-12)
+
+
+def test_a_node_is_counted_from_its_own_rows():
+    """A tree's nodes hold their rows' places; a split deals them out in order, and no other is read."""
+    rng = np.random.default_rng(5)
+    codes = np.unique(rng.integers(0, 4, (60, 3)).astype(np.uint8), axis=0)
+    rows = pd.DataFrame({"code": [r.tobytes() for r in codes], "n": 1})
+    rows = rows.assign(**{f"{x}{c}": 1.0 for x in "nw" for c in range(5)})
+    part = B.Part(rows, [4, 4, 4], lambda own: own)
+    tree = B.Tree()
+    tree.learn(part.histograms([None], [part.n] * 3))
+    tree.bin[0], tree.sums[0] = 1, np.full(3, float(len(codes)))
+    tree.expand([0], part)
+    sides = [np.flatnonzero(codes[:, 0] <= 1), np.flatnonzero(codes[:, 0] > 1)]
+    assert [at.tolist() for at in tree.at[1:]] == [at.tolist() for at in sides]
+    inside = tree.to_count()
+    assert len(inside) == 1 and len(inside[0]) == min(map(len, sides))
+    value = np.full(len(codes), np.nan)
+    value[inside[0]] = 1.0
+    found = part.histograms(inside, [value])[0, 0]
+    want = np.concatenate([np.bincount(codes[inside[0], i], minlength=4) for i in range(3)])
+    assert found.tolist() == want.tolist()
