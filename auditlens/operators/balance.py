@@ -67,15 +67,28 @@ def _by_class(build) -> Column:
     return case
 
 
+#: What is drawn for a minted event.
+DRAWS = ("event", "identity", "ip", "code", "denied", "day", "hour", "minute")
+
+#: Slots of a class that one task makes.
+SLOTS_A_TASK = 250_000
+
+
 def mint_events(slots: DataFrame, seed: int = 1234) -> DataFrame:
     """Audit events for (label, n) slots of the thin classes.
 
     Only fields that real events carry are set. Times are weekday business
     hours, so that no artificial off-hours signal is made up.
     """
+    # A draw is a hash, worked out once a slot and not at every option it is compared with.
+    drawn = slots.select(
+        "label",
+        "n",
+        *[uniform(seed, F.col("label"), F.col("n"), d).alias(f"_u_{d}") for d in DRAWS],
+    )
 
     def u(name: str) -> Column:
-        return uniform(seed, F.col("label"), F.col("n"), name)
+        return F.col(f"_u_{name}")
 
     def error(c: int) -> Column:
         rate, codes = K.MINT_ERRORS[c]
@@ -90,7 +103,7 @@ def mint_events(slots: DataFrame, seed: int = 1234) -> DataFrame:
     day = (F.floor(u("day") * 5) + 10).cast("string")
     hour = F.lpad((F.floor(u("hour") * 9) + 9).cast("string"), 2, "0")
     minute = F.lpad(F.floor(u("minute") * 60).cast("string"), 2, "0")
-    return slots.select(
+    return drawn.select(
         "label",
         "n",
         F.concat(F.lit("2023-07-"), day, F.lit("T"), hour, F.lit(":"), minute, F.lit(":00Z")).alias(
@@ -115,7 +128,8 @@ def mint_events(slots: DataFrame, seed: int = 1234) -> DataFrame:
 def top_up_slots(train: DataFrame, target: int = K.AUGMENT_TARGET) -> DataFrame:
     """One (label, n) row per missing row of a thin class that the data has.
 
-    The slots come from a distributed range, so a large target is no single task.
+    The slots come from a range in as many tasks as the target asks for, and stay there: what
+    they are joined with is one row a class, which goes to them.
     """
     present = (
         train.filter(F.col("label").isin(*K.AUGMENT_CLASSES))
@@ -123,12 +137,14 @@ def top_up_slots(train: DataFrame, target: int = K.AUGMENT_TARGET) -> DataFrame:
         .agg(F.count("*").alias("have"))
         .filter(F.col("have") < target)
     )
+    spark = train.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-target // SLOTS_A_TASK))
     wanted = (
-        train.sparkSession.range(target)
+        spark.range(0, target, 1, tasks)
         .withColumnRenamed("id", "n")
         .withColumn("label", F.explode(F.array(*[F.lit(c) for c in K.AUGMENT_CLASSES])))
     )
-    return wanted.join(present, "label").filter(F.col("n") < target - F.col("have")).select(
+    return wanted.join(F.broadcast(present), "label").filter(F.col("n") < target - F.col("have")).select(
         "label", "n"
     )
 

@@ -312,3 +312,19 @@ def test_deep_merge_equals_plain_recursion(spark):
     df = spark.createDataFrame(rows, "b string, o string")
     got = [json.loads(r[0]) for r in df.select(CA.deep_merged("b", "o")).collect()]
     assert got == [plain(b, o) for b, o in pairs] + [{"a": 1}, {"b": 2}]
+
+
+def test_slots_stay_where_their_range_is_and_draw_once(spark):
+    """However large the table is thought to be, slots are not shuffled to a task a class."""
+    rows = spark.range(600).selectExpr("cast(id % 7 as int) % 5 AS label")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        slots = B.top_up_slots(rows, 2 * B.SLOTS_A_TASK * 10)
+        plan = slots._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert "splits=20" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    minted = B.mint_events(B.top_up_slots(rows, 300))
+    assert minted._jdf.queryExecution().optimizedPlan().toString().count("md5(") == len(B.DRAWS)
