@@ -15,6 +15,8 @@ from auditlens.operators.admission import LOG, Slots
 OUTPUT = f"{LOG}, late boolean"
 STATE = "admitted array<bigint>, newest bigint"
 COLUMNS = ["tenant", "event_id", "time_us", "admitted", "room", "late"]
+#: Rows that are Python objects or a frame at a time.
+AT_ONCE = 50_000
 
 
 def admit(
@@ -26,8 +28,8 @@ def admit(
     """Adds whether each confirmation (tenant, event_id, time_us) takes a slot.
 
     Only admitted ones take room, so the decision depends on order and is made per tenant.
-    A micro-batch is ordered by time and id; its size is what bounds a task's memory, so
-    set maxFilesPerTrigger on the source. A confirmation that arrives in a later
+    A micro-batch is ordered by time and id; its size is what bounds a task's memory (some 50
+    bytes a confirmation of a tenant), so set maxFilesPerTrigger on the source. A confirmation that arrives in a later
     micro-batch than newer ones is admitted if every window it falls into keeps the cap,
     the ones that end after it too. One older than the newest by more than late_seconds is
     refused and marked late: the admissions around it may be forgotten. The state is the
@@ -40,19 +42,31 @@ def admit(
     ) -> Iterator[pd.DataFrame]:
         taken, newest = state.get if state.exists else ((), None)
         slots = Slots(taken, cap, window_us)
-        rows = pd.concat([b[["event_id", "time_us"]] for b in batches], ignore_index=True)
-        rows = rows.sort_values(["time_us", "event_id"], ignore_index=True)
-        decided = []
-        for now in rows.time_us.tolist():
-            late = newest is not None and now < newest - late_us
-            decided.append((*((False, 0) if late else slots.offer(now)), late))
-        newest = max(int(rows.time_us.iloc[-1]), newest if newest is not None else 0)
+        parts = [(b.event_id.to_numpy(copy=True), b.time_us.to_numpy(copy=True)) for b in batches]
+        ids, times = (np.concatenate(column) for column in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((ids, times))
+        ids, times = ids[order], times[order]
+        del order
+        n = len(times)
+        admitted, late, room = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, "int32")
+        for start in range(0, n, AT_ONCE):
+            for i, now in enumerate(times[start : start + AT_ONCE].tolist(), start):
+                if newest is not None and now < newest - late_us:
+                    late[i] = True
+                else:
+                    admitted[i], room[i] = slots.offer(now)
+        newest = max(int(times[-1]), newest if newest is not None else 0)
         slots.forget(newest - late_us - window_us)
         state.update((slots.taken, newest))
-        admitted, room, late = zip(*decided, strict=True)
-        yield rows.assign(
-            tenant=key[0], admitted=admitted, room=np.array(room, "int32"), late=late
-        )[COLUMNS]
+        for start in range(0, n, AT_ONCE):
+            run = slice(start, start + AT_ONCE)
+            yield pd.DataFrame(
+                {
+                    "event_id": ids[run], "time_us": times[run], "admitted": admitted[run],
+                    "room": room[run], "late": late[run],
+                }
+            ).assign(tenant=key[0])[COLUMNS]
 
     return confirmations.groupBy("tenant").applyInPandasWithState(
         decide, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout

@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from auditlens.operators.admission import Slots, containment_log, with_room
+from auditlens.streaming import admission as streamed
 
 SECOND = 1_000_000
 
@@ -93,3 +95,39 @@ def test_late_rows_of_a_stream(spark, tmp_path):
         query.awaitTermination()
     assert [r.s for r in found if r.admitted] == [*batches[0], 9_300, 10_641]
     assert [r.s for r in found if r.late] == [5_000]
+
+
+def test_a_large_micro_batch_is_decided_and_handed_on_in_pieces(monkeypatch):
+    """A tenant's confirmations are numbers in arrays; frames have a bounded number of rows."""
+    monkeypatch.setattr(streamed, "AT_ONCE", 7)
+
+    class Frame:
+        def groupBy(self, key):
+            return self
+
+        def applyInPandasWithState(self, decide, *rest):
+            return decide
+
+    class State:
+        exists, kept = False, None
+
+        def update(self, kept):
+            self.kept, self.exists, self.get = kept, True, kept
+
+    rng = random.Random(3)
+    rows = [(n, rng.randrange(0, 40_000) * SECOND) for n in range(60)]
+    frame = pd.DataFrame(rows, columns=["event_id", "time_us"]).assign(tenant="a")
+    state, decide = State(), streamed.admit(Frame())
+    out = [*decide(("a",), iter([frame[:25], frame[25:]]), state)]
+    assert max(map(len, out)) <= 7
+    got = pd.concat(out)
+    assert [*got.columns] == streamed.COLUMNS and not got.late.any()
+    slots, want = Slots((), 5, 600 * SECOND), []
+    for event, now in sorted(rows, key=lambda r: (r[1], r[0])):
+        want.append((event, now, *slots.offer(now)))
+    found = got[["event_id", "time_us", "admitted", "room"]]
+    assert [tuple(r) for r in found.to_numpy().tolist()] == want
+    newest = max(now for _, now in rows)
+    assert state.kept[1] == newest
+    again = pd.concat(decide(("a",), iter([frame[:3].assign(time_us=[0, newest, newest])]), state))
+    assert again.late.tolist() == [True, False, False]
