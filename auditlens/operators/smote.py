@@ -21,6 +21,15 @@ from auditlens.operators.ranking import with_group_rank
 from auditlens.session import materialise
 
 NEIGHBOUR = "label int, vid string, nvid string, dist double"
+#: Distances that a task holds at a time, and vectors it holds the differences of.
+AT_ONCE, MEASURED = 1_000_000, 50_000
+
+
+def _slices(rows: int, columns: int) -> Iterator[slice]:
+    """The rows in runs whose distances to that many others are at most AT_ONCE."""
+    step = max(1, AT_ONCE // max(1, columns))
+    for i in range(0, rows, step):
+        yield slice(i, i + step)
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -57,10 +66,9 @@ def _block_neighbours(probes: pd.DataFrame, residents: pd.DataFrame, k: int) ->
         limit = np.partition(dist, k - 1, axis=1)[:, k - 1] + 2 * off
     rows, cols = np.nonzero(~(dist > limit[:, None]) & ~np.isposinf(dist))
     flat = np.empty(len(rows))
-    step = 1_000_000
-    for i in range(0, len(rows), step):
-        diff = a[rows[i : i + step]] - b[cols[i : i + step]]
-        flat[i : i + step] = np.einsum("ij,ij->i", diff, diff)
+    for i in range(0, len(rows), MEASURED):
+        diff = a[rows[i : i + MEASURED]] - b[cols[i : i + MEASURED]]
+        flat[i : i + MEASURED] = np.einsum("ij,ij->i", diff, diff)
     found = pd.DataFrame({"row": rows, "nvid": ids[cols], "dist": flat})
     found = found[np.isfinite(flat)].sort_values(["row", "dist", "nvid"])
     found = found.groupby("row", sort=False).head(k)
@@ -93,6 +101,30 @@ def points(
     )
 
 
+def _gaps(
+    vec: np.ndarray, rows: np.ndarray, cols: np.ndarray, lo: np.ndarray, hi: np.ndarray
+) -> np.ndarray:
+    """Squared distances of points to boxes, pair by pair."""
+    out = np.empty(len(rows))
+    for i in range(0, len(rows), MEASURED):
+        at, box = rows[i : i + MEASURED], cols[i : i + MEASURED]
+        x = vec[at]
+        gap = np.maximum(np.maximum(lo[box] - x, x - hi[box]), 0.0)
+        out[i : i + MEASURED] = np.einsum("ij,ij->i", gap, gap)
+    return out
+
+
+def _may_reach(vec: np.ndarray, centre: np.ndarray, far: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """point x cell: False where every point of the cell is surely beyond the point's limit.
+
+    A cell's points are at most `far` (squared) from its centre, so they are at least the
+    distance to the centre less that from a point.
+    """
+    dist, off = _estimates(vec, centre)
+    least = np.sqrt(np.maximum(dist - off[:, None], 0.0)) * (1 - 1e-9) - np.sqrt(far) * (1 + 1e-9)
+    return ~((least > 0) & (least * least > limit[:, None]))
+
+
 def _pivots(pts: DataFrame, block: int, most: int) -> dict[int, np.ndarray]:
     """Up to `most` pseudo-random points per class, about one per block of points."""
     sizes = {r.label: r["count"] for r in pts.groupBy("label").count().collect()}
@@ -142,21 +174,26 @@ def nearest_neighbours(
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cells = np.zeros(len(pdf), dtype="int32")
+            cells, far = np.zeros(len(pdf), dtype="int32"), np.zeros(len(pdf))
             for c, group in pdf.groupby("label"):
-                near = _estimates(_matrix(group.vec), pivots[c])[0].argmin(axis=1)
-                cells[pdf.index.get_indexer(group.index)] = near
-            yield pdf.assign(cell=cells)
+                vec, at = _matrix(group.vec), pdf.index.get_indexer(group.index)
+                for run in _slices(len(vec), len(pivots[c])):
+                    dist, off = _estimates(vec[run], pivots[c])
+                    cells[at[run]] = dist.argmin(axis=1)
+                    far[at[run]] = np.maximum(dist.min(axis=1), 0.0) + off
+            yield pdf.assign(cell=cells, far=far)
 
     celled = materialise(
         flagged.mapInPandas(
-            to_cells, "label int, vid string, vec array<double>, wanted boolean, cell int"
+            to_cells,
+            "label int, vid string, vec array<double>, wanted boolean, cell int, far double",
         ),
         "cells",
     )
     dims = len(next(iter(pivots.values()))[0])
     box = celled.groupBy("label", "cell").agg(
         F.count("*").alias("n"),
+        F.max("far").alias("far"),
         *[F.min(F.col("vec")[i]).alias(f"lo{i}") for i in range(dims)],
         *[F.max(F.col("vec")[i]).alias(f"hi{i}") for i in range(dims)],
     ).collect()
@@ -168,6 +205,7 @@ def nearest_neighbours(
             np.array([[r[f"lo{i}"] for i in range(dims)] for r in mine]),
             np.array([[r[f"hi{i}"] for i in range(dims)] for r in mine]),
             np.array([-(-r.n // block) for r in mine]),
+            np.array([r.far for r in mine]),
         )
     # A cell larger than a block is cut into chunks by a hash of the point.
     cut = celled.sparkSession.createDataFrame(
@@ -194,22 +232,28 @@ def nearest_neighbours(
         """Each point once per chunk of every cell its neighbours may be in."""
         for pdf in batches:
             for c, group in pdf.groupby("label"):
-                cells, lo, hi, chunks = boxes[c]
-                vec = _matrix(group.vec)
-                gaps = np.empty((len(vec), len(cells)))
-                for i, (low, high) in enumerate(zip(lo, hi)):
-                    gap = np.maximum(np.maximum(low - vec, vec - high), 0.0)
-                    gaps[:, i] = (gap * gap).sum(axis=1)
-                reached = gaps <= group.bound.to_numpy()[:, None] * (1 + 1e-9)
-                if most_cells and len(cells) > most_cells:
-                    order = np.argsort(gaps, axis=1, kind="stable")
-                    rank = np.empty_like(order)
-                    np.put_along_axis(rank, order, np.arange(len(cells))[None, :], axis=1)
-                    reached &= rank < most_cells
-                for i, (cell, n) in enumerate(zip(cells, chunks)):
-                    hit = group[reached[:, i]]
-                    for part in range(n if len(hit) else 0):
-                        yield hit[["label", "vid"]].assign(cell=cell, chunk=part)
+                cells, lo, hi, chunks, far = boxes[c]
+                vec, centre = _matrix(group.vec), pivots[c][cells]
+                vid, limits = group.vid.to_numpy(), group.bound.to_numpy() * (1 + 1e-9)
+                for run in _slices(len(vec), len(cells)):
+                    x, limit = vec[run], limits[run]
+                    if most_cells and len(cells) > most_cells:
+                        rows, cols = np.indices((len(x), len(cells))).reshape(2, -1)
+                        gaps = _gaps(x, rows, cols, lo, hi)
+                        order = np.argsort(gaps.reshape(len(x), -1), axis=1, kind="stable")
+                        rank = np.empty_like(order)
+                        np.put_along_axis(rank, order, np.arange(len(cells))[None, :], axis=1)
+                        reached = (gaps <= limit[rows]) & (rank.ravel() < most_cells)
+                    else:
+                        rows, cols = np.nonzero(_may_reach(x, centre, far, limit))
+                        reached = _gaps(x, rows, cols, lo, hi) <= limit[rows]
+                    rows, cols = rows[reached], cols[reached]
+                    each = chunks[cols]
+                    part = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                    rows, cols = np.repeat(rows, each), np.repeat(cols, each)
+                    yield pd.DataFrame(
+                        {"label": c, "vid": vid[run][rows], "cell": cells[cols], "chunk": part}
+                    )
 
     # Written without the vectors: a point has one row for each chunk it may reach.
     probes = materialise(

@@ -195,3 +195,25 @@ def test_blocks_find_exact_neighbours_far_from_the_origin():
     assert list(zip(found.vid, found.nvid, strict=True)) == want
     assert SM._block_neighbours(frame.iloc[:3], frame.iloc[:3], 5).shape == (6, 4)
     assert SM._block_neighbours(frame.iloc[:0], frame, 5).empty
+
+
+def test_cells_are_ruled_out_only_if_all_their_points_are_too_far(monkeypatch):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(30, 4)) * 3
+    members = centre[:, None, :] + rng.normal(size=(30, 20, 4)) * 0.3
+    far = ((members - centre[:, None, :]) ** 2).sum(axis=2).max(axis=1)
+    x = rng.normal(size=(50, 4)) * 3
+    nearest = ((x[:, None, None, :] - members[None]) ** 2).sum(axis=3).min(axis=2)
+    limit = rng.choice([0.5, 4.0, np.inf], 50)
+    may = SM._may_reach(x, centre, far, limit)
+    assert may[nearest <= limit[:, None]].all()
+    assert not may.all() and may[np.isinf(limit)].all()
+    lo, hi = members.min(axis=1), members.max(axis=1)
+    rows, cols = np.nonzero(may)
+    monkeypatch.setattr(SM, "MEASURED", 11)
+    gap = np.maximum(np.maximum(lo[cols] - x[rows], x[rows] - hi[cols]), 0.0)
+    assert SM._gaps(x, rows, cols, lo, hi) == pytest.approx((gap * gap).sum(axis=1))
+    monkeypatch.setattr(SM, "AT_ONCE", 100)
+    runs = [*SM._slices(50, 30)]
+    assert max(r.stop - r.start for r in runs) * 30 <= 100
+    assert [i for r in runs for i in range(50)[r]] == [*range(50)]
