@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -19,6 +20,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark import BarrierTaskContext, inheritable_thread_target
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,10 +107,10 @@ def collapsed(df: DataFrame, columns: list[str], edges: list[list[float]]) -> Da
 # --- the exchange -------------------------------------------------------------------------
 
 
-def _summed(alone: bool) -> Callable[[np.ndarray], np.ndarray]:
-    """Adds up an array over the tasks of a fit, in the order of the tasks."""
+def _summed(alone: bool) -> Callable[[np.ndarray], np.ndarray] | None:
+    """Adds up an array over the tasks of a fit, in the order of the tasks; None for one task."""
     if alone:
-        return lambda own: own
+        return None
 
     context = BarrierTaskContext.get()
 
@@ -326,17 +328,23 @@ def best_splits(
     return gain[np.arange(len(at)), at], at, total[:, :, 0]
 
 
-def _round(
-    part: Part, add: Callable, growth: Growth, allowed: np.ndarray, g: np.ndarray, h: np.ndarray
+def _grown(
+    part: Part,
+    add: Callable,
+    growth: Growth,
+    allowed: np.ndarray,
+    g: np.ndarray,
+    h: np.ndarray,
+    classes: range | list[int],
 ) -> list[tuple[Tree, list[int], list[int]]]:
-    """One tree a class. Each pass makes the histograms of all new nodes of all classes."""
-    trees = [Tree() for _ in range(CLASSES)]
+    """One tree for each of the classes. Each pass makes the histograms of all their new nodes."""
+    trees = [Tree() for _ in classes]
     while any(t.new for t in trees):
         own = [
             np.concatenate([part.histograms([None], [g[c], h[c]]), part.rows])
             if t.new == [0]
             else part.histograms(t.to_count(), [g[c], h[c], part.n])
-            for c, t in enumerate(trees)
+            for c, t in zip(classes, trees, strict=True)
             if t.new
         ]
         every = add(np.concatenate(own, axis=1))
@@ -384,6 +392,34 @@ def _tree_row(
     return (number, c, *out)
 
 
+class Cores:
+    """The cores of a task: what classes or rows do by themselves is done side by side.
+
+    Numpy's loops leave the interpreter to other threads.
+    """
+
+    def __init__(self, cores: int):
+        self.cores = cores
+        self.pool = ThreadPool(cores) if cores > 1 else None
+
+    def __enter__(self) -> Cores:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.pool:
+            self.pool.terminate()
+
+    def map(self, work: Callable, items: list) -> list:
+        if self.pool is None:
+            return [work(item) for item in items]
+        return self.pool.map(work, items, chunksize=1)
+
+    def over(self, rows: int) -> list[slice]:
+        """The rows in as many runs as there are cores."""
+        cuts = [rows * i // self.cores for i in range(self.cores + 1)]
+        return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+
+
 def softmax(margins: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Of the classes by row."""
     e = np.subtract(margins, margins.max(axis=0), out=out)
@@ -397,9 +433,27 @@ def grow_softmax(
     edges: list[list[float]],
     growth: Growth,
     allowed: list[int],
-    add: Callable = lambda own: own,
+    add: Callable | None = None,
+    cores: int = 1,
+) -> list[tuple]:
+    """The trees of all rounds. Tree 0 of a class is its share of the weights, as a margin.
+
+    add sums an array over the tasks of a fit, where there are several. A task that has all rows
+    grows the classes' trees side by side on its cores; the trees are the same on any number.
+    """
+    with Cores(cores) as own:
+        return _grow_softmax(rows, edges, growth, allowed, add, own)
+
+
+def _grow_softmax(
+    rows: pd.DataFrame,
+    edges: list[list[float]],
+    growth: Growth,
+    allowed: list[int],
+    exchange: Callable | None,
+    cores: Cores,
 ) -> list[tuple]:
-    """The trees of all rounds. Tree 0 of a class is its share of the weights, as a margin."""
+    add = exchange or (lambda own: own)
     part = Part(rows, [len(e) + 1 for e in edges], add)
     own = part.of_label
     w = own.sum(axis=0)
@@ -409,28 +463,44 @@ def grow_softmax(
     can = np.isin(part.column, allowed)
     out = [(0, c, [-1], [0.0], [-1], [-1], [float(start[c])], [1.0]) for c in range(CLASSES)]
     p, g, h = (np.empty_like(margins) for _ in range(3))  # once, not once a round
+
+    def gradients(at: slice) -> None:
+        softmax(margins[:, at], p[:, at])
+        np.multiply(w[at], p[:, at], out=h[:, at])
+        np.subtract(h[:, at], own[:, at], out=g[:, at])
+        np.subtract(1, p[:, at], out=p[:, at])
+        h[:, at] *= p[:, at]
+        h[:, at] *= CLASSES / (CLASSES - 1)
+
+    def grown(number: int, c: int, tree: Tree, inner: list[int], leaves: list[int]) -> list[tuple]:
+        """The class's tree as a row, after its margins have taken the steps of its leaves."""
+        if not inner:
+            return []
+        sums = np.array([tree.sums[i] for i in leaves])
+        steps = -_shrunk(sums[:, 0], growth.l1) / (sums[:, 1] + growth.l2 + 1e-15) * growth.step
+        values = dict(zip(leaves, steps.tolist(), strict=True))
+        for leaf, value in values.items():
+            reached = [leaf]
+            while reached:  # what was split ahead of time and not taken
+                node = reached.pop()
+                if tree.left[node] >= 0:
+                    reached += [tree.left[node], tree.right[node]]
+                else:
+                    margins[c, tree.at[node]] += value
+        return [_tree_row(number, c, tree, inner, values, part, edges)]
+
+    runs = cores.over(len(w))
     for number in range(1, growth.rounds + 1):
-        softmax(margins, p)
-        np.multiply(w, p, out=h)
-        np.subtract(h, own, out=g)
-        np.subtract(1, p, out=p)
-        h *= p
-        h *= CLASSES / (CLASSES - 1)
-        for c, (tree, inner, leaves) in enumerate(_round(part, add, growth, can, g, h)):
-            if not inner:
-                continue
-            sums = np.array([tree.sums[i] for i in leaves])
-            steps = -_shrunk(sums[:, 0], growth.l1) / (sums[:, 1] + growth.l2 + 1e-15) * growth.step
-            values = dict(zip(leaves, steps.tolist(), strict=True))
-            for leaf, value in values.items():
-                reached = [leaf]
-                while reached:  # what was split ahead of time and not taken
-                    node = reached.pop()
-                    if tree.left[node] >= 0:
-                        reached += [tree.left[node], tree.right[node]]
-                    else:
-                        margins[c, tree.at[node]] += value
-            out.append(_tree_row(number, c, tree, inner, values, part, edges))
+        cores.map(gradients, runs)
+
+        def of(classes: list[int], number: int = number) -> list[tuple]:
+            found = _grown(part, add, growth, can, g, h, classes)
+            return [row for c, t in zip(classes, found) for row in grown(number, c, *t)]
+
+        # several tasks exchange the sums of all classes at once, and so keep in step
+        shares = [list(range(CLASSES))] if exchange else [[c] for c in range(CLASSES)]
+        for rows_of in cores.map(of, shares):
+            out += rows_of
     return out
 
 
@@ -441,9 +511,10 @@ def grow_stumps(
     rows: pd.DataFrame,
     edges: list[list[float]],
     rounds: int,
-    add: Callable = lambda own: own,
+    add: Callable | None = None,
 ) -> list[tuple]:
     """SAMME: a round takes the stump of least weighted Gini impurity and re-weights its hits."""
+    add = add or (lambda own: own)
     part = Part(rows, [len(e) + 1 for e in edges], add)
     w = part.of_label.copy()
     classes = int((add(rows[[f"n{c}" for c in range(CLASSES)]].to_numpy(np.float64).sum(axis=0)) > 0).sum())
@@ -510,7 +581,9 @@ def _rows_of(table: DataFrame, spec: Spec) -> DataFrame:
     return rows.select("code", *[v for c in K.CLASS_IDS for v in of(c)]).withColumn("n", n)
 
 
-def _task(alone: bool, allowed: list[int], work: Callable, names: list[str]) -> Callable:
+def _task(
+    alone: bool, allowed: list[int], work: Callable, names: list[str], cores: int
+) -> Callable:
     """Collects a task's rows and runs the fit; the first task hands the model back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -519,31 +592,57 @@ def _task(alone: bool, allowed: list[int], work: Callable, names: list[str]) ->
         rows = pd.concat(parts) if parts else pd.DataFrame({c: [] for c in empty})
         # the same order whatever way the rows came
         rows = rows.sort_values("code").reset_index(drop=True)
-        model = work(rows, allowed, _summed(alone))
+        model = work(rows, allowed, _summed(alone), cores)
         if alone or BarrierTaskContext.get().partitionId() == 0:
             yield pd.DataFrame(model, columns=names)
 
     return run
 
 
+def task_cores(spark: SparkSession, models: int) -> tuple[int, ResourceProfile | None]:
+    """Cores for the task of each of so many models, and the profile that asks Spark for them.
+
+    Where it is not known how many cores an executor has, or Spark has no task profiles, a
+    task has the one core of any other. In local mode the cores left over are this process's.
+    """
+    context = spark.sparkContext
+    share = min(CLASSES, context.defaultParallelism // max(1, models))
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        return max(1, share), None
+    conf = context.getConf()
+    cluster = re.fullmatch(r"local-cluster\[\s*\d+\s*,\s*(\d+)\s*,.*", context.master)
+    known = cluster or context.master.startswith(("spark://", "yarn", "k8s://"))
+    of_executor = conf.get("spark.executor.cores", cluster.group(1) if cluster else "1")
+    if not known or conf.get("spark.task.cpus", "1") != "1":
+        return 1, None
+    cores = min(share, int(of_executor))
+    while cores > 1 and context.defaultParallelism // int(of_executor) * (int(of_executor) // cores) < models:
+        cores -= 1
+    if cores < 2:
+        return 1, None
+    return cores, ResourceProfileBuilder().require(TaskResourceRequests().cpus(cores)).build
+
+
 def fit_all(
     table: DataFrame, specs: list[Spec], work: Callable, schema: str, columns: int
 ) -> list[list]:
     """The rows of every model; table as `collapsed` makes it, on disk.
 
-    Models are jobs side by side. Where a task would hold more than MOST_ROWS rows, a model has
-    several tasks, which hold a part each.
+    Models are jobs side by side, and their tasks share the cores. Where a task would hold more
+    than MOST_ROWS rows, a model has several tasks, which hold a part each.
     """
     spark = table.sparkSession
     slots = spark.sparkContext.defaultParallelism
     tasks = max(1, -(-table.count() // MOST_ROWS))
     names = [f.split()[0] for f in schema.split(", ")]
+    cores, profile = task_cores(spark, len(specs)) if tasks == 1 else (1, None)
 
     def fit(spec: Spec) -> list:
         rows = _rows_of(table, spec)
         held = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks, F.xxhash64("code"))
         allowed = list(range(columns) if spec.columns is None else spec.columns)
-        job = held.mapInPandas(_task(tasks == 1, allowed, work, names), schema, barrier=tasks > 1)
+        task = _task(tasks == 1, allowed, work, names, cores)
+        job = held.mapInPandas(task, schema, barrier=tasks > 1, profile=profile)
         return job.collect()
 
     with ThreadPool(max(1, min(len(specs), slots // tasks))) as pool:
@@ -555,12 +654,15 @@ def fit_all(
 #: Masks of leaves; trees of more leaves are walked node by node.
 MASKS = (np.uint16, np.uint32, np.uint64)
 #: Leaf masks that are worked out at a time.
-AT_ONCE = 1_000_000
+AT_ONCE = 200_000
 
 
 def _lowest(masks: np.ndarray) -> np.ndarray:
-    """The place of the lowest bit that is set."""
-    return np.frexp((masks & (~masks + masks.dtype.type(1))).astype(np.float64))[1] - 1
+    """The place of the lowest bit that is set: the exponent of that power of two."""
+    least = masks & (~masks + masks.dtype.type(1))
+    if masks.dtype == np.uint64:
+        return (least.astype(np.float64).view(np.int64) >> 52) - 1023
+    return (least.astype(np.float32).view(np.int32) >> 23) - 127
 
 
 class Masks:
@@ -568,7 +670,8 @@ class Masks:
 
     A value right of a node's threshold takes the bits of the node's left side away. What a
     column's value takes away in all trees is one row of that column's table, and the lowest
-    bit left over by all columns is the leaf.
+    bit left over by all columns is the leaf. Columns of few thresholds have one table for
+    their joint values.
     """
 
     def __init__(self, trees: list[tuple], kind: type | None):
@@ -584,12 +687,12 @@ class Masks:
                     cuts.setdefault(f, set()).add(t)
         self.cuts = {f: np.array(sorted(ts)) for f, ts in sorted(cuts.items())}
         everything = np.iinfo(kind).max
-        self.left = {
+        left = {
             f: np.full((len(ts) + 1, len(trees)), everything, kind) for f, ts in self.cuts.items()
         }
         self.width = 8 * np.dtype(kind).itemsize
         self.value = np.zeros((len(trees), self.width))
-        for i, (_, _, feature, threshold, left, right, value, _) in enumerate(trees):
+        for i, (_, _, feature, threshold, to_left, to_right, value, _) in enumerate(trees):
             under: dict[int, int] = {}
             waiting, leaves = [(0, False)], 0
             while waiting:
@@ -599,27 +702,62 @@ class Masks:
                     under[node] = 1 << leaves
                     leaves += 1
                 elif not done:
-                    waiting += [(node, True), (right[node], False), (left[node], False)]
+                    waiting += [(node, True), (to_right[node], False), (to_left[node], False)]
                 else:
-                    under[node] = under[left[node]] | under[right[node]]
+                    under[node] = under[to_left[node]] | under[to_right[node]]
                     f = feature[node]
                     after = int(np.searchsorted(self.cuts[f], threshold[node])) + 1
-                    self.left[f][after:, i] &= kind(everything ^ under[left[node]])
-        self.starts = np.flatnonzero(np.diff(self.of_class, prepend=-1))
-        self.first = _lowest(np.arange(1 << 16, dtype=np.uint16)) if kind is np.uint16 else None
+                    left[f][after:, i] &= kind(everything ^ under[to_left[node]])
+        #: Columns that are looked up together, and what their joint values leave.
+        self.groups: list[tuple[list[int], np.ndarray]] = []
+        for f in sorted(left, key=lambda f: len(left[f])):
+            if self.groups and len(self.groups[-1][1]) * len(left[f]) <= MOST_JOINT:
+                columns, before = self.groups.pop()
+                joint = (before[:, None] & left[f]).reshape(-1, len(trees))
+                self.groups.append(([*columns, f], joint))
+            else:
+                self.groups.append(([f], left[f]))
+        starts = np.flatnonzero(np.diff(self.of_class, prepend=-1)).tolist()
+        #: Where each class's trees are.
+        self.spans = [
+            (int(self.of_class[a]), a, b)
+            for a, b in zip(starts, [*starts[1:], len(trees)], strict=True)
+        ]
+        self.at = np.arange(len(trees)) * self.width
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        """Class by row: what these trees add."""
-        out = np.zeros((CLASSES, len(x)))
+        """Class by row: what these trees add. Rows that no threshold tells apart are one."""
         if self.kind is None:
-            return self._walked(x, out)
-        masks = np.full((len(x), len(self.trees)), np.iinfo(self.kind).max, self.kind)
-        for f, cuts in self.cuts.items():
-            masks &= self.left[f][np.searchsorted(cuts, x[:, f])]
-        leaf = _lowest(masks) if self.first is None else self.first[masks]
-        values = self.value.ravel()[leaf + np.arange(len(self.trees)) * self.width]
-        out[self.of_class[self.starts]] = np.add.reduceat(values, self.starts, axis=1).T
-        return out
+            distinct, where = np.unique(x, axis=0, return_inverse=True)
+            found = self._walked(distinct, np.zeros((CLASSES, len(distinct))))
+            return found[:, where.ravel()]
+        keys = []
+        for columns, _ in self.groups:
+            key = np.zeros(len(x), np.int64)
+            for f in columns:
+                key = key * (len(self.cuts[f]) + 1) + np.searchsorted(self.cuts[f], x[:, f])
+            keys.append(key)
+        same = np.zeros(len(x), np.int64)
+        reach = 1
+        for key, (_, table) in zip(keys, self.groups, strict=True):
+            if reach * len(table) >= 2**62:
+                same = np.unique(same, return_inverse=True)[1].ravel()
+                reach = len(x) + 1
+            same = same * len(table) + key
+            reach *= len(table)
+        _, first, where = np.unique(same, return_index=True, return_inverse=True)
+        keys = [key[first] for key in keys]
+        out = np.zeros((CLASSES, len(first)))
+        step = max(1, AT_ONCE // max(1, len(self.trees)))
+        for i in range(0, len(first), step):
+            rows = slice(i, min(i + step, len(first)))
+            masks = np.full((rows.stop - i, len(self.trees)), np.iinfo(self.kind).max, self.kind)
+            for key, (_, table) in zip(keys, self.groups, strict=True):
+                masks &= table.take(key[rows], axis=0)
+            values = self.value.ravel().take(_lowest(masks) + self.at)
+            for c, a, b in self.spans:
+                out[c, rows] = values[:, a:b].sum(axis=1)
+        return out[:, where.ravel()]
 
     def _walked(self, x: np.ndarray, out: np.ndarray) -> np.ndarray:
         every = np.arange(len(x))
@@ -647,13 +785,7 @@ class SoftmaxTrees:
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         """Class by row."""
-        out = np.zeros((CLASSES, len(x)))
-        tables = self._tables()
-        for trees in tables:
-            step = max(1, AT_ONCE // max(1, len(trees.of_class)))
-            for i in range(0, len(x), step):
-                out[:, i : i + step] += trees.margins(x[i : i + step])
-        return out
+        return sum((trees.margins(x) for trees in self._tables()), np.zeros((CLASSES, len(x))))
 
     def _tables(self) -> list[Masks]:
         """The trees by how many leaves they have, made once a worker."""
@@ -667,15 +799,13 @@ class SoftmaxTrees:
         return self._masks
 
     def _applied(self, df: DataFrame, name: str, work: Callable) -> DataFrame:
-        """work(margins) of every row, as an array by class; equal rows are worked out once."""
+        """work(margins) of every row, as an array by class."""
         shared = df.sparkSession.sparkContext.broadcast(self)
 
         @F.pandas_udf("array<double>")
         def applied(*values: pd.Series) -> pd.Series:
             x = np.column_stack([v.to_numpy(np.float64) for v in values])
-            distinct, where = np.unique(x, axis=0, return_inverse=True)
-            found = work(shared.value.margins(distinct)).T
-            return pd.Series(list(found[where.ravel()]))
+            return pd.Series(list(work(shared.value.margins(x)).T))
 
         return df.withColumn(name, applied(*[F.col(f"`{c}`") for c in self.columns]))
 
@@ -699,7 +829,7 @@ class SoftmaxTrees:
 
 
 def _softmax_work(edges: list[list[float]], growth: Growth) -> Callable:
-    return lambda rows, allowed, add: grow_softmax(rows, edges, growth, allowed, add)
+    return lambda rows, allowed, add, cores: grow_softmax(rows, edges, growth, allowed, add, cores)
 
 
 def _prepared(df: DataFrame, columns: list[str], bins: int) -> tuple[DataFrame, list[list[float]]]:
@@ -718,7 +848,7 @@ def fit_boosted(df: DataFrame, columns: list[str], bins: int = BINS, **growth) -
 def fit_stumps(df: DataFrame, columns: list[str], rounds: int, bins: int = BINS) -> list[tuple]:
     """The stumps of SAMME as rows of STUMPS."""
     table, edges = _prepared(df.withColumn("fold", F.lit(0)), columns, bins)
-    work = lambda rows, _, add: grow_stumps(rows, edges, rounds, add)
+    work = lambda rows, _, add, __: grow_stumps(rows, edges, rounds, add)
     (stumps,) = fit_all(table, [Spec()], work, STUMPS, len(columns))
     return [tuple(s) for s in stumps]
 

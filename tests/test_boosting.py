@@ -243,3 +243,39 @@ def test_a_node_is_counted_from_its_own_rows():
     found = part.histograms(inside, [value])[0, 0]
     want = np.concatenate([np.bincount(codes[inside[0], i], minlength=4) for i in range(3)])
     assert found.tolist() == want.tolist()
+
+
+def small_rows(seed, sizes, n=900):
+    rng = np.random.default_rng(seed)
+    codes = np.unique(np.column_stack([rng.integers(0, s, n) for s in sizes]), axis=0).astype(np.uint8)
+    label = rng.integers(0, 5, len(codes))
+    rows = pd.DataFrame({"code": [c.tobytes() for c in codes], "n": 1})
+    rows = rows.assign(**{f"{x}{c}": (label == c) * 1.0 for x in "nw" for c in range(5)})
+    return codes, rows, [list(np.arange(s - 1) + 0.5) for s in sizes]
+
+
+def test_classes_grown_side_by_side_are_the_same_trees():
+    _, rows, edges = small_rows(11, [30, 30, 2])
+    growth = B.Growth(rounds=6, step=0.3)
+    alone = B.grow_softmax(rows, edges, growth, [0, 1, 2])
+    assert len(alone) > 5
+    for cores in (2, 4, 5):
+        assert B.grow_softmax(rows, edges, growth, [0, 1, 2], cores=cores) == alone
+
+
+def test_models_share_the_cores(spark):
+    slots = spark.sparkContext.defaultParallelism
+    assert B.task_cores(spark, 1) == (min(5, slots), None)
+    assert B.task_cores(spark, 2 * slots) == (1, None)
+
+
+def test_columns_of_few_thresholds_are_looked_up_together():
+    codes, rows, edges = small_rows(12, [2, 2, 2, 2, 60])
+    growth = B.Growth(rounds=3, step=0.3, l1=0.0, least_rows=1, least_hessian=0.0)
+    model = B.SoftmaxTrees(B.grow_softmax(rows, edges, growth, range(5)), list("abcde"))
+    tables = model._tables()
+    assert all(len(t.groups) < len(t.cuts) for t in tables if len(t.cuts) > 2)
+    x = np.vstack([codes.astype(float)] * 2)
+    x[: len(codes)] += 0.25  # no threshold tells them apart
+    assert model.margins(x) == pytest.approx(B.Masks(model.trees, None).margins(x), abs=1e-12)
+    assert (model.margins(x)[:, : len(codes)] == model.margins(x)[:, len(codes) :]).all()
