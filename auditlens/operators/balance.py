@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from auditlens import constants as K
 from auditlens.functions.features import with_features
+from auditlens.session import materialise
 
 
 def class_weights(df: DataFrame, label: str = "label", alpha: float = K.SERVED_ALPHA) -> DataFrame:
@@ -164,6 +166,54 @@ def top_up(
     )
 
 
+def missing(counts: dict[int, int], target: int = K.AUGMENT_TARGET) -> dict[int, int]:
+    """By thin class that there are rows of, how many rows are missing to the target."""
+    return {
+        c: target - counts[c] for c in K.AUGMENT_CLASSES if 0 < counts.get(c, 0) < target
+    }
+
+
+def top_up_folds(
+    rows: DataFrame,
+    missing: list[dict[int, int]],
+    columns: list[str],
+    mark: Callable[[Column], Column],
+    seed: int = 1234,
+) -> DataFrame:
+    """Rows of all folds plus what `top_up` mints for any training part, each slot once.
+
+    rows: columns, label and fold. missing: by fold left out, the rows missing of a class. A
+    minted row's fold is mark(folds), where folds has a bit for every training part it is in.
+    """
+    most = {c: max(m.get(c, 0) for m in missing) for c in K.AUGMENT_CLASSES}
+    most = {c: n for c, n in most.items() if n}
+    if not most:
+        return rows.select(*columns, "label", "fold")
+    spark = rows.sparkSession
+    target = max(most.values())
+    tasks = max(spark.sparkContext.defaultParallelism, -(-target // SLOTS_A_TASK))
+
+    def below(wanted: dict[int, int]) -> Column:
+        """Whether a slot is one of its class's first."""
+        hits = [(F.col("label") == c) & (F.col("n") < n) for c, n in wanted.items() if n]
+        return reduce(lambda a, b: a | b, hits, F.lit(False))
+
+    slots = (
+        spark.range(0, target, 1, tasks)
+        .withColumnRenamed("id", "n")
+        .withColumn("label", F.explode(F.array(*[F.lit(c) for c in most])))
+        .filter(below(most))
+    )
+    folds = sum(
+        (F.when(below(m), F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(missing)),
+        F.lit(0),
+    )
+    minted = with_features(mint_events(slots, seed)).withColumn("fold", mark(folds))
+    # minted once, however often the rows are read
+    kept = materialise(minted.select(*columns, "label", "fold"), "minted")
+    return rows.select(*columns, "label", "fold").unionByName(kept)
+
+
 def with_noise(
     df: DataFrame, columns: list[str], id_col: str, scale: float = 0.25, seed: int = 42
 ) -> DataFrame:

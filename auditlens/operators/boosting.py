@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from auditlens import constants as K
 from auditlens.functions.scoring import PROBABILITIES
+from auditlens.operators import balance
 from auditlens.session import materialise
 
 CLASSES = len(K.CLASS_IDS)
@@ -563,11 +564,22 @@ class Spec:
     columns: tuple[int, ...] | None = None
 
 
+def minted_for(folds: Column) -> Column:
+    """What stands in `fold` for a row that only some folds' models see; folds are bits."""
+    return -folds - 1
+
+
+def _is_seen(fold: Column, skip: int) -> Column:
+    """Whether the model that skips a fold sees a row of this one."""
+    minted = (-fold - 1).bitwiseAND(F.lit(1 << skip)) != 0
+    return F.coalesce(F.when(fold < 0, minted).otherwise(fold != skip), F.lit(True))
+
+
 def _rows_of(table: DataFrame, spec: Spec) -> DataFrame:
     """What a model sees: code, n, and by label the rows n0.. and their weights w0.. ."""
     seen = F.col("cells")
     if spec.skip is not None:
-        seen = F.filter(seen, lambda cell: ~cell["fold"].eqNullSafe(F.lit(spec.skip)))
+        seen = F.filter(seen, lambda cell: _is_seen(cell["fold"], spec.skip))
 
     def of(c: int) -> tuple[Column, Column]:
         factor = 1.0 if spec.class_weights is None else spec.class_weights.get(c, 1.0)
@@ -624,29 +636,32 @@ def task_cores(spark: SparkSession, models: int) -> tuple[int, ResourceProfile |
 
 
 def fit_all(
-    table: DataFrame, specs: list[Spec], work: Callable, schema: str, columns: int
+    fits: list[tuple[DataFrame, Spec, Callable]], schema: str, columns: int
 ) -> list[list]:
-    """The rows of every model; table as `collapsed` makes it, on disk.
+    """The rows of every model: (table, spec, work); tables as `collapsed` makes them, on disk.
 
     Models are jobs side by side, and their tasks share the cores. Where a task would hold more
     than MOST_ROWS rows, a model has several tasks, which hold a part each.
     """
-    spark = table.sparkSession
+    tables = {id(table): table for table, *_ in fits}
+    tasks = {i: max(1, -(-table.count() // MOST_ROWS)) for i, table in tables.items()}
+    spark = fits[0][0].sparkSession
     slots = spark.sparkContext.defaultParallelism
-    tasks = max(1, -(-table.count() // MOST_ROWS))
     names = [f.split()[0] for f in schema.split(", ")]
-    cores, profile = task_cores(spark, len(specs)) if tasks == 1 else (1, None)
+    alone = max(tasks.values()) == 1
+    cores, profile = task_cores(spark, len(fits)) if alone else (1, None)
 
-    def fit(spec: Spec) -> list:
-        rows = _rows_of(table, spec)
-        held = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks, F.xxhash64("code"))
+    def fit(one: tuple[DataFrame, Spec, Callable]) -> list:
+        table, spec, work = one
+        rows, parts = _rows_of(table, spec), tasks[id(table)]
+        held = rows.coalesce(1) if parts == 1 else rows.repartition(parts, F.xxhash64("code"))
         allowed = list(range(columns) if spec.columns is None else spec.columns)
-        task = _task(tasks == 1, allowed, work, names, cores)
-        job = held.mapInPandas(task, schema, barrier=tasks > 1, profile=profile)
+        task = _task(parts == 1, allowed, work, names, cores)
+        job = held.mapInPandas(task, schema, barrier=parts > 1, profile=profile)
         return job.collect()
 
-    with ThreadPool(max(1, min(len(specs), slots // tasks))) as pool:
-        return pool.map(inheritable_thread_target(spark)(fit), specs, chunksize=1)
+    with ThreadPool(max(1, min(len(fits), slots // max(tasks.values())))) as pool:
+        return pool.map(inheritable_thread_target(spark)(fit), fits, chunksize=1)
 
 
 # --- models -------------------------------------------------------------------------------
@@ -841,7 +856,7 @@ def fit_boosted(df: DataFrame, columns: list[str], bins: int = BINS, **growth) -
     """The boosted model of df's columns, label and weight."""
     table, edges = _prepared(df.withColumn("fold", F.lit(0)), columns, bins)
     work = _softmax_work(edges, Growth(**growth))
-    (trees,) = fit_all(table, [Spec()], work, TREES, len(columns))
+    (trees,) = fit_all([(table, Spec(), work)], TREES, len(columns))
     return SoftmaxTrees([tuple(t) for t in trees], columns)
 
 
@@ -849,7 +864,7 @@ def fit_stumps(df: DataFrame, columns: list[str], rounds: int, bins: int = BINS)
     """The stumps of SAMME as rows of STUMPS."""
     table, edges = _prepared(df.withColumn("fold", F.lit(0)), columns, bins)
     work = lambda rows, _, add, __: grow_stumps(rows, edges, rounds, add)
-    (stumps,) = fit_all(table, [Spec()], work, STUMPS, len(columns))
+    (stumps,) = fit_all([(table, Spec(), work)], STUMPS, len(columns))
     return [tuple(s) for s in stumps]
 
 
@@ -867,28 +882,44 @@ def fit_folds(
     arms: dict[str, dict],
     bins: int = BINS,
 ) -> dict[tuple[str, int], SoftmaxTrees]:
-    """A model for every arm and fold, all on one table: rows have label and fold.
+    """A model for every arm and fold, all side by side: rows have label and fold.
 
-    An arm is a dict of alpha (of the class weights), columns it may use, and growth. Bins are
-    quantiles of all rows, without labels.
+    An arm is a dict of alpha (of the class weights), columns it may use, growth, and target
+    where the thin classes of its training parts are topped up to one. Arms of one target share
+    a table, the minted rows of all its folds in it. Bins are quantiles of all rows of a table,
+    without labels.
     """
-    table, edges = _prepared(rows.withColumn("weight", F.lit(1.0)), columns, bins)
-    cells = table.select(F.inline("cells"))
-    counts = cells.groupBy("label", "fold").agg(F.sum("n").alias("n")).collect()
-    by_growth: dict[Growth, list[tuple[tuple[str, int], Spec]]] = {}
+    known = rows.filter(F.col("label").isNotNull() & F.col("fold").isNotNull())
+    counts: list[dict[int, int]] = [{} for _ in range(folds)]
+    for r in known.groupBy("label", "fold").count().collect():
+        for i in range(folds):
+            if r.fold != i:
+                counts[i][r.label] = counts[i].get(r.label, 0) + r["count"]
+    targets = list(dict.fromkeys(options.get("target") for options in arms.values()))
+
+    def prepared(target: int | None) -> tuple[DataFrame, list[list[float]]]:
+        every = rows.select(*columns, "label", "fold")
+        if target is not None:
+            missing = [balance.missing(n, target) for n in counts]
+            every = balance.top_up_folds(every, missing, columns, minted_for)
+        return _prepared(every.withColumn("weight", F.lit(1.0)), columns, bins)
+
+    with ThreadPool(len(targets)) as pool:
+        run = inheritable_thread_target(rows.sparkSession)(prepared)
+        tables = dict(zip(targets, pool.map(run, targets, chunksize=1), strict=True))
+    named, fits = [], []
     for arm, options in arms.items():
+        target = options.get("target")
+        table, edges = tables[target]
         kept = tuple(columns.index(c) for c in options["columns"])
-        for i in range(folds):
-            seen: dict[int, int] = {}
-            for r in counts:
-                if r.fold != i:
-                    seen[r.label] = seen.get(r.label, 0) + r.n
-            spec = Spec(i, damped(seen, options["alpha"]), kept)
-            by_growth.setdefault(options["growth"], []).append(((arm, i), spec))
-    models = {}
-    for growth, named in by_growth.items():
-        work = _softmax_work(edges, growth)
-        fitted = fit_all(table, [s for _, s in named], work, TREES, len(columns))
-        for (name, _), trees in zip(named, fitted, strict=True):
-            models[name] = SoftmaxTrees([tuple(t) for t in trees], columns)
-    return models
+        work = _softmax_work(edges, options["growth"])
+        for i, n in enumerate(counts):
+            minted = {} if target is None else balance.missing(n, target)
+            seen = {c: m + minted.get(c, 0) for c, m in n.items()}
+            named.append((arm, i))
+            fits.append((table, Spec(i, damped(seen, options["alpha"]), kept), work))
+    fitted = fit_all(fits, TREES, len(columns))
+    return {
+        name: SoftmaxTrees([tuple(t) for t in trees], columns)
+        for name, trees in zip(named, fitted, strict=True)
+    }

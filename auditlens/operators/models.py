@@ -267,9 +267,13 @@ def cross_validate(rows: DataFrame, folds: int, recipe: Recipe) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def shares_a_table(recipe: Recipe) -> bool:
-    """Whether a recipe's folds are weightings of the same rows, so that they fit together."""
-    return recipe.fit is fit_boosted and recipe.balance != "smote" and not recipe.top_up
+def shares_a_table(recipe: Recipe, folds: int = 1) -> bool:
+    """Whether a recipe's folds are weightings of the same rows, so that they fit together.
+
+    Minted rows are told apart by the folds they are for, which are bits.
+    """
+    by_bits = not recipe.top_up or folds <= 30
+    return recipe.fit is fit_boosted and recipe.balance != "smote" and by_bits
 
 
 def cross_validate_arms(
@@ -277,10 +281,10 @@ def cross_validate_arms(
 ) -> dict[str, DataFrame]:
     """Predictions of every row for every arm.
 
-    All boosted arms on real rows are fitted on one table, all their folds side by side.
-    Trees do not depend on the columns' scale, so they see the columns as they are.
+    All boosted arms without oversampling are fitted side by side, all their folds on one table,
+    or on one a target where thin classes are topped up. Trees do not depend on the columns' scale, so they see the columns as they are.
     """
-    together = {arm: recipe for arm, recipe in arms.items() if shares_a_table(recipe)}
+    together = {arm: recipe for arm, recipe in arms.items() if shares_a_table(recipe, folds)}
     found = {
         arm: cross_validate(rows, folds, recipe)
         for arm, recipe in arms.items()
@@ -292,6 +296,7 @@ def cross_validate_arms(
                 "alpha": recipe.alpha if recipe.balance == "weights" else 0.0,
                 "columns": recipe.columns,
                 "growth": boosting.Growth(**recipe.fit_options()),
+                "target": recipe.target if recipe.top_up else None,
             }
             for arm, recipe in together.items()
         }

@@ -5,7 +5,10 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from auditlens import constants as K
+from auditlens.operators import balance as BA
 from auditlens.operators import boosting as B
 from auditlens.operators import models as MO
 from auditlens.operators import tree_shap as TS
@@ -279,3 +282,36 @@ def test_columns_of_few_thresholds_are_looked_up_together():
     x[: len(codes)] += 0.25  # no threshold tells them apart
     assert model.margins(x) == pytest.approx(B.Masks(model.trees, None).margins(x), abs=1e-12)
     assert (model.margins(x)[:, : len(codes)] == model.margins(x)[:, len(codes) :]).all()
+
+
+def test_topped_up_folds_share_a_table(spark):
+    """Each model sees its training part and what top_up mints for it, from one table."""
+    features = list(K.FEATURES)
+    rng = np.random.default_rng(13)
+    label = np.array([0] * 60 + [1] * 7 + [2] * 23 + [3] * 40)  # no row of class 4
+    frame = pd.DataFrame(rng.integers(0, 3, (len(label), len(features))).astype(float), columns=features)
+    frame = frame.assign(label=label, fold=np.arange(len(label)) % 3)
+    rows, target, thin = spark.createDataFrame(frame), 30, {1, 2, 3} & set(K.AUGMENT_CLASSES)
+    counts = [frame[frame.fold != i].label.value_counts().to_dict() for i in range(3)]
+    missing = [BA.missing(n, target) for n in counts]
+    assert all(set(m) == thin for m in missing) and missing[0] != missing[1]
+    every = BA.top_up_folds(rows, missing, features, B.minted_for).withColumn("weight", F.lit(1.0))
+    table, _ = B._prepared(every, features, B.BINS)
+    for i in range(3):
+        seen = B._rows_of(table, B.Spec(i)).toPandas()
+        got = {c: seen[f"n{c}"].sum() for c in range(5)}
+        assert got == {c: 30 if c in thin else counts[i].get(c, 0) for c in range(5)}
+        bit = (-F.col("fold") - 1).bitwiseAND(F.lit(1 << i)) != 0
+        mine = every.filter((F.col("fold") < 0) & bit).select("label", *features)
+        alone = BA.top_up(rows.filter(F.col("fold") != i), target).filter("minted")
+        assert mine.exceptAll(alone.select("label", *features)).isEmpty()
+        assert mine.count() == sum(missing[i].values())
+    real = B._rows_of(B._prepared(rows.withColumn("weight", F.lit(1.0)), features, B.BINS)[0], B.Spec(0))
+    assert real.agg(F.sum("n")).first()[0] == (frame.fold != 0).sum()
+    arms = {
+        "real": MO.Recipe(fit=MO.fit_boosted, options={"rounds": 2}),
+        "hybrid": MO.Recipe(fit=MO.fit_boosted, options={"rounds": 2}, top_up=True, target=target),
+    }
+    assert all(MO.shares_a_table(recipe, 3) for recipe in arms.values())
+    found = MO.cross_validate_arms(rows, 3, arms)
+    assert {arm: df.count() for arm, df in found.items()} == dict.fromkeys(arms, len(label))
