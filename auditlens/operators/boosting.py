@@ -36,6 +36,10 @@ BINS = 64
 MOST_ROWS = 1_500_000
 #: Joint values that columns counted together have at most.
 MOST_JOINT = 1024
+#: Joint values that two groups of columns are looked for at most, and rows a joint value that make
+#: counting both together pay.
+MOST_PAIRED = 4_000_000
+LEAST_SHARED = 3
 
 
 @dataclass(frozen=True)
@@ -156,6 +160,18 @@ class Together:
                 self.has[np.arange(self.values), of_bin[first[c] + codes[one, c]]] = 1.0
 
 
+class Pair:
+    """Two groups of columns that large nodes are counted by together, and then by each."""
+
+    def __init__(self, one: Together, other: Together):
+        both = one.key * other.values + other.key
+        there = np.bincount(both, minlength=one.values * other.values) > 0
+        self.key = (np.cumsum(there) - 1)[both]
+        joint = np.flatnonzero(there)
+        self.values = len(joint)
+        self.groups = [(one, joint // other.values), (other, joint % other.values)]
+
+
 class Part:
     """A task's rows, of which no two have the same bins.
 
@@ -190,6 +206,14 @@ class Part:
             group.take(int(c), key, there)
         for group in self.groups:
             group.finish(codes, sizes, self.first)
+        #: Groups in twos, the first with the last, that the rows have few joint values of.
+        self.pairs: list[Pair] = []
+        for i in range(len(self.groups) // 2):
+            one, other = self.groups[i], self.groups[-1 - i]
+            if one.values * other.values <= MOST_PAIRED:
+                pair = Pair(one, other)
+                if LEAST_SHARED * pair.values <= len(self.n):
+                    self.pairs.append(pair)
         last = np.zeros(self.bins, bool)
         last[self.first + np.array(sizes) - 1] = True
         # a column's last bin has nothing on its right
@@ -208,13 +232,25 @@ class Part:
         """
         taken = [values if at is None else [v.take(at) for v in values] for at in nodes]
         found = np.zeros((len(values), len(nodes), self.bins))
+        joint = {id(g): np.empty((len(values), len(nodes), g.values)) for g in self.groups}
+        for i, at in enumerate(nodes):
+            size = len(self.n) if at is None else len(at)
+            done = set()
+            for pair in self.pairs:
+                if size >= LEAST_SHARED * pair.values:
+                    key = pair.key if at is None else pair.key.take(at)
+                    for j, v in enumerate(taken[i]):
+                        sums = np.bincount(key, v, pair.values)
+                        for group, of in pair.groups:
+                            joint[id(group)][j, i] = np.bincount(of, sums, group.values)
+                    done.update(id(group) for group, _ in pair.groups)
+            for group in self.groups:
+                if id(group) not in done:
+                    key = group.key if at is None else group.key.take(at)
+                    for j, v in enumerate(taken[i]):
+                        joint[id(group)][j, i] = np.bincount(key, v, group.values)
         for group in self.groups:
-            joint = np.empty((len(values), len(nodes), group.values))
-            for i, at in enumerate(nodes):
-                key = group.key if at is None else group.key.take(at)
-                for j, v in enumerate(taken[i]):
-                    joint[j, i] = np.bincount(key, v, group.values)
-            sums = joint.reshape(-1, group.values) @ group.has
+            sums = joint[id(group)].reshape(-1, group.values) @ group.has
             found[:, :, group.bins] = sums.reshape(len(values), len(nodes), -1)
         return found
 

@@ -315,3 +315,18 @@ def test_topped_up_folds_share_a_table(spark):
     assert all(MO.shares_a_table(recipe, 3) for recipe in arms.values())
     found = MO.cross_validate_arms(rows, 3, arms)
     assert {arm: df.count() for arm, df in found.items()} == dict.fromkeys(arms, len(label))
+
+
+def test_large_nodes_are_counted_by_pairs_of_groups(monkeypatch):
+    monkeypatch.setattr(B, "MOST_JOINT", 4)
+    monkeypatch.setattr(B, "LEAST_SHARED", 1)
+    codes, rows, _ = small_rows(14, [4, 4, 4, 4], n=4000)
+    part = B.Part(rows, [4, 4, 4, 4], lambda own: own)
+    assert len(part.groups) == 4 and len(part.pairs) == 2
+    value = np.random.default_rng(1).random(len(codes))
+    for at in (None, np.arange(0, len(codes), 2), np.arange(5)):
+        found = part.histograms([at], [value, part.n])
+        here = slice(None) if at is None else at
+        for j, v in enumerate((value, part.n)):
+            want = np.concatenate([np.bincount(codes[here, i], v[here], 4) for i in range(4)])
+            assert found[j, 0] == pytest.approx(want)
