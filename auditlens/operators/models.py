@@ -13,10 +13,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import (
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.util import DefaultParamsReader
@@ -25,7 +22,7 @@ from pyspark.sql import functions as F
 
 from auditlens import constants as K
 from auditlens.functions.scoring import PROBABILITIES, with_verdict
-from auditlens.operators import balance, boosting
+from auditlens.operators import balance, boosting, forest
 from auditlens.operators.scaling import Scaler
 from auditlens.operators.smote import smote
 
@@ -83,11 +80,8 @@ def fit_logistic(df: DataFrame, columns: list[str], iterations: int = 50,
 
 
 def fit_forest(df: DataFrame, columns: list[str], trees: int = 100, depth: int = 8,
-               seed: int = 42) -> VectorModel:
-    estimator = RandomForestClassifier(
-        weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False
-    )
-    return VectorModel(estimator.fit(_training_frame(df, columns)), columns)
+               seed: int = 42) -> forest.ForestModel:
+    return forest.fit(df, columns, trees, depth, seed)
 
 
 def fit_boosted(df: DataFrame, columns: list[str], **growth) -> boosting.SoftmaxTrees:
@@ -314,7 +308,10 @@ def cross_validate_arms(
 
 # --- published models -----------------------------------------------------------
 
-KINDS = {"vector": VectorModel, "softmax": boosting.SoftmaxTrees, "samme": SammeModel}
+KINDS = {
+    "vector": VectorModel, "softmax": boosting.SoftmaxTrees, "forest": forest.ForestModel,
+    "samme": SammeModel,
+}
 
 
 def publish(spark: SparkSession, pipeline: Pipeline, path: str, version: str) -> str:
