@@ -14,8 +14,15 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from auditlens.operators.attributions import ranked
+from auditlens.session import materialise
+
+#: Patterns of a leaf that are counted in a table; beyond, the ones there are get sorted out.
+MOST_PATTERNS = 4_096
+#: Rows that are explained at once.
+AT_ONCE = 20_000
 
 # A leaf is (features, low, high, share, out): the features of its path, the interval
 # the path allows for each, the share of rows that took it, and its value per class.
@@ -31,16 +38,14 @@ def _shapley(share: np.ndarray, met: np.ndarray) -> np.ndarray:
     """
     m = len(share)
     weights = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
-    out = np.zeros((len(met), m))
-    for i in range(m):
-        sums = np.zeros((len(met), m))
-        sums[:, 0] = 1.0
-        for j in (j for j in range(m) if j != i):
-            grown = sums * share[j]
-            grown[:, 1:] += sums[:, :-1] * met[:, j : j + 1]
-            sums = grown
-        out[:, i] = (sums @ weights) * (met[:, i] - share[i])
-    return out
+    sums = np.zeros((len(met), m, m))  # pattern x feature left out x size
+    sums[:, :, 0] = 1.0
+    for j in range(m):
+        grown = sums * share[j]
+        grown[:, :, 1:] += sums[:, :, :-1] * met[:, j, None, None]
+        grown[:, j] = sums[:, j]
+        sums = grown
+    return (sums @ weights) * (met - share)
 
 
 def _class_shares(node) -> np.ndarray:
@@ -120,15 +125,27 @@ def _collect(model, value, weights) -> tuple[list[Leaf], np.ndarray]:
 
 def attribute(leaves: list[Leaf], x: np.ndarray, classes: int) -> np.ndarray:
     """row x feature x class."""
-    phi = np.zeros((*x.shape, classes))
+    phi = np.zeros((classes, x.shape[1], len(x)))
+    across = np.ascontiguousarray(x.T)
     for features, low, high, share, out in leaves:
-        part = x[:, features]
-        bits = 1 << np.arange(len(features))
-        codes, which = np.unique(((part > low) & (part <= high)) @ bits, return_inverse=True)
-        met = (codes[:, None] & bits) > 0
-        values = _shapley(share, met.astype(float))[which.reshape(-1)]
-        phi[:, features, :] += values[:, :, None] * out
-    return phi
+        m = len(features)
+        codes = np.zeros(len(x), np.int64)
+        for j, f in enumerate(features):
+            codes |= ((across[f] > low[j]) & (across[f] <= high[j])).astype(np.int64) << j
+        if 1 << m <= MOST_PATTERNS:
+            patterns = np.flatnonzero(np.bincount(codes, minlength=1 << m))
+            place = np.zeros(1 << m, np.int64)
+            place[patterns] = np.arange(len(patterns))
+            which = place.take(codes)
+        else:
+            patterns, which = np.unique(codes, return_inverse=True)
+            which = which.reshape(-1)
+        met = (patterns[:, None] >> np.arange(m)) & 1
+        values = _shapley(share, met.astype(float))
+        for c in np.flatnonzero(out):
+            for j, f in enumerate(features):
+                phi[c, f] += (values[:, j] * out[c]).take(which)
+    return phi.transpose(2, 1, 0)
 
 
 def attribute_class(leaves: list[Leaf], x: np.ndarray, of_row: np.ndarray) -> np.ndarray:
@@ -141,32 +158,76 @@ def attribute_class(leaves: list[Leaf], x: np.ndarray, of_row: np.ndarray) -> np
     return phi
 
 
+def in_places(leaves: list[Leaf], columns: int) -> tuple[list[np.ndarray], list[Leaf]]:
+    """The thresholds of every column, and the leaves with places among them as bounds.
+
+    A value's place is the number of thresholds below it, so values that no leaf tells apart
+    have the same.
+    """
+    found: list[set] = [set() for _ in range(columns)]
+    for features, low, high, *_ in leaves:
+        for f, a, b in zip(features, low.tolist(), high.tolist(), strict=True):
+            found[f].update((a, b))
+    cuts = [np.array(sorted(t for t in ts if np.isfinite(t))) for ts in found]
+    placed = []
+    for features, low, high, share, out in leaves:
+        bounds = [
+            np.array([np.searchsorted(cuts[f], t) for f, t in zip(features, ts, strict=True)])
+            for ts in (low, high)
+        ]
+        bounds[0] = np.where(np.isfinite(low), bounds[0], -1)
+        placed.append((features, *bounds, share, out))
+    return cuts, placed
+
+
 def with_tree_attributions(
     rows: DataFrame, columns: list[str], leaves: list[Leaf], classes: int, k: int = 5
 ) -> DataFrame:
     """Adds `top`, the k largest attributions for the row's predicted class.
 
     rows holds the scaled features and must already be filtered to what needs an
-    explanation; Spark cannot push a filter through the Arrow stage. What is sent
+    explanation; Spark cannot push a filter through the Arrow stage. Rows of one class that no
+    threshold tells apart are explained once, and get the values by a join. What is sent
     to all tasks are the leaves: under 1 KB each, as many as the trees have.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(leaves)
+    spark = rows.sparkSession
+    cuts, placed = in_places(leaves, len(columns))
+    kind = np.uint8 if max(map(len, cuts), default=0) <= np.iinfo(np.uint8).max else np.uint32
+    shared = spark.sparkContext.broadcast(placed)
     names = [f"_phi{i}" for i in range(len(columns))]
-    kept = [f for f in rows.schema.fields if f.name not in columns]
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} double" for n in names]
-    )
+    kept = [c for c in rows.columns if c not in columns]
+
+    @F.pandas_udf("binary")
+    def places(*values: pd.Series) -> pd.Series:
+        code = np.empty((len(values[0]), len(values)), kind)
+        for i, v in enumerate(values):
+            code[:, i] = np.searchsorted(cuts[i], v.to_numpy(np.float64))
+        return pd.Series([row.tobytes() for row in code])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
-            of_class = np.minimum(pdf["predicted_class"].to_numpy(), classes - 1)
+        own = [*batches]  # a leaf costs the same for few rows: a task's are taken together
+        every = pd.concat(own) if own else pd.DataFrame({"_code": [], "_class": []})
+        for i in range(0, len(every), AT_ONCE):
+            pdf = every.iloc[i : i + AT_ONCE].reset_index(drop=True)
+            x = np.frombuffer(b"".join(pdf["_code"]), kind).reshape(-1, len(columns))
+            of_class = np.minimum(pdf["_class"].to_numpy(), classes - 1)
             picked = attribute_class(shared.value, x, of_class)
-            yield pd.concat(
-                [pdf.drop(columns=columns), pd.DataFrame(picked, columns=names, index=pdf.index)],
-                axis=1,
-            )
+            yield pd.concat([pdf, pd.DataFrame(picked, columns=names)], axis=1)
 
-    explained = rows.mapInPandas(explain, schema)
+    code = places(*[F.col(f"`{c}`").cast("double") for c in columns])
+    known = materialise(
+        rows.select(*[F.col(f"`{c}`") for c in kept], code.alias("_place")), "places"
+    )
+    different = known.select(
+        F.col("_place").alias("_code"), F.col("predicted_class").alias("_class")
+    ).distinct()
+    # one task a core: what a row costs has nothing to do with its bytes
+    spread = different.repartition(spark.sparkContext.defaultParallelism, "_code", "_class")
+    of_class = spread.schema["_class"].dataType.simpleString()
+    schema = ", ".join(["_code binary", f"_class {of_class}", *[f"{n} double" for n in names]])
+    explained = spread.mapInPandas(explain, schema)
+    same = (F.col("_place") == F.col("_code")) & F.col("predicted_class").eqNullSafe(F.col("_class"))
     top = ranked({c: (i, n) for i, (c, n) in enumerate(zip(columns, names))}, k)
-    return explained.withColumn("top", top).drop(*names)
+    return known.join(explained, same).withColumn("top", top).select(
+        *[F.col(f"`{c}`") for c in kept], "top"
+    )

@@ -339,8 +339,6 @@ def primary_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fitted.model.with_margins(test).select(
         "event_id", "predicted_class", "margins", *FEATURES
     )
-    # some 22,000 leaves for every row: more tasks than the rows' bytes would ask for
-    scored = scored.repartition(spark.sparkContext.defaultParallelism, "event_id")
     explained = TS.with_tree_attributions(scored, FEATURES, leaves, len(base), k=len(FEATURES))
     place = F.col("predicted_class") + 1
     of_class = F.element_at(F.array(*[F.lit(float(x)) for x in base]), place)

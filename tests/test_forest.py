@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlens.operators import forest as FO
 from auditlens.operators import models as MO
+from auditlens.operators import tree_shap as TS
 from auditlens.operators.boosting import bin_edges, collapsed
 
 NAMES = list("abcd")
@@ -138,3 +139,31 @@ def test_as_good_as_a_forest_on_every_row(spark):
         return model.score(test).agg(F.avg(p)).first()[0]
 
     assert probability_of_label(own) == pytest.approx(probability_of_label(other), abs=0.03)
+
+
+def test_every_row_has_its_attributions(spark):
+    """Copies, and rows that no threshold tells apart, too."""
+    train = frame(spark, 800)
+    model = MO.fit_forest(train, NAMES, trees=5, depth=4)
+    leaves, base = TS.forest_leaves(model.model)
+    rows = frame(spark, 200, seed=9, copies=25).withColumn("predicted_class", F.col("label"))
+    rows = rows.withColumn("id", F.monotonically_increasing_id()).localCheckpoint()
+    out = TS.with_tree_attributions(rows, NAMES, leaves, len(base), k=4)
+    got = {r.id: {t.feature: t.shap_value for t in r.top} for r in out.collect()}
+    known = rows.collect()
+    assert out.columns == ["label", "weight", "predicted_class", "id", "top"]
+    assert len(got) == len(known) == 5000
+    phi = TS.attribute_class(leaves, np.array([r[:4] for r in known]), np.array([r.label for r in known]))
+    for r, values in zip(known, phi):
+        assert [got[r.id][c] for c in NAMES] == pytest.approx(values, abs=6e-5)
+
+
+def test_places_are_explained_as_their_values(spark):
+    leaves, _ = TS.forest_leaves(MO.fit_forest(frame(spark, 800), NAMES, trees=5, depth=4).model)
+    cuts, placed = TS.in_places(leaves, len(NAMES))
+    x = np.random.default_rng(5).normal(size=(500, 4)).round(1) * 3
+    x[:4] = [[c[0] if len(c) else 0.0 for c in cuts], [np.nan] * 4, [9e9] * 4, [-9e9] * 4]
+    places = np.column_stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)])
+    assert len(np.unique(places, axis=0)) < len(x)
+    right = np.nan_to_num(x, nan=9e9)
+    assert TS.attribute(placed, places, 3) == pytest.approx(TS.attribute(leaves, right, 3))
