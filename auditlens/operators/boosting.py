@@ -672,12 +672,14 @@ def task_cores(spark: SparkSession, models: int) -> tuple[int, ResourceProfile |
 
 
 def fit_all(
-    fits: list[tuple[DataFrame, Spec, Callable]], schema: str, columns: int
+    fits: list[tuple[DataFrame, Spec, Callable]], schema: str, columns: int, models: int = 1
 ) -> list[list]:
     """The rows of every model: (table, spec, work); tables as `collapsed` makes them, on disk.
 
-    Models are jobs side by side, and their tasks share the cores. Where a task would hold more
-    than MOST_ROWS rows, a model has several tasks, which hold a part each.
+    Models are jobs side by side, and their tasks share the cores, with the other fits too that
+    the caller runs at the same time: models is their number, if it is more than these.
+    Where a task would hold more than MOST_ROWS rows, a model has several tasks, which hold a
+    part each.
     """
     tables = {id(table): table for table, *_ in fits}
     tasks = {i: max(1, -(-table.count() // MOST_ROWS)) for i, table in tables.items()}
@@ -685,7 +687,7 @@ def fit_all(
     slots = spark.sparkContext.defaultParallelism
     names = [f.split()[0] for f in schema.split(", ")]
     alone = max(tasks.values()) == 1
-    cores, profile = task_cores(spark, len(fits)) if alone else (1, None)
+    cores, profile = task_cores(spark, max(models, len(fits))) if alone else (1, None)
 
     def fit(one: tuple[DataFrame, Spec, Callable]) -> list:
         table, spec, work = one
@@ -888,11 +890,13 @@ def _prepared(df: DataFrame, columns: list[str], bins: int) -> tuple[DataFrame,
     return materialise(collapsed(df, columns, edges), "collapsed"), edges
 
 
-def fit_boosted(df: DataFrame, columns: list[str], bins: int = BINS, **growth) -> SoftmaxTrees:
-    """The boosted model of df's columns, label and weight."""
+def fit_boosted(
+    df: DataFrame, columns: list[str], bins: int = BINS, models: int = 1, **growth
+) -> SoftmaxTrees:
+    """The boosted model of df's columns, label and weight; models as in fit_all."""
     table, edges = _prepared(df.withColumn("fold", F.lit(0)), columns, bins)
     work = _softmax_work(edges, Growth(**growth))
-    (trees,) = fit_all([(table, Spec(), work)], TREES, len(columns))
+    (trees,) = fit_all([(table, Spec(), work)], TREES, len(columns), models)
     return SoftmaxTrees([tuple(t) for t in trees], columns)
 
 
@@ -917,6 +921,7 @@ def fit_folds(
     columns: list[str],
     arms: dict[str, dict],
     bins: int = BINS,
+    models: int = 1,
 ) -> dict[tuple[str, int], SoftmaxTrees]:
     """A model for every arm and fold, all side by side: rows have label and fold.
 
@@ -954,7 +959,7 @@ def fit_folds(
             seen = {c: m + minted.get(c, 0) for c, m in n.items()}
             named.append((arm, i))
             fits.append((table, Spec(i, damped(seen, options["alpha"]), kept), work))
-    fitted = fit_all(fits, TREES, len(columns))
+    fitted = fit_all(fits, TREES, len(columns), models)
     return {
         name: SoftmaxTrees([tuple(t) for t in trees], columns)
         for name, trees in zip(named, fitted, strict=True)

@@ -8,8 +8,9 @@ has the (scaled) feature columns. Training input has the feature columns,
 from __future__ import annotations
 
 import time
-from dataclasses import astuple, dataclass, field
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import astuple, dataclass, field, replace
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -25,8 +26,12 @@ from auditlens.functions.scoring import PROBABILITIES, with_verdict
 from auditlens.operators import balance, boosting, forest
 from auditlens.operators.scaling import Scaler
 from auditlens.operators.smote import smote
+from auditlens.session import materialise
 
 CLASSES = K.CLASS_IDS
+#: Points a cell of the neighbour search. Within a class only a few of the features vary freely,
+#: so small cells rule out most other points.
+SPACING = 250
 
 
 def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -84,9 +89,11 @@ def fit_forest(df: DataFrame, columns: list[str], trees: int = 100, depth: int =
     return forest.fit(df, columns, trees, depth, seed)
 
 
-def fit_boosted(df: DataFrame, columns: list[str], **growth) -> boosting.SoftmaxTrees:
-    """The boosted model; growth as in boosting.Growth."""
-    return boosting.fit_boosted(df, columns, **growth)
+def fit_boosted(
+    df: DataFrame, columns: list[str], models: int = 1, **growth
+) -> boosting.SoftmaxTrees:
+    """The boosted model; growth as in boosting.Growth. models: fits that share the cores."""
+    return boosting.fit_boosted(df, columns, models=models, **growth)
 
 
 @dataclass(frozen=True)
@@ -180,13 +187,21 @@ FITTERS = {
 # --- recipes ------------------------------------------------------------------
 
 
+def side_by_side(spark: SparkSession, works: list[Callable]) -> list:
+    """What each of the works gives; their jobs run at the same time."""
+    run = inheritable_thread_target(spark)(lambda work: work())
+    with ThreadPool(len(works)) as pool:
+        return pool.map(run, works, chunksize=1)
+
+
 @dataclass
 class Recipe:
     """How a training part is prepared and what is fitted on it.
 
     balance is 'weights' (damped class weights), 'smote' or 'none'; top_up adds
     minted rows of the thin classes before scaling. Options that are not given are the ones
-    REFERENCE has for the balance.
+    REFERENCE has for the balance. models is how many are fitted side by side, this one included:
+    boosted ones share the cores.
     """
 
     fit: object = fit_logistic
@@ -196,6 +211,7 @@ class Recipe:
     alpha: float = K.SERVED_ALPHA
     top_up: bool = False
     target: int = K.AUGMENT_TARGET
+    models: int = 1
 
     def fit_options(self) -> dict:
         mode = "smote" if self.balance == "smote" else "served"
@@ -224,7 +240,9 @@ def train(train_rows: DataFrame, recipe: Recipe) -> Pipeline:
     scaler = Scaler.fit(rows, columns)
     scaled = scaler.transform(rows)
     if recipe.balance == "smote":
-        ready = smote(scaled, columns).withColumn("weight", F.lit(1.0))
+        # Written once: bins are looked for in two passes over it and filled in a third.
+        grown = materialise(smote(scaled, columns, spacing=SPACING), "grown")
+        ready = grown.withColumn("weight", F.lit(1.0))
         note = "SMOTE (train fold)"
     elif recipe.balance == "weights" and recipe.alpha > 0:
         ready = balance.with_sample_weight(scaled, "label", recipe.alpha)
@@ -232,7 +250,8 @@ def train(train_rows: DataFrame, recipe: Recipe) -> Pipeline:
     else:
         ready = scaled.withColumn("weight", F.lit(1.0))
         note = "no class weighting (alpha=0, no SMOTE)"
-    model = recipe.fit(ready, columns, **recipe.fit_options())
+    beside = {"models": recipe.models} if recipe.fit is fit_boosted else {}
+    model = recipe.fit(ready, columns, **beside, **recipe.fit_options())
     return Pipeline(scaler, model, note)
 
 
@@ -250,6 +269,8 @@ def cross_validate(rows: DataFrame, folds: int, recipe: Recipe) -> DataFrame:
     The folds are fitted side by side; the predictions stay lazy and are evaluated together.
     """
 
+    recipe = replace(recipe, models=max(recipe.models, folds))
+
     def one(i: int) -> DataFrame:
         fitted = train(rows.filter(F.col("fold") != i), recipe)
         return fitted.score(rows.filter(F.col("fold") == i)).select(
@@ -277,14 +298,16 @@ def cross_validate_arms(
 
     All boosted arms without oversampling are fitted side by side, all their folds on one table,
     or on one a target where thin classes are topped up. Trees do not depend on the columns' scale, so they see the columns as they are.
+    Each of the other arms runs beside them.
     """
     together = {arm: recipe for arm, recipe in arms.items() if shares_a_table(recipe, folds)}
-    found = {
-        arm: cross_validate(rows, folds, recipe)
-        for arm, recipe in arms.items()
-        if arm not in together
-    }
-    if together:
+    found: dict[str, DataFrame] = {}
+    every = max([folds * len(arms), *[recipe.models for recipe in arms.values()]])
+
+    def alone(arm: str) -> None:
+        found[arm] = cross_validate(rows, folds, replace(arms[arm], models=every))
+
+    def joint() -> None:
         options = {
             arm: {
                 "alpha": recipe.alpha if recipe.balance == "weights" else 0.0,
@@ -294,7 +317,7 @@ def cross_validate_arms(
             }
             for arm, recipe in together.items()
         }
-        models = boosting.fit_folds(rows, folds, list(K.FEATURES), options)
+        models = boosting.fit_folds(rows, folds, list(K.FEATURES), options, models=every)
         for arm in together:
             parts = [
                 with_verdict(models[arm, i].score(rows.filter(F.col("fold") == i))).select(
@@ -303,7 +326,9 @@ def cross_validate_arms(
                 for i in range(folds)
             ]
             found[arm] = reduce(DataFrame.unionByName, parts)
-    return found
+    works = [partial(alone, arm) for arm in arms if arm not in together]
+    side_by_side(rows.sparkSession, [*works, *([joint] if together else [])])
+    return {arm: found[arm] for arm in arms}
 
 
 # --- published models -----------------------------------------------------------

@@ -44,13 +44,19 @@ def _estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     left, right = (np.einsum("ij,ij->i", x, x) for x in (a, b))
     off = 4 * (a.shape[1] + 4) * np.finfo(np.float64).eps * (left + right.max(initial=0.0))
-    return left[:, None] + right[None, :] - 2.0 * (a @ b.T), off
+    dist = a @ b.T
+    dist *= -2.0
+    dist += left[:, None]
+    dist += right
+    return dist, off
 
 
 def _block_neighbours(probes: pd.DataFrame, residents: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest residents of every probe, without the probe itself.
 
-    Estimates leave the residents that can be among them; these are measured and sorted.
+    Estimates leave the residents that can be among them; these are measured and sorted. A
+    probe's `bound` is at least the distance of its k-th neighbour: what is beyond it is none,
+    and k more are only looked for where many residents are within.
     """
     empty = pd.DataFrame({"label": [], "vid": [], "nvid": [], "dist": []})
     if not len(probes) or not len(residents):
@@ -61,10 +67,14 @@ def _block_neighbours(probes: pd.DataFrame, residents: pd.DataFrame, k: int) ->
     own = pd.Index(ids).get_indexer(probes.vid)
     rows = np.flatnonzero(own >= 0)
     dist[rows, own[rows]] = np.inf
-    limit = np.full(len(a), np.inf)
-    if len(b) > k:
-        limit = np.partition(dist, k - 1, axis=1)[:, k - 1] + 2 * off
-    rows, cols = np.nonzero(~(dist > limit[:, None]) & ~np.isposinf(dist))
+    near = ~np.isposinf(dist)
+    if "bound" in probes:
+        near &= ~(dist > (probes.bound.to_numpy(np.float64) * (1 + 1e-9) + off)[:, None])
+    many = np.flatnonzero(near.sum(axis=1) > 4 * k)
+    if len(many) and len(b) > k:
+        limit = np.partition(dist[many], k - 1, axis=1)[:, k - 1] + 2 * off[many]
+        near[many] &= ~(dist[many] > limit[:, None])
+    rows, cols = np.nonzero(near)
     flat = np.empty(len(rows))
     for i in range(0, len(rows), MEASURED):
         diff = a[rows[i : i + MEASURED]] - b[cols[i : i + MEASURED]]
@@ -150,6 +160,7 @@ def nearest_neighbours(
     most_pivots: int = 4096,
     wanted: DataFrame | None = None,
     most_cells: int | None = None,
+    spacing: int | None = None,
 ) -> DataFrame:
     """The k nearest other points of the same class for every point.
 
@@ -161,8 +172,10 @@ def nearest_neighbours(
     nvid, dist) with the squared distance; with wanted (label, vid), only for
     these points, so that the work follows what is needed. What is sent to all
     tasks is the pivots and the cells' boxes: at most most_pivots of each per class.
+    There is a pivot for `spacing` points (block, if not given). Where few columns vary
+    freely, small cells leave a point far fewer others to be compared with.
     """
-    pivots = _pivots(pts, block, most_pivots)
+    pivots = _pivots(pts, spacing or block, most_pivots)
     flagged = pts.select("label", "vid", "vec", F.lit(True).alias("wanted"))
     if wanted is not None:
         marks = wanted.select("label", "vid").distinct().withColumn("wanted", F.lit(True))
@@ -252,12 +265,14 @@ def nearest_neighbours(
                     part = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                     rows, cols = np.repeat(rows, each), np.repeat(cols, each)
                     yield pd.DataFrame(
-                        {"label": c, "vid": vid[run][rows], "cell": cells[cols], "chunk": part}
+                        {"label": c, "vid": vid[run][rows], "cell": cells[cols], "chunk": part,
+                         "bound": group.bound.to_numpy()[run][rows]}
                     )
 
     # Written without the vectors: a point has one row for each chunk it may reach.
     probes = materialise(
-        bounded.mapInPandas(reach, "label int, vid string, cell int, chunk int"), "probes"
+        bounded.mapInPandas(reach, "label int, vid string, cell int, chunk int, bound double"),
+        "probes",
     )
     # Probes of a popular chunk are split too; its residents go to every part.
     busy = probes.groupBy("label", "cell", "chunk").agg(
@@ -274,7 +289,7 @@ def nearest_neighbours(
     )
     key = ["label", "cell", "chunk", "part"]
     found = (
-        left.select(*key, "vid", "vec")
+        left.select(*key, "vid", "vec", "bound")
         .groupBy(*key)
         .cogroup(right.select(*key, "vid", "vec").groupBy(*key))
         .applyInPandas(lambda a, b: _block_neighbours(a, b, k), NEIGHBOUR)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -394,21 +394,26 @@ def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recipe_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Oversampling against class weights on one split (fold -1) and over all folds."""
-    arms = {
+    """Oversampling against class weights on one split (fold -1) and over all folds.
+
+    All twelve models are prepared and fitted side by side.
+    """
+    recipes = {
         "old": replace(PRIMARY, balance="smote"),
         "new": replace(PRIMARY, alpha=1.0),
     }
-    rows = _holdout_rows(spark, sf_dir)
-    split = [
-        ME.against_always_benign(ME.confusion_cells(MO.holdout_predictions(rows, recipe)))
-        .withColumn("arm", F.lit(arm))
-        .withColumn("fold", F.lit(-1))
-        for arm, recipe in arms.items()
-    ]
-    return reduce(
-        DataFrame.unionByName, [*split, _validated(*_fold_rows(spark, sf_dir), arms)]
+    rows, (folded, folds) = MO.side_by_side(
+        spark, [partial(_holdout_rows, spark, sf_dir), partial(_fold_rows, spark, sf_dir)]
     )
+    arms = {arm: replace(recipe, models=2 + 2 * folds) for arm, recipe in recipes.items()}
+
+    def split(arm: str) -> DataFrame:
+        cells = ME.confusion_cells(MO.holdout_predictions(rows, arms[arm]))
+        scores = ME.against_always_benign(cells)
+        return scores.withColumn("arm", F.lit(arm)).withColumn("fold", F.lit(-1))
+
+    works = [*[partial(split, arm) for arm in arms], partial(_validated, folded, folds, arms)]
+    return reduce(DataFrame.unionByName, MO.side_by_side(spark, works))
 
 
 def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,3 +217,66 @@ def test_cells_are_ruled_out_only_if_all_their_points_are_too_far(monkeypatch):
     runs = [*SM._slices(50, 30)]
     assert max(r.stop - r.start for r in runs) * 30 <= 100
     assert [i for r in runs for i in range(50)[r]] == [*range(50)]
+
+
+def test_small_cells_and_bounds_leave_the_exact_neighbours(spark):
+    """As brute force has them, with fewer residents a probe than without small cells."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.integers(0, 4, (900, 2)) * 5.0, rng.normal(size=900).round(2)])
+    rows = [(int(c), *map(float, v)) for c, v in zip(rng.integers(0, 2, 900), x)]
+    df = spark.createDataFrame(rows, "label int, a double, b double, c double")
+    pts = materialise(SM.points(df, list("abc")), "points")
+    near = SM.nearest_neighbours(pts, 4, block=300, spacing=10).toPandas()
+    for label, group in pts.toPandas().groupby("label"):
+        v, vids = np.stack(group.vec), group.vid.to_numpy()
+        dist = ((v[:, None] - v[None]) ** 2).sum(-1)
+        np.fill_diagonal(dist, np.inf)
+        for i, vid in enumerate(vids):
+            want = sorted(zip(dist[i], vids))[:4]
+            got = near[(near.vid == vid) & (near.label == label)].sort_values(["dist", "nvid"])
+            assert got.dist.tolist() == pytest.approx([d for d, _ in want])
+            assert len({*got.nvid}) == 4
+
+
+def test_a_bound_rules_out_residents_but_no_neighbour():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 5, (200, 3)) + rng.normal(size=(200, 3)) * 0.01
+    frame = pd.DataFrame({"label": 0, "vid": [f"{i:03}" for i in range(200)], "vec": list(x)})
+    dist = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(dist, np.inf)
+    kth = np.sort(dist, axis=1)[:, 4]
+    want = SM._block_neighbours(frame.iloc[:60], frame, 5)
+    for bound in (kth, kth * 30, np.where(kth > np.median(kth), np.inf, kth)):
+        probes = frame.assign(bound=bound).iloc[:60]
+        pd.testing.assert_frame_equal(SM._block_neighbours(probes, frame, 5), want)
+    # nothing is measured that is beyond the bound
+    none = frame.assign(bound=kth / 2).iloc[:60]
+    found = SM._block_neighbours(none, frame, 5)
+    assert (found.dist.to_numpy() <= (kth / 2)[found.vid.astype(int)] * (1 + 1e-6)).all()
+
+
+def test_oversampled_rows_are_made_once(spark, cloud):
+    """The fit reads a table, and does not look for the neighbours again in every pass."""
+    seen = []
+
+    def fit(df, columns):
+        seen.append(df)
+
+    MO.train(cloud, MO.Recipe(fit=fit, columns=tuple("abcd"), balance="smote"))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Join" not in plan
+    assert seen[0].groupBy("label").count().select("count").distinct().count() == 1
+
+
+def test_models_side_by_side_share_the_cores(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(MO.boosting, "fit_boosted", lambda df, columns, **options: asked.append(options))
+    rows = spark.createDataFrame(
+        [(i % 2, i % 3, float(i)) for i in range(30)], "label int, fold int, a double"
+    )
+    recipe = MO.Recipe(fit=MO.fit_boosted, columns=("a",), alpha=0.0, models=8)
+    MO.train(rows, recipe)
+    assert asked.pop()["models"] == 8
+    monkeypatch.setattr(MO.Pipeline, "score", lambda self, df: df.withColumn("predicted_class", F.col("label")))
+    MO.cross_validate(rows, 3, MO.Recipe(fit=MO.fit_boosted, columns=("a",), alpha=0.0))
+    assert [options["models"] for options in asked] == [3, 3, 3]
