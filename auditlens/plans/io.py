@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlens import constants as K
@@ -77,15 +77,34 @@ def ingest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_variant(IN.with_event_columns(found, "event"))
 
 
+def _write_large_exports(events: DataFrame, path: str, per_document: int) -> None:
+    """Files of one export each, of the events of up to per_document ids; a line an event.
+
+    A document is sorted and written row by row, so a task holds none of them as a whole.
+    """
+    number = F.floor(F.col("event_id") / per_document)
+    record = F.struct(*[F.col(c) for c in events.columns])
+    texts = events.select(number.alias("number"), "event_id", F.to_json(record).alias("text"))
+    order = Window.partitionBy("number").orderBy("event_id")
+    placed = texts.select(
+        "number",
+        F.row_number().over(order).alias("place"),
+        F.lead(F.lit(False), 1, True).over(order).alias("last"),
+        "text",
+    )
+    head = F.when(F.col("place") == 1, '{"Records":[').otherwise(",")
+    line = F.concat(head, F.col("text"), F.when(F.col("last"), "]}").otherwise(""))
+    # The order that the writer keeps: by document, and in it by place.
+    lines = placed.select("number", "place", line.alias("value")).sortWithinPartitions(
+        "number", "place"
+    )
+    lines.select("number", "value").write.partitionBy("number").text(path)
+
+
 def ingest_large_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of one export of up to 20,000 events each, read in byte ranges."""
     path = scratch_path(spark, "large")
-    events = _log_events(spark, sf_dir)
-    record = F.struct(*[F.col(c) for c in events.columns])
-    number = F.floor(F.col("event_id") / PER_LARGE_DOCUMENT)
-    documents = events.groupBy(number.alias("number")).agg(F.collect_list(record).alias("Records"))
-    exports = documents.select(F.to_json(F.struct("Records")))
-    exports.write.option("maxRecordsPerFile", 1).text(path)
+    _write_large_exports(_log_events(spark, sf_dir), path, PER_LARGE_DOCUMENT)
     found, _ = split_json.read_large_documents(spark, path)
     return _from_variant(IN.with_event_columns(found, "event"))
 

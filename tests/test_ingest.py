@@ -206,3 +206,38 @@ def test_a_text_is_parsed_once_whatever_reads_it(spark, tmp_path):
         assert known.count() == 1
         plan = known._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("parseJson") == 1
+
+
+@pytest.mark.parametrize("ids", [range(25), [3, 3, 3, 12, 12, None, None, 9, 29, 31]])
+def test_large_exports_are_written_row_by_row(spark, tmp_path, ids):
+    """One JSON document a file, of all its events, whatever ids repeat or are missing."""
+    from auditlens.plans import io
+
+    rows = [(i, f'"}}{{\n{n}' if n % 2 else None, n) for n, i in enumerate(ids)]
+    events = spark.createDataFrame(rows, "event_id bigint, text string, n int").repartition(3)
+    io._write_large_exports(events, f"{tmp_path}/out", 10)
+    found = [json.loads(f.read_text())["Records"] for f in (tmp_path / "out").rglob("part-*.txt")]
+    numbers = {None if i is None else i // 10 for i in ids}
+    assert len(found) == len(numbers)
+    assert all(len({r["event_id"] // 10 if "event_id" in r else None for r in d}) == 1 for d in found)
+    read = [(r.get("event_id"), r.get("text"), r["n"]) for d in found for r in d]
+    assert sorted(read, key=lambda r: r[2]) == rows
+    # the reader finds every event of them
+    again, other = io.split_json.read_large_documents(spark, f"{tmp_path}/out")
+    assert other.isEmpty() and again.count() == len(rows)
+
+
+def test_no_task_holds_large_exports_as_a_whole(spark, tmp_path, sf_dir, monkeypatch):
+    from auditlens.plans import io
+
+    plans = []
+    writer = type(spark.range(1).write)
+    text = writer.text
+
+    def seen(self, path, *rest, **options):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return text(self, path, *rest, **options)
+
+    monkeypatch.setattr(writer, "text", seen)
+    assert io.ingest_large_exports(spark, sf_dir).count() == 1000
+    assert plans and not any("collect_list" in plan for plan in plans)
